@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackweave.llm import decontaminate, htmltext, licences, maxplus, quality, queries, sentencepiece_scan, tokenids, warc
@@ -91,9 +92,11 @@ def test_token_ids(spark, documents, odd):
 
 def test_word_cache_bound():
     small, large = tokenids.WordEncoder(WORDS, 3), tokenids.WordEncoder(WORDS)
-    texts = [b"one two three four", b"two five six one", b"", b"one"]
-    assert small.encode(texts) == large.encode(texts) == small.encode(texts)
-    assert len(small.known) <= 3
+    texts = pa.array(["one two three four É'a Ÿ%%% ﬁ İ", "two five six ONE", "", None, " one\t", "a<|endoftext|>B"])
+    for column in (texts, texts.slice(1, 4)):
+        first, again, other = small.encode(column), small.encode(column), large.encode(column)
+        assert all(np.array_equal(x, y) and np.array_equal(x, z) for x, y, z in zip(first, again, other))
+    assert len(small.parts) <= 3
 
 
 def brute_leaks(rows, items, size=5, threshold=0.8):
