@@ -37,10 +37,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/trackweave-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage and survives lost executors."""
+def few_files(df: DataFrame) -> DataFrame:
+    """A narrow table in about two partitions a core, so that writing it doesn't make a file for each shuffle partition."""
+    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    narrow: a table of ids and digests, written in few files.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (few_files(df) if narrow else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._trackweave_path = path
     return out

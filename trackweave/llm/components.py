@@ -35,10 +35,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     now = materialize(
         edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v").distinct(),
         "edges",
+        narrow=True,
     )
     seen = None
     for _ in range(rounds):
-        nxt = materialize(_small_star(_large_star(now).filter("u <> v").distinct()).distinct(), "edges")
+        nxt = materialize(_small_star(_large_star(now).filter("u <> v").distinct()).distinct(), "edges", narrow=True)
         discard(now)
         now = nxt
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

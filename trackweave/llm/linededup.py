@@ -52,7 +52,7 @@ class LineRuns:
             together = self._merge(merged)
             if self.settle:
                 together = materialize(together, "line-run")
-                self.settled.append(materialize(together.filter(F.col("n") >= self.min_docs), "line-settled"))
+                self.settled.append(materialize(together.filter(F.col("n") >= self.min_docs), "line-settled", narrow=True))
                 merged.append(together)
                 together = together.filter(F.col("n") < self.min_docs)
             self._put(together, level + 1)
@@ -200,7 +200,7 @@ def frequent_lines(
     runs = LineRuns(spark, min_docs, fanout, settle)
     for i in range(batches):
         runs.add(counted.filter(F.col("batch") == i).select("h", "n", "first"))
-    out = materialize(runs.frequent(), "line-frequent")
+    out = materialize(runs.frequent(), "line-frequent", narrow=True)
     runs.drop()
     discard(counted)
     return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, discard, materialize, small_side
+from .common import WS_CLASS, discard, few_files, materialize, small_side
 
 #: Bytes of the first digit (beside the length), and by how much digits widen.
 FIRST_DIGIT, WIDEN = 24, 8
@@ -48,7 +48,7 @@ def exact_duplicates(
         "radix-base",
     )
     groups = base.groupBy("len", "digit").agg(F.min("rid").alias("gid"), F.count("*").alias("n")).filter("n > 1")
-    open_rows = materialize(base.join(groups, ["len", "digit"]).select("rid", "doc_id", "text_sha256", "len", "gid"), "radix-open")
+    open_rows = materialize(base.join(groups, ["len", "digit"]).select("rid", "doc_id", "text_sha256", "len", "gid"), "radix-open", narrow=True)
     ended = [open_rows.filter(F.col("len") <= first_digit).select("rid", "gid")]
     longer = open_rows.filter(F.col("len") > first_digit)
     rows = longer.count()
@@ -60,6 +60,7 @@ def exact_duplicates(
                 "rid", "gid", F.expr(f"substring(b, {first_digit + 1})").alias("rest")
             ),
             "radix-rest",
+            narrow=True,
         )
     width, finished = first_digit, []
     while state is not None:
@@ -71,6 +72,7 @@ def exact_duplicates(
                 "rid", F.col("new_gid").alias("gid"), F.expr(f"substring(rest, {width + 1})").alias("rest")
             ),
             "radix-rest",
+            narrow=True,
         )
         discard(state)
         done = F.octet_length("rest") == 0
@@ -85,7 +87,9 @@ def exact_duplicates(
     of_row = classes.distinct().join(base.select("rid", F.col("doc_id").alias("d"), F.col("text_sha256").alias("s")), "rid")
     of_row = of_row.groupBy("d", "s").agg(F.min("gid").alias("gid"))
     labelled = materialize(
-        base.join(of_row, F.expr("doc_id <=> d AND text_sha256 = s"), "left").select("doc_id", "text_sha256", "gid"), "radix-labelled"
+        base.join(of_row, F.expr("doc_id <=> d AND text_sha256 = s"), "left").select("doc_id", "text_sha256", "gid"),
+        "radix-labelled",
+        narrow=True,
     )
     for used in (open_rows, base, *finished):
         discard(used)
@@ -94,6 +98,5 @@ def exact_duplicates(
     )
     several = labelled.filter("gid IS NOT NULL")
     sizes = several.groupBy("gid").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return single.union(
-        several.join(sizes, "gid").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
-    )
+    of_several = several.join(sizes, "gid").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    return single.union(few_files(of_several))

@@ -159,7 +159,7 @@ def write_archives(
     copies = (
         rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 AND last IS NOT NULL")
     )
-    copies = materialize(copies.select(F.col("digest").alias("d"), "last"), "warc-copies")
+    copies = materialize(copies.select(F.col("digest").alias("d"), "last"), "warc-copies", narrow=True)
     joined = rows.join(small_side(copies, copies.count(), 64), F.col("digest") == F.col("d"), "left")
     refers = F.when(~F.expr("page_id <=> last"), F.col("last"))
     out = joined.select("page_id", "url", "html", refers.alias("refers_to"))
