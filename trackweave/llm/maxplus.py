@@ -54,7 +54,7 @@ class PieceLattice:
         if self.kind != "bpe" or not a:
             return True
         if (a, b) not in self._fits:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 50_000:
                 self._fits.clear()
             self._fits[a, b] = self.merged(a + b) == [a, b]
         return self._fits[a, b]

@@ -9,36 +9,39 @@ combined in groups level by level, and each chunk is traced by itself from the s
 from __future__ import annotations
 
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, limit_batches, materialize
 from .maxplus import SPACE, Chunk, PieceLattice, product, resolve
+from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, MARKS, UPPER, UPPER_CLASS, UnitEncoder, joined
 
 #: Characters from which on a document is giant, of a chunk, and chunks (or groups) that one group combines.
 GIANT_CHARS, CHUNK_CHARS, FAN = 32_768, 8_192, 128
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 250_000
-_UNIT = re.compile(r"( *)([^ ]+)| +")
 _models: dict[str, PieceModel] = {}
 
 
-class PieceModel:
-    """A SentencePiece model file with the tables that encoding by words, scanning and decoding take."""
+class PieceModel(UnitEncoder):
+    """A SentencePiece model file with the tables that encoding by words, scanning and decoding take.
 
-    def __init__(self, path: str):
+    The units are words with the space before them, words at the beginning of a line, and line feeds.
+    """
+
+    def __init__(self, path: str, most: int = CACHE_PARTS):
+        super().__init__(most)
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
+        self.kind = "<u2" if n <= 1 << 16 else "<u4"
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
         pieces = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not special[i]}
-        # The library gives no access to the model's kind: BPE scores are whole, nothing better than zero ranks before.
+        # The library gives no access to the model's kind: BPE scores are whole, minus the rank of the merge.
         whole = all(float(s).is_integer() for s in pieces.values())
         self.lattice = PieceLattice(pieces, "bpe" if whole else "unigram")
         self.id = {p: sp.piece_to_id(p) for p in pieces}
@@ -47,94 +50,72 @@ class PieceModel:
         self.piece_bytes = [
             bytes([self.byte.index(i)]) if sp.is_byte(i) else b"" if special[i] else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)
         ]
-        plain = sp.normalize("A  b ́Ａ") == f"{SPACE}A{SPACE}{SPACE}b ́Ａ"
+        probe = "A  b \u0301\uff21"  # what a normaliser would change
+        plain = sp.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         self.by_words = whole and plain and self.fallback and not self.lattice.space_inside and "\n" not in self.lattice.joined
-        self.words: dict[str, bytes] = {}  # after a space
-        self.heads: dict[str, bytes] = {}  # at the beginning of a line
-        self.units: dict[str, bytes] = {}  # after several spaces, and spaces alone
-        self.newline = self._bytes([self.byte[10]])
-
-    @staticmethod
-    def _bytes(ids) -> bytes:
-        return np.array(ids, "<i4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        letters, marks = set(LOWER + UPPER), set(MARKS)
+        if not any(a in letters and b in marks for p in pieces for a, b in zip(p, p[1:])):
+            self.pattern, self.letters = f"^ ?[{LOWER_CLASS}{UPPER_CLASS}]+[{MARK_CLASS}]*$", " " + LOWER + UPPER
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        ids = self.sp.encode([p[1:] if p[0] == " " else "\n" + p for p in parts], num_threads=1)
+        return [np.array(x if p[0] == " " else x[2:], self.kind).tobytes() for p, x in zip(parts, ids)]
+
+    def encode_unit(self, unit: str) -> list[int]:
+        """Ids of normalised text with spaces for the mark of a space, cut off at a place that no piece crosses."""
+        if not unit:
+            return []
+        if unit == " ":
+            return [self.id[SPACE]]
+        return self.sp.encode(unit[1:]) if unit[0] == " " else self.sp.encode("\n" + unit)[2:]
+
+    def encode_normal(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised texts (as for encode_unit) one after the other, and where each text's begin.
+
+        Runs of spaces merge among themselves, so texts with such runs go through the library whole.
+        """
+        odd = pc.match_substring_regex(column, "  |\x1f").to_numpy(zero_copy_only=False)
+        usual = column.filter(pa.array(~odd))
+        units = pc.replace_substring(pc.replace_substring(usual, " ", "\x1f "), "\n", "\x1f\n\x1f")
+        lists = pc.split_pattern(units, "\x1f")
+        edges, ids = self.gather(lists, lists.flatten())
+        if not odd.any():
+            return edges, ids
+        others = iter([np.array(self.encode_unit(t), self.kind) for t in column.filter(pa.array(odd)).to_pylist()])
+        whole = iter([ids[a:b] for a, b in zip(edges, edges[1:])])
+        parts = [next(others) if x else next(whole) for x in odd]
+        return np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a string column one after the other, and where each text's begin (and the last's end)."""
+        column = column.fill_null("")
         if not self.by_words:
-            return [self._bytes(x) for x in self.sp.encode(texts, num_threads=1)] if texts else []
-        split = [[line.split(" ") for line in t.replace(SPACE, " ").split("\n")] if t else [] for t in texts]
-        words, heads, units = set(), set(), set()
-        for lines in split:
-            for i, ws in enumerate(lines):
-                if "" in ws:
-                    line = " ".join(ws) if i else " " + " ".join(ws)
-                    lines[i] = found = [m.group(0) for m in _UNIT.finditer(line)]
-                    found.insert(0, "")  # marks a line in units
-                    units.update(found[1:])
-                elif i:
-                    heads.add(ws[0])
-                    words.update(ws[1:])
-                else:
-                    words.update(ws)
-        words_of = self._table(self.words, words, lambda todo: self.sp.encode(todo, num_threads=1))
-        heads_of = self._table(self.heads, heads, lambda todo: [x[2:] for x in self.sp.encode(["\n" + w for w in todo], num_threads=1)])
-        units_of = self._table(self.units, units, self._encode_units)
-        out = []
-        for lines in split:
-            parts = []
-            for i, ws in enumerate(lines):
-                if i:
-                    parts.append(self.newline)
-                if ws[0] == "":
-                    parts.extend(map(units_of.__getitem__, ws[1:]))
-                elif i:
-                    parts.append(heads_of[ws[0]])
-                    parts.extend(map(words_of.__getitem__, ws[1:]))
-                else:
-                    parts.extend(map(words_of.__getitem__, ws))
-            out.append(b"".join(parts))
-        return out
+            parts = self.sp.encode(column.to_pylist(), num_threads=1)
+            return np.cumsum([0, *map(len, parts)]), np.array([i for p in parts for i in p], self.kind)
+        spaced = pc.replace_substring(column, SPACE, " ")
+        return self.encode_normal(pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(" ", spaced, "")))
 
-    def _encode_units(self, todo: list[str]) -> list[list[int]]:
-        out = []
-        for unit in todo:
-            if unit == " ":
-                out.append([self.id[SPACE]])
-            elif unit[0] == " ":
-                out.append(self.sp.encode(unit[1:]))
-            else:
-                out.append(self.sp.encode("\n" + unit)[2:])
+    def between(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of normalised texts between two places that no piece crosses."""
+        if self.by_words:
+            edges, ids = self.encode_normal(pa.array([t.replace(SPACE, " ") for t in texts], pa.string()))
+            return [ids[a:b] for a, b in zip(edges, edges[1:])]
+        out, lat = [], self.lattice
+        for text in texts:
+            ways, at, found = lat.ways(text, (0, 0), len(text)), len(text), []
+            while at:
+                begin = ways[at][1]
+                found.append(text[begin:at])
+                at = begin
+            out.append(np.array([i for p in reversed(found) for i in self.ids_of(p)], self.kind))
         return out
 
-    def _table(self, known: dict[str, bytes], wanted: set[str], encode) -> dict[str, bytes]:
-        todo = list(wanted - known.keys())
-        new = dict(zip(todo, map(self._bytes, encode(todo)))) if todo else {}
-        if len(known) + len(new) <= CACHE_WORDS:
-            known.update(new)
-            return known
-        new.update((w, known[w]) for w in wanted & known.keys())
-        return new
-
     def ids_of(self, piece: str) -> list[int]:
         """Of a piece of the lattice; a character that is no piece is its bytes, or unknown."""
         if piece in self.id:
             return [self.id[piece]]
         return [self.byte[b] for b in piece.encode()] if self.fallback else [self.sp.unk_id()]
 
-    def between(self, text: str) -> bytes:
-        """Ids of normalised text between two places that no piece crosses."""
-        if self.by_words:
-            if text[0] == SPACE:
-                return self.encode([text[1:].replace(SPACE, " ")])[0] if len(text) > 1 else self._bytes([self.id[SPACE]])
-            return self.encode(["\n" + text.replace(SPACE, " ")])[0][8:]
-        lat = self.lattice
-        ways, at, out = lat.ways(text, (0, 0), len(text)), len(text), []
-        while at:
-            begin = ways[at][1]
-            out.append(text[begin:at])
-            at = begin
-        return self._bytes([i for p in reversed(out) for i in self.ids_of(p)])
-
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, the space that encoding puts in front taken off."""
         data = b"".join(map(self.piece_bytes.__getitem__, ids.tolist()))
@@ -150,10 +131,9 @@ def model(path: str) -> PieceModel:
 def _encode(path: str, names: list[str], text_at: int):
     def run(parts):
         sp = model(path)
-        for part in parts:
-            ids = sp.encode([t or "" for t in part.column(text_at).to_pylist()])
-            offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        for part in joined(parts):
+            edges, ids = sp.encode(part.column(text_at))
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
 
     return run
@@ -218,10 +198,16 @@ def _trace(path: str):
     def run(parts):
         sp = model(path)
         for part in parts:
-            ids = []
+            rows, middles = [], []
+
+            def middle(text: str) -> int:
+                middles.append(text)
+                return len(middles) - 1
+
             for row in part.to_pylist():
-                got = _chunk(sp, row).pieces(row["entry"], row["exit"], sp.between)
-                ids.append(np.frombuffer(b"".join(x if isinstance(x, bytes) else sp._bytes(sp.ids_of(x)) for x in got), "<i4"))
+                rows.append(_chunk(sp, row).pieces(row["entry"], row["exit"], middle))
+            inner = sp.between(middles) if middles else []
+            ids = [np.concatenate([inner[x] if isinstance(x, int) else sp.ids_of(x) for x in row] or [[]]).astype(np.int32) for row in rows]
             yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("pos"), pa.array(ids, pa.list_(pa.int32()))], names=["rid", "pos", "ids"])
 
     return run

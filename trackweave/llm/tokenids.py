@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,58 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import limit_batches, new_path
+from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, UnitEncoder, joined
 
-#: Words whose ids a worker keeps; others are encoded batch by batch.
-CACHE_WORDS = 300_000
 #: The pre-tokeniser that WordEncoder knows to split letters from punctuation (fixed value of the vocabulary file).
 _SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = r"^[a-zß-öø-ÿ]*[!-&(-/:-@\[-`{-~]*$"
-_LETTERS = "".join(c for c in map(chr, range(97, 256)) if c.islower() and c not in "ªµº")
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... of size[0] numbers, then those of the next."""
-    end = np.cumsum(size)
-    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
-
-
-def _joined(parts, least: int = 4 << 20):
-    """Batches put together until they have so many bytes."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += part.nbytes
-        if size >= least:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if size:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-class WordEncoder:
+class WordEncoder(UnitEncoder):
     """A tokenizers file applied word by word: for tokenizers that lower-case, split at white space and drop it.
 
-    Then the ids of a text are those of its words (runs without ASCII white space) one after the other, and each
-    distinct word of a batch is looked up once. A word of Latin letters and then punctuation is the ids of the two
-    parts; parts are kept in a bounded table, and new ones go through the library's model without its normaliser,
-    many in one call: in their ids, the suffix that ends a word marks where each ends. All other words go through
-    the whole tokenizer. Texts with "<|" could hold special tokens and go through it whole.
+    The units are words (runs without ASCII white space). Parts of them go through the library's model without its
+    normaliser, many in one call: in their ids, the suffix that ends a word marks where each ends. All other words
+    go through the whole tokenizer. Texts with "<|" could hold special tokens and go through it whole.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_PARTS):
+        super().__init__(most)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
-        self.parts, self.plain = {}, None
         with open(path, "rb") as f:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         if suffix and _SPLIT in json.dumps(spec.get("pre_tokenizer")):
+            self.pattern, self.letters = f"^[{LOWER_CLASS}]*[{MARK_CLASS}]*$", LOWER
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence(
@@ -75,47 +50,20 @@ class WordEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of runs of letters or of punctuation."""
-        out = list(map(self.parts.get, parts))
-        gaps = [i for i, x in enumerate(out) if x is None]
-        for at in range(0, len(gaps), 2000):
-            todo = [parts[i] for i in gaps[at : at + 2000]]
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(parts), 2000):
+            todo = parts[at : at + 2000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, self.kind)
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
             if len(cuts) != len(todo):
                 raise ValueError("the ends of words were lost")
             data, cuts = ids.tobytes(), cuts.tolist()
-            found = [data[a:b] for a, b in zip([0, *cuts], cuts)]
-            for i, x in zip(gaps[at : at + 2000], found):
-                out[i] = x
-            self.parts.update(islice(zip(todo, found), max(0, self.most - len(self.parts))))
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of distinct words: where each word's begin and how many they are, in one array of ids."""
-        lower = pc.utf8_lower(words)
-        is_plain = pc.match_substring_regex(lower, _PLAIN) if self.plain else pa.array(np.zeros(len(words), bool))
-        is_plain = is_plain.to_numpy(zero_copy_only=False)
-        values, chosen = [b""], np.zeros((2, len(words)), np.int64)  # numbers of values for the two parts of a word
-        others = np.flatnonzero(~is_plain)
-        chosen[0, others] = np.arange(len(others)) + 1
-        values += [np.array(self._ids(w), self.kind).tobytes() for w in words.take(pa.array(others)).to_pylist()]
-        lower = lower.filter(pa.array(is_plain))
-        for row, part in enumerate((pc.utf8_rtrim(lower, characters=_MARKS), pc.utf8_ltrim(lower, characters=_LETTERS))):
-            coded = part.dictionary_encode()
-            kinds = coded.dictionary.to_pylist()
-            full = [k for k in kinds if k]
-            number = np.zeros(len(kinds), np.int64)
-            number[[i for i, k in enumerate(kinds) if k]] = np.arange(len(full)) + len(values)
-            values += self._parts(full)
-            chosen[row, is_plain] = number[coded.indices.to_numpy()]
-        flat = np.frombuffer(b"".join(values), self.kind)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
-        start = np.cumsum(size) - size
-        n = size[chosen].sum(axis=0)
-        ids = flat[_spans(start[chosen].T.ravel(), size[chosen].T.ravel())]
-        return np.cumsum(n) - n, n, ids
+    def encode_unit(self, unit: str) -> list[int]:
+        return self._ids(unit)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -127,12 +75,10 @@ class WordEncoder:
         if len(marked):
             return self._encode_marked(column, set(marked.tolist()))
         lists = pc.ascii_split_whitespace(column)
-        edges = lists.offsets.to_numpy()
-        coded = pc.ascii_lower(lists.flatten()).dictionary_encode()
-        start, size, flat = self._words(coded.dictionary)
-        codes = coded.indices.to_numpy()
-        n = size[codes]
-        return np.r_[0, np.cumsum(n)][edges - edges[0]], flat[_spans(start[codes], n)]
+        words = pc.ascii_lower(lists.flatten())
+        # Latin letters are lower-cased alike by all; words with others go to the library as they are.
+        latin = pc.utf8_lower(words) if self.pattern else words
+        return self.gather(lists, pc.if_else(pc.match_substring_regex(latin, self.pattern), latin, words) if self.pattern else words)
 
     def _encode_marked(self, column: pa.Array, marked: set[int]) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), text by text, where some texts hold "<|"."""
@@ -152,7 +98,7 @@ def encoder(path: str) -> WordEncoder:
 def _encode(path: str, end_id: int):
     def run(parts):
         words, number, start = encoder(path), TaskContext.get().partitionId(), 0
-        for part in _joined(parts):
+        for part in joined(parts):
             edges, ids = words.encode(part.column(1))
             n = len(edges) - 1
             values = np.full(len(ids) + n, end_id, np.int32)
