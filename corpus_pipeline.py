@@ -39,8 +39,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces and the decoded text's length."""
     path = f"{TOKENIZERS}/{PIECES}"
-    rows = sentencepiece_scan.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    rows = sentencepiece_scan.decode(rows, path)
+    rows = sentencepiece_scan.encode(docs.select("doc_id", "text"), path, decoded_col="decoded")
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.length("decoded").cast("long").alias("n_chars"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, materialize
+from .common import limit_batches, materialize, trimmed
 
 WORD = re.compile(r"[^\W_]+")
 #: Items that one broadcast holds; larger benchmarks pass in several blocks.
@@ -162,7 +162,7 @@ def find_leaks(
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
         shared = spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in part], words, threshold))
-        rows = rows.mapInArrow(_search(shared, uuid.uuid4().hex, names, len(names) - 1, text_at), schema)
+        rows = rows.mapInArrow(trimmed(_search(shared, uuid.uuid4().hex, names, len(names) - 1, text_at)), schema)
         if block + 1 < blocks:
             rows = materialize(rows, "leaks")
     return rows.select(

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, WS_BYTES, discard, limit_batches, materialize, text_bytes
+from .common import LOWER_AZ, WS_BYTES, discard, limit_batches, materialize, text_bytes, trimmed
 
 #: Lines to drop of which a worker holds a table; with more, the join path marks the lines.
 TABLE_LINES = 400_000
@@ -192,7 +192,7 @@ def frequent_lines(
     limit_batches(spark)
     counted = materialize(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_count_lines(min_chars, batches), "batch int, h binary, n long, first long")
+        .mapInArrow(trimmed(_count_lines(min_chars, batches)), "batch int, h binary, n long, first long")
         .groupBy("batch", "h")
         .agg(F.sum("n").alias("n"), F.min("first").alias("first")),
         "line-batches",
@@ -238,7 +238,7 @@ def dedup_lines(
         rows = lines.collect()  # at most table_lines rows of 24 bytes
         shared = spark.sparkContext.broadcast((b"".join(r.h for r in rows), [r["first"] for r in rows]))
         schema = renamed.select(*others).schema.add(text_col, "string").add("n_lines", "long").add("n_dropped", "long")
-        out = renamed.mapInArrow(_drop_lines(shared, uuid.uuid4().hex, names, keep == "first"), schema)
+        out = renamed.mapInArrow(trimmed(_drop_lines(shared, uuid.uuid4().hex, names, keep == "first")), schema)
     else:
         numbered = materialize(renamed.withColumn("__tw_rid", F.monotonically_increasing_id()), "line-docs")
         exploded = numbered.select("__tw_id", "__tw_text", "__tw_rid").mapInArrow(_explode_lines, "rid long, id long, pos int, h binary, line string")

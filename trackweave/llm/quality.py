@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches, text_bytes
+from .common import limit_batches, text_bytes, trimmed
 
 #: Labelled rows that a fit takes at most, chosen by a hash of their ids.
 FIT_ROWS = 8000
@@ -74,7 +74,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the column __tw_stats: the statistics as an array."""
     limit_batches(docs.sparkSession)
     schema = docs.select("*").schema.add("__tw_stats", T.ArrayType(T.DoubleType()))
-    return docs.mapInArrow(_statistics(schema.names, docs.columns.index(text_col)), schema)
+    return docs.mapInArrow(trimmed(_statistics(schema.names, docs.columns.index(text_col))), schema)
 
 
 def _cuts(x: np.ndarray, bins: int) -> np.ndarray:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
-import zlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, htmltext, licences, linededup, quality, radix, sentencepiece_scan, simhash, tokenids, warc
-from .common import limit_batches, table
+from .common import table
 
 #: Folder of the vocabulary files; the same path on every executor.
 TOKENIZERS = os.environ.get("TRACKWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -19,33 +16,17 @@ PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 END_ID = 2
 
 
-def _piece_digests(path: str):
-    def run(parts):
-        sp = sentencepiece_scan.model(path)
-        for part in parts:
-            lists = part.column(2)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4", copy=False)
-            n, crc, digest, whole = [], [], [], []
-            for text, a, b in zip(part.column(1).to_pylist(), offsets, offsets[1:]):
-                decoded = sp.decode(values[a:b])
-                n.append(int(b - a))
-                crc.append(zlib.crc32(values[a:b]))
-                digest.append(hashlib.sha256(decoded.encode()).hexdigest())
-                whole.append(decoded == (text or ""))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(digest, pa.string()), pa.array(whole, pa.bool_())],
-                names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"],
-            )
-
-    return run
-
-
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text, decoded again: doc_id, n_pieces, ids_crc32 (little-endian 32 bits), decoded_sha256, round_trip."""
-    limit_batches(spark)
-    path = f"{TOKENIZERS}/{PIECES}"
-    rows = sentencepiece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return rows.mapInArrow(_piece_digests(path), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    """Ids of every whole text, decoded again: doc_id, n_pieces, ids_hash, decoded_sha256, round_trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = sentencepiece_scan.encode(docs, f"{TOKENIZERS}/{PIECES}", decoded_col="decoded")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

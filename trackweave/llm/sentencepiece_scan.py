@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, limit_batches, materialize
+from .common import discard, limit_batches, materialize, trimmed
 from .maxplus import SPACE, Chunk, PieceLattice, product, resolve
 from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, MARKS, UPPER, UPPER_CLASS, UnitEncoder, joined
 
@@ -128,13 +128,14 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def _encode(path: str, names: list[str], text_at: int):
+def _encode(path: str, names: list[str], text_at: int, decoded: bool):
     def run(parts):
         sp = model(path)
         for part in joined(parts):
             edges, ids = sp.encode(part.column(text_at))
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
+            texts = [pa.array([sp.decode(ids[a:b]) for a, b in zip(edges, edges[1:])], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, *texts], names=names)
 
     return run
 
@@ -218,7 +219,7 @@ def _scan(giants: DataFrame, path: str, chunk_chars: int, fan: int) -> DataFrame
     spark = giants.sparkSession
     chunks = giants.mapInArrow(_chunks(path, chunk_chars), "rid long, pos long, chunks long, left int, right int, text string")
     chunks = chunks.repartition(max(spark.sparkContext.defaultParallelism * 2, 8), "rid", "pos")
-    chunks = materialize(chunks.mapInArrow(_matrices(path), "rid long, pos long, chunks long, left int, right int, text string, matrix binary"), "pieces")
+    chunks = materialize(chunks.mapInArrow(trimmed(_matrices(path)), "rid long, pos long, chunks long, left int, right int, text string, matrix binary"), "pieces")
     levels = [chunks.select("rid", "pos", "matrix")]
     most = chunks.agg(F.max("pos")).first()[0] or 0
     while most >= fan:
@@ -233,7 +234,7 @@ def _scan(giants: DataFrame, path: str, chunk_chars: int, fan: int) -> DataFrame
         states = below.groupBy("rid", "group").applyInArrow(_states, "rid long, pos long, entry long, exit long")
     states = states.select(F.col("rid").alias("r"), F.col("pos").alias("p"), "entry", "exit")
     traced = chunks.drop("matrix").join(states, (F.col("rid") == F.col("r")) & (F.col("pos") == F.col("p"))).drop("r", "p")
-    ids = traced.mapInArrow(_trace(path), "rid long, pos long, ids array<int>")
+    ids = traced.mapInArrow(trimmed(_trace(path)), "rid long, pos long, ids array<int>")
     return ids.groupBy("rid").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(pos, ids))), x -> x.ids)")).alias("ids"))
 
 
@@ -242,29 +243,34 @@ def encode(
     model_path: str,
     text_col: str = "text",
     ids_col: str = "ids",
+    decoded_col: str | None = None,
     giant_chars: int = GIANT_CHARS,
     chunk_chars: int = CHUNK_CHARS,
     fan: int = FAN,
 ) -> DataFrame:
-    """docs with ids_col: the model's ids of text_col, as array<int>.
+    """docs with ids_col: the model's ids of text_col, as array<int>; and with decoded_col, if named, the ids decoded again.
 
     The ids are those the library gives for the whole text. Null and empty texts have no ids. Other columns come
-    back as they were (one named like ids_col is replaced); repeated rows each have their ids; an empty table gives
+    back as they were (those named like the new ones are replaced); repeated rows each have their ids; an empty table gives
     an empty table. The model file must be at model_path on every executor.
     """
     spark = docs.sparkSession
     limit_batches(spark)
-    kept = [c for c in docs.columns if c != ids_col]
+    kept = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     giant = F.coalesce(F.length(F.col(f"`{text_col}`")) > giant_chars, F.lit(False))
     schema = rows.select("*").schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    ordinary = rows.filter(~giant).mapInArrow(_encode(model_path, schema.names, kept.index(text_col)), schema)
+    if decoded_col:
+        schema = schema.add(decoded_col, T.StringType())
+    ordinary = rows.filter(~giant).mapInArrow(trimmed(_encode(model_path, schema.names, kept.index(text_col), bool(decoded_col))), schema)
     long = materialize(rows.filter(giant).withColumn("__tw_rid", F.monotonically_increasing_id()), "giants")
     if long.isEmpty():
         discard(long)
         return ordinary
     found = _scan(long.select(F.col("__tw_rid").alias("rid"), F.col(f"`{text_col}`").alias("text")), model_path, chunk_chars, fan)
     found = materialize(found.select(F.col("rid").alias("__tw_r"), F.col("ids").alias(ids_col)), "giant-ids")
+    if decoded_col:
+        found = decode(found, model_path, ids_col, decoded_col)
     scanned = long.join(found, F.col("__tw_rid") == F.col("__tw_r")).select(*[F.col(f"`{c}`") for c in schema.names])
     return ordinary.union(scanned)
 
@@ -287,4 +293,4 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     kept = [c for c in rows.columns if c != text_col]
     rows = rows.select(*[F.col(f"`{c}`") for c in kept])
     schema = rows.select("*").schema.add(text_col, "string")
-    return rows.mapInArrow(_decode(model_path, schema.names, kept.index(ids_col)), schema)
+    return rows.mapInArrow(trimmed(_decode(model_path, schema.names, kept.index(ids_col))), schema)

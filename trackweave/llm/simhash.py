@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import neighbours, pairs_within, spanning
-from .common import LOWER_AZ, discard, few_files, limit_batches, materialize, small_side, text_bytes
+from .common import LOWER_AZ, discard, few_files, limit_batches, materialize, small_side, text_bytes, trimmed
 from .components import connected_components
 
 #: Nodes of a key that one task compares; keys with more are dealt out as pairs of blocks.
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limit_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprints(words), f"doc_id {kind}, fp long"
+        trimmed(_fingerprints(words)), f"doc_id {kind}, fp long"
     )
 
 
@@ -189,7 +189,7 @@ def close_links(rows: DataFrame, radius: int, words: list[str], block: int = BLO
     else:
         rows = rows.withColumn("side", F.lit(2))
     rows = rows.select("key", F.col("side").cast("int"), "node", *words)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius), "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_compare(radius)), "a long, b long")
 
 
 def part_keys(fp, radius: int) -> F.Column:
@@ -352,7 +352,7 @@ def similar_groups(
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     marked = materialize(
         read.mapInArrow(
-            _signatures(words, orders), f"doc_id {kind}, th long, digest binary, f1 long, f2 long, n long, mins array<long>"
+            trimmed(_signatures(words, orders)), f"doc_id {kind}, th long, digest binary, f1 long, f2 long, n long, mins array<long>"
         ),
         "similar",
     )
@@ -376,14 +376,14 @@ def similar_groups(
     sets = materialize(
         read.join(small_side(members, n_members, 64), F.expr("doc_id <=> rep AND th = rep_th"))
         .select("text", "digest", "node", "cluster")
-        .mapInArrow(_sets(words), "cluster long, node long, shingles array<long>"),
+        .mapInArrow(trimmed(_sets(words)), "cluster long, node long, shingles array<long>"),
         "similar-sets",
     )
     sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     blocks = sizes.select("cluster", F.expr(f"greatest(ceil(docs / {doc_block}), ceil(total / {set_block}))").alias("blocks"))
     rows = sets.join(blocks, "cluster").withColumnRenamed("cluster", "key")
     rows = dealt(rows, "key", F.col("blocks"), "xxhash64(node)").select("key", F.col("side").cast("int"), "node", "shingles")
-    links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold), "a long, b long")
+    links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_verify(threshold)), "a long, b long")
     parts = connected_components(links)
     placed = nodes.join(parts, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import limit_batches, new_path
+from .common import limit_batches, new_path, trimmed
 from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, UnitEncoder, joined
 
 #: The pre-tokeniser that WordEncoder knows to split letters from punctuation (fixed value of the vocabulary file).
@@ -146,7 +146,7 @@ def write_token_ids(
     path = path or new_path(spark, "token-ids")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = rows.mapInArrow(_encode(tokenizer_path, end_id), f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
+    rows = rows.mapInArrow(trimmed(_encode(tokenizer_path, end_id)), f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
     rows.write.options(
         **{
             "parquet.block.size": str(row_group_bytes),

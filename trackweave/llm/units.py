@@ -14,7 +14,7 @@ UPPER = "".join(c for c in map(chr, range(65, 223)) if c.isupper())
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 LOWER_CLASS, UPPER_CLASS, MARK_CLASS = r"a-zß-öø-ÿ", r"A-ZÀ-ÖØ-Þ", r"!-&(-/:-@\[-`{-~"
 #: Parts whose ids a worker keeps; others are encoded batch by batch.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 150_000
 
 
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -23,7 +23,7 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
-def joined(parts, least: int = 4 << 20):
+def joined(parts, least: int = 2 << 20):
     """Batches put together until they have so many bytes."""
     held, size = [], 0
     for part in parts:
