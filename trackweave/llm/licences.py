@@ -72,11 +72,12 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         canonical_digest(text).alias("text_digest"),
         F.transform(lines, canonical_digest).alias("line_digests"),
     )
-    # The lookup of lines is the same hash join, as a map: the list is fixed, and documents need not be regrouped.
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("licence_digest", "licence_id"))).alias("known"))
-    rows = rows.crossJoin(F.broadcast(table))  # one row
+    # The lookup of lines is the same hash lookup as a literal map: the list is fixed, and documents need not be regrouped.
+    pairs = [F.lit(x) for row in known.orderBy("licence_digest").collect() for x in (row.licence_digest, row.licence_id)]
+    table = F.create_map(*pairs)
     rows = rows.join(F.broadcast(known), rows["text_digest"] == known["licence_digest"], "left")
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform("line_digests", lambda d: F.try_element_at("known", d)), lambda x: x.isNotNull())))
+    found = F.transform("line_digests", lambda d: F.try_element_at(table, d))
+    notices = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     rows = rows.select("doc_id", "text_digest", "licence_id", notices.alias("notice_ids"))
     strict = F.array(*[F.lit(x) for x in RESTRICTED])
     return rows.withColumn(
