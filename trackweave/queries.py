@@ -1,4 +1,991 @@
-"""Registered queries of the tracking operators."""
-QUERIES = {}
-SQL = {}
-FLAGSHIP = "gat01_ir_gate"
+"""Registered queries of the tracking operators, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import aggregates as A
+from .operators import clustering, gates, greedy
+from .operators import relational as R
+from .operators import windows as W
+from .params import P
+from .plans import pass2
+from .sources import readers
+from .sources.fixture import DET_SQL, FEAT_SQL, FRAME_H, FRAME_W, detections, with_features
+from .streaming import online
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "pass2_routes"
+HOMOGRAPHY = [[0.9, 0.05, 20.0], [0.02, 0.8, 15.0], [0.00001, 0.00002, 1.0]]
+FACTOR = 1.5
+
+
+def query(name: str, sql: str | None = None, features: bool = False):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            body = sql.strip()
+            head = f"WITH {DET_SQL}{FEAT_SQL if features else ''}"
+            SQL[name] = head + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+        return f
+
+    return keep
+
+
+def scalar(name: str, out: dict[str, str], pre: dict[str, str] | None = None, where: str | None = None, features: bool = False) -> None:
+    """A query of expressions over detections, the same text on both sides."""
+    pre = pre or {}
+    base = "detf" if features else "det"
+    inner = ", ".join(["*", *[f"{v} AS {k}" for k, v in pre.items()]])
+    cols = ", ".join(f"{v} AS {k}" for k, v in out.items())
+    sql = f"WITH pre AS (SELECT {inner} FROM {base}) SELECT event_id, {cols} FROM pre" + (f" WHERE {where}" if where else "")
+
+    @query(name, sql, features)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = with_features(spark, sf) if features else detections(spark, sf)
+        rows = rows.selectExpr("*", *[f"{v} AS {k}" for k, v in pre.items()])
+        return (rows.filter(where) if where else rows).selectExpr("event_id", *[f"{v} AS {k}" for k, v in out.items()])
+
+
+r6 = lambda x: S.rounded(x, 6)
+SCALARS = "clip_id, frame, track_id, x1, y1, x2, y2, conf, mask_ref, mask_is_fallback, torso_px, helmet_hits, ocr_num, ocr_conf, is_cut_frame, team"
+
+# Sources
+
+
+@query("src01_ir_scan", f"SELECT {SCALARS} FROM det")
+def _(spark, sf):
+    return detections(spark, sf).selectExpr(*SCALARS.split(", "))
+
+
+def annotations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = detections(spark, sf).filter("k % 2 = 0")
+    rows = rows.selectExpr("frame", "track_id", "CASE WHEN k % 8 = 0 THEN ' ' ELSE CAST(user_id % 2 AS STRING) END AS correct_team", "x1", "y1", "x2", "y2")
+    return readers.labelled(rows)
+
+
+ANN = "ann AS (SELECT frame, track_id, CAST(user_id % 2 AS INT) AS correct_team, x1, y1, x2, y2 FROM det WHERE k % 2 = 0 AND k % 8 <> 0)"
+
+
+@query("src03_annotations", f"WITH {ANN} SELECT frame, track_id, correct_team FROM ann")
+def _(spark, sf):
+    return annotations(spark, sf).select("frame", "track_id", "correct_team")
+
+
+@query("src04_has_labels", "SELECT count(*) FILTER (WHERE k % 2 = 0 AND k % 8 <> 0) > 0 AS has_labels FROM det")
+def _(spark, sf):
+    rows = detections(spark, sf).filter("k % 2 = 0").selectExpr("CASE WHEN k % 8 = 0 THEN ' ' ELSE CAST(user_id % 2 AS STRING) END AS correct_team")
+    return readers.has_labels(rows)
+
+
+@query("src05_jsonl_last", "SELECT frame, arg_max(k, event_id) AS k, arg_max(user_id, event_id) AS user_id FROM det GROUP BY frame")
+def _(spark, sf):
+    return readers.last_per_frame(detections(spark, sf).select("frame", "event_id", "k", "user_id"), "event_id")
+
+
+def _two(n: str) -> str:
+    return f"lpad(CAST({n} AS STRING), 2, '0')"
+
+
+def part_lines(spark: SparkSession, sf: str, numbers: list[str], cls: str = "'0'") -> DataFrame:
+    text = " || ".join([cls, *[f"' 0.' || {_two(n)}" for n in numbers]])
+    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", "CAST(p_size AS STRING) AS stem", "p_partkey AS line_no", f"{text} AS line")
+
+
+_CENTRE = ["p_partkey % 100", "(7 * p_partkey) % 100", "(3 * p_partkey) % 50", "(5 * p_partkey) % 50"]
+_POLY = ["p_partkey % 100", "(7 * p_partkey) % 100", "(3 * p_partkey) % 100", "(5 * p_partkey) % 100", "(11 * p_partkey) % 100", "(13 * p_partkey) % 100"]
+
+
+def _px(value: str, most: int) -> str:
+    return f"least({most}, greatest(0, {S.truncated(value)}))"
+
+
+@query(
+    "src06_yolo_boxes",
+    f"""WITH p AS (SELECT p_partkey, ({_CENTRE[0]}) / 100.0 AS cx, ({_CENTRE[1]}) / 100.0 AS cy, ({_CENTRE[2]}) / 100.0 AS bw, ({_CENTRE[3]}) / 100.0 AS bh FROM part)
+    SELECT p_partkey, {_px('((CAST(cx AS DOUBLE) - CAST(bw AS DOUBLE) / 2) * 1280)', 1280)} AS x1, {_px('((CAST(cy AS DOUBLE) - CAST(bh AS DOUBLE) / 2) * 720)', 720)} AS y1,
+           {_px('((CAST(cx AS DOUBLE) + CAST(bw AS DOUBLE) / 2) * 1280)', 1280)} AS x2, {_px('((CAST(cy AS DOUBLE) + CAST(bh AS DOUBLE) / 2) * 720)', 720)} AS y2 FROM p""",
+)
+def _(spark, sf):
+    return readers.yolo_boxes(part_lines(spark, sf, _CENTRE), FRAME_W, FRAME_H).select("p_partkey", *[F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(
+    "src07_polygon_boxes",
+    f"""WITH p AS (SELECT p_partkey, {', '.join(f'CAST(({n}) / 100.0 AS DOUBLE) AS v{i}' for i, n in enumerate(_POLY))} FROM part)
+    SELECT p_partkey, least(v0, v2, v4) * 1280 AS x1, least(v1, v3, v5) * 720 AS y1, greatest(v0, v2, v4) * 1280 AS x2, greatest(v1, v3, v5) * 720 AS y2 FROM p""",
+)
+def _(spark, sf):
+    return readers.polygon_boxes(part_lines(spark, sf, _POLY), FRAME_W, FRAME_H).select("p_partkey", "x1", "y1", "x2", "y2")
+
+
+@query("src08_class_zero", "SELECT CAST(p_size AS STRING) AS stem, count(*) AS n, min(p_partkey) AS first_line FROM part WHERE p_partkey % 2 = 0 GROUP BY 1")
+def _(spark, sf):
+    return readers.class_zero(part_lines(spark, sf, _CENTRE, "CAST(p_partkey % 2 AS STRING)"))
+
+
+@query("src16_sampled_frames", "SELECT frame, count(*) AS n FROM det WHERE frame % 15 = 0 GROUP BY frame")
+def _(spark, sf):
+    return detections(spark, sf).filter("frame % 15 = 0").groupBy("frame").agg(F.count("*").alias("n"))
+
+
+# Computed columns and predicates
+
+scalar("prj01_gate_geometry", {k: v for k, v in S.GATE.items()})
+scalar("prj02_broadcast_geometry", S.BROADCAST)
+scalar("prj03_foot", {"foot_x": S.FOOT_X, "foot_y": S.FOOT_Y})
+_pj, _po = S.projected(HOMOGRAPHY), S.projected_inside(HOMOGRAPHY, 1000, 400)
+scalar("prj04_projection", {"court_x": r6(_pj[0]), "court_y": r6(_pj[1])})
+scalar("prj05_projection_inside", {"court_x": r6(_po[0]), "court_y": r6(_po[1])})
+scalar("prj07_head_roi", S.HEAD_ROI)
+scalar(
+    "prj09_padded_box",
+    {
+        "px1": f"greatest(0, {S.truncated('x1')} - {S.truncated('(0.5 * (x2 - x1))')})", "py1": f"greatest(0, {S.truncated('y1')} - {S.truncated('(0.5 * (y2 - y1))')})",
+        "px2": f"least({FRAME_W}, {S.truncated('x2')} + {S.truncated('(0.5 * (x2 - x1))')})", "py2": f"least({FRAME_H}, {S.truncated('y2')} + {S.truncated('(0.5 * (y2 - y1))')})",
+    },
+)
+scalar("prj10_min_mask_area", {"min_area": S.MIN_MASK})
+scalar(
+    "prj11_normalised_box",
+    {"cx": r6(f"(x1 + x2) / 2 / {FRAME_W}.0"), "cy": r6(f"(y1 + y2) / 2 / {FRAME_H}.0"), "bw": r6(f"(x2 - x1) / {FRAME_W}.0"), "bh": r6(f"(y2 - y1) / {FRAME_H}.0")},
+    where=f"x1 < {FRAME_W} AND y1 < {FRAME_H} AND (x1 + x2) / 2 / {FRAME_W}.0 <= 1 AND (y1 + y2) / 2 / {FRAME_H}.0 <= 1",
+)
+scalar("prj12_positives_bin", {"bin": S.POSITIVES_BIN}, {"n": "k % 10"})
+scalar("prj13_size_bucket", {"bucket": S.SIZE_BUCKET}, {"area": S.area()})
+scalar("prj14_area_bucket", {"bucket": S.AREA_BUCKET}, {"area": S.area()})
+scalar("prj15_raw_bucket", {"bucket": S.RAW_BUCKET}, {"n": "k % 8"})
+_CAUSES = {"raw_boxes": "k % 12", "center_eaten": "event_id % 5 = 0", "transient": "event_id % 3 = 0", "narrow_band": "event_id % 7 = 0"}
+scalar("prj16_hud_cause", {"cause": S.CAUSE}, _CAUSES)
+_EXTENT = {"frame_h": str(FRAME_H), "mask_top": "k % 90", "mask_bottom": "CASE WHEN k % 5 = 0 THEN 0 ELSE 500 + k END", "cy": "(y1 + y2) / 2"}
+_hud, _wide = S.hud_limits(), S.hud_limits(10, 15)
+scalar("prj17_hud_limits", {"hud_top": f"CAST({_hud[0]} AS DOUBLE)", "hud_bottom": f"CAST({_hud[1]} AS DOUBLE)"}, _EXTENT)
+scalar("prj18_hud_limits_wide", {"hud_top": f"CAST({_wide[0]} AS DOUBLE)", "hud_bottom": f"CAST({_wide[1]} AS DOUBLE)"}, _EXTENT)
+scalar("prj19_chroma", {"chroma": S.CHROMA}, features=True)
+scalar("prj20_field_distance", {"dist": r6(S.FIELD_DIST)}, features=True)
+scalar("prj21_weight", {"weight": S.WEIGHT})
+scalar("prj22_quality", {"quality": r6(S.QUALITY)})
+scalar("prj24_hsv_blend", {"blended": S.truncated("(0.9 * (k % 180) + 0.1 * (event_id % 180))")})
+_LINE = {"lx1": "x1", "ly1": "y1", "lx2": "x2", "ly2": "y2"}
+scalar(
+    "prj26_line_geometry",
+    {"y_at": r6("ly1 + (ly2 - ly1) * (640 - lx1) / (lx2 - lx1)"), "angle": r6("degrees(atan2(ly2 - ly1, lx2 - lx1))"), "kind": "CASE WHEN abs(degrees(atan2(ly2 - ly1, lx2 - lx1)) - 45) <= 20 THEN 'h' ELSE 'v' END"},
+    _LINE,
+)
+scalar("prj28_team_colour", {"colour": S.TEAM_COLOUR})
+scalar("prj29_jersey_rows", {"top": f"{S.truncated('y1')} + {S.truncated('(0.2 * (y2 - y1))')}", "bottom": f"{S.truncated('y1')} + {S.truncated('(0.75 * (y2 - y1))')}"})
+scalar("flt01_hud_band", {"cy": "cy"}, _EXTENT, f"cy > {_hud[0].replace('CASE', '(CASE', 1)}) AND cy < {_hud[1].replace('CASE', '(CASE', 1)})")
+scalar("flt02_whole_box_hud", {"hud": S.WHOLE_BOX_HUD}, {"frame_h": str(FRAME_H)})
+scalar("flt03_foot_on_field", {"foot_frac": "foot_frac"}, {"foot_frac": "CAST((k % 25) / 100.0 AS DOUBLE)"}, "foot_frac > 0.10")
+scalar("flt05_fp_like", {"fp": S.GATE_FP})
+scalar("flt06_fp_broadcast", {"fp": f"({S.WHOLE_BOX_HUD} OR k % 11 = 0 OR {S.BROADCAST['area']} < 900 OR {S.BROADCAST['aspect']} > 2.5)"}, {"frame_h": str(FRAME_H)})
+scalar("flt07_valid_feature", {"track_id": "track_id"}, where=S.VALID_FEATURE, features=True)
+scalar("flt09_referee", {"referee": S.REFEREE}, {"locked": "event_id % 2 = 0", "margin": "CAST((k % 30) / 10.0 AS DOUBLE)"}, features=True)
+scalar(
+    "flt10_warmup_reason", {"reason": S.WARMUP_REASON},
+    {"helmet": "helmet_hits > 0", "fails": "k % 4", "upper_px": "k", "field_overlap": "CAST((event_id % 50) / 100.0 AS DOUBLE)"},
+)
+scalar("flt13_ocr_valid", {"ocr_num": "ocr_num"}, where="ocr_conf >= 0.5 AND ocr_num BETWEEN 0 AND 99")
+scalar("flt14_mask_qa", {"reason": S.MASK_REASON}, {"mask_area": "torso_px", "min_area": S.MIN_MASK, "fill": "CAST((k % 100) / 100.0 AS DOUBLE)", "points": "event_id % 9"})
+scalar("flt16_green_bypass", {"bypass": "green >= 0.55 AND feat_sa + feat_sb < 15"}, {"green": "CAST((k % 100) / 100.0 AS DOUBLE)"}, features=True)
+scalar("flt19_fresh", {"frame_age": "frame_age"}, {"frame_age": "k % 3"}, "frame_age = 0")
+scalar("flt21_turf_guard", {"skip": "kept_px < 0.25 * torso_px"}, {"kept_px": "k * 8"})
+
+
+@query("flt04_foot_rescue", """WITH t AS (SELECT unnest([0.05, 0.08, 0.10, 0.15, 0.20]) AS thr)
+SELECT CAST(thr AS DOUBLE) AS threshold, count(*) AS rescued FROM det, t WHERE CAST((k % 25) / 100.0 AS DOUBLE) >= thr GROUP BY 1""")
+def _(spark, sf):
+    rows = detections(spark, sf).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.08, 0.10, 0.15, 0.20)])))
+    return rows.filter("CAST((k % 25) / 100.0D AS DOUBLE) >= threshold").groupBy("threshold").agg(F.count("*").alias("rescued"))
+
+
+@query("flt08_calibration_prefilter", f"""WITH c AS (SELECT *, NOT ({S.CHROMA} < 18) AND NOT ({S.FIELD_DIST} < 25 AND {S.CHROMA} < 36) AS keep FROM detf),
+g AS (SELECT track_id, bool_or(keep) AS any_kept FROM c GROUP BY 1)
+SELECT event_id FROM c JOIN g USING (track_id) WHERE keep OR NOT any_kept""", True)
+def _(spark, sf):
+    rows = S.add(with_features(spark, sf), keep=f"NOT ({S.CHROMA} < 18) AND NOT ({S.FIELD_DIST} < 25 AND {S.CHROMA} < 36)")
+    rows = rows.withColumn("any_kept", F.max("keep").over(Window.partitionBy("track_id")))
+    return rows.filter("keep OR NOT any_kept").select("event_id")
+
+
+@query("flt11_route_trim", "SELECT event_id, frame - 23 AS t_from_snap FROM det WHERE frame BETWEEN 23 AND 263")
+def _(spark, sf):
+    snap = spark.createDataFrame([("events", 23)], "clip_id string, snap_frame long")
+    return W.trimmed(detections(spark, sf), snap).select("event_id", "t_from_snap")
+
+
+@query("flt15_hard_negatives", """SELECT frame, count(*) FILTER (WHERE k % 3 = 0) AS off_field FROM det GROUP BY frame
+HAVING count(*) FILTER (WHERE k % 3 <> 0) = 0 AND count(*) FILTER (WHERE k % 3 = 0) >= 2""")
+def _(spark, sf):
+    rows = detections(spark, sf).groupBy("frame").agg(F.count_if(F.expr("k % 3 = 0")).alias("off_field"), F.count_if(F.expr("k % 3 <> 0")).alias("on_field"))
+    return rows.filter("on_field = 0 AND off_field >= 2").select("frame", "off_field")
+
+
+@query("flt17_number_conflict", """SELECT a.track_id AS a, b.track_id AS b FROM (SELECT track_id, user_id, max(ocr_num) AS n FROM det GROUP BY 1, 2) AS a
+JOIN (SELECT track_id, user_id, max(k % 3) AS n FROM det GROUP BY 1, 2) AS b ON a.user_id = b.user_id WHERE a.track_id < b.track_id AND coalesce(a.n <> b.n, false)""")
+def _(spark, sf):
+    det = detections(spark, sf)
+    a = det.groupBy("track_id", "user_id").agg(F.max("ocr_num").alias("n")).select(F.col("track_id").alias("a"), "user_id", F.col("n").alias("an"))
+    b = det.groupBy("track_id", "user_id").agg(F.max(F.expr("k % 3")).alias("n")).select(F.col("track_id").alias("b"), "user_id", F.col("n").alias("bn"))
+    return a.join(b, "user_id").filter("a < b AND coalesce(an <> bn, false)").select("a", "b")
+
+
+_NEAR = "sqrt((((a.x1 + a.x2) - (b.x1 + b.x2)) / 2) * (((a.x1 + a.x2) - (b.x1 + b.x2)) / 2) + (((a.y1 + a.y2) - (b.y1 + b.y2)) / 2) * (((a.y1 + a.y2) - (b.y1 + b.y2)) / 2))"
+
+
+@query("flt18_pile_up", f"SELECT DISTINCT a.event_id FROM det a JOIN det b ON a.frame = b.frame AND a.event_id <> b.event_id WHERE {_NEAR} > 0 AND {_NEAR} < 80")
+def _(spark, sf):
+    det = detections(spark, sf)
+    return det.alias("a").join(det.alias("b"), F.expr(f"a.frame = b.frame AND a.event_id <> b.event_id AND {_NEAR} > 0 AND {_NEAR} < 80"), "left_semi").select("event_id")
+
+
+@query("prj23_feature_parse", "SELECT p_partkey, CAST(p_partkey AS DOUBLE) + 0.5 AS a, CAST(p_size AS DOUBLE) AS b FROM part")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").withColumn("text", F.expr("concat('[', p_partkey, '.5, ', p_size, ']')"))
+    return rows.withColumn("v", F.from_json("text", "array<double>")).selectExpr("p_partkey", "v[0] AS a", "v[1] AS b")
+
+
+@query("prj27_hue_circle", f"""WITH c AS (SELECT track_id, avg(cos(feat_h * pi() / 90)) AS c, avg(sin(feat_h * pi() / 90)) AS s FROM detf GROUP BY 1),
+m AS (SELECT track_id, atan2(s, c) AS a, greatest(sqrt(s * s + c * c), 1e-9) AS r FROM c)
+SELECT track_id, {S.rounded('(CASE WHEN a < -1e-9 THEN a + 2 * pi() ELSE abs(a) END) * 90 / pi()', 4)} AS hue, {S.rounded('sqrt(greatest(0.0, -2 * ln(least(r, 1.0)))) * 90 / pi()', 3)} AS std FROM m""", True)
+def _(spark, sf):
+    c = with_features(spark, sf).groupBy("track_id").agg(F.expr("avg(cos(feat_h * pi() / 90))").alias("c"), F.expr("avg(sin(feat_h * pi() / 90))").alias("s"))
+    m = c.selectExpr("track_id", "atan2(s, c) AS a", "greatest(sqrt(s * s + c * c), 1e-9) AS r")
+    return m.selectExpr("track_id", f"{S.rounded('(CASE WHEN a < -1e-9 THEN a + 2 * pi() ELSE abs(a) END) * 90 / pi()', 4)} AS hue", f"{S.rounded('sqrt(greatest(0.0, -2 * ln(least(r, 1.0)))) * 90 / pi()', 3)} AS std")
+
+
+# Joins
+
+
+@query("jon01_team_accuracy", f"""WITH {ANN}, d AS (SELECT frame, track_id, arg_max(team, event_id) AS team FROM det GROUP BY 1, 2)
+SELECT count(*) AS n, count(*) FILTER (WHERE team = correct_team) AS n_right, CAST(count(*) FILTER (WHERE team = correct_team) AS DOUBLE) / count(*) AS team_accuracy FROM ann JOIN d USING (frame, track_id)""")
+def _(spark, sf):
+    return A.team_accuracy(detections(spark, sf), annotations(spark, sf))
+
+
+@query("jon02_online_labels", f"WITH {ANN} SELECT a.frame, a.track_id, d.team AS label FROM ann a LEFT JOIN det d ON a.frame = d.frame AND a.track_id = d.track_id AND d.team IN (0, 1) AND d.k % 4 <> 0 WHERE coalesce(d.team, -1) >= 0")
+def _(spark, sf):
+    known = detections(spark, sf).filter("team IN (0, 1) AND k % 4 <> 0").select("frame", "track_id", F.col("team").alias("label"))
+    return annotations(spark, sf).join(known, ["frame", "track_id"], "left").withColumn("label", F.coalesce("label", F.lit(-1))).filter("label >= 0").select("frame", "track_id", "label")
+
+
+def _sides(det: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    box = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")]
+    return det.select("frame", F.col("event_id").alias("left_id"), *box("a_")), other.select("frame", F.col("event_id").alias("right_id"), *box("b_"))
+
+
+_BOXES = "frame, event_id AS {i}, x1 AS {p}x1, y1 AS {p}y1, x2 AS {p}x2, y2 AS {p}y2"
+_LEFT, _RIGHT = _BOXES.format(i="left_id", p="a_"), _BOXES.format(i="right_id", p="b_")
+
+
+def _best_sql(least: float, left: str, right: str) -> str:
+    return f"""WITH a AS (SELECT {_LEFT} FROM det WHERE {left}), b AS (SELECT {_RIGHT} FROM det WHERE {right}),
+    s AS (SELECT a.frame, left_id, right_id, CASE WHEN right_id IS NOT NULL THEN {S.iou('a_', 'b_')} END AS iou FROM a LEFT JOIN b ON a.frame = b.frame),
+    r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY iou DESC NULLS LAST, right_id) AS rn FROM s)
+    SELECT frame, left_id, CASE WHEN iou >= {least} THEN right_id END AS right_id, CASE WHEN iou >= {least} THEN iou END AS iou FROM r WHERE rn = 1"""
+
+
+@query("jon03_best_iou", _best_sql(P.label_iou, "k % 2 = 0", "team IN (0, 1) AND k % 2 = 1"))
+def _(spark, sf):
+    det = detections(spark, sf)
+    return R.best_match(*_sides(det.filter("k % 2 = 0"), det.filter("team IN (0, 1) AND k % 2 = 1")), ["frame"], "left_id", "right_id", P.label_iou)
+
+
+@query("jon04_pose_match", _best_sql(P.pose_iou, "true", "event_id % 3 = 0"))
+def _(spark, sf):
+    det = detections(spark, sf)
+    return R.best_match(*_sides(det, det.filter("event_id % 3 = 0")), ["frame"], "left_id", "right_id", P.pose_iou)
+
+
+def label_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return detections(spark, sf).selectExpr("frame AS image", "CASE WHEN event_id % 2 = 0 THEN 'gt' ELSE 'pred' END AS kind", "event_id AS idx", "x1", "y1", "x2", "y2")
+
+
+@query("jon06_exclusive_match")
+def _(spark, sf):
+    return greedy.matched(label_boxes(spark, sf), 0.3)
+
+
+@query("agg26_size_recall")
+def _(spark, sf):
+    rows = greedy.matched(label_boxes(spark, sf), 0.3).groupBy(F.expr(S.SIZE_BUCKET).alias("bucket"))
+    return rows.agg(F.count("*").alias("gt"), F.count_if(F.col("matched") >= 0).alias("matched")).withColumn("recall", F.round(F.col("matched") / F.col("gt"), 3))
+
+
+_TRACKS = """t0 AS (SELECT clip_id, track_id, min(frame) AS start, max(frame) AS "end", arg_min(struct_pack(x := (x1 + x2) / 2, y := y2), frame) AS head, arg_max(struct_pack(x := (x1 + x2) / 2, y := y2), frame) AS tail, median(feat_a) AS ab_a, median(feat_b) AS ab_b FROM detf GROUP BY 1, 2),
+tl AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame DESC) AS rn FROM detf),
+tv AS (SELECT l.track_id, coalesce(((l.x1 + l.x2) / 2 - (p.x1 + p.x2) / 2) / greatest(1, l.frame - p.frame), 0.0) AS vx, coalesce((l.y2 - p.y2) / greatest(1, l.frame - p.frame), 0.0) AS vy FROM tl l LEFT JOIN tl p ON l.track_id = p.track_id AND p.rn = 2 WHERE l.rn = 1),
+tm AS (SELECT track_id, team FROM (SELECT track_id, team, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, team) AS rn FROM det WHERE team >= 0 GROUP BY 1, 2) AS q WHERE rn = 1),
+tn AS (SELECT track_id, ocr FROM (SELECT track_id, ocr_num AS ocr, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, ocr_num) AS rn FROM det WHERE ocr_conf >= 0.5 AND ocr_num IS NOT NULL GROUP BY 1, 2) AS q WHERE rn = 1),
+tracks AS (SELECT t0.clip_id, t0.track_id, t0.start, t0."end", t0.head.x AS head_x, t0.head.y AS head_y, t0.tail.x AS tail_x, t0.tail.y AS tail_y, vx, vy, coalesce(tm.team, -1) AS team, tn.ocr, ab_a, ab_b
+ FROM t0 JOIN tv USING (track_id) LEFT JOIN tm USING (track_id) LEFT JOIN tn USING (track_id))"""
+
+
+@query("agg12_track_summary", f"""WITH {_TRACKS} SELECT track_id, start, "end", head_x, head_y, tail_x, tail_y, {r6('vx')} AS vx, {r6('vy')} AS vy, team, ocr, {r6('ab_a')} AS ab_a, {r6('ab_b')} AS ab_b FROM tracks""", True)
+def _(spark, sf):
+    rows = A.track_summary(with_features(spark, sf))
+    return rows.selectExpr("track_id", "start", "end", "head_x", "head_y", "tail_x", "tail_y", f"{r6('vx')} AS vx", f"{r6('vy')} AS vy", "team", "ocr", f"{r6('ab_a')} AS ab_a", f"{r6('ab_b')} AS ab_b")
+
+
+_GAP = '(b.start - a."end")'
+_DIST = f"sqrt((a.tail_x + a.vx * {_GAP} - b.head_x) * (a.tail_x + a.vx * {_GAP} - b.head_x) + (a.tail_y + a.vy * {_GAP} - b.head_y) * (a.tail_y + a.vy * {_GAP} - b.head_y))"
+
+
+@query("jon07_stitch_candidates", f"""WITH {_TRACKS} SELECT a.track_id AS a, b.track_id AS b, {S.rounded(_DIST, 5)} AS dist,
+{S.rounded(f'{_DIST} + 0.5 * sqrt((a.ab_a - b.ab_a) * (a.ab_a - b.ab_a) + (a.ab_b - b.ab_b) * (a.ab_b - b.ab_b))', 5)} AS cost
+FROM tracks a JOIN tracks b ON a.clip_id = b.clip_id AND {_GAP} > 0 AND {_GAP} <= 30 WHERE (a.team < 0 OR b.team < 0 OR a.team = b.team) AND NOT coalesce(a.ocr <> b.ocr, false) AND {_DIST} <= 120""", True)
+def _(spark, sf):
+    rows = R.stitch_candidates(A.track_summary(with_features(spark, sf)))
+    return rows.selectExpr("a", "b", f"{S.rounded('dist', 5)} AS dist", f"{S.rounded('cost', 5)} AS cost")
+
+
+@query("srt03_chains")
+def _(spark, sf):
+    return greedy.chained(R.stitch_candidates(A.track_summary(with_features(spark, sf))))
+
+
+@query("jon08_helmet_hits", f"""WITH a AS (SELECT {_LEFT} FROM det), b AS (SELECT {_RIGHT} FROM det WHERE event_id % 4 = 0)
+SELECT a.frame, left_id, count(*) FILTER (WHERE right_id IS NOT NULL AND {S.iou('a_', 'b_', 'guarded')} >= 0.05) AS hits FROM a LEFT JOIN b ON a.frame = b.frame GROUP BY 1, 2""")
+def _(spark, sf):
+    det = detections(spark, sf)
+    return R.helmet_hits(*_sides(det, det.filter("event_id % 4 = 0")), ["frame"], "left_id")
+
+
+_INSIDE = "(b_x1 + b_x2) / 2 BETWEEN a_x1 AND a_x2 AND (b_y1 + b_y2) / 2 BETWEEN a_y1 AND a_y1 + greatest(1, 0.28 * (a_y2 - a_y1))"
+
+
+@query("jon09_helmet_semi", f"""WITH a AS (SELECT {_LEFT} FROM det), b AS (SELECT {_RIGHT} FROM det WHERE event_id % 4 = 0 AND conf >= 0.20)
+SELECT DISTINCT left_id FROM a JOIN b ON a.frame = b.frame WHERE {_INSIDE} OR {S.iou('a_', 'b_')} >= 0.12""")
+def _(spark, sf):
+    det = detections(spark, sf)
+    a, b = _sides(det, det.filter("event_id % 4 = 0 AND conf >= 0.20"))
+    return a.alias("a").join(b.withColumnRenamed("frame", "f"), F.expr(f"frame = f AND ({_INSIDE} OR {S.iou('a_', 'b_')} >= 0.12)"), "left_semi").select("left_id")
+
+
+@query("jon10_overlapping_pairs", f"""WITH a AS (SELECT {_LEFT} FROM det), b AS (SELECT {_RIGHT} FROM det)
+SELECT a.frame, left_id AS a_id, right_id AS b_id, {S.iou('a_', 'b_')} AS iou FROM a JOIN b ON a.frame = b.frame AND left_id < right_id WHERE {S.iou('a_', 'b_')} > 0.3""")
+def _(spark, sf):
+    return R.overlapping_pairs(detections(spark, sf).selectExpr("frame", "event_id AS id", "x1", "y1", "x2", "y2"), ["frame"], 0.3)
+
+
+_VOTE = "vote AS (SELECT track_id, team FROM (SELECT track_id, team, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, team) AS rn FROM det WHERE team >= 0 GROUP BY 1, 2) AS q WHERE rn = 1)"
+
+
+@query("agg10_mode_vote", f"WITH {_VOTE} SELECT track_id, team FROM vote")
+def _(spark, sf):
+    return A.mode_vote(detections(spark, sf).filter("team >= 0"), "track_id", "team")
+
+
+@query("jon11_voted_team", f"WITH {_VOTE} SELECT d.event_id, coalesce(v.team, -1) AS team FROM det d LEFT JOIN vote v USING (track_id)")
+def _(spark, sf):
+    det = detections(spark, sf)
+    votes = A.mode_vote(det.filter("team >= 0"), "track_id", "team", "voted")
+    return det.join(votes, "track_id", "left").select("event_id", F.coalesce("voted", F.lit(-1)).alias("team"))
+
+
+_NUMBER = """nv AS (SELECT track_id, ocr_num, row_number() OVER (PARTITION BY track_id ORDER BY round(sum(ocr_conf), 6) DESC, min(frame * 1000000000 + event_id)) AS rn FROM det
+WHERE ocr_conf >= 0.5 AND ocr_num BETWEEN 0 AND 99 GROUP BY 1, 2),
+numbers AS (SELECT t.track_id, n.ocr_num AS jersey_number FROM (SELECT DISTINCT track_id FROM det) AS t LEFT JOIN nv n ON t.track_id = n.track_id AND n.rn = 1)"""
+
+
+@query("agg11_number_vote", f"WITH {_NUMBER} SELECT track_id, jersey_number FROM numbers")
+def _(spark, sf):
+    return A.number_vote(detections(spark, sf))
+
+
+@query("jon12_jersey_number", f"WITH {_NUMBER} SELECT event_id, jersey_number FROM det LEFT JOIN numbers USING (track_id)")
+def _(spark, sf):
+    det = detections(spark, sf)
+    return det.join(A.number_vote(det), "track_id", "left").select("event_id", "jersey_number")
+
+
+_ZERO = """z0 AS (SELECT frame, arg_max(struct_pack(p := CASE WHEN k % 3 = 0 THEN 'ID_NONE' WHEN k % 3 = 1 THEN 'HUD_ATE_ALL' ELSE 'odd' END, r := CASE WHEN k % 5 = 0 THEN NULL ELSE k % 7 END), event_id) AS v FROM det WHERE k % 6 <> 0 GROUP BY 1),
+z AS (SELECT frame, v.p AS path, v.r AS raw_boxes FROM z0), f AS (SELECT frame, count(*) AS n FROM det GROUP BY 1)"""
+_TRUTH = "CASE WHEN path IS NULL OR path NOT IN ('ID_NONE', 'HUD_ATE_ALL') THEN 'tracked/ok' ELSE path || ' ' || CASE WHEN coalesce(raw_boxes, n) = 0 THEN '0' WHEN coalesce(raw_boxes, n) <= 2 THEN '1-2' WHEN coalesce(raw_boxes, n) <= 4 THEN '3-4' ELSE '5+' END END"
+
+
+def _zero(spark, sf):
+    det = detections(spark, sf)
+    rows = det.filter("k % 6 <> 0").selectExpr("frame", "event_id", "CASE WHEN k % 3 = 0 THEN 'ID_NONE' WHEN k % 3 = 1 THEN 'HUD_ATE_ALL' ELSE 'odd' END AS path", "CASE WHEN k % 5 = 0 THEN NULL ELSE k % 7 END AS raw_boxes")
+    return det.groupBy("frame").agg(F.count("*").alias("n")).join(readers.last_per_frame(rows, "event_id"), "frame", "left")
+
+
+@query("jon13_zerodet_frames", f"WITH {_ZERO} SELECT f.frame, {_TRUTH} AS bucket FROM f LEFT JOIN z ON f.frame = z.frame")
+def _(spark, sf):
+    return _zero(spark, sf).selectExpr("frame", f"{_TRUTH} AS bucket")
+
+
+@query("agg17_truth_buckets", f"WITH {_ZERO}, b AS (SELECT {_TRUTH} AS bucket FROM f LEFT JOIN z ON f.frame = z.frame) SELECT bucket, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM b GROUP BY 1")
+def _(spark, sf):
+    return A.bucket_counts(_zero(spark, sf), _TRUTH)
+
+
+@query("jon15_grid", "SELECT c AS conf_min, i AS iou_max, (SELECT count(*) FROM det WHERE conf >= c) AS n FROM (SELECT unnest([0.1, 0.25, 0.4, 0.55]) AS c) AS a, (SELECT unnest([0.3, 0.5, 0.7]) AS i) AS b")
+def _(spark, sf):
+    counts = detections(spark, sf).agg(*[F.count_if(F.col("conf") >= c).alias(f"n{j}") for j, c in enumerate((0.1, 0.25, 0.4, 0.55))])
+    rows = counts.selectExpr("stack(4, 0.1D, n0, 0.25D, n1, 0.4D, n2, 0.55D, n3) AS (conf_min, n)")
+    return rows.withColumn("iou_max", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7)))).select("conf_min", "iou_max", "n")
+
+
+@query("agg27_grid_average", "SELECT c AS conf_min, round((SELECT count(*) FROM det WHERE conf >= c) / (SELECT count(DISTINCT frame) FROM det), 2) AS avg_det FROM (SELECT unnest([0.1, 0.25, 0.4, 0.55]) AS c) AS a")
+def _(spark, sf):
+    counts = detections(spark, sf).agg(F.count_distinct("frame").alias("f"), *[F.count_if(F.col("conf") >= c).alias(f"n{j}") for j, c in enumerate((0.1, 0.25, 0.4, 0.55))])
+    return counts.selectExpr("f", "stack(4, 0.1D, n0, 0.25D, n1, 0.4D, n2, 0.55D, n3) AS (conf_min, n)").selectExpr("conf_min", "round(n / f, 2) AS avg_det")
+
+
+@query("jon16_label_images", "SELECT stem, arg_min(ext, rank) AS ext FROM (SELECT CAST(p_partkey // 3 AS STRING) AS stem, ['jpg', 'jpeg', 'png'][CAST(p_size % 3 AS INT) + 1] AS ext, p_size % 3 AS rank FROM part) AS q GROUP BY 1")
+def _(spark, sf):
+    images = spark.read.parquet(f"{sf}/part.parquet").selectExpr("CAST(p_partkey div 3 AS STRING) AS stem", "array('jpg', 'jpeg', 'png')[CAST(p_size % 3 AS INT)] AS ext", "p_size % 3 AS rank")
+    return images.groupBy("stem").agg(F.min_by("ext", "rank").alias("ext"))
+
+
+_SEG = """sf AS (SELECT clip_id, frame, bool_or(is_cut_frame) AS cut FROM det GROUP BY 1, 2),
+sn AS (SELECT *, sum(CASE WHEN cut AND frame > (SELECT min(frame) FROM sf) THEN 1 ELSE 0 END) OVER (ORDER BY frame) AS segment FROM sf),
+ss AS (SELECT clip_id, CAST(segment AS BIGINT) AS segment, min(frame) AS start, max(frame) AS last FROM sn GROUP BY 1, 2),
+seg AS (SELECT clip_id, segment, start, coalesce(lead(start) OVER (ORDER BY segment) - 1, last) AS "end" FROM ss)"""
+
+
+@query("win05_segments", f'WITH {_SEG} SELECT clip_id, segment, start, "end" FROM seg')
+def _(spark, sf):
+    return R.segments(detections(spark, sf))
+
+
+@query("jon17_rows_of_segments", f'WITH {_SEG} SELECT d.event_id, s.segment FROM det d JOIN seg s ON d.frame BETWEEN s.start AND s."end"')
+def _(spark, sf):
+    return R.of_segment(detections(spark, sf)).select("event_id", "segment")
+
+
+@query("jon18_keep_semi", "SELECT event_id, conf FROM det WHERE track_id IN (SELECT track_id FROM det WHERE conf > 0.95)")
+def _(spark, sf):
+    det = detections(spark, sf)
+    return det.join(det.filter("conf > 0.95").select("track_id").distinct(), "track_id", "left_semi").select("event_id", "conf")
+
+
+@query("jon19_neighbours", "WITH f AS (SELECT frame, count(*) AS n FROM det GROUP BY 1) SELECT f.frame, coalesce(a.n, 0) AS before2, coalesce(b.n, 0) AS after2 FROM f LEFT JOIN f a ON a.frame = f.frame - 2 LEFT JOIN f b ON b.frame = f.frame + 2")
+def _(spark, sf):
+    f = detections(spark, sf).groupBy("frame").agg(F.count("*").alias("n"))
+    a = f.select((F.col("frame") + 2).alias("frame"), F.col("n").alias("before2"))
+    b = f.select((F.col("frame") - 2).alias("frame"), F.col("n").alias("after2"))
+    return f.join(a, "frame", "left").join(b, "frame", "left").select("frame", F.coalesce("before2", F.lit(0)).alias("before2"), F.coalesce("after2", F.lit(0)).alias("after2"))
+
+
+@query("jon21_parity", "SELECT count(DISTINCT frame) FILTER (WHERE k % 2 = 0) AS online_frames, count(DISTINCT frame) AS offline_frames, round(count(*) FILTER (WHERE k % 2 = 0) / greatest(1, count(DISTINCT frame) FILTER (WHERE k % 2 = 0)), 3) AS online_avg, round(count(*) / greatest(1, count(DISTINCT frame)), 3) AS offline_avg FROM det")
+def _(spark, sf):
+    det = detections(spark, sf)
+    side = lambda rows, name: rows.agg(F.count_distinct("frame").alias(f"{name}_frames"), F.round(F.count("*") / F.greatest(F.lit(1), F.count_distinct("frame")), 3).alias(f"{name}_avg"))
+    return side(det.filter("k % 2 = 0"), "online").join(side(det, "offline"), F.lit(True))  # one row each
+
+
+# Aggregations
+
+_GATE = f"""WITH f AS (SELECT frame, count(DISTINCT track_id) AS n FROM det GROUP BY 1), a AS (SELECT count(*) AS n_rows, count(DISTINCT track_id) AS unique_tracks, avg(CAST(mask_is_fallback AS DOUBLE)) AS fallback_rate,
+CAST(count(*) FILTER (WHERE {S.GATE_FP}) AS DOUBLE) / greatest(1, count(*)) AS fp_rate FROM det), g AS (SELECT *, (SELECT median(n) FROM f) AS median_det, (SELECT count(*) FROM f) AS frames FROM a)"""
+
+
+@query("agg05_gate_figures", f"{_GATE} SELECT n_rows, unique_tracks, fallback_rate, fp_rate, median_det, frames FROM g")
+def _(spark, sf):
+    return A.gate_figures(detections(spark, sf))
+
+
+@query("gat01_ir_gate", f"""{_GATE} SELECT n_rows, unique_tracks, fallback_rate, fp_rate, median_det, frames, median_det >= 12 AS check_median, fp_rate <= 0.20 AS check_fp, unique_tracks >= 8 AS check_tracks,
+fallback_rate <= 0.30 AS check_fallback, median_det >= 12 AND fp_rate <= 0.20 AND unique_tracks >= 8 AND fallback_rate <= 0.30 AS pass, CAST(NULL AS VARCHAR) AS reason FROM g""")
+def _(spark, sf):
+    return gates.ir_gate(detections(spark, sf))
+
+
+@query("agg01_per_frame", "SELECT frame, count(DISTINCT track_id) AS n, count(*) AS rows FROM det GROUP BY frame")
+def _(spark, sf):
+    return A.per_frame(detections(spark, sf))
+
+
+@query("agg09_route_metrics", f"""WITH {ANN}, s AS (SELECT track_id, count(DISTINCT frame) AS n, max(frame) - min(frame) + 1 AS span FROM det GROUP BY 1), f AS (SELECT frame, count(DISTINCT track_id) AS n FROM det GROUP BY 1),
+g AS (SELECT frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame) AS gap FROM (SELECT DISTINCT track_id, frame FROM det) AS q)
+SELECT {r6('avg(n / span)')} AS completeness, {r6('greatest(0, count(*) / greatest(1, (SELECT median(n) FROM f)) - 1)')} AS fragmentation, (SELECT count(*) FILTER (WHERE gap > 1) FROM g) AS id_switches,
+(SELECT CAST(count(*) FILTER (WHERE team = correct_team) AS DOUBLE) / count(*) FROM ann JOIN det USING (frame, track_id)) AS team_accuracy FROM s""")
+def _(spark, sf):
+    rows = A.route_metrics(detections(spark, sf), annotations(spark, sf))
+    return rows.selectExpr(f"{r6('completeness')} AS completeness", f"{r6('fragmentation')} AS fragmentation", "id_switches", "team_accuracy")
+
+
+@query("agg14_quantiles", "SELECT quantile_cont(conf, 0.1) AS p10, quantile_cont(conf, 0.5) AS p50, quantile_cont(conf, 0.9) AS p90 FROM det")
+def _(spark, sf):
+    return detections(spark, sf).agg(*[F.expr(f"percentile(conf, {q})").alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+
+
+@query("agg16_bucket_percent", f"WITH b AS (SELECT {S.AREA_BUCKET.replace('area', S.area())} AS bucket FROM det) SELECT bucket, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM b GROUP BY 1")
+def _(spark, sf):
+    return A.bucket_counts(S.add(detections(spark, sf), area=S.area()), S.AREA_BUCKET)
+
+
+@query("agg18_detection_stats", "WITH f AS (SELECT frame, count(*) FILTER (WHERE k % 3 = 0) AS n FROM det GROUP BY 1) SELECT count(*) AS frames, CAST(sum(n) AS BIGINT) AS total, max(n) AS most, count(*) FILTER (WHERE n = 0) AS zero_frames FROM f")
+def _(spark, sf):
+    f = detections(spark, sf).groupBy("frame").agg(F.count_if(F.expr("k % 3 = 0")).alias("n"))
+    return f.agg(F.count("*").alias("frames"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("zero_frames"))
+
+
+@query("agg19_weighted_hue", f"SELECT team, {r6(f'sum({S.WEIGHT} * feat_h) / sum({S.WEIGHT})')} AS hue FROM detf WHERE team >= 0 GROUP BY 1", True)
+def _(spark, sf):
+    return with_features(spark, sf).filter("team >= 0").groupBy("team").agg(F.expr(r6(f"sum({S.WEIGHT} * feat_h) / sum({S.WEIGHT})")).alias("hue"))
+
+
+_CD = " + ".join(f"power(avg({c}) FILTER (WHERE team = 0) - avg({c}) FILTER (WHERE team = 1), 2)" for c in clustering.FEATURES)
+
+
+@query("agg20_centroid_distance", f"SELECT {r6(f'sqrt({_CD})')} AS dist FROM detf", True)
+def _(spark, sf):
+    return with_features(spark, sf).agg(F.expr(r6(f"sqrt({_CD})")).alias("dist"))
+
+
+_SC = ", ".join(f"{r6(f'avg({c})')} AS mean_{c}, {r6(f'stddev_pop({c})')} AS std_{c}" for c in clustering.FEATURES)
+
+
+@query("agg21_scaler", f"SELECT {_SC} FROM detf", True)
+def _(spark, sf):
+    return with_features(spark, sf).agg(*[F.expr(r6(f"{f}({c})")).alias(f"{n}_{c}") for c in clustering.FEATURES for f, n in (("avg", "mean"), ("stddev_pop", "std"))])
+
+
+@query("agg22_hsv_bounds", f"SELECT {S.truncated('greatest(0, quantile_cont(feat_h, 0.05) - 5)')} AS hue_low, {S.truncated('least(179, quantile_cont(feat_h, 0.95) + 5)')} AS hue_high, {S.truncated('greatest(20, quantile_cont(torso_px % 256, 0.10) - 10)')} AS sat_low FROM detf", True)
+def _(spark, sf):
+    p = lambda c, q: f"percentile({c}, {q})"
+    return with_features(spark, sf).agg(
+        F.expr(S.truncated(f"greatest(0, {p('feat_h', 0.05)} - 5)")).alias("hue_low"), F.expr(S.truncated(f"least(179, {p('feat_h', 0.95)} + 5)")).alias("hue_high"),
+        F.expr(S.truncated(f"greatest(20, {p('torso_px % 256', 0.10)} - 10)")).alias("sat_low"),
+    )
+
+
+_STATE = "CASE WHEN frame < 60 THEN 'WARMUP' WHEN frame < 90 THEN 'CALIBRATING' ELSE 'LOCKED' END"
+
+
+@query("agg23_state_histogram", f"WITH f AS (SELECT DISTINCT frame, {_STATE} AS state FROM det) SELECT state, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM f GROUP BY 1")
+def _(spark, sf):
+    return A.bucket_counts(detections(spark, sf).select("frame").distinct(), _STATE).withColumnRenamed("bucket", "state")
+
+
+@query("agg24_label_flips", "WITH l AS (SELECT track_id, team, lag(team) OVER (PARTITION BY track_id ORDER BY frame) AS b FROM det WHERE k % 3 <> 0 AND team IN (0, 1)) SELECT count(*) FILTER (WHERE b <> team) AS flips, count(DISTINCT track_id) AS tracks, CAST(count(*) FILTER (WHERE b <> team) AS DOUBLE) / greatest(1, count(DISTINCT track_id)) AS flip_rate FROM l")
+def _(spark, sf):
+    return A.label_flips(detections(spark, sf).selectExpr("frame", "track_id", "team AS label", "k % 3 <> 0 AS locked"))
+
+
+@query("agg25_churn", "WITH f AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS p FROM (SELECT DISTINCT frame FROM det) AS q), d AS (SELECT frame, lag(frame) OVER (PARTITION BY track_id ORDER BY frame) AS o FROM det) SELECT count(*) FILTER (WHERE o IS NULL OR p IS NULL OR o <> p) AS new_ids, count(DISTINCT d.frame) AS frames, CAST(count(*) FILTER (WHERE o IS NULL OR p IS NULL OR o <> p) AS DOUBLE) / count(DISTINCT d.frame) AS churn FROM d JOIN f ON d.frame = f.frame")
+def _(spark, sf):
+    return A.churn(detections(spark, sf))
+
+
+@query("agg28_registration_coverage", "WITH f AS (SELECT frame, bool_or(k % 7 = 0) AS ok FROM det GROUP BY 1) SELECT count(*) FILTER (WHERE ok) AS valid, 100.0 * count(*) FILTER (WHERE ok) / count(*) AS pct, min(frame) FILTER (WHERE ok) AS first_valid FROM f")
+def _(spark, sf):
+    f = detections(spark, sf).groupBy("frame").agg(F.max(F.expr("k % 7 = 0")).alias("ok"))
+    return f.agg(F.count_if("ok").alias("valid"), (100.0 * F.count_if("ok") / F.count("*")).alias("pct"), F.min(F.when(F.col("ok"), F.col("frame"))).alias("first_valid"))
+
+
+@query("agg29_qa_stats", f"SELECT CAST(count(*) FILTER (WHERE torso_px >= 900) AS DOUBLE) / count(*) AS keep_rate, {r6('avg(conf) FILTER (WHERE torso_px >= 900)')} AS mean_iou, {r6('avg(torso_px) FILTER (WHERE torso_px >= 900)')} AS mean_area FROM det")
+def _(spark, sf):
+    ok = "torso_px >= 900"
+    return detections(spark, sf).selectExpr(f"count_if({ok}) / count(*) AS keep_rate", f"{r6(f'avg(conf) FILTER (WHERE {ok})')} AS mean_iou", f"{r6(f'avg(torso_px) FILTER (WHERE {ok})')} AS mean_area")
+
+
+@query("agg30_rescue_counts", "WITH t AS (SELECT CAST(unnest([0.05, 0.08, 0.10, 0.15, 0.20]) AS DOUBLE) AS thr), c AS (SELECT thr, count(DISTINCT frame) FILTER (WHERE CAST((k % 25) / 100.0 AS DOUBLE) BETWEEN thr AND 0.3) AS n FROM det, t GROUP BY 1) SELECT thr AS recommended, n FROM c ORDER BY n DESC, thr LIMIT 1")
+def _(spark, sf):
+    rows = detections(spark, sf).withColumn("thr", F.explode(F.array(*[F.lit(x) for x in (0.05, 0.08, 0.10, 0.15, 0.20)])))
+    counts = rows.filter("CAST((k % 25) / 100.0D AS DOUBLE) BETWEEN thr AND 0.3D").groupBy("thr").agg(F.count_distinct("frame").alias("n"))
+    return counts.agg(F.max_by("thr", F.struct("n", -F.col("thr"))).alias("recommended"), F.max("n").alias("n"))
+
+
+@query("agg31_brightness_split", f"WITH {_SEG}, m AS (SELECT segment, avg(torso_px % 200) AS lum FROM det d JOIN seg s ON d.frame BETWEEN s.start AND s.\"end\" GROUP BY 1) SELECT count(*) AS segments, count(*) >= 2 AND max(lum) - min(lum) > 15 AS split FROM m")
+def _(spark, sf):
+    m = R.of_segment(detections(spark, sf)).groupBy("segment").agg(F.avg(F.expr("torso_px % 200")).alias("lum"))
+    return m.agg(F.count("*").alias("segments"), ((F.count("*") >= 2) & (F.max("lum") - F.min("lum") > P.brightness_delta)).alias("split"))
+
+
+_TOTALS = f"WITH f AS (SELECT frame, count(*) FILTER (WHERE k % 3 = 0) AS n FROM det GROUP BY 1), t AS (SELECT (SELECT count(*) FROM f) AS frames, count(*) AS dets, count(*) FILTER (WHERE {S.GATE_FP}) AS fp, CAST(count(*) FILTER (WHERE {S.GATE_FP}) AS DOUBLE) / greatest(1, count(*)) AS fp_rate, (SELECT CAST(count(*) FILTER (WHERE n = 0) AS DOUBLE) / count(*) FROM f) AS zero_rate FROM det)"
+
+
+def _totals(spark, sf):
+    det = detections(spark, sf)
+    f = det.groupBy("frame").agg(F.count_if(F.expr("k % 3 = 0")).alias("n")).agg(F.count("*").alias("frames"), (F.count_if(F.col("n") == 0) / F.count("*")).alias("zero_rate"))
+    rows = det.selectExpr("count(*) AS dets", f"count_if({S.GATE_FP}) AS fp", f"count_if({S.GATE_FP}) / greatest(1, count(*)) AS fp_rate")
+    return f.join(rows, F.lit(True)).select("frames", "dets", "fp", "fp_rate", "zero_rate")  # one row each
+
+
+@query("gat02_broadcast_gate", f"{_TOTALS} SELECT *, fp_rate < 0.20 AS pass_fp, zero_rate < 0.05 AS pass_zero, fp_rate < 0.20 AND zero_rate < 0.05 AS pass FROM t")
+def _(spark, sf):
+    return gates.broadcast_gate(_totals(spark, sf))
+
+
+@query("agg35_rejection_counter", f"WITH r AS (SELECT frame // 150 AS win, {S.WARMUP_REASON} AS reason FROM (SELECT *, helmet_hits > 0 AS helmet, k % 4 AS fails, k AS upper_px, CAST((event_id % 50) / 100.0 AS DOUBLE) AS field_overlap FROM det) AS q) SELECT win, reason, count(*) AS n FROM r WHERE reason <> 'ok' GROUP BY 1, 2")
+def _(spark, sf):
+    rows = S.add(detections(spark, sf), helmet="helmet_hits > 0", fails="k % 4", upper_px="k", field_overlap="CAST((event_id % 50) / 100.0 AS DOUBLE)", win="frame div 150")
+    return S.add(rows, reason=S.WARMUP_REASON).filter("reason <> 'ok'").groupBy("win", "reason").agg(F.count("*").alias("n"))
+
+
+# Sequences
+
+_SPEED = "sp AS (SELECT event_id, frame, track_id, sqrt(power((x1 + x2) / 2 - lag((x1 + x2) / 2) OVER w, 2) + power(y2 - lag(y2) OVER w, 2)) AS speed FROM det WINDOW w AS (PARTITION BY track_id ORDER BY frame)), fs AS (SELECT frame, coalesce(median(speed), 0) AS speed FROM sp GROUP BY 1), bl AS (SELECT frame, speed, row_number() OVER (ORDER BY frame) - 1 AS pos, CASE WHEN row_number() OVER (ORDER BY frame) >= 10 THEN median(speed) OVER (ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) ELSE 0.0 END AS base FROM fs)"
+
+
+@query("win01_speed", f"WITH {_SPEED} SELECT event_id, {r6('speed')} AS speed FROM sp")
+def _(spark, sf):
+    return W.speeds(detections(spark, sf)).selectExpr("event_id", f"{r6('speed')} AS speed")
+
+
+@query("agg13_frame_speed", f"WITH {_SPEED} SELECT frame, {r6('speed')} AS speed FROM fs")
+def _(spark, sf):
+    return W.frame_speed(detections(spark, sf)).selectExpr("frame", f"{r6('speed')} AS speed")
+
+
+@query("win02_baseline", f"WITH {_SPEED} SELECT frame, pos, {r6('base')} AS base FROM bl")
+def _(spark, sf):
+    return W.baseline(W.frame_speed(detections(spark, sf))).selectExpr("frame", "CAST(pos AS BIGINT) AS pos", f"{r6('base')} AS base")
+
+
+@query("win03_snap", f"WITH {_SPEED} SELECT 'events' AS clip_id, coalesce(min(frame) FILTER (WHERE pos >= 10 AND speed > {FACTOR} * greatest(base, 0.001)), min(frame)) AS snap_frame FROM bl")
+def _(spark, sf):
+    return W.snap_frame(detections(spark, sf), factor=FACTOR)
+
+
+@query("prj06_time_since_snap", f"WITH {_SPEED}, s AS (SELECT coalesce(min(frame) FILTER (WHERE pos >= 10 AND speed > {FACTOR} * greatest(base, 0.001)), min(frame)) AS f FROM bl) SELECT event_id, frame - f AS t_from_snap FROM det, s WHERE frame BETWEEN f AND f + 240")
+def _(spark, sf):
+    det = detections(spark, sf)
+    return W.trimmed(det, W.snap_frame(det, factor=FACTOR)).select("event_id", "t_from_snap")
+
+
+@query("win04_gap_counts", "WITH g AS (SELECT track_id, frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame) AS gap FROM (SELECT DISTINCT track_id, frame FROM det) AS q) SELECT track_id, count(*) FILTER (WHERE gap > 1) AS gaps FROM g GROUP BY 1")
+def _(spark, sf):
+    g = detections(spark, sf).select("track_id", "frame").distinct().withColumn("gap", F.col("frame") - F.lag("frame").over(Window.partitionBy("track_id").orderBy("frame")))
+    return g.groupBy("track_id").agg(F.count_if(F.col("gap") > 1).alias("gaps"))
+
+
+def heartbeat(spark, sf):
+    return detections(spark, sf).groupBy("clip_id", "frame").agg(F.max("k").cast("double").alias("mad"), F.min("k").alias("mask_top"), (F.max("k") + 400).alias("mask_bottom"))
+
+
+@query("win06_cut_flags", "WITH f AS (SELECT frame, max(k) > 45 AS high FROM det GROUP BY 1), i AS (SELECT *, sum(CASE WHEN high THEN 0 ELSE 1 END) OVER (ORDER BY frame) AS g FROM f) SELECT frame, high AND sum(CASE WHEN high THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY frame) % 2 = 0 AS is_cut FROM i")
+def _(spark, sf):
+    return W.cut_flags(heartbeat(spark, sf)).select("frame", "is_cut")
+
+
+@query("win08_held_extent", "WITH f AS (SELECT frame, min(k) AS t, max(k) + 400 AS b FROM det GROUP BY 1) SELECT frame, min(t) OVER w AS held_top, max(b) OVER w AS held_bottom FROM f WINDOW w AS (ORDER BY frame RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def _(spark, sf):
+    return W.held_extent(heartbeat(spark, sf)).select("frame", "held_top", "held_bottom")
+
+
+@query("win10_smoothed_box")
+def _(spark, sf):
+    return W.smoothed(detections(spark, sf)).select("event_id", "sx1", "sy1")
+
+
+@query("win11_helmet_votes", "SELECT event_id, sum(CASE WHEN helmet_hits > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 1 OR row_number() OVER (PARTITION BY track_id ORDER BY frame) <= 15 AS allowed FROM det")
+def _(spark, sf):
+    order = Window.partitionBy("track_id").orderBy("frame")
+    votes = F.sum(F.when(F.col("helmet_hits") > 0, 1).otherwise(0)).over(order.rowsBetween(1 - P.helmet_window, 0))
+    return detections(spark, sf).select("event_id", ((votes >= P.helmet_required) | (F.row_number().over(order) <= P.helmet_grace)).alias("allowed"))
+
+
+@query("win13_unanimous", "SELECT event_id, count(*) OVER w = 4 AND min(team) OVER w = max(team) OVER w AS sure FROM det WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
+def _(spark, sf):
+    w = Window.partitionBy("track_id").orderBy("frame").rowsBetween(-3, 0)
+    return detections(spark, sf).select("event_id", ((F.count("*").over(w) == 4) & (F.min("team").over(w) == F.max("team").over(w))).alias("sure"))
+
+
+@query("win14_first_locked", f"SELECT min(frame) FILTER (WHERE {_STATE} = 'LOCKED') AS first_locked FROM det")
+def _(spark, sf):
+    return detections(spark, sf).agg(F.min(F.when(F.expr(_STATE) == "LOCKED", F.col("frame"))).alias("first_locked"))
+
+
+@query("win15_flips_at_cuts", """WITH c AS (SELECT DISTINCT frame AS cut FROM det WHERE is_cut_frame), s AS (SELECT cut, track_id, frame >= cut AS later, team, count(*) AS n FROM det JOIN c ON abs(det.frame - c.cut) <= 5 WHERE team >= 0 GROUP BY 1, 2, 3, 4),
+m AS (SELECT cut, track_id, later, team, row_number() OVER (PARTITION BY cut, track_id, later ORDER BY n DESC, team) AS rn FROM s)
+SELECT a.cut, count(*) AS flips FROM m a JOIN m b ON a.cut = b.cut AND a.track_id = b.track_id AND NOT a.later AND b.later AND a.rn = 1 AND b.rn = 1 WHERE a.team <> b.team GROUP BY 1""")
+def _(spark, sf):
+    det = detections(spark, sf)
+    cuts = det.filter("is_cut_frame").select(F.col("frame").alias("cut")).distinct().withColumn("frame", F.explode(F.expr("sequence(cut - 5, cut + 5)")))
+    n = det.filter("team >= 0").join(cuts, "frame").groupBy("cut", "track_id", (F.col("frame") >= F.col("cut")).alias("later"), "team").agg(F.count("*").alias("n"))
+    side = n.groupBy("cut", "track_id").agg(*[F.max_by(F.when(F.col("later") == f, F.col("team")), F.when(F.col("later") == f, F.struct("n", -F.col("team")))).alias(c) for f, c in ((False, "a"), (True, "b"))])
+    return side.filter("a <> b").groupBy("cut").agg(F.count("*").alias("flips"))
+
+
+# Sorts, limits, sets
+
+
+@query("srt02_suppressed")
+def _(spark, sf):
+    return greedy.suppressed(detections(spark, sf)).select("frame", "track_id", "conf")
+
+
+@query("srt05_reservoir", f"""WITH q AS (SELECT event_id, track_id, {S.QUALITY} AS score FROM det), t AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, event_id) AS rn FROM q)
+SELECT event_id, {r6('score')} AS score FROM t WHERE rn <= 3 ORDER BY t.score DESC, event_id LIMIT 70""")
+def _(spark, sf):
+    rows = S.add(detections(spark, sf), score=S.QUALITY)
+    top = rows.withColumn("rn", F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("score"), "event_id"))).filter("rn <= 3")
+    return top.orderBy(F.desc("score"), "event_id").limit(70).selectExpr("event_id", f"{r6('score')} AS score")
+
+
+@query("srt07_strided_sample", f"WITH b AS (SELECT event_id, {S.AREA_BUCKET.replace('area', S.area())} AS bucket FROM det), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY bucket) AS c FROM b) SELECT event_id, bucket FROM n WHERE rn % greatest(1, c // 5) = 0 AND rn // greatest(1, c // 5) < 5")
+def _(spark, sf):
+    rows = S.add(S.add(detections(spark, sf), area=S.area()), bucket=S.AREA_BUCKET).select("event_id", "bucket")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("c"))
+    n = rows.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy("event_id")) - 1).join(F.broadcast(sizes), "bucket")  # a row a bucket
+    return n.filter("rn % greatest(1, c div 5) = 0 AND rn div greatest(1, c div 5) < 5").select("event_id", "bucket")
+
+
+@query("srt08_top_causes", f"WITH c AS (SELECT event_id, {S.CAUSE} AS cause FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _CAUSES.items())} FROM det) AS q) SELECT event_id FROM c WHERE cause = 'CenterEaten' ORDER BY event_id LIMIT 12")
+def _(spark, sf):
+    return S.add(S.add(detections(spark, sf), **_CAUSES), cause=S.CAUSE).filter("cause = 'CenterEaten'").select("event_id").orderBy("event_id").limit(12)
+
+
+@query("srt10_most_common", "SELECT user_id, count(*) AS n FROM det GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
+def _(spark, sf):
+    return detections(spark, sf).groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+
+
+@query("set01_first_source_wins", "WITH s AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'val' ELSE 'train' END AS split, CAST(p_partkey % 97 AS STRING) AS stem, p_partkey % 10 AS priority, p_name AS name, p_partkey FROM part WHERE p_size % 7 <> 0) SELECT split, stem, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY split, stem ORDER BY priority, name, p_partkey) AS rn FROM s) AS q WHERE rn = 1")
+def _(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet").filter("p_size % 7 <> 0")
+    rows = part.selectExpr("CASE WHEN p_partkey % 10 = 0 THEN 'val' ELSE 'train' END AS split", "CAST(p_partkey % 97 AS STRING) AS stem", "p_partkey % 10 AS priority", "p_name AS name", "p_partkey")
+    return R.first_wins(rows, ["split", "stem"], ["priority", "name", "p_partkey"]).select("split", "stem", "p_partkey")
+
+
+@query("set02_new_ids", "SELECT DISTINCT frame, track_id FROM det d WHERE NOT EXISTS (SELECT 1 FROM det p WHERE p.frame = d.frame - 1 AND p.track_id = d.track_id)")
+def _(spark, sf):
+    det = detections(spark, sf).select("frame", "track_id").distinct()
+    return det.join(det.select((F.col("frame") + 1).alias("frame"), "track_id"), ["frame", "track_id"], "left_anti")
+
+
+@query("set04_disjoint", "SELECT (SELECT count(*) FROM (SELECT user_id FROM det WHERE user_id % 10 = 0 INTERSECT SELECT user_id FROM det WHERE user_id % 10 <> 0) AS q) = 0 AS disjoint")
+def _(spark, sf):
+    det = detections(spark, sf)
+    return det.filter("user_id % 10 = 0").select("user_id").intersect(det.filter("user_id % 10 <> 0").select("user_id")).agg((F.count("*") == 0).alias("disjoint"))
+
+
+@query("set06_distinct_cuts", "SELECT DISTINCT frame FROM det WHERE is_cut_frame")
+def _(spark, sf):
+    return detections(spark, sf).filter("is_cut_frame").select("frame").distinct()
+
+
+@query("set07_upsert", "SELECT track_id, max(frame) AS v FROM det WHERE k % 2 = 0 GROUP BY 1 UNION ALL SELECT track_id, min(frame) AS v FROM det WHERE track_id NOT IN (SELECT track_id FROM det WHERE k % 2 = 0) GROUP BY 1")
+def _(spark, sf):
+    from .sources.sinks import upserted
+
+    det = detections(spark, sf)
+    return upserted(det.groupBy("track_id").agg(F.min("frame").alias("v")), det.filter("k % 2 = 0").groupBy("track_id").agg(F.max("frame").alias("v")), "track_id")
+
+
+@query("set09_stratified_split")
+def _(spark, sf):
+    rows = S.add(detections(spark, sf), n="k % 10").selectExpr("event_id", f"{S.POSITIVES_BIN} AS bin")
+    sizes = rows.groupBy("bin").agg(F.count("*").alias("c"))
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64("event_id", F.lit(42)), "event_id")))
+    return ranked.join(F.broadcast(sizes), "bin").select("event_id", "bin", (F.col("rn") <= F.ceil(F.col("c") * 0.1)).alias("is_val"))  # a row a bin
+
+
+# Poses, planes, matching
+
+
+_KP = [(f"CAST((k + {7 * i}) % 30 AS DOUBLE)", f"CAST((k + {5 * i}) % 20 AS DOUBLE)", f"CAST((event_id + {i}) % 10 / 10.0 AS DOUBLE)") for i in range(3)]
+_GOOD = " + ".join(f"CASE WHEN {c} >= 0.3 THEN 1 ELSE 0 END" for _, _, c in _KP)
+
+
+def _kp_sum(axis: int) -> str:
+    return " + ".join(f"CASE WHEN {kp[2]} >= 0.3 THEN {kp[axis]} ELSE 0 END" for kp in _KP)
+
+
+def _kp_edge(axis: int, f: str) -> str:
+    far = "1e9" if f == "least" else "-1e9"
+    return f"{f}({', '.join(f'CASE WHEN {kp[2]} >= 0.3 THEN {kp[axis]} ELSE {far} END' for kp in _KP)})"
+
+
+_HALF_W = "greatest(0.18 * (x2 - x1), 1.2 * spread, 6.0)"
+_HALF_H = "greatest(0.10 * (y2 - y1), 6.0)"
+_POSE_ROI = {
+    "hx1": f"greatest(0, {S.truncated(f'floor(x1 + mx - {_HALF_W} + 0.5)')})", "hx2": f"least({FRAME_W}, {S.truncated(f'floor(x1 + mx + {_HALF_W} + 0.5)')})",
+    "hy1": f"greatest(0, {S.truncated(f'floor(y1 + my - 1.2 * {_HALF_H} + 0.5)')})", "hy2": f"least({FRAME_H}, {S.truncated(f'floor(y1 + my + 1.4 * {_HALF_H} + 0.5)')})",
+}
+
+
+@query("prj08_pose_head_roi", f"""WITH p AS (SELECT *, {_GOOD} AS good FROM det),
+q AS (SELECT *, ({_kp_sum(0)}) / good AS mx, ({_kp_sum(1)}) / good AS my, {_kp_edge(0, 'greatest')} - {_kp_edge(0, 'least')} AS spread FROM p WHERE good > 0)
+SELECT event_id, {', '.join(f'{v} AS {k}' for k, v in _POSE_ROI.items())} FROM q""")
+def _(spark, sf):
+    points = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'c', {c})" for x, y, c in _KP)
+    rows = S.add(detections(spark, sf), kpts=f"filter(array({points}), p -> p.c >= 0.3)").filter("size(kpts) > 0")
+    mean = lambda a: f"aggregate(kpts, 0D, (s, p) -> s + p.{a}) / size(kpts)"
+    rows = S.add(rows, mx=mean("x"), my=mean("y"), spread="array_max(transform(kpts, p -> p.x)) - array_min(transform(kpts, p -> p.x))")
+    return rows.selectExpr("event_id", *[f"{v} AS {k}" for k, v in _POSE_ROI.items()])
+
+
+def corners_through(h: list[str]) -> str:
+    """Area of the image's corners through a homography (nine expressions), over the image's area; null if a scale vanishes."""
+    corners = [(0, 0), (FRAME_W, 0), (FRAME_W, FRAME_H), (0, FRAME_H)]
+    q = [[f"({h[3 * r]} * {x} + {h[3 * r + 1]} * {y} + {h[3 * r + 2]})" for r in range(3)] for x, y in corners]
+    xy = [(f"({a} / {c})", f"({b} / {c})") for a, b, c in q]
+    cross = " + ".join(f"({xy[i][0]} * {xy[(i + 1) % 4][1]} - {xy[(i + 1) % 4][0]} * {xy[i][1]})" for i in range(4))
+    return f"CASE WHEN {' OR '.join(f'abs({c}) < 1e-9' for _, _, c in q)} THEN NULL ELSE abs({cross}) / 2 / {FRAME_W * FRAME_H} END"
+
+
+_H9 = ["(0.5 + k / 200.0)", "0.01", "5.0", "0.02", "(0.3 + event_id % 10 / 20.0)", "7.0", "(event_id % 5 / 100000.0)", "0.00001", "1.0"]
+scalar("prj25_projected_area", {"area_frac": r6("area_frac"), "plausible": "coalesce(area_frac >= 0.08, false)"}, {"area_frac": corners_through(_H9)})
+
+
+@query("jon14_court_join", f"SELECT event_id, {r6(_pj[0])} AS court_x, {r6(_pj[1])} AS court_y FROM det")
+def _(spark, sf):
+    h = spark.createDataFrame([("events", [x for row in HOMOGRAPHY for x in row])], "clip_id string, h array<double>")
+    rows = detections(spark, sf).join(F.broadcast(h), "clip_id")  # a row a clip
+    x, y = S.FOOT_X, S.FOOT_Y
+    q = [f"(h[{3 * i}] * {x} + h[{3 * i + 1}] * {y} + h[{3 * i + 2}])" for i in range(3)]
+    at = lambda i: r6(f"(CASE WHEN abs({q[2]}) < 1e-9 THEN NULL ELSE {q[i]} / {q[2]} END)")
+    return rows.selectExpr("event_id", f"{at(0)} AS court_x", f"{at(1)} AS court_y")
+
+
+@query("jon20_aligned_labels", f"""WITH c AS (SELECT user_id, avg(feat_a) FILTER (WHERE team = 0) AS a0, avg(feat_a) FILTER (WHERE team = 1) AS a1 FROM detf GROUP BY 1),
+r AS (SELECT avg(feat_a) FILTER (WHERE team = 0) AS r0, avg(feat_a) FILTER (WHERE team = 1) AS r1 FROM detf)
+SELECT user_id, coalesce(abs(a0 - r1) + abs(a1 - r0) < abs(a0 - r0) + abs(a1 - r1), false) AS swapped FROM c, r""", True)
+def _(spark, sf):
+    rows = with_features(spark, sf)
+    side = lambda t, n: F.avg(F.when(F.col("team") == t, F.col("feat_a"))).alias(n)
+    own, ref = rows.groupBy("user_id").agg(side(0, "a0"), side(1, "a1")), rows.agg(side(0, "r0"), side(1, "r1"))
+    both = own.join(ref, F.lit(True))  # one row
+    return both.selectExpr("user_id", "coalesce(abs(a0 - r1) + abs(a1 - r0) < abs(a0 - r0) + abs(a1 - r1), false) AS swapped")
+
+
+@query("jon05_mask_indices")
+def _(spark, sf):
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, original = rows[rows.conf >= 0.5].sort_values("idx"), rows.sort_values("idx")
+        box = ["x1", "y1", "x2", "y2"]
+        at = greedy.reuse_indices(kept[box].to_numpy(float), original[box].to_numpy(float))
+        return pd.DataFrame({"image": kept.image, "idx": kept.idx, "original": [int(original.idx.iloc[i]) for i in at]})
+
+    boxes = detections(spark, sf).selectExpr("frame AS image", "event_id AS idx", "conf", "x1", "y1", "x2", "y2")
+    return boxes.groupBy("image").applyInPandas(run, "image long, idx long, original long")
+
+
+@query("flt12_helmet_confirmed", f"""WITH a AS (SELECT {_LEFT} FROM det), b AS (SELECT {_RIGHT}, conf AS b_conf FROM det WHERE event_id % 4 = 1)
+SELECT left_id, count(right_id) FILTER (WHERE b_conf >= 0.20 AND {_INSIDE}) > 0 AS confirmed FROM a LEFT JOIN b ON a.frame = b.frame GROUP BY 1""")
+def _(spark, sf):
+    det = detections(spark, sf)
+    a, b = _sides(det, det.filter("event_id % 4 = 1 AND conf >= 0.20"))
+    hit = F.coalesce(F.expr(_INSIDE), F.lit(False)) & F.col("right_id").isNotNull()
+    return a.join(b, "frame", "left").groupBy("left_id").agg(F.max(hit).alias("confirmed"))
+
+
+@query("srt01_row_order", "SELECT event_id, row_number() OVER (PARTITION BY track_id ORDER BY frame, event_id) AS pos FROM det")
+def _(spark, sf):
+    return detections(spark, sf).select("event_id", F.row_number().over(Window.partitionBy("track_id").orderBy("frame", "event_id")).cast("long").alias("pos"))
+
+
+@query("srt04_chain_roots")
+def _(spark, sf):
+    return pass2.stitched(with_features(spark, sf)).groupBy("stable_id").agg(F.count_distinct("track_id").alias("tracks"), F.count("*").alias("n"))
+
+
+@query("srt11_first_frames", "SELECT count(*) AS n FROM det WHERE frame < 100")
+def _(spark, sf):
+    return detections(spark, sf).filter("frame < 100").agg(F.count("*").alias("n"))
+
+
+@query("agg06_completeness", f"WITH s AS (SELECT track_id, count(DISTINCT frame) AS n, max(frame) - min(frame) + 1 AS span FROM det GROUP BY 1) SELECT {r6('avg(n / span)')} AS completeness FROM s")
+def _(spark, sf):
+    return A.route_metrics(detections(spark, sf)).selectExpr(f"{r6('completeness')} AS completeness")
+
+
+@query("agg32_broadcast_totals", f"{_TOTALS} SELECT * FROM t")
+def _(spark, sf):
+    return _totals(spark, sf)
+
+
+@query("gat05_seg_gate", "SELECT track_id, max(conf) >= 0.75 AND avg(conf) >= 0.75 AND min(conf) >= 0.55 AND max(conf) >= 0.70 AS pass FROM det GROUP BY 1")
+def _(spark, sf):
+    rows = detections(spark, sf).groupBy("track_id").agg(F.max("conf").alias("recall"), F.avg("conf").alias("map50"), F.min("conf").alias("map75"), F.max("conf").alias("mask_recall"))
+    return gates.seg_gate(rows).select("track_id", "pass")
+
+
+@query("gat09_version_gate", "SELECT p_partkey, coalesce(p_size % 2 = 0 AND p_partkey % 3 <> 0, false) AS ok FROM part")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
+        "p_partkey", "CASE WHEN p_size % 2 = 0 THEN 'v2' ELSE 'v1' END AS feature_version", "0.45D AS upper_body_frac", "CASE WHEN p_partkey % 3 <> 0 THEN array(1.0D) END AS scaler"
+    )
+    return gates.version_gate(rows, "v2", 0.45).select("p_partkey", "ok")
+
+
+@query("mlc02_canonical_labels", f"""WITH h AS (SELECT user_id, sum({S.WEIGHT} * feat_h) FILTER (WHERE team = 0) / sum({S.WEIGHT}) FILTER (WHERE team = 0) AS h0, sum({S.WEIGHT} * feat_h) FILTER (WHERE team = 1) / sum({S.WEIGHT}) FILTER (WHERE team = 1) AS h1 FROM detf GROUP BY 1)
+SELECT event_id, CASE WHEN h0 > h1 THEN 1 - team ELSE team END AS label FROM detf JOIN h USING (user_id) WHERE team >= 0""", True)
+def _(spark, sf):
+    rows = with_features(spark, sf)
+    hue = lambda t: F.expr(f"sum({S.WEIGHT} * feat_h) FILTER (WHERE team = {t}) / sum({S.WEIGHT}) FILTER (WHERE team = {t})").alias(f"h{t}")
+    return rows.join(rows.groupBy("user_id").agg(hue(0), hue(1)), "user_id").filter("team >= 0").selectExpr("event_id", "CASE WHEN h0 > h1 THEN 1 - team ELSE team END AS label")
+
+
+# Clustering, gates, plans, streams
+
+
+@query("mlc01_clip_teams")
+def _(spark, sf):
+    return clustering.team_rows(with_features(spark, sf), S.VALID_FEATURE).select("event_id", "det_team")
+
+
+@query("mlc04_segment_teams")
+def _(spark, sf):
+    return pass2.assign_teams(with_features(spark, sf), by_segment=True).select("event_id", "team")
+
+
+_C = [[128.0, 128.0, 4.0, 4.0, 60.0, 4.0], [130.0, 126.0, 5.0, 5.0, 90.0, 5.0]]
+_D = [f"sqrt({' + '.join(f'power({c} - {v}, 2)' for c, v in zip(clustering.FEATURES, centre))})" for centre in _C]
+
+
+@query("mlc05_nearest_centre", f"SELECT event_id, {r6(_D[0])} AS dist0, {r6(_D[1])} AS dist1, CASE WHEN {_D[0]} < {_D[1]} THEN 0 ELSE 1 END AS nearest FROM detf", True)
+def _(spark, sf):
+    return clustering.nearest_centre(with_features(spark, sf), _C).selectExpr("event_id", f"{r6('dist0')} AS dist0", f"{r6('dist1')} AS dist1", "nearest")
+
+
+@query("gat03_acceptance", f"{_TOTALS} SELECT fp_rate, zero_rate, fp_rate < 0.20 AS ok_fp, zero_rate < 0.05 AS ok_zero, true AS ok_team, false AS ok_frag, false AS ok_switches, false AS pass FROM t")
+def _(spark, sf):
+    rows = _totals(spark, sf).selectExpr("fp_rate", "zero_rate", "CAST(NULL AS DOUBLE) AS team_pct", "CAST(NULL AS DOUBLE) AS fragmentation", "CAST(NULL AS BIGINT) AS id_switches")
+    return gates.acceptance(rows).drop("team_pct", "fragmentation", "id_switches")
+
+
+@query("gat04_release_gate", """WITH m AS (SELECT user_id, avg(k) / 4 AS avg_detections, min(conf) AS zero_rate, max(conf) AS locked_rate, avg(conf) AS flip_rate FROM det GROUP BY 1),
+g AS (SELECT user_id, CAST(avg_detections >= 18 AS INT) + CAST(zero_rate <= 0.05 AS INT) + CAST(locked_rate >= 0.85 AS INT) + CAST(flip_rate <= 0.10 AS INT) + 2 AS passed FROM m)
+SELECT user_id, passed, passed = 6 AS overall, passed >= 4 AS relaxed, passed >= 5 AS overall_relaxed FROM g""")
+def _(spark, sf):
+    m = detections(spark, sf).groupBy("user_id").agg((F.avg("k") / 4).alias("avg_detections"), F.min("conf").alias("zero_rate"), F.max("conf").alias("locked_rate"), F.avg("conf").alias("flip_rate"))
+    m = m.selectExpr("*", "false AS final_locked", "1000 AS lock_latency", "CAST(NULL AS DOUBLE) AS team_accuracy", "0.4D AS churn")
+    return gates.release_gate(m).select("user_id", "passed", "overall", "relaxed", "overall_relaxed")
+
+
+@query("gat07_regression", "WITH c AS (SELECT track_id AS metric, avg(conf) AS value FROM det GROUP BY 1), b AS (SELECT track_id AS metric, max(conf) AS reference FROM det WHERE k % 2 = 0 GROUP BY 1) SELECT c.metric, coalesce(b.reference - c.value <= 0.05 * abs(b.reference), true) AS ok FROM c LEFT JOIN b ON c.metric = b.metric")
+def _(spark, sf):
+    det = detections(spark, sf)
+    current = det.groupBy(F.col("track_id").alias("metric")).agg(F.avg("conf").alias("value"))
+    baseline = det.filter("k % 2 = 0").groupBy(F.col("track_id").alias("metric")).agg(F.max("conf").alias("reference")).withColumn("higher_is_better", F.lit(True))
+    return gates.regression_gate(current, baseline).select("metric", "ok")
+
+
+def online_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of the online path by clip (here a clip for each user), with a row for frames without detections."""
+    rows = clustering.nearest_centre(with_features(spark, sf), _C)
+    rows = rows.selectExpr("concat('u', user_id % 16) AS clip_id", "frame", "track_id", "x1", "y1", "x2", "y2", "helmet_hits", "nearest AS label", "dist0", "dist1", "torso_px", "CAST(k AS DOUBLE) AS mad", "k % 3 > 0 AS fit_ok")
+    clips = rows.groupBy("clip_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("clip_id", F.explode(F.sequence("a", "b")).alias("frame"))
+    shared = rows.groupBy("clip_id", "frame").agg(F.max("mad").alias("mad"), F.max("fit_ok").alias("fit_ok"))
+    return clips.join(shared, ["clip_id", "frame"], "left").join(rows.drop("mad", "fit_ok"), ["clip_id", "frame"], "left")
+
+
+@query("str01_online_batch")
+def _(spark, sf):
+    return online.batch(online_frames(spark, sf))
+
+
+@query("pass2_routes")
+def _(spark, sf):
+    rows = pass2.analyse(with_features(spark, sf), HOMOGRAPHY, FACTOR)
+    return rows.selectExpr("event_id", "frame", "track_id", "stable_id", "team", "jersey_number", f"{r6('court_x')} AS court_x", f"{r6('court_y')} AS court_y", "t_from_snap")
+
+
+@query("pass2_route_metrics")
+def _(spark, sf):
+    rows = pass2.stitched(with_features(spark, sf))
+    return A.route_metrics(rows, annotations(spark, sf), "stable_id")
