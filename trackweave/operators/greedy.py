@@ -90,14 +90,13 @@ def reuse_indices(filtered: np.ndarray, original: np.ndarray) -> list[int]:
 
 def chain(edges: pd.DataFrame) -> pd.DataFrame:
     """Edges (a, b, a_end, cost) of a clip to (track_id, stable_id): tails by end then id, cheapest free head, lowest id on ties."""
+    order = np.lexsort([edges[c].to_numpy() for c in ("b", "cost", "a", "a_end")])
     parent: dict[int, int] = {}
-    taken: set[int] = set()
-    for _, tail in edges.sort_values(["a_end", "a"]).groupby(["a_end", "a"], sort=True):
-        for row in tail.sort_values(["cost", "b"]).itertuples():
-            if row.b not in taken:
-                parent[row.b] = row.a
-                taken.add(row.b)
-                break
+    used: set[int] = set()
+    for a, b in zip(edges["a"].to_numpy()[order].tolist(), edges["b"].to_numpy()[order].tolist()):
+        if a not in used and b not in parent:
+            parent[b] = a
+            used.add(a)
     out = []
     for b in parent:
         root = b
