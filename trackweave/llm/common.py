@@ -39,8 +39,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """A narrow table in about two partitions a core, so that writing it doesn't make a file for each shuffle partition."""
-    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    """A narrow table in a partition a core at most, so that writing it doesn't make a file for each shuffle partition."""
+    return df.coalesce(max(4, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, WS_BYTES, discard, limit_batches, materialize, text_bytes, trimmed
+from .common import LOWER_AZ, WS_BYTES, discard, few_files, limit_batches, materialize, text_bytes, trimmed
 
 #: Lines to drop of which a worker holds a table; with more, the join path marks the lines.
 TABLE_LINES = 400_000
@@ -46,14 +46,12 @@ class LineRuns:
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(materialize(run.sortWithinPartitions("h"), "line-run"))
+        self.levels[level].append(materialize(few_files(run).sortWithinPartitions("h"), "line-run"))
         if len(self.levels[level]) == self.fanout:
             merged, self.levels[level] = self.levels[level], []
             together = self._merge(merged)
             if self.settle:
-                together = materialize(together, "line-run")
                 self.settled.append(materialize(together.filter(F.col("n") >= self.min_docs), "line-settled", narrow=True))
-                merged.append(together)
                 together = together.filter(F.col("n") < self.min_docs)
             self._put(together, level + 1)
             for old in merged:
@@ -196,6 +194,7 @@ def frequent_lines(
         .groupBy("batch", "h")
         .agg(F.sum("n").alias("n"), F.min("first").alias("first")),
         "line-batches",
+        narrow=True,
     )
     runs = LineRuns(spark, min_docs, fanout, settle)
     for i in range(batches):
