@@ -425,14 +425,14 @@ def _(spark, sf):
     return A.bucket_counts(_zero(spark, sf), _TRUTH)
 
 
-@query("jon15_grid", "SELECT c AS conf_min, i AS iou_max, (SELECT count(*) FROM det WHERE conf >= c) AS n FROM (SELECT unnest([0.1, 0.25, 0.4, 0.55]) AS c) AS a, (SELECT unnest([0.3, 0.5, 0.7]) AS i) AS b")
+@query("jon15_grid", "SELECT c AS conf_min, i AS iou_max, (SELECT count(*) FROM det WHERE conf >= c) AS n FROM (SELECT CAST(unnest([0.1, 0.25, 0.4, 0.55]) AS DOUBLE) AS c) AS a, (SELECT CAST(unnest([0.3, 0.5, 0.7]) AS DOUBLE) AS i) AS b")
 def _(spark, sf):
     counts = detections(spark, sf).agg(*[F.count_if(F.col("conf") >= c).alias(f"n{j}") for j, c in enumerate((0.1, 0.25, 0.4, 0.55))])
     rows = counts.selectExpr("stack(4, 0.1D, n0, 0.25D, n1, 0.4D, n2, 0.55D, n3) AS (conf_min, n)")
     return rows.withColumn("iou_max", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7)))).select("conf_min", "iou_max", "n")
 
 
-@query("agg27_grid_average", "SELECT c AS conf_min, round((SELECT count(*) FROM det WHERE conf >= c) / (SELECT count(DISTINCT frame) FROM det), 2) AS avg_det FROM (SELECT unnest([0.1, 0.25, 0.4, 0.55]) AS c) AS a")
+@query("agg27_grid_average", "SELECT c AS conf_min, round((SELECT count(*) FROM det WHERE conf >= c) / (SELECT count(DISTINCT frame) FROM det), 2) AS avg_det FROM (SELECT CAST(unnest([0.1, 0.25, 0.4, 0.55]) AS DOUBLE) AS c) AS a")
 def _(spark, sf):
     counts = detections(spark, sf).agg(F.count_distinct("frame").alias("f"), *[F.count_if(F.col("conf") >= c).alias(f"n{j}") for j, c in enumerate((0.1, 0.25, 0.4, 0.55))])
     return counts.selectExpr("f", "stack(4, 0.1D, n0, 0.25D, n1, 0.4D, n2, 0.55D, n3) AS (conf_min, n)").selectExpr("conf_min", "round(n / f, 2) AS avg_det")
