@@ -127,3 +127,56 @@ def label_flips(rows: DataFrame) -> DataFrame:
         F.count_distinct("track_id").alias("tracks"),
         (F.count_if(F.col("before") != F.col("label")) / F.greatest(F.lit(1), F.count_distinct("track_id"))).alias("flip_rate"),
     )
+
+
+HUE = "(CASE WHEN atan2(s, c) < -1e-9 THEN atan2(s, c) + 2 * pi() ELSE abs(atan2(s, c)) END) * 90 / pi()"
+HUE_STD = "sqrt(greatest(0.0, -2 * ln(least(1.0, greatest(1e-9, sqrt(s * s + c * c)))))) * 90 / pi()"
+
+
+def pixel_stats(pixels: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """Colour feature of each key from its mask's pixels (a, b, h): means, population deviations, circular hue in [0, 180).
+
+    Keys of fewer than `least` pixels have a row of nulls; keys without pixels have none.
+    """
+    rows = pixels.groupBy(key).agg(
+        F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.stddev_pop("a").alias("std_a"), F.stddev_pop("b").alias("std_b"),
+        F.expr("avg(cos(h * pi() / 90))").alias("c"), F.expr("avg(sin(h * pi() / 90))").alias("s"),
+    )
+    rows = rows.withColumns({"hue": F.expr(HUE), "hue_std": F.expr(HUE_STD)})
+    return rows.select(key, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("mean_a", "mean_b", "std_a", "std_b", "hue", "hue_std")])
+
+
+# Green in hue, saturation and value, and the centre of an image as shares of its rows and columns.
+GREEN = "h BETWEEN 35 AND 85 AND s >= 40 AND v >= 40"
+CENTRE_ROWS, CENTRE_COLUMNS = (0.35, 0.85), (0.10, 0.90)
+
+
+def centre(height: int, width: int) -> str:
+    (y0, y1), (x0, x1) = CENTRE_ROWS, CENTRE_COLUMNS
+    return f"y >= {int(height * y0)} AND y < {int(height * y1)} AND x >= {int(width * x0)} AND x < {int(width * x1)}"
+
+
+def green_fraction(pixels: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """Share of green pixels (x, y, h, s, v) in the centre of each image; images without pixels there have no row."""
+    return pixels.filter(centre(height, width)).groupBy(key).agg((F.count_if(F.expr(GREEN)) / F.count("*")).alias("green"))
+
+
+def frame_difference(frames: DataFrame, pixels: str = "pixels") -> DataFrame:
+    """frames (clip_id, frame, pixels) with mad: mean absolute difference to the frame before; null at the first and where sizes differ."""
+    before = F.lag(pixels).over(Window.partitionBy("clip_id").orderBy("frame"))
+    diff = F.expr(f"aggregate(zip_with({pixels}, before, (a, b) -> abs(a - b)), 0D, (t, d) -> t + d) / size({pixels})")
+    rows = frames.withColumn("before", before)
+    return rows.withColumn("mad", F.when(F.size(pixels) == F.size("before"), diff)).drop("before")
+
+
+def line_up_split(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Exact 2-means of each key's numbers by prefix sums: size of the lower group and squared error; keys of one row have none."""
+    run = Window.partitionBy(key).orderBy(value, order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(key)
+    v = F.col(value)
+    sums = rows.select(
+        key, F.count("*").over(run).alias("n"), F.sum(v).over(run).alias("s"), F.sum(v * v).over(run).alias("q"),
+        F.count("*").over(whole).alias("tn"), F.sum(v).over(whole).alias("ts"), F.sum(v * v).over(whole).alias("tq"),
+    )
+    cost = F.expr("(q - s * s / n) + ((tq - q) - (ts - s) * (ts - s) / (tn - n))")
+    return sums.filter("n < tn").withColumn("cost", F.round(cost, 4)).groupBy(key).agg(F.min(F.struct("cost", "n")).alias("b")).select(key, F.col("b.n").alias("lower"), F.col("b.cost").alias("cost"))

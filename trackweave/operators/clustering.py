@@ -72,14 +72,15 @@ def split_1d(values: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def spatial_lock(y: np.ndarray, height: float) -> bool:
-    """Whether players stand in two lines: 14 of them, spread, separation and group sizes within bounds."""
+    """Whether players stand in two lines: 14 of them, and spread, distance of the groups' means and group sizes within bounds."""
     if len(y) < 14 or y.max() - y.min() > 0.6 * height:
         return False
+    spread = y.max() - y.min()
+    if spread <= 0:
+        return False
     label, _ = split_1d(y)
     a, b = y[label == 0], y[label == 1]
-    spread = max(1e-6, y.max() - y.min())
-    within = max(a.max() - a.min(), b.max() - b.min())
-    return min(len(a), len(b)) >= 5 and (b.min() - a.max()) / spread >= 0.20 and within < spread
+    return min(len(a), len(b)) >= 5 and (b.mean() - a.mean()) / spread >= 0.20
 
 
 def team_rows(det: DataFrame, valid: str, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import P, Params
+from ..sources.readers import check_dataset
 from .aggregates import gate_figures
 
 
@@ -77,3 +78,10 @@ def regression_gate(current: DataFrame, baseline: DataFrame, tolerance: float =
 
 def version_gate(model: DataFrame, version: str, fraction: float) -> DataFrame:
     return model.withColumn("ok", (F.col("feature_version") == version) & (F.col("upper_body_frac") == fraction) & F.col("scaler").isNotNull())
+
+
+def dataset_gate(text: str, task: str, images: DataFrame) -> DataFrame:
+    """One row (wrong, shared, pass): faults of the description, and stems of images (split, stem) that more than one split has."""
+    shared = images.groupBy("stem").agg(F.count_distinct("split").alias("n")).filter("n > 1").agg(F.count("*").alias("shared"))
+    wrong = check_dataset(text, task)
+    return shared.withColumn("wrong", F.lit(",".join(wrong))).withColumn("pass", (F.col("wrong") == "") & (F.col("shared") == 0))

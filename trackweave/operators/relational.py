@@ -88,3 +88,11 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     others = [c for c in rows.columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r"))
     return first.select(*keys, "r.*")
+
+
+def stale_keys(det: DataFrame) -> DataFrame:
+    """(clip_id, frame, track_id): tracks of the detection frame before that this frame hasn't, whose state goes."""
+    seen = det.select("clip_id", "frame", "track_id").distinct()
+    following = seen.select("clip_id", "frame").distinct().withColumn("next", F.lead("frame").over(Window.partitionBy("clip_id").orderBy("frame")))
+    expected = seen.join(following.filter("next IS NOT NULL"), ["clip_id", "frame"]).select("clip_id", F.col("next").alias("frame"), "track_id")
+    return expected.join(seen, ["clip_id", "frame", "track_id"], "left_anti")

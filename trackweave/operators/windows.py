@@ -78,3 +78,62 @@ def smoothed(det: DataFrame, alpha: float = P.ema) -> DataFrame:
         "h", F.collect_list(F.struct("x1", "y1")).over(Window.partitionBy("clip_id", "track_id", "island").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
     )
     return upto.withColumn("sx1", F.expr(fold("x1")).cast("long")).withColumn("sy1", F.expr(fold("y1")).cast("long")).drop("h")
+
+
+def majority(rows: DataFrame, key: str, order: list[str], label: str = "label", last: int = P.vote_window) -> DataFrame:
+    """rows with `voted`: of labels 0 and 1 the more frequent among a key's last rows, this one included; tie: the oldest of them."""
+    span = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - last, 0)
+    balance = F.sum(2 * F.col(label) - 1).over(span)
+    return rows.withColumn("voted", F.when(balance > 0, 1).when(balance < 0, 0).otherwise(F.first(label).over(span)).cast("int"))
+
+
+def tail(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
+    """The n rows of each key that come first by order."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rn") <= n).drop("rn")
+
+
+def registration(frames: DataFrame, least: int = 3) -> DataFrame:
+    """frames (clip_id, frame, fit_ok) with streak (one up for a good fit, one down for a bad or unknown one, never below 0) and valid.
+
+    A walk that is held at 0 is the free walk less its smallest value so far, so no state is needed.
+    """
+    order = Window.partitionBy("clip_id").orderBy("frame")
+    walk = frames.withColumn("walk", F.sum(F.when(F.col("fit_ok"), 1).otherwise(-1)).over(order))
+    streak = F.col("walk") - F.least(F.lit(0), F.min("walk").over(order))
+    return walk.withColumn("streak", streak).drop("walk").withColumn("valid", F.col("streak") >= least)
+
+
+def countdown(frames: DataFrame, event: str, ticks: int = 60) -> DataFrame:
+    """frames with `left`: ticks (rows) a message still shows after the last event, which begins anew at each event."""
+    order = Window.partitionBy("clip_id").orderBy("frame")
+    at = frames.withColumn("pos", F.row_number().over(order))
+    at = at.withColumn("since", F.col("pos") - F.max(F.when(F.expr(event), F.col("pos"))).over(order))
+    return at.withColumn("left", F.coalesce(F.greatest(F.lit(0), ticks - F.col("since")), F.lit(0))).drop("pos", "since")
+
+
+def refreshed(frames: DataFrame, updated: str, every: int = 30) -> DataFrame:
+    """frames with `refresh`: the first of a clip, each update, and each `every` rows since the last of these."""
+    order = Window.partitionBy("clip_id").orderBy("frame")
+    at = frames.withColumn("pos", F.row_number().over(order) - 1)
+    base = F.coalesce(F.max(F.when(F.expr(updated), F.col("pos"))).over(order), F.lit(0))
+    return at.withColumn("refresh", (F.col("pos") - base) % every == 0).drop("pos")
+
+
+def initialised(frames: DataFrame, qualifies: str, least: int = 30, every: int = 300) -> DataFrame:
+    """frames with `ready` (enough frames that qualify, this one included) and `blend` (each `every` rows after that)."""
+    order = Window.partitionBy("clip_id").orderBy("frame")
+    at = frames.withColumn("ready", F.sum(F.when(F.expr(qualifies), 1).otherwise(0)).over(order) >= least)
+    after = F.sum(F.when(F.col("ready"), 1).otherwise(0)).over(order) - 1
+    return at.withColumn("after", after).withColumn("blend", F.col("ready") & (F.col("after") > 0) & (F.col("after") % every == 0)).drop("after")
+
+
+def interpolated(det: DataFrame, flow: DataFrame, every: int) -> DataFrame:
+    """Boxes of every frame of flow (clip_id, frame, dx, dy): those of the last detected frame, moved by the frame's own flow.
+
+    Detection runs on each frame that `every` divides, where frame_age is 0 and nothing moves; elsewhere it is 1.
+    """
+    base = flow.withColumn("base", F.col("frame") - F.col("frame") % every).withColumn("frame_age", F.when(F.col("frame") == F.col("base"), 0).otherwise(1))
+    seen = det.filter(F.col("frame") % every == 0).withColumnRenamed("frame", "base")
+    rows = base.join(seen, ["clip_id", "base"])
+    moved = {c: F.col(c) + F.when(F.col("frame_age") == 1, F.col(d)).otherwise(0.0) for c, d in (("x1", "dx"), ("y1", "dy"), ("x2", "dx"), ("y2", "dy"))}
+    return rows.withColumns(moved).drop("base", "dx", "dy")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import scalars as S
 from .operators import aggregates as A
 from .operators import clustering, gates, greedy
@@ -25,12 +26,12 @@ HOMOGRAPHY = [[0.9, 0.05, 20.0], [0.02, 0.8, 15.0], [0.00001, 0.00002, 1.0]]
 FACTOR = 1.5
 
 
-def query(name: str, sql: str | None = None, features: bool = False):
+def query(name: str, sql: str | None = None, features: bool = False, recursive: bool = False):
     def keep(f):
         QUERIES[name] = f
         if sql is not None:
             body = sql.strip()
-            head = f"WITH {DET_SQL}{FEAT_SQL if features else ''}"
+            head = f"WITH {'RECURSIVE ' if recursive else ''}{DET_SQL}{FEAT_SQL if features else ''}"
             SQL[name] = head + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
         return f
 
@@ -989,3 +990,220 @@ def _(spark, sf):
 def _(spark, sf):
     rows = pass2.stitched(with_features(spark, sf))
     return A.route_metrics(rows, annotations(spark, sf), "stable_id")
+
+
+# Single figures, pixel statistics, holds and counters
+
+
+@query("src02_any_scan", "SELECT s_suppkey, s_nationkey FROM supplier")
+def _(spark, sf):
+    return readers.read_any(spark, f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey")
+
+
+@query("src09_images", "SELECT user_id AS image, count(*) AS n, sum(x2 - x1) AS width FROM det GROUP BY 1")
+def _(spark, sf):
+    rows = detections(spark, sf).selectExpr("user_id AS image", "'Helmet' AS label", "x1 AS left", "y1 AS top", "x2 - x1 AS width", "y2 - y1 AS height")
+    return readers.images_of(rows).selectExpr("image", "n", "aggregate(boxes.width, 0D, (t, w) -> t + w) AS width")
+
+
+@query("src11_source_clip", "SELECT event_id, CASE WHEN event_id % 7 > 1 THEN concat('clip', CAST(user_id AS STRING), '.mp4') END AS source FROM det")
+def _(spark, sf):
+    good = "concat('{\"source\": \"clip', CAST(user_id AS STRING), '.mp4\", \"rows\": 3}')"
+    rows = S.add(detections(spark, sf), value=f"CASE WHEN event_id % 7 = 0 THEN '{{\"source' WHEN event_id % 7 = 1 THEN '{{\"rows\": 3}}' ELSE {good} END")
+    return readers.source_clip(rows).select("event_id", "source")
+
+
+@query("src18_first_frames", "SELECT event_id FROM det WHERE frame < 30")
+def _(spark, sf):
+    return detections(spark, sf).filter("frame < 30").select("event_id")
+
+
+@query("prj30_rounded", "SELECT event_id, round_even(conf * 0.37, 4) AS rate, round_even(conf * 37, 1) AS pct FROM det")
+def _(spark, sf):
+    return detections(spark, sf).selectExpr("event_id", "bround(conf * 0.37D, 4) AS rate", "bround(conf * 37D, 1) AS pct")
+
+
+scalar("flt20_green_safeguard", {"kept": "CASE WHEN green >= 0.55 AND feat_sa + feat_sb < 15 THEN torso_px ELSE kept_px END"}, {"green": "CAST((k % 100) / 100.0 AS DOUBLE)", "kept_px": "k * 8"}, features=True)
+
+
+@query("agg02_distinct", "SELECT count(DISTINCT track_id) AS unique_tracks, count(DISTINCT frame) AS frames FROM det")
+def _(spark, sf):
+    return A.gate_figures(detections(spark, sf)).select("unique_tracks", "frames")
+
+
+@query("agg03_fallback_rate", "SELECT avg(CAST(mask_is_fallback AS DOUBLE)) AS fallback_rate FROM det")
+def _(spark, sf):
+    return A.gate_figures(detections(spark, sf)).select("fallback_rate")
+
+
+@query("agg04_fp_rate", f"SELECT count(*) FILTER (WHERE {S.GATE_FP}) / greatest(1, count(*)) AS fp_rate FROM det")
+def _(spark, sf):
+    return A.gate_figures(detections(spark, sf)).select("fp_rate")
+
+
+@query("agg07_fragmentation", """WITH f AS (SELECT count(DISTINCT track_id) AS n FROM det GROUP BY frame)
+SELECT greatest(0.0, (SELECT count(DISTINCT track_id) FROM det) / greatest(1.0, (SELECT median(n) FROM f)) - 1) AS fragmentation""")
+def _(spark, sf):
+    return A.route_metrics(detections(spark, sf)).select("fragmentation")
+
+
+@query("agg08_id_switches", """WITH d AS (SELECT DISTINCT track_id, frame FROM det), g AS (SELECT frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame) AS gap FROM d)
+SELECT count(*) FILTER (WHERE gap > 1) AS id_switches FROM g""")
+def _(spark, sf):
+    return A.route_metrics(detections(spark, sf)).select("id_switches")
+
+
+@query("agg15_area_buckets", f"""WITH a AS (SELECT *, {S.area()} AS area FROM det)
+SELECT {S.AREA_BUCKET} AS bucket, count(*) AS n, count(*) FILTER (WHERE helmet_hits > 0) AS with_helmet, count(*) FILTER (WHERE ocr_num IS NOT NULL) AS with_number FROM a GROUP BY 1""")
+def _(spark, sf):
+    rows = S.add(detections(spark, sf), area=S.area()).groupBy(F.expr(S.AREA_BUCKET).alias("bucket"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("helmet_hits") > 0).alias("with_helmet"), F.count("ocr_num").alias("with_number"))
+
+
+_PX_SQL = "px AS (SELECT vec_id, i, embedding FROM embeddings, (SELECT unnest(range(0, 21)) AS i) AS q)"
+_STATS = {c: S.rounded(c, 4) for c in ("mean_a", "mean_b", "std_a", "std_b", "hue", "hue_std")}
+
+
+def _three(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", F.explode(F.expr("sequence(0, 20)")).alias("i"))
+    return vectors.selectExpr("vec_id", "i", *[f"CAST(embedding[3 * i + {j}] AS DOUBLE) AS v{j}" for j in range(3)])
+
+
+@query("agg33_pixel_stats", f"""WITH {_PX_SQL}, t AS (SELECT vec_id, {', '.join(f'CAST(embedding[3 * i + {j + 1}] AS DOUBLE) AS v{j}' for j in range(3))} FROM px),
+m AS (SELECT vec_id, 128 + 100 * v0 AS a, 128 + 100 * v1 AS b, floor(abs(180 * v2)) % 180 AS h FROM t WHERE v2 > -0.02),
+g AS (SELECT vec_id, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, stddev_pop(a) AS std_a, stddev_pop(b) AS std_b, avg(cos(h * pi() / 90)) AS c, avg(sin(h * pi() / 90)) AS s FROM m GROUP BY 1),
+r AS (SELECT vec_id, n, mean_a, mean_b, std_a, std_b, {A.HUE} AS hue, {A.HUE_STD} AS hue_std FROM g)
+SELECT vec_id, n, {', '.join(f'CASE WHEN n >= 10 THEN {v} END AS {k}' for k, v in _STATS.items())} FROM r""")
+def _(spark, sf):
+    pixels = _three(spark, sf).filter("v2 > -0.02").selectExpr("vec_id", "128 + 100 * v0 AS a", "128 + 100 * v1 AS b", "floor(abs(180 * v2)) % 180 AS h")
+    return A.pixel_stats(pixels, "vec_id").selectExpr("vec_id", "n", *[f"{v} AS {k}" for k, v in _STATS.items()])
+
+
+@query("agg34_frame_difference", """WITH p AS (SELECT vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY vec_id % 8 ORDER BY vec_id) AS b FROM embeddings)
+SELECT vec_id, CASE WHEN b IS NOT NULL THEN round(list_sum([abs(CAST(e[i] AS DOUBLE) - CAST(b[i] AS DOUBLE)) for i in range(1, 65)]) / 64, 6) END AS mad FROM p""")
+def _(spark, sf):
+    frames = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id", "vec_id % 8 AS clip_id", "vec_id AS frame", "CAST(embedding AS array<double>) AS pixels")
+    return A.frame_difference(frames).select("vec_id", F.round("mad", 6).alias("mad"))
+
+
+@query("agg36_green_fraction", f"""WITH px AS (SELECT vec_id, i, embedding FROM embeddings, (SELECT unnest(range(0, 64)) AS i) AS q),
+t AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, floor(abs(180 * CAST(embedding[i + 1] AS DOUBLE))) % 180 AS h, (7 * i + vec_id) % 256 AS s, (11 * i) % 256 AS v FROM px)
+SELECT vec_id, count(*) FILTER (WHERE {A.GREEN}) / count(*) AS green FROM t WHERE {A.centre(8, 8)} GROUP BY 1""")
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    pixels = rows.selectExpr("vec_id", "i div 8 AS y", "i % 8 AS x", "floor(abs(180 * CAST(e AS DOUBLE))) % 180 AS h", "(7 * i + vec_id) % 256 AS s", "(11 * i) % 256 AS v")
+    return A.green_fraction(pixels, "vec_id", 8, 8)
+
+
+_MAD = "mads AS (SELECT frame, CAST(max(k) AS DOUBLE) AS mad, max(k) % 3 > 0 AS fit_ok, max(k) % 17 = 0 AS event FROM det GROUP BY 1), pos AS (SELECT *, row_number() OVER (ORDER BY frame) AS n FROM mads)"
+
+
+def _frames(spark, sf):
+    rows = detections(spark, sf).groupBy("clip_id", "frame").agg(F.max("k").alias("k"))
+    return rows.selectExpr("clip_id", "frame", "CAST(k AS DOUBLE) AS mad", "k % 3 > 0 AS fit_ok", "k % 17 = 0 AS event")
+
+
+@query("win07_cooldown_cuts", f"""WITH {_MAD}, walk(n, streak, cooldown, is_cut) AS (
+SELECT CAST(0 AS BIGINT), 0, 0, false UNION ALL
+SELECT p.n, CASE WHEN w.cooldown > 0 OR p.mad <= 45 OR w.streak = 1 THEN 0 ELSE w.streak + 1 END, CASE WHEN w.cooldown > 0 THEN w.cooldown - 1 WHEN p.mad > 45 AND w.streak = 1 THEN 60 ELSE 0 END,
+ w.cooldown = 0 AND p.mad > 45 AND w.streak = 1 FROM walk w JOIN pos p ON p.n = w.n + 1)
+SELECT frame, is_cut FROM walk JOIN pos USING (n)""", recursive=True)
+def _(spark, sf):
+    return online.cuts(_frames(spark, sf)).select("frame", "is_cut")
+
+
+@query("win09_last_velocity", f"WITH {_TRACKS} SELECT track_id, {r6('vx')} AS vx, {r6('vy')} AS vy FROM tracks", True)
+def _(spark, sf):
+    return A.track_summary(with_features(spark, sf)).selectExpr("track_id", f"{r6('vx')} AS vx", f"{r6('vy')} AS vy")
+
+
+@query("win12_majority", """WITH c AS (SELECT user_id, frame, event_id, team, sum(2 * team - 1) OVER w AS balance, first_value(team) OVER w AS oldest FROM det WHERE team IN (0, 1) AND k % 4 <> 0
+WINDOW w AS (PARTITION BY user_id ORDER BY frame, event_id ROWS 19 PRECEDING)) SELECT event_id, CASE WHEN balance > 0 THEN 1 WHEN balance < 0 THEN 0 ELSE oldest END AS voted FROM c""")
+def _(spark, sf):
+    rows = detections(spark, sf).filter("team IN (0, 1) AND k % 4 <> 0")
+    return W.majority(rows, "user_id", ["frame", "event_id"], "team").select("event_id", "voted")
+
+
+@query("srt06_last_rows", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY frame DESC, event_id) AS rn FROM det) AS q WHERE rn <= 35")
+def _(spark, sf):
+    return W.tail(detections(spark, sf), "user_id", [F.desc("frame"), "event_id"], 35).select("event_id")
+
+
+_MID = "(y1 + (y2 - y1) * (640 - x1) / (x2 - x1))"
+
+
+@query("srt09_field_lines", f"""WITH l AS (SELECT event_id, user_id, {r6(_MID)} AS y_at, (x2 - x1) >= (y2 - y1) AS flat FROM det),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, flat ORDER BY CASE WHEN flat THEN y_at ELSE 0.0 END, event_id) AS rn FROM l) SELECT event_id, flat FROM r WHERE rn <= CASE WHEN flat THEN 8 ELSE 2 END""")
+def _(spark, sf):
+    lines = detections(spark, sf).selectExpr("event_id", "user_id", f"{r6(_MID)} AS y_at", "(x2 - x1) >= (y2 - y1) AS flat")
+    flat = W.tail(lines.filter("flat"), "user_id", ["y_at", "event_id"], 8)
+    return flat.unionByName(W.tail(lines.filter("NOT flat"), "user_id", ["event_id"], 2)).select("event_id", "flat")
+
+
+@query("set03_stale_tracks", """WITH s AS (SELECT DISTINCT frame, track_id FROM det), f AS (SELECT frame, lead(frame) OVER (ORDER BY frame) AS nxt FROM (SELECT DISTINCT frame FROM det) AS q)
+SELECT f.nxt AS frame, s.track_id FROM s JOIN f USING (frame) WHERE f.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s AS t WHERE t.frame = f.nxt AND t.track_id = s.track_id)""")
+def _(spark, sf):
+    return R.stale_keys(detections(spark, sf)).select("frame", "track_id")
+
+
+@query("set05_missing_columns", "SELECT 'feat_lab6d' AS missing")
+def _(spark, sf):
+    missing = schema.missing_columns(detections(spark, sf))
+    return spark.createDataFrame([(c,) for c in missing], "missing string")
+
+
+# Classes of a helmet data set that count, and those that don't.
+HELMETS, OTHERS = ("Helmet", "Helmet-Partial", "Helmet-Blurred", "Helmet-Difficult"), ("Helmet-Sideline",)
+_KIND = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(HELMETS + OTHERS)) + " ELSE 'Ball' END"
+_COUNTED = f"label IN ({', '.join(repr(v) for v in HELMETS)})"
+
+
+@query("set08_helmet_classes", f"WITH l AS (SELECT p_partkey, {_KIND} AS label FROM part) SELECT p_partkey, label FROM l WHERE {_COUNTED}")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", f"{_KIND} AS label").filter(F.col("label").isin(*HELMETS))
+
+
+@query("str03_interpolated", """WITH fl AS (SELECT frame, CAST(max(k) % 5 AS DOUBLE) AS dx, CAST(max(k) % 3 AS DOUBLE) AS dy FROM det GROUP BY 1)
+SELECT f.frame, d.event_id, CASE WHEN f.frame % 3 = 0 THEN 0 ELSE 1 END AS frame_age, d.x1 + CASE WHEN f.frame % 3 = 0 THEN 0 ELSE dx END AS x1, d.y2 + CASE WHEN f.frame % 3 = 0 THEN 0 ELSE dy END AS y2
+FROM fl f JOIN det d ON d.frame = f.frame - f.frame % 3""")
+def _(spark, sf):
+    det = detections(spark, sf)
+    flow = det.groupBy("clip_id", "frame").agg((F.max("k") % 5).cast("double").alias("dx"), (F.max("k") % 3).cast("double").alias("dy"))
+    return W.interpolated(det, flow, 3).select("frame", "event_id", "frame_age", "x1", "y2")
+
+
+@query("str04_mask_refresh", f"WITH {_MAD}, b AS (SELECT *, coalesce(max(CASE WHEN event THEN n END) OVER (ORDER BY frame), 1) AS base FROM pos) SELECT frame, (n - base) % 30 = 0 AS refresh FROM b")
+def _(spark, sf):
+    return W.refreshed(_frames(spark, sf), "event").select("frame", "refresh")
+
+
+@query("str15_cached_labels", """WITH r AS (SELECT *, CASE WHEN k % 3 = 0 THEN team END AS locked, CASE WHEN k % 5 > 1 THEN 1 - team END AS held FROM det)
+SELECT event_id, coalesce(locked, held, CASE WHEN k % 2 = 0 THEN 1 END, -1) AS label FROM r""")
+def _(spark, sf):
+    rows = detections(spark, sf).selectExpr("event_id", "CASE WHEN k % 3 = 0 THEN team END AS locked", "CASE WHEN k % 5 > 1 THEN 1 - team END AS last", "CASE WHEN k % 2 = 0 THEN 1 END AS voted")
+    return rows.select("event_id", F.coalesce("locked", "last", "voted", F.lit(-1)).alias("label"))
+
+
+@query("str16_hsv_start", f"""WITH {_MAD}, r AS (SELECT *, count(*) FILTER (WHERE fit_ok) OVER (ORDER BY frame) >= 30 AS ready FROM pos), a AS (SELECT *, count(*) FILTER (WHERE ready) OVER (ORDER BY frame) - 1 AS after FROM r)
+SELECT frame, ready, ready AND after > 0 AND after % 300 = 0 AS blend FROM a""")
+def _(spark, sf):
+    return W.initialised(_frames(spark, sf), "fit_ok").select("frame", "ready", "blend")
+
+
+@query("str17_registration", f"""WITH {_MAD}, s AS (SELECT frame, sum(CASE WHEN fit_ok THEN 1 ELSE -1 END) OVER (ORDER BY frame) AS walk FROM pos),
+m AS (SELECT frame, walk - least(0, min(walk) OVER (ORDER BY frame)) AS streak FROM s) SELECT frame, CAST(streak AS BIGINT) AS streak, streak >= 3 AS valid FROM m""")
+def _(spark, sf):
+    return W.registration(_frames(spark, sf)).select("frame", "streak", "valid")
+
+
+@query("str20_message", f"WITH {_MAD}, b AS (SELECT frame, n - max(CASE WHEN event THEN n END) OVER (ORDER BY frame) AS since FROM pos) SELECT frame, coalesce(greatest(0, 60 - since), 0) AS ticks FROM b")
+def _(spark, sf):
+    return W.countdown(_frames(spark, sf), "event").select("frame", F.col("left").alias("ticks"))
+
+
+@query("mlc07_line_up_split", """WITH o AS (SELECT frame, y2, count(*) OVER r AS n, sum(y2) OVER r AS s, sum(y2 * y2) OVER r AS q, count(*) OVER w AS tn, sum(y2) OVER w AS ts, sum(y2 * y2) OVER w AS tq FROM det
+WINDOW r AS (PARTITION BY frame ORDER BY y2, event_id ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY frame)),
+c AS (SELECT frame, n, round((q - s * s / n) + ((tq - q) - (ts - s) * (ts - s) / (tn - n)), 4) AS cost FROM o WHERE n < tn),
+b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY cost, n) AS rn FROM c) SELECT frame, n AS lower, cost FROM b WHERE rn = 1""")
+def _(spark, sf):
+    return A.line_up_split(detections(spark, sf), "frame", "y2", "event_id")

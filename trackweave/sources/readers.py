@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import truncated
-from ..schema import ANNOTATIONS, IR, ZERODET
+from ..schema import ANNOTATIONS, HOMOGRAPHY, IR, ZERODET
 
 
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -95,3 +97,61 @@ def class_zero(lines: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "rn") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
+def read_homography(spark: SparkSession, path: str) -> DataFrame:
+    """H and the template's size, 1200 by 533 where the file has none."""
+    rows = spark.read.schema(HOMOGRAPHY).option("multiLine", True).json(path)
+    return rows.withColumns({"template_w": F.coalesce("template_w", F.lit(1200)), "template_h": F.coalesce("template_h", F.lit(533))})
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """A calibration row as save_model writes it."""
+    return spark.read.json(path)
+
+
+def source_clip(rows: DataFrame, text: str = "value", out: str = "source") -> DataFrame:
+    """rows with the clip's path from a side-car's JSON text; broken JSON or a missing path gives null."""
+    return rows.withColumn(out, F.from_json(text, "source string", {"mode": "PERMISSIVE"})["source"])
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Metrics of a report: its first row."""
+    return read_any(spark, path).limit(1)
+
+
+def images_of(rows: DataFrame) -> DataFrame:
+    """Boxes (image, label, left, width, top, height) gathered for each image; an empty table raises ValueError."""
+    if rows.isEmpty():
+        raise ValueError("no annotations")
+    return rows.groupBy("image").agg(F.count("*").alias("n"), F.collect_list(F.struct("label", "left", "top", "width", "height")).alias("boxes"))
+
+
+def read_frames(spark: SparkSession, path: str, suffix: str = "png") -> DataFrame:
+    """(clip_id, frame, content) of image files <clip>/<number>.<suffix>; first frames and single frames are filters."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("clip_id"), F.regexp_extract("path", r"(\d+)\.[^./]+$", 1).cast("long").alias("frame"), "content")
+
+
+def split_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Folders under path that have files in both images/ and labels/; file contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    parts = files.select(F.regexp_extract("path", "([^/]+)/(images|labels)/[^/]+$", 1).alias("split"), F.regexp_extract("path", "/(images|labels)/[^/]+$", 1).alias("kind"))
+    return parts.filter("kind <> ''").groupBy("split").agg(F.count_distinct("kind").alias("n")).filter("n = 2").select("split")
+
+
+# Class names that a dataset of a task may have.
+TASKS = {"seg": {"player"}, "helmet": {"helmet"}}
+
+
+def check_dataset(text: str, task: str) -> list[str]:
+    """What is wrong with a dataset description (flat YAML: nc, names as a list or a map) for a task of one class."""
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task!r}")
+    count = re.search(r"^nc:\s*(\d+)\s*$", text, re.M)
+    inline = re.search(r"^names:\s*[\[{](.*?)[\]}]", text, re.M | re.S)
+    block = re.search(r"^names:\s*\n((?:[ \t-]+.*\n?)+)", text, re.M)
+    items = inline.group(1).split(",") if inline else block.group(1).splitlines() if block else []
+    names = {re.sub(r"^\s*(-|\d+:)?\s*", "", n).strip(" '\"").lower() for n in items} - {""}
+    wrong = [] if count and int(count.group(1)) == 1 else ["nc"]
+    return wrong if names & TASKS[task] else [*wrong, "names"]

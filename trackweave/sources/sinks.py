@@ -42,3 +42,15 @@ def write_labels(df: DataFrame, path: str) -> None:
 def save_model(spark: SparkSession, row: dict, path: str) -> None:
     """A calibration as one JSON row; never a pickle."""
     spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
+    """Appends a streaming DataFrame to files of a format (json, csv, parquet); returns the running query."""
+    rows = csv_ready(df) if fmt == "csv" else df
+    return rows.writeStream.format(fmt).option("header", True).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def dataset_text(train: str, val: str, names: list[str]) -> str:
+    """A dataset description as flat YAML."""
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"train: {train}\nval: {val}\nnc: {len(names)}\nnames: [{listed}]\n"
