@@ -160,9 +160,15 @@ def test_votes():
     online.vote(track, 1, 5.0, 1.0, 100.0, False, rule)
     assert track["lock"] == 1
     assert [online.vote(track, 0, 1.0, 9.0, 100.0, False, rule) for _ in range(5)] == [1] * 5
-    assert online.vote(track, 1, 5.0, 1.0, 300.0, False, rule) == 1 and track["against"] == 5  # frozen
-    online.vote(track, 0, 1.0, 9.0, 100.0, False, rule)
-    assert track["lock"] is None
+    assert online.vote(track, 0, 1.0, 9.0, 900.0, False, rule) == 1 and track["against"] == 0  # frozen
+    assert [online.vote(track, 0, 1.0, 9.0, 100.0, False, rule) for _ in range(6)] == [1] * 5 + [0]
+    assert track["lock"] is None and track["votes"].count(0) == 12
+    mixed = {}
+    for label in [0] * 10 + [1] * 10:
+        mixed.setdefault("lock", None)
+        last = online.vote(mixed, label, 5.0, 1.0, 0.0, False, (1.2, 99.0, 11))
+    assert last == 0 and mixed["lock"] is None  # a tie goes to the label seen first
+    assert online.vote({}, 1, 1.0, 1.0, 0.0, False, rule) == -1
     assert online.crowded([0, 0, 10, 10], [[0, 0, 10, 10]]) is False and online.crowded([0, 0, 10, 10], [[20, 0, 30, 10]]) is True
 
 

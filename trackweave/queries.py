@@ -17,7 +17,7 @@ from .params import P
 from .plans import pass2
 from .sources import readers
 from .sources.fixture import DET_SQL, FEAT_SQL, FRAME_H, FRAME_W, detections, with_features
-from .streaming import online
+from .streaming import online, teams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1207,3 +1207,36 @@ c AS (SELECT frame, n, round((q - s * s / n) + ((tq - q) - (ts - s) * (ts - s) /
 b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY cost, n) AS rn FROM c) SELECT frame, n AS lower, cost FROM b WHERE rn = 1""")
 def _(spark, sf):
     return A.line_up_split(detections(spark, sf), "frame", "y2", "event_id")
+
+
+def team_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of the team labels by clip (here a clip for each 16th of the users), with a row for frames without detections."""
+    rows = S.add(with_features(spark, sf), margin="0.0D", locked="false")
+    rows = rows.selectExpr(
+        "concat('u', user_id % 16) AS clip_id", "frame", "track_id", "x1", "y1", "x2", "y2", "conf", "torso_px", "k * 5 AS upper_px",
+        "CAST((event_id % 50) / 100.0D AS DOUBLE) AS field_overlap", "helmet_hits > 0 AS helmet", f"{S.REFEREE} AS referee", "CAST(NULL AS DOUBLE) AS field_y", *clustering.FEATURES, "is_cut_frame",
+    )
+    clips = rows.groupBy("clip_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("clip_id", F.explode(F.sequence("a", "b")).alias("frame"))
+    cut = rows.groupBy("clip_id", "frame").agg(F.max("is_cut_frame").alias("is_cut"))
+    return clips.join(cut, ["clip_id", "frame"], "left").join(rows.drop("is_cut_frame"), ["clip_id", "frame"], "left")
+
+
+@query("str09_team_states")
+def _(spark, sf):
+    return teams.batch(team_frames(spark, sf))
+
+
+@query("str10_warmup_refusals")
+def _(spark, sf):
+    return teams.batch(team_frames(spark, sf)).filter("reason IS NOT NULL").groupBy("clip_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("str18_homographies")
+def _(spark, sf):
+    rows = _frames(spark, sf).selectExpr("clip_id", "frame", "array(1D, 0D, mad % 7 - 3, 0D, 1D, mad % 5 - 2) AS m", "CAST(mad AS INT) % 20 AS inliers")
+    return teams.homographies(rows, HOMOGRAPHY).select("frame", *[F.round(F.col("h")[i], 6).alias(f"h{i}") for i in range(9)])
+
+
+@query("str19_label_figures")
+def _(spark, sf):
+    return teams.figures(teams.batch(team_frames(spark, sf)))

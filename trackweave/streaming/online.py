@@ -21,7 +21,7 @@ _BOX = ("x1", "y1", "x2", "y2")
 
 
 def new_state() -> dict:
-    return {"last": None, "dropped": 0, "streak": 0, "cooldown": 0, "field": 0, "tracks": {}}
+    return {"last": None, "dropped": 0, "streak": 0, "cooldown": 0, "field": 0, "tracks": {}, "votes": {}}
 
 
 def cut(state: dict, mad: float | None, p: Params = P) -> bool:
@@ -66,27 +66,39 @@ def margins(distance: float, warmup: bool = False) -> tuple[float, float, int]:
 
 
 def vote(track: dict, label: int, d0: float, d1: float, area: float, crowded: bool, rule: tuple[float, float, int], p: Params = P) -> int:
-    """The label of a track after one more observation; -1 without confident votes."""
+    """The label of a track after one more observation: the locked one, else the majority (ties: seen first), else the last, else -1.
+
+    An area of 0 is unknown. A mask far beyond its mean still votes but can't speak against a lock, and ends a run that does.
+    """
     confident, escape, lock = rule
-    mean = track["area"] = 0.9 * track["area"] + 0.1 * area if "area" in track else area
+    if area > 0:
+        track["area"] = 0.9 * track["area"] + 0.1 * area if "area" in track else area
     votes, locked = track.setdefault("votes", []), track.get("lock")
-    majority = lambda: max(Counter(votes).items(), key=lambda kv: (kv[1], -votes.index(kv[0])))[0] if votes else -1
-    if area > 2 * mean:
-        return locked if locked is not None else majority()
-    sure = abs(d0 - d1) >= confident
+    margin = abs(d0 - d1)
+    sure = margin >= confident
     if sure:
         votes.append(label)
         del votes[: -p.vote_window]
+        track["last"] = label
     if locked is not None:
-        against = sure and label != locked and abs(d0 - d1) >= escape
+        frozen = area > 0 and area > 2 * track["area"]
+        against = sure and label != locked and margin >= escape and not frozen
         track["against"] = track.get("against", 0) + 1 if against else 0
         if track["against"] < (20 if crowded else 6):
             return locked
         track["lock"], track["against"] = None, 0
-    if len(votes) >= lock and len(set(votes[-lock:])) == 1:
-        track["lock"], track["against"] = votes[-1], 0
-        return votes[-1]
-    return majority()
+        return majority(track)
+    if sure and len(votes) >= lock and len(set(votes[-lock:])) == 1:
+        track["lock"] = label
+    voted = majority(track)
+    if voted >= 0:
+        track["last"] = voted
+    return voted
+
+
+def majority(track: dict) -> int:
+    votes = track.get("votes")
+    return max(Counter(votes).items(), key=lambda kv: (kv[1], -votes.index(kv[0])))[0] if votes else track.get("last", -1)
 
 
 def crowded(box: list[float], others: list[list[float]], p: Params = P) -> bool:
@@ -96,7 +108,7 @@ def crowded(box: list[float], others: list[list[float]], p: Params = P) -> bool:
 
 
 def step(state: dict, clip_id: str, frame: int, rows: list[dict], p: Params = P) -> list[tuple]:
-    """Processes a frame: cut, registration, then each detection; tracks that are absent lose their state."""
+    """Processes a frame: cut, registration, then each detection; absent tracks lose their box and helmet state, but not their votes."""
     if state["last"] is not None and frame <= state["last"]:
         state["dropped"] += len(rows)
         return []
@@ -114,7 +126,7 @@ def step(state: dict, clip_id: str, frame: int, rows: list[dict], p: Params = P)
         track = kept[key] = state["tracks"].get(key, {})
         smoothed = smooth(track, box, p)
         ok = helmet(track, r["helmet_hits"] > 0, p)
-        label = vote(track, int(r["label"]), r["dist0"], r["dist1"], float(r["torso_px"]), crowded(box, boxes, p), margins(10.0), p)
+        label = vote(state["votes"].setdefault(key, {}), int(r["label"]), r["dist0"], r["dist1"], float(r["torso_px"]), crowded(box, boxes, p), margins(10.0), p)
         out.append((clip_id, frame, r["track_id"], *smoothed, ok, label, is_cut, valid, state["dropped"]))
     state["tracks"] = kept
     return out
