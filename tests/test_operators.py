@@ -232,3 +232,21 @@ def test_pass2_is_stable_under_row_order(spark, sf):
     det = with_features(spark, sf)
     rows = lambda d: sorted(map(repr, pass2.analyse(d, HOMOGRAPHY, 1.5).select("event_id", "stable_id", "team", "t_from_snap").collect()))
     assert rows(det) == rows(det.orderBy("event_id", ascending=False).repartition(7))
+
+
+def test_clips_are_apart(spark, sf):
+    one = with_features(spark, sf).filter("frame < 300").cache()
+    two = one.selectExpr("'other' AS clip_id", "CASE WHEN ocr_num IS NULL THEN NULL ELSE 99 - ocr_num END AS ocr_num", "128 + (feat_a - 128) / 2 AS feat_a", *[c for c in one.columns if c not in ("clip_id", "ocr_num", "feat_a")])
+    pick = lambda d: sorted(map(repr, pass2.analyse(d, HOMOGRAPHY, 1.5).select("clip_id", "event_id", "stable_id", "team", "jersey_number", "t_from_snap").collect()))
+    assert pick(one.unionByName(two)) == sorted(pick(one) + pick(two))
+
+
+def test_teams_by_brightness(spark, sf):
+    det = with_features(spark, sf)
+    rows = lambda d: sorted(map(tuple, d.select("event_id", "team").collect()))
+    flat = det.select("clip_id", "frame").distinct().selectExpr("*", "50.0D AS lum")
+    assert rows(pass2.assign_teams(det, luminance=flat)) == rows(pass2.assign_teams(det)) == rows(pass2.assign_teams(det, luminance=flat.limit(0)))
+    bright = relational.of_segment(det).select("clip_id", "frame", "segment").distinct().selectExpr("clip_id", "frame", "40.0D * segment AS lum")
+    assert rows(pass2.assign_teams(det, luminance=bright)) == rows(pass2.assign_teams(det, by_segment=True))
+    few = det.orderBy("event_id").limit(5)
+    assert rows(pass2.assign_teams(few)) == rows(few)

@@ -25,19 +25,25 @@ def gate_figures(det: DataFrame) -> DataFrame:
     return rows.join(frames, F.lit(True))  # one row each
 
 
-def mode_vote(rows: DataFrame, key: str, label: str, out: str = "team") -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def mode_vote(rows: DataFrame, key: str | list[str], label: str, out: str = "team") -> DataFrame:
     """The label that most rows of a key have; ties: the smallest."""
-    counts = rows.filter(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.max_by(label, F.struct("n", -F.col(label))).alias(out))
+    keys = _keys(key)
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.max_by(label, F.struct("n", -F.col(label))).alias(out))
 
 
-def number_vote(det: DataFrame, key: str = "track_id", least: float = P.ocr_min) -> DataFrame:
+def number_vote(det: DataFrame, key: str | list[str] = "track_id", least: float = P.ocr_min) -> DataFrame:
     """The number with the most confidence of a key (ties: seen first); keys without a vote have null."""
-    votes = det.filter(f"ocr_conf >= {least} AND ocr_num BETWEEN 0 AND 99").groupBy(key, "ocr_num").agg(
+    keys = _keys(key)
+    votes = det.filter(f"ocr_conf >= {least} AND ocr_num BETWEEN 0 AND 99").groupBy(*keys, "ocr_num").agg(
         F.sum("ocr_conf").alias("s"), F.min(F.struct("frame", "event_id")).alias("seen")
     )
-    ranked = votes.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("s", 6)), "seen")))
-    return det.select(key).distinct().join(ranked.filter("rn = 1").select(key, F.col("ocr_num").alias("jersey_number")), key, "left")
+    ranked = votes.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("s", 6)), "seen")))
+    return det.select(*keys).distinct().join(ranked.filter("rn = 1").select(*keys, F.col("ocr_num").alias("jersey_number")), keys, "left")
 
 
 def track_summary(det: DataFrame) -> DataFrame:
@@ -62,9 +68,9 @@ def track_summary(det: DataFrame) -> DataFrame:
         F.median("feat_a").alias("ab_a"),
         F.median("feat_b").alias("ab_b"),
     )
-    team = mode_vote(det.filter("team >= 0"), "track_id", "team")
-    number = mode_vote(det.filter(f"ocr_conf >= {P.ocr_min} AND ocr_num IS NOT NULL"), "track_id", "ocr_num", "ocr")
-    rows = spans.join(tails, key).join(team, "track_id", "left").join(number, "track_id", "left")
+    team = mode_vote(det.filter("team >= 0"), key, "team")
+    number = mode_vote(det.filter(f"ocr_conf >= {P.ocr_min} AND ocr_num IS NOT NULL"), key, "ocr_num", "ocr")
+    rows = spans.join(tails, key).join(team, key, "left").join(number, key, "left")
     return rows.select(
         *key, "start", "end", F.col("head.fx").alias("head_x"), F.col("head.fy").alias("head_y"), F.col("tail.fx").alias("tail_x"),
         F.col("tail.fy").alias("tail_y"), "vx", "vy", F.coalesce("team", F.lit(-1)).alias("team"), "ocr", "ab_a", "ab_b",

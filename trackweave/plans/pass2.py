@@ -10,19 +10,33 @@ from ..operators import aggregates, clustering, greedy, relational, windows
 from ..params import P, Params
 
 
-def assign_teams(det: DataFrame, by_segment: bool = False) -> DataFrame:
-    """det with team from clustering: a track's valid rows vote, ties to the smaller team; -1 without votes.
+def brightness_split(det: DataFrame, luminance: DataFrame, delta: float = P.brightness_delta) -> DataFrame:
+    """(clip_id, split): whether the mean luminance (clip_id, frame, lum) of a clip's segments differs by more than delta.
 
-    by_segment: clusters each segment between cuts; the vote of a track's last segment holds for all its rows.
+    Frames without detections and frames without luminance don't count; a clip of fewer than two known segments isn't split.
     """
-    if not by_segment:
-        votes = aggregates.mode_vote(clustering.team_rows(det, VALID_FEATURE), "track_id", "det_team", "voted")
+    frames = relational.of_segment(det).select("clip_id", "frame", "segment").distinct().join(luminance, ["clip_id", "frame"])
+    means = frames.groupBy("clip_id", "segment").agg(F.avg("lum").alias("lum")).filter("lum IS NOT NULL")
+    return means.groupBy("clip_id").agg(((F.count("*") >= 2) & (F.max("lum") - F.min("lum") > delta)).alias("split"))
+
+
+def assign_teams(det: DataFrame, by_segment: bool = False, luminance: DataFrame | None = None) -> DataFrame:
+    """det with team from clustering: a track's valid rows vote, ties to the smaller team; without votes the team it had, else -1.
+
+    by_segment: clusters each segment between cuts; the vote of a track's last segment holds for all its rows. With
+    luminance (clip_id, frame, lum) only clips whose brightness changes are clustered by segment, the others whole.
+    """
+    if luminance is not None:
+        flags = brightness_split(det, luminance)
+        parts = relational.of_segment(det).join(flags, "clip_id", "left").withColumn("segment", F.when(F.col("split"), F.col("segment")).otherwise(0)).drop("split")
+    elif by_segment:
+        parts = relational.of_segment(det)
     else:
-        rows = clustering.team_rows(relational.of_segment(det), VALID_FEATURE, ["clip_id", "segment"])
-        counts = rows.groupBy("track_id", "segment", "det_team").agg(F.count("*").alias("n"))
-        each = counts.groupBy("track_id", "segment").agg(F.max_by("det_team", F.struct("n", -F.col("det_team"))).alias("t"))
-        votes = each.groupBy("track_id").agg(F.max_by("t", "segment").alias("voted"))
-    return det.drop("team").join(votes, "track_id", "left").withColumn("team", F.coalesce("voted", F.lit(-1)).cast("int")).drop("voted")
+        parts = det.withColumn("segment", F.lit(0).cast("long"))
+    rows = clustering.team_rows(parts, VALID_FEATURE, ["clip_id", "segment"])
+    each = aggregates.mode_vote(rows, ["clip_id", "track_id", "segment"], "det_team", "t")
+    votes = each.groupBy("clip_id", "track_id").agg(F.max_by("t", "segment").alias("voted"))
+    return det.join(votes, ["clip_id", "track_id"], "left").withColumn("team", F.coalesce("voted", "team", F.lit(-1)).cast("int")).drop("voted")
 
 
 def stitched(det: DataFrame, p: Params = P) -> DataFrame:
@@ -35,9 +49,10 @@ def stitched(det: DataFrame, p: Params = P) -> DataFrame:
 def analyse(det: DataFrame, homography: list[list[float]] | None = None, factor: float = P.jump_factor) -> DataFrame:
     """Routes: rows from the snap on, with stable_id, team, jersey_number, court_x, court_y, t_from_snap."""
     rows = stitched(assign_teams(det))
-    teams = aggregates.mode_vote(rows.filter("team >= 0"), "stable_id", "team", "voted")
-    numbers = aggregates.number_vote(rows, "stable_id")
-    rows = rows.drop("team").join(teams, "stable_id", "left").join(numbers, "stable_id", "left")
+    key = ["clip_id", "stable_id"]
+    teams = aggregates.mode_vote(rows.filter("team >= 0"), key, "team", "voted")
+    numbers = aggregates.number_vote(rows, key)
+    rows = rows.drop("team").join(teams, key, "left").join(numbers, key, "left")
     rows = rows.withColumn("team", F.coalesce("voted", F.lit(-1))).drop("voted")
     if homography:
         x, y = projected(homography)

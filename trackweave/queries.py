@@ -934,6 +934,13 @@ def _(spark, sf):
     return pass2.assign_teams(with_features(spark, sf), by_segment=True).select("event_id", "team")
 
 
+@query("mlc06_brightness_teams")
+def _(spark, sf):
+    det = with_features(spark, sf)
+    luminance = det.groupBy("clip_id", "frame").agg(F.avg(F.expr("torso_px % 200")).alias("lum"))
+    return pass2.assign_teams(det, luminance=luminance).select("event_id", "team")
+
+
 _C = [[128.0, 128.0, 4.0, 4.0, 60.0, 4.0], [130.0, 126.0, 5.0, 5.0, 90.0, 5.0]]
 _D = [f"sqrt({' + '.join(f'power({c} - {v}, 2)' for c, v in zip(clustering.FEATURES, centre))})" for centre in _C]
 
@@ -1196,9 +1203,9 @@ def _(spark, sf):
     return W.registration(_frames(spark, sf)).select("frame", "streak", "valid")
 
 
-@query("str20_message", f"WITH {_MAD}, b AS (SELECT frame, n - max(CASE WHEN event THEN n END) OVER (ORDER BY frame) AS since FROM pos) SELECT frame, coalesce(greatest(0, 60 - since), 0) AS ticks FROM b")
+@query("str20_message", f"WITH {_MAD}, b AS (SELECT frame, n - max(CASE WHEN event THEN n END) OVER (ORDER BY frame) AS since FROM pos) SELECT frame, CAST(coalesce(greatest(0, 60 - since), 0) AS BIGINT) AS ticks FROM b")
 def _(spark, sf):
-    return W.countdown(_frames(spark, sf), "event").select("frame", F.col("left").alias("ticks"))
+    return W.countdown(_frames(spark, sf), "event").select("frame", F.col("left").cast("long").alias("ticks"))
 
 
 @query("mlc07_line_up_split", """WITH o AS (SELECT frame, y2, count(*) OVER r AS n, sum(y2) OVER r AS s, sum(y2 * y2) OVER r AS q, count(*) OVER w AS tn, sum(y2) OVER w AS ts, sum(y2 * y2) OVER w AS tq FROM det
