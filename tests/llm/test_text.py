@@ -250,6 +250,29 @@ def test_host_suffix_array(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_passage_on_two_pages_of_many_shards(spark):
+    unique = [" ".join(f"u{i}x{j}" for j in range(30)) for i in range(40)]
+    notice = [" ".join(f"n{i}y{j}" for j in range(8)) for i in range(20)]
+    rows = [(i, f"https://h.example/{i}", f"<p>{unique[i]}</p><p>{notice[i % 20]}</p>") for i in range(40)]
+    rows += [(40, "https://h.example/s", "<p>Autumn sale</p><p>once only</p>"), (41, "https://h.example/t", "<p>our Autumn sale has begun</p>")]
+    rows += [(42, "https://g.example/", f"<p>{notice[0]}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = dict(enumerate(unique)) | {40: "once only", 41: "our Autumn sale has begun", 42: notice[0]}
+    for shard in (512, 4, 1):
+        assert {r.page_id: r.text for r in htmltext.main_text(df, shard_pages=shard).collect()} == want
+
+
+def test_shared_hashes_match_one_array():
+    rng = np.random.default_rng(11)
+    pages = [[" ".join(rng.choice(list("abcd"), int(rng.integers(1, 14)))) for _ in range(int(rng.integers(1, 4)))] for _ in range(24)]
+    shards = [pages[:8], pages[8:16], pages[16:]]
+    runs = [htmltext.run_hashes(x, 4) for x in shards]
+    found, times = np.unique(np.concatenate([keys for keys, _ in runs]), return_counts=True)
+    got = [x for part, (keys, asked) in zip(shards, runs) for x in htmltext.repeated_blocks(part, 4, 0.9, keys[asked & np.isin(keys, found[times > 1])])]
+    assert got == htmltext.repeated_blocks(pages, 4, 0.9)
+    assert got != [x for part in shards for x in htmltext.repeated_blocks(part, 4, 0.9)]
+
+
 def test_suffix_array():
     rng = np.random.default_rng(8)
     tokens = rng.integers(0, 3, 200)
