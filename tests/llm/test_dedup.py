@@ -105,6 +105,15 @@ def test_similar_groups(spark, documents, options):
     assert 10 < sum(i != c for i, c in want.items() if i >= 1000) < 125
 
 
+def test_short_similar_pairs_are_not_lost(spark):
+    rows = []
+    for i in range(2000):  # 4 against 5 shingles: at 0.8 just similar, with the widest spread of fingerprints
+        text = " ".join(f"w{i}x{j}" for j in range(8))
+        rows += [(2 * i, text), (2 * i + 1, text + " more")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_similar_copies_go(spark, odd):
     kept = simhash.dedup_similar(odd)
     assert kept.columns == odd.columns

@@ -3,7 +3,7 @@
 Fingerprints are compared inside blocks. For small radii the blocks are exact: the bits are cut into radius + 2
 parts, and two fingerprints within the radius agree in two parts at least, so each pair of parts is a key. For a
 word-shingle similarity the radius is too wide for that; there, documents meet that share a smallest shingle under
-one of several hash orders, the bit-sliced distance (128 bits) drops strangers, and exact shingle sets decide.
+one of several hash orders, the bit-sliced distance (384 bits) drops strangers, and exact shingle sets decide.
 
 Equal fingerprints, or equal word sequences, are one node from the start. A key that more than `block` nodes share
 is dealt out as pairs of blocks, so no task holds more than two blocks, and a task returns a spanning forest of
@@ -27,8 +27,11 @@ from .components import connected_components
 BLOCK = 4096
 #: Hash orders for blocking: a pair of similarity 0.8 shares no smallest shingle with probability 0.2 ** 12 (4e-9).
 ORDERS = 12
-#: Of 128 bits; at similarity 0.8 the distance is about 19 with a deviation of 4.
-SIMILAR_RADIUS = 36
+#: Words of a fingerprint for similarity. At 0.8 the distance is 72 of its 384 bits with a deviation of 7.6 at most (4
+#: against 5 shingles), so a pair is beyond the radius with probability 3e-9: less than the hash orders lose. Fewer bits
+#: would need a radius so wide that strangers link, and whole clusters of them go to verification.
+PRINTS = [f"f{i}" for i in range(6)]
+SIMILAR_RADIUS = 119
 #: Shingles of a block in exact verification, and its documents.
 SET_BLOCK, DOC_BLOCK = 1_000_000, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -233,26 +236,24 @@ def _signatures(size: int, orders: int):
         import xxhash
 
         for part in parts:
-            digests, f1, f2, counts, mins = [], [], [], [], []
+            digests, prints, counts, mins = [], [], [], []
             for text in text_bytes(part.column(1)):
                 ws = words_of(text)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(ws)))
                 h = np.unique(shingle_hashes(ws, size))
                 counts.append(len(h))
-                f1.append(majority(h))
-                f2.append(majority(_mixed(h, 99)))
+                prints.append([majority(h), *(majority(_mixed(h, 99 + k)) for k in range(len(PRINTS) - 1))])
                 mins.append([int(_mixed(h, k).min().view(np.int64)) for k in range(orders)] if len(h) else [0] * orders)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(2),
                     pa.array(digests, pa.binary()),
-                    pa.array(np.array(f1, np.uint64).view(np.int64)),
-                    pa.array(np.array(f2, np.uint64).view(np.int64)),
+                    *(pa.array(x) for x in np.array(prints, np.uint64).reshape(-1, len(PRINTS)).T.copy().view(np.int64)),
                     pa.array(counts, pa.int64()),
                     pa.array(mins, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "th", "digest", "f1", "f2", "n", "mins"],
+                names=["doc_id", "th", "digest", *PRINTS, "n", "mins"],
             )
 
     return run
@@ -352,7 +353,8 @@ def similar_groups(
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     marked = materialize(
         read.mapInArrow(
-            trimmed(_signatures(words, orders)), f"doc_id {kind}, th long, digest binary, f1 long, f2 long, n long, mins array<long>"
+            trimmed(_signatures(words, orders)),
+            f"doc_id {kind}, th long, digest binary, {', '.join(f'{x} long' for x in PRINTS)}, n long, mins array<long>",
         ),
         "similar",
     )
@@ -361,15 +363,15 @@ def similar_groups(
         .agg(
             F.min("doc_id").alias("rep"),
             F.expr("min_by(th, struct(doc_id IS NULL, doc_id, th))").alias("rep_th"),
-            F.first(F.struct("f1", "f2", "n", "mins")).alias("x"),
+            F.first(F.struct(*PRINTS, "n", "mins")).alias("x"),
         )
         .select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "rep_th", "x.*"),
         "similar-nodes",
         narrow=True,
     )
-    keyed = nodes.filter("n > 0").select("node", "f1", "f2", F.posexplode("mins").alias("order", "least"))
-    keyed = keyed.select("node", "f1", "f2", F.xxhash64("order", "least").alias("key"))
-    loose = materialize(connected_components(close_links(keyed, radius, ["f1", "f2"], block)), "similar-loose", narrow=True)
+    keyed = nodes.filter("n > 0").select("node", *PRINTS, F.posexplode("mins").alias("order", "least"))
+    keyed = keyed.select("node", *PRINTS, F.xxhash64("order", "least").alias("key"))
+    loose = materialize(connected_components(close_links(keyed, radius, PRINTS, block)), "similar-loose", narrow=True)
     members = nodes.join(loose, "node").select("node", F.col("component").alias("cluster"), "digest", "rep", "rep_th", "n")
     members = materialize(members, "similar-members", narrow=True)
     n_members = members.count()
