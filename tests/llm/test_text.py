@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -153,6 +154,18 @@ def test_licences(spark, odd):
     assert licences.scan_licences(odd).count() == 12 and licences.scan_licences(odd.limit(0)).count() == 0
 
 
+def test_long_licences(spark):
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not all(os.path.exists(f"{folder}/{f}") for f in files):
+        pytest.skip("no common licences here")
+    texts = {f: open(f"{folder}/{f}", encoding="utf-8").read() for f in files}
+    rows = [(f, t) for f, t in texts.items()] + [("cut", texts["GPL-2"].partition("END OF TERMS")[0]), ("more", texts["GPL-2"] + "more")]
+    got = {r.doc_id: (r.licence_id, r.restricted) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    free = ("Apache-2.0", "CC0-1.0")
+    assert got == {f: (i, f not in free) for f, i in files.items()} | {"cut": ("GPL-2.0", True), "more": (None, False)}
+
+
 def test_licences_run_no_python(spark, odd):
     plan = licences.scan_licences(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

@@ -128,3 +128,45 @@ LICENCES: dict[str, list[str]] = {
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under CC BY-NC-SA 4.0."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
+
+#: Canonical digests of entire texts that are too long to keep here: as published, for some also without the appendix on
+#: how to apply them, with and without the line that ends the terms.
+FULL_TEXTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "56a2d5e3fe444e9fb257dac62aea9e09aebc1d7f4a24ba1e14abd1c1313d3bbd",
+        "37b782c7f6e018adba9988ea8f029f64adebe8f799338abfce90a282808ae88b",
+        "2b8291b0741176e414652100fde6d1e48448a5aec5b35508c1646029842ac71a",
+    ],
+    "CC-BY-SA-4.0": ["4dd2d8faa991a43111f73718974d1a9133ba1453cd76d174da75d163e35fa974"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.2": ["277b073f560ccc9bb23c717a28b4b62dfe603cbd5736d74124fbf6df226962e1"],
+    "GFDL-1.3": ["f056a741e538cc8d4ee261da17bcc661eb7101dbdc801b47e5bc3f8d87911d92"],
+    "GPL-1.0": [
+        "489aece6b651f8d0d05ab5dcaae302405ffe67295a16370915785227ae58b8a0",
+        "222c05657115ed34d61f120a8419b4b1e816d6a366767bce5e8fff929952f99c",
+        "91ef993d2bf9089671239b975ab8cbf63fbce388f70b619e963f52db0c67ea61",
+    ],
+    "GPL-2.0": [
+        "209448d2ac992121b55bfa8392e347d2fab6446cb3366c268b386a091c98edc1",
+        "a20b59ce4ee1ec50720e498595f3e36e1cc255241777de80d68514d9a0d87088",
+        "0b53adedb67fca6aaf9d629ad1f0b4d2e7acbdee2314415502a1f8c02db659b1",
+    ],
+    "GPL-3.0": [
+        "af9f91d975e5d0cd3073aca8e75d1d95b51c56842cd3a7d986f3c28acab1d5b3",
+        "c8e266211c0003b5c5dadb60251c52724efe900915da2e4e96bb1264f5ef17c5",
+        "300d2fcccb3dc85da82e6669d13906473c2678e54a62dd0e95ffd8aafee98971",
+    ],
+    "LGPL-2.0": [
+        "1e092581422e9ad28d43b6c033feb0627df4128ae556534cfac1d24eed326934",
+        "8f5851969abe251b8e39d07f48d1640a25324cd6764e5ca89cd55df2a19d8a19",
+        "e075523bf74370289721a7c17d24f9789f2dcda0a5e7f88053b8ccb40697c42e",
+    ],
+    "LGPL-2.1": [
+        "0edd6a78a4d4880e7fd819d584a571538e26d3b1dcf075757a5f9bb54ff7c119",
+        "73940745ff5c9a7abcf8353075426f9d9949f83ca8131ef660f37b227ac57972",
+        "fe267ee176ec23ee436aef3942be507a2aa4dacae6808c8fdc46190f98d0d4f2",
+    ],
+    "LGPL-3.0": ["fc640711c26bbae68fd0bc0a61589a05ad09077db315c5395f64fd207d1810ff"],
+    "MPL-1.1": ["1ca1eb8cbfd7655f7701470d19ccbf04a694870df7b9fce8510a06df743e439a"],
+    "MPL-2.0": ["09e5ba69869316871f9d2747c47173b083d2ee54d621b8700ef01440231824f8"],
+}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licence_texts import LICENCES
+from .licence_texts import FULL_TEXTS, LICENCES
 
 #: Equivalent spellings, applied in this order to the canonical words. Fixed values of the matching rules.
 SPELLINGS = (
@@ -47,14 +47,17 @@ def canonical_digest(text) -> F.Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, licences: dict[str, list[str]] = LICENCES) -> DataFrame:
-    """(licence_id, licence_digest) of the known texts; a table of a size fixed by the parameter."""
+def known_digests(spark: SparkSession, licences: dict[str, list[str]] = LICENCES, full: dict[str, list[str]] = FULL_TEXTS) -> DataFrame:
+    """(licence_id, licence_digest) of the known texts, and of long ones known by digest; of a size fixed by the parameters."""
     rows = [(name, text) for name, texts in licences.items() for text in texts]
     df = spark.createDataFrame(rows, "licence_id string, t string")
-    return df.select("licence_id", canonical_digest(F.col("t")).alias("licence_digest")).groupBy("licence_digest").agg(F.min("licence_id").alias("licence_id"))
+    df = df.select("licence_id", canonical_digest(F.col("t")).alias("licence_digest"))
+    if full:
+        df = df.union(spark.createDataFrame([(name, x) for name, digests in full.items() for x in digests], df.schema))
+    return df.groupBy("licence_digest").agg(F.min("licence_id").alias("licence_id"))
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: dict[str, list[str]] = LICENCES) -> DataFrame:
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: dict[str, list[str]] = LICENCES, full: dict[str, list[str]] = FULL_TEXTS) -> DataFrame:
     """A row per row of docs: doc_id, text_digest, licence_id, notice_ids, restricted.
 
     text_digest is the SHA-256 of the canonical entire text, licence_id the known licence whose canonical text it
@@ -64,7 +67,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty table. The known digests are broadcast: they are a fixed list.
     """
     spark = docs.sparkSession
-    known = known_digests(spark, licences)
+    known = known_digests(spark, licences, full)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"(?i){NOTICE_WORD}"))
     rows = docs.select(
@@ -79,14 +82,17 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = F.transform("line_digests", lambda d: F.try_element_at(table, d))
     notices = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
     rows = rows.select("doc_id", "text_digest", "licence_id", notices.alias("notice_ids"))
-    strict = F.array(*[F.lit(x) for x in RESTRICTED])
+    restricted = RESTRICTED + RESTRICTED_FULL
+    strict = F.array(*[F.lit(x) for x in restricted])
     return rows.withColumn(
-        "restricted", F.arrays_overlap("notice_ids", strict) | F.coalesce(F.col("licence_id").isin(*RESTRICTED), F.lit(False))
+        "restricted", F.arrays_overlap("notice_ids", strict) | F.coalesce(F.col("licence_id").isin(*restricted), F.lit(False))
     )
 
 
 #: Of LICENCES, those that forbid commercial use, ask for the same licence or reserve all rights.
 RESTRICTED = ("AGPL-3.0", "All-Rights-Reserved", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0")
+#: Of FULL_TEXTS alone, those that ask for the same licence.
+RESTRICTED_FULL = ("GFDL-1.2", "GFDL-1.3", "GPL-1.0", "LGPL-2.0", "LGPL-2.1", "MPL-1.1", "MPL-2.0")
 
 
 def oracle_sql(licences: dict[str, list[str]] = LICENCES) -> str:
