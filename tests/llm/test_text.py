@@ -154,6 +154,22 @@ def test_licences(spark, odd):
     assert licences.scan_licences(odd).count() == 12 and licences.scan_licences(odd.limit(0)).count() == 0
 
 
+def test_notices_on_copyright_lines(spark):
+    reserved, nc = "All-Rights-Reserved", "CC-BY-NC-4.0"
+    cases = {
+        "Copyright (c) 2024 Example Ltd. All rights reserved.": [reserved],
+        "x\n(c) 2020 Foo, licensed under CC BY-NC 4.0.\ny": [nc],
+        "© 2021 Foo. All Rights Reserved. This work is licensed under CC BY-NC 4.0.": [reserved, nc],
+        "Copyright 2020 Foo. Released under the MIT Licence": ["MIT"],
+        "Copyright (c) 2024 Example Ltd.": [],
+        "Copyright (c) 2024 Example Ltd. Not all rights reserved.": [],
+        "Copyright (c) 2024 Example Ltd. All rights reserved to others": [],
+    }
+    df = spark.createDataFrame([(t, t) for t in cases], "doc_id string, text string")
+    got = {r.doc_id: (r.licence_id, r.notice_ids, r.restricted) for r in licences.scan_licences(df).collect()}
+    assert got == {t: (None, ids, any(i in licences.RESTRICTED for i in ids)) for t, ids in cases.items()}
+
+
 def test_long_licences(spark):
     folder = "/usr/share/common-licenses"
     files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}

@@ -24,15 +24,19 @@ SPELLINGS = (
 )
 #: A line that only says who holds the copyright.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)(?:[^\p{L}\p{N}\n]|\(c\)|©|copyright)*(?:[0-9<\[{]|by )[^\n]*$"
+#: Canonical words that a notice starts with where it shares its line with the copyright.
+NOTICE_START = r" (?=(?<!\bnot )(?:all rights reserved|(?:this work is )?licensed under|released (?:under|into)|spdx license identifier)\b)"
 #: Canonical words that any notice of LICENCES has one of; other lines aren't digested.
 NOTICE_WORD = r"licen[sc]e|licen[sc]ed|rights|copyright|public domain|permission|warranty"
 
 
 def canonical(text) -> F.Column:
     """Lower case, without copyright lines and punctuation, one space between words, equivalent spellings made one."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?md)" + COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
-    return _spell(out)
+    return _words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?md)" + COPYRIGHT_LINE, " "))
+
+
+def _words(lowered) -> F.Column:
+    return _spell(F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " ")))
 
 
 def _spell(out) -> F.Column:
@@ -47,6 +51,14 @@ def canonical_digest(text) -> F.Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def line_digests(line) -> F.Column:
+    """Digests of a line's notices: of the line, or of each notice that follows the holder on a copyright line."""
+    low = F.lower(line)
+    notices = F.slice(F.split(_words(low), NOTICE_START), 2, 1 << 30)
+    rest = F.transform(notices, lambda x: F.sha2(x.cast("binary"), 256))
+    return F.when(low.rlike("(?md)" + COPYRIGHT_LINE), rest).otherwise(F.array(canonical_digest(line)))
+
+
 def known_digests(spark: SparkSession, licences: dict[str, list[str]] = LICENCES, full: dict[str, list[str]] = FULL_TEXTS) -> DataFrame:
     """(licence_id, licence_digest) of the known texts, and of long ones known by digest; of a size fixed by the parameters."""
     rows = [(name, text) for name, texts in licences.items() for text in texts]
@@ -61,7 +73,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row per row of docs: doc_id, text_digest, licence_id, notice_ids, restricted.
 
     text_digest is the SHA-256 of the canonical entire text, licence_id the known licence whose canonical text it
-    is (null: none). notice_ids are the known licences that a line of the text states, ascending; restricted is
+    is (null: none). notice_ids are the known licences that a line of the text, or a copyright line after its holder,
+    states, ascending; restricted is
     true if any of all these forbids commercial use, asks for the same licence or reserves all rights. Null counts
     as the empty text, which is no licence. Repeated rows come back each; other columns are not read; an empty
     table gives an empty table. The known digests are broadcast: they are a fixed list.
@@ -73,7 +86,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         canonical_digest(text).alias("text_digest"),
-        F.transform(lines, canonical_digest).alias("line_digests"),
+        F.flatten(F.transform(lines, line_digests)).alias("line_digests"),
     )
     # The lookup of lines is the same hash lookup as a literal map: the list is fixed, and documents need not be regrouped.
     pairs = [F.lit(x) for row in known.orderBy("licence_digest").collect() for x in (row.licence_digest, row.licence_id)]
