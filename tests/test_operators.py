@@ -203,6 +203,14 @@ def test_late_frames_are_counted():
     assert len(online.step(state, "c", 5, rows)) == 1 and online.step(state, "c", 5, rows) == [] and state["dropped"] == 1
 
 
+def test_features_are_of_all_vectors(spark):
+    sf = "/root/testdata/sf0.1"
+    vectors = [r.embedding[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()]
+    got = with_features(spark, sf, spark.range(2 * len(vectors)).withColumnRenamed("id", "event_id")).select("event_id", "feat_a").collect()
+    assert len(vectors) > 500 and len(got) == 2 * len(vectors)
+    assert all(abs(r.feat_a - (128 + 100 * vectors[r.event_id % len(vectors)])) < 0.001 for r in got)
+
+
 def test_sources_and_sinks(spark, sf, tmp_path):
     det = with_features(spark, sf)
     ir = det.selectExpr("clip_id", "frame", "track_id", "x1", "array(feat_a, feat_b) AS feat_lab6d", "team")

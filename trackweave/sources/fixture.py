@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRAME_H, FRAME_W = 720, 1280
+#: Vectors are broadcast up to so many bytes of _FEATURE_BYTES each.
+BROADCAST_BYTES, _FEATURE_BYTES = 32 << 20, 64
 _COLUMNS = {
     "clip_id": "'events'",
     "frame": "frame",
@@ -50,7 +52,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and the six colour statistics of a feature, as columns."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 500")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = [f"CAST(embedding[{i}] AS DOUBLE)" for i in range(6)]
     return vectors.selectExpr("vec_id", *_feature_columns(v))
 
@@ -65,10 +67,13 @@ def _feature_columns(v: list[str]) -> list[str]:
 
 
 def with_features(spark: SparkSession, sf_dir: str, det: DataFrame | None = None) -> DataFrame:
-    """Detections with their colour statistics; the 500 vectors are a fixed list and are broadcast."""
+    """Detections with the colour statistics of vector event_id modulo the number of vectors (numbered from 0)."""
     det = detections(spark, sf_dir) if det is None else det
     feats = features(spark, sf_dir)
-    return det.join(F.broadcast(feats), F.col("event_id") % 500 == F.col("vec_id")).drop("vec_id")
+    n = feats.count()
+    if n * _FEATURE_BYTES <= BROADCAST_BYTES:
+        feats = F.broadcast(feats)
+    return det.join(feats, F.col("event_id") % max(1, n) == F.col("vec_id")).drop("vec_id")
 
 
 DET_SQL = f"""
