@@ -203,6 +203,13 @@ def test_late_frames_are_counted():
     assert len(online.step(state, "c", 5, rows)) == 1 and online.step(state, "c", 5, rows) == [] and state["dropped"] == 1
 
 
+def test_long_polygons(spark):
+    points = [f"0.{100 + i % 300} 0.5" for i in range(600)] + ["0.9 0.75"]
+    rows = [(1, "0 " + " ".join(points)), (2, "0 " + " ".join(points) + " 0.1"), (3, ""), (4, "0"), (5, "1 0.1 0.2 0.3 0.4 0.5 0.6")]
+    got = readers.polygon_boxes(spark.createDataFrame(rows, "line_no int, line string"), 100, 100).orderBy("line_no").collect()
+    assert [(r.line_no, r.cls) + tuple(round(r[c]) for c in ("x1", "y1", "x2", "y2")) for r in got] == [(1, 0, 10, 50, 90, 75), (5, 1, 10, 20, 50, 60)]
+
+
 def test_features_are_of_all_vectors(spark):
     sf = "/root/testdata/sf0.1"
     vectors = [r.embedding[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()]

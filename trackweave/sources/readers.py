@@ -55,7 +55,7 @@ def label_tokens(lines: DataFrame) -> DataFrame:
     """Label lines (line) cut into a class and numbers."""
     tokens = "split(trim(line), '[ \\\\t]+')"
     return lines.selectExpr(
-        "*", f"try_cast({tokens}[0] AS INT) AS cls", f"transform(slice({tokens}, 2, 1000), x -> try_cast(x AS DOUBLE)) AS v"
+        "*", f"try_cast({tokens}[0] AS INT) AS cls", f"transform(slice({tokens}, 2, greatest(0, size({tokens}) - 1)), x -> try_cast(x AS DOUBLE)) AS v"
     )
 
 
