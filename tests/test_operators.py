@@ -210,6 +210,12 @@ def test_long_polygons(spark):
     assert [(r.line_no, r.cls) + tuple(round(r[c]) for c in ("x1", "y1", "x2", "y2")) for r in got] == [(1, 0, 10, 50, 90, 75), (5, 1, 10, 20, 50, 60)]
 
 
+def test_class_zero_lines(spark):
+    rows = [("a", 1, "00  0.1\t0.2 "), ("a", 2, "1 0.3 0.4"), ("a", 3, ""), ("b", 1, "0"), ("b", 2, "0 0.5 0.50")]
+    got = readers.class_zero_lines(spark.createDataFrame(rows, "stem string, line_no int, line string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, "0 0.1 0.2"), ("b", 1, "0"), ("b", 2, "0 0.5 0.50")]
+
+
 def test_features_are_of_all_vectors(spark):
     sf = "/root/testdata/sf0.1"
     vectors = [r.embedding[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()]

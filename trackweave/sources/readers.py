@@ -95,6 +95,13 @@ def class_zero(lines: DataFrame) -> DataFrame:
     return label_tokens(lines).filter("cls = 0").groupBy("stem").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
+def class_zero_lines(lines: DataFrame) -> DataFrame:
+    """stem, line_no and line of every label line of class 0, rewritten as write_labels needs it: one space between tokens."""
+    tokens = "split(trim(line), '[ \\\\t]+')"
+    rows = label_tokens(lines).filter("cls = 0")
+    return rows.selectExpr("stem", "line_no", f"array_join(concat(array('0'), slice({tokens}, 2, size({tokens}) - 1)), ' ') AS line")
+
+
 def numbered(rows: DataFrame, key: str, order: str, name: str = "rn") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
