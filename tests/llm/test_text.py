@@ -7,7 +7,7 @@ import pytest
 
 from trackweave.llm import decontaminate, htmltext, licences, maxplus, quality, queries, sentencepiece_scan, tokenids, warc
 
-PIECES, WORDS = f"{queries.TOKENIZERS}/{queries.PIECES}", f"{queries.TOKENIZERS}/{queries.WORDS}"
+PIECES, WORDS = queries.vocabulary(queries.PIECES), queries.vocabulary(queries.WORDS)
 
 
 @pytest.mark.parametrize("options", [{}, {"giant_chars": 200, "chunk_chars": 40, "fan": 3}])
@@ -91,6 +91,21 @@ def test_token_ids(spark, documents, odd):
     assert tokenids.token_digests(spark, tokenids.write_token_ids(odd.limit(0), WORDS, 2)).count() == 0
 
 
+def test_every_code_point_matches_the_library():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORDS)
+    chars = [c for c in map(chr, range(0x3000)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    texts = [t for c in chars for t in (c, f"a{c}b", f"{c}stanbul", f"x{c}, {c}!")] + ["İ", "İstanbul K Å ẞ", "ÀÖØÞß ŸÿĲ ÉÉ"]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        edges, ids = tokenids.encoder(WORDS).encode(pa.array(part))
+        want = [x.ids for x in tok.encode_batch(part, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+
+
 def test_word_cache_bound():
     small, large = tokenids.WordEncoder(WORDS, 3), tokenids.WordEncoder(WORDS)
     texts = pa.array(["one two three four É'a Ÿ%%% ﬁ İ", "two five six ONE", "", None, " one\t", "a<|endoftext|>B"])

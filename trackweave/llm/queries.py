@@ -10,16 +10,24 @@ from pyspark.sql import functions as F
 from . import decontaminate, htmltext, licences, linededup, quality, radix, sentencepiece_scan, simhash, tokenids, warc
 from .common import table
 
-#: Folder of the vocabulary files; the same path on every executor.
-TOKENIZERS = os.environ.get("TRACKWEAVE_TOKENIZERS", "/opt/tokenizers")
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 END_ID = 2
 
 
+def vocabulary(name: str) -> str:
+    """Path of a vocabulary file, the same on every executor: in the folder TRACKWEAVE_TOKENIZERS names, or in public_tokenizers."""
+    folder = os.environ.get("TRACKWEAVE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again: doc_id, n_pieces, ids_hash, decoded_sha256, round_trip."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sentencepiece_scan.encode(docs, f"{TOKENIZERS}/{PIECES}", decoded_col="decoded")
+    rows = sentencepiece_scan.encode(docs, vocabulary(PIECES), decoded_col="decoded")
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
@@ -30,24 +38,29 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document: 64-bit fingerprints over three words, links within two bits."""
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_ids, n_items and containment of every document: benchmark items of which it has 0.8 of the five-word shingles."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text_digest, licence_id, notice_ids and restricted of every document."""
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; the model learns from the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from the archives written."""
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(spark, manifest, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -55,20 +68,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every document: lines that ten documents have are dropped from all."""
     rows = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     return radix.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenids.write_token_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{WORDS}", END_ID)
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files written."""
+    path = tokenids.write_token_ids(table(spark, sf_dir, "documents"), vocabulary(WORDS), END_ID)
     return tokenids.token_digests(spark, path)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import limit_batches, new_path, trimmed
-from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, UnitEncoder, joined
+from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, UPPER_CLASS, UnitEncoder, joined
 
 #: The pre-tokeniser that WordEncoder knows to split letters from punctuation (fixed value of the vocabulary file).
 _SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -76,9 +76,11 @@ class WordEncoder(UnitEncoder):
             return self._encode_marked(column, set(marked.tolist()))
         lists = pc.ascii_split_whitespace(column)
         words = pc.ascii_lower(lists.flatten())
-        # Latin letters are lower-cased alike by all; words with others go to the library as they are.
-        latin = pc.utf8_lower(words) if self.pattern else words
-        return self.gather(lists, pc.if_else(pc.match_substring_regex(latin, self.pattern), latin, words) if self.pattern else words)
+        if not self.pattern:
+            return self.gather(lists, words)
+        # Letters below U+0100 are lower-cased alike by all; words with others go to the library as they are.
+        latin = pc.match_substring_regex(words, f"^[{LOWER_CLASS}{UPPER_CLASS}]*[{MARK_CLASS}]*$")
+        return self.gather(lists, pc.if_else(latin, pc.utf8_lower(words), words))
 
     def _encode_marked(self, column: pa.Array, marked: set[int]) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), text by text, where some texts hold "<|"."""
