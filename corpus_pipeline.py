@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackweave.llm import decontaminate, linededup, quality, sentencepiece_scan, simhash
 from trackweave.llm.common import materialize, table
-from trackweave.llm.queries import PIECES, TOKENIZERS
+from trackweave.llm.queries import PIECES, vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces and the decoded text's length."""
-    path = f"{TOKENIZERS}/{PIECES}"
-    rows = sentencepiece_scan.encode(docs.select("doc_id", "text"), path, decoded_col="decoded")
+    rows = sentencepiece_scan.encode(docs.select("doc_id", "text"), vocabulary(PIECES), decoded_col="decoded")
     return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.length("decoded").cast("long").alias("n_chars"))
 
 
