@@ -248,6 +248,34 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_ids_and_segments(spark, sf):
+    import gzip
+
+    rows = [(1, "u", "a" * 9000), (2, "u", "a" * 9000), (3, "u", "b" * 2000), (3, "u", "b" * 2000), (4, "u", "b" * 2000), (None, "u", "c"), (None, "u", "d")]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, digest string, n int")
+    manifest = warc.write_archives(df)
+    records = []
+    for r in manifest.collect():
+        with open(r.path.removeprefix("file:"), "rb") as f:
+            data = gzip.decompress(f.read())
+        records += [dict(x.split(": ", 1) for x in part.split("\r\n")[1:]) for part in data.decode().split("\r\n\r\n") if part.startswith("WARC/1.1")]
+    ids = [r["WARC-Record-ID"] for r in records]
+    assert len(set(ids)) == len(ids) == manifest.agg({"records": "sum"}).first()[0] and sum(r["WARC-Type"] == "continuation" for r in records) == 2
+    assert [(r["WARC-Record-ID"], r["WARC-Refers-To"]) for r in records if r["WARC-Type"] == "revisit" and r["WARC-Record-ID"].endswith(":1>")] == [("<urn:trackweave:page:1>", "<urn:trackweave:page:2>")]
+    assert "<urn:trackweave:page:2>" in ids
+    got = sorted(((r.page_id or 0), r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.read_archives(spark, manifest).collect())
+    assert got == [(0, "response", 0, 1), (0, "response", 0, 1), (1, "revisit", 2, 9000), (2, "response", 0, 9000), (3, "revisit", 4, 2000), (3, "revisit", 4, 2000), (4, "response", 0, 2000)]
+
+
+def test_warc_reassembles_the_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    manifest = warc.write_archives(pages)
+    long = pages.filter("length(html) > 4096").count()
+    assert long > 10 and manifest.agg({"records": "sum"}).first()[0] >= pages.count() + long // 2
+    got = {r.page_id: r.payload for r in warc.read_archives(spark, manifest).collect()}
+    assert all(got[r.page_id] is None or bytes(got[r.page_id]).decode() == r.html for r in pages.collect()) and len(got) == pages.count()
+
+
 def test_warc_broken_segments():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"x" * 30_000)
     assert warc.payload_of(block)[1] == b"x" * 30_000
@@ -262,8 +290,29 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><script>var a = "</
 
 
 def test_main_text():
-    main, _, found = htmltext.blocks_of(PAGE)
-    assert found and main == ["T & x", "First line", "Second <line! italic", "one", "two"]
+    blocks = htmltext.blocks_of(PAGE)
+    assert blocks.article() == ["T & x", "First line", "Second <line! italic", "one", "two"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="has-sidebar"><article><p>Hello</p></article></div>', ["Hello"]),
+        ('<div class="layout no-sidebar"><main>Hello</main></div>', ["Hello"]),
+        ('<div class="sidebar"><article>Only</article></div>', ["Only"]),
+        ('<div class="sidebar"><article>Teaser</article></div><main>Text</main>', ["Text"]),
+        ("<form><article>In a form<form>Find</form></article></form>", ["In a form"]),
+        ('<article><ul><li class="share">x<li>y</ul><p>Body</p></article>', ["y", "Body"]),
+        ("<article><p class='ad'>Buy<h2>Real</h2></article>", ["Real"]),
+        ("<article><dl><dt class='ad'>x<dd>y</dl><table><tr><td class='promo'>a<td>b<tr><td>c</table>d</article>", ["y", "b", "c", "d"]),
+        ('<article>a <span style="display: none">no</span>b<p hidden>no</p><p style="visibility:hidden">no<p data-hidden="x hidden">c</article>', ["a b", "c"]),
+        ('<article>a<section class="reader-remarks"><p>no</p></section><article class="comment">no</article></article>', ["a"]),
+        ('<div id="comments"><article>no</article></div>', []),
+        ("<article>a</div></p>b<b>c</article>d", ["a", "bc"]),
+    ],
+)
+def test_placing(page, want):
+    assert htmltext.blocks_of(page).article() == want
 
 
 def test_pages(spark, sf):
@@ -289,32 +338,79 @@ def test_host_suffix_array(spark):
     ] + [(50, None, None), (51, "https://h0.example/z", ""), (52, "https://lone.example/", "<p>only page</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for shard in (512, 8):
-        got = {r.page_id: r.text for r in htmltext.main_text(df, shard_pages=shard).collect()}
+        got = {r.page_id: r.text for r in htmltext.main_text(df.repartition(3), shard_pages=shard).collect()}
         assert got == {i: unique[i] for i in range(40)} | {50: "", 51: "", 52: "only page"}
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
-def test_passage_on_two_pages_of_many_shards(spark):
-    unique = [" ".join(f"u{i}x{j}" for j in range(30)) for i in range(40)]
-    notice = [" ".join(f"n{i}y{j}" for j in range(8)) for i in range(20)]
-    rows = [(i, f"https://h.example/{i}", f"<p>{unique[i]}</p><p>{notice[i % 20]}</p>") for i in range(40)]
-    rows += [(40, "https://h.example/s", "<p>Autumn sale</p><p>once only</p>"), (41, "https://h.example/t", "<p>our Autumn sale has begun</p>")]
-    rows += [(42, "https://g.example/", f"<p>{notice[0]}</p>")]
+def test_passage_on_three_pages_of_many_shards(spark):
+    unique = [" ".join(f"u{i}x{j}" for j in range(30)) for i in range(42)]
+    notice = [" ".join(f"n{i}y{j}" for j in range(8)) for i in range(14)]
+    rows = [(i, f"https://h.example/{i}", f"<p>{unique[i]}</p><p>{notice[i % 14]}</p>") for i in range(42)]
+    rows += [(50 + i, f"https://h.example/s{i}", f"<p>Autumn sale</p><p>once only {i}</p>") for i in range(3)]
+    rows += [(60, "https://h.example/t", "<p>our Autumn sale has begun</p>"), (61, "https://g.example/", f"<p>{notice[0]}</p>")]
+    rows += [(70 + i, f"https://h.example/c{i}", f"<p>{unique[0][::-1]}</p>") for i in range(9)]  # copies of one page
+    rows += [(80 + i, f"https://h.example/d{i}", f"<p>{unique[1][::-1]}</p><p>of {i} and {i}</p>") for i in range(2)]  # two pages alike
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = dict(enumerate(unique)) | {40: "once only", 41: "our Autumn sale has begun", 42: notice[0]}
-    for shard in (512, 4, 1):
-        assert {r.page_id: r.text for r in htmltext.main_text(df, shard_pages=shard).collect()} == want
+    want = dict(enumerate(unique)) | {50: "once only 0", 51: "once only 1", 52: "once only 2", 60: "our Autumn sale has begun", 61: notice[0]}
+    want |= {70 + i: unique[0][::-1] for i in range(9)} | {80 + i: f"{unique[1][::-1]}\nof {i} and {i}" for i in range(2)}
+    for options in ({}, {"shard_pages": 4}, {"shard_pages": 1}, {"shard_chars": 100}):
+        assert {r.page_id: r.text for r in htmltext.main_text(df, **options).collect()} == want
+
+
+def brute_repeated(pages, size, least, covered):
+    holders = {}
+    for p, blocks in enumerate(pages):
+        for text in blocks:
+            t = text.split()
+            for run in [tuple(t[i : i + size]) for i in range(len(t) - size + 1)] if len(t) >= size else [tuple(t)]:
+                holders.setdefault((run, len(t) < size), set()).add(p)
+    out = []
+    for blocks in pages:
+        row = []
+        for text in blocks:
+            t, on = text.split(), set()
+            for i in range(max(1, len(t) - size + 1)):
+                if len(holders[tuple(t[i : i + size]), len(t) < size]) >= least:
+                    on |= set(range(i, min(len(t), i + size)))
+            row.append(len(on) >= covered * max(1, len(t)))
+        out.append(row)
+    return out
 
 
-def test_shared_hashes_match_one_array():
+@pytest.mark.parametrize("letters", ["ab", "abcd"])
+def test_repeated_blocks_match_brute_force(letters):
     rng = np.random.default_rng(11)
+    found = set()
+    for size, least in ((4, 2), (4, 3), (6, 3), (2, 5)):
+        pages = [[" ".join(rng.choice(list(letters), int(rng.integers(1, 14)))) for _ in range(int(rng.integers(0, 4)))] for _ in range(24)]
+        want = brute_repeated(pages, size, least, 0.9)
+        assert htmltext.repeated_blocks(pages, size, least, 0.9) == want
+        found |= {x for page in want for x in page}
+    assert found == {False, True}
+
+
+def test_shards_runs_add_up_to_those_of_one_array():
+    rng = np.random.default_rng(12)
     pages = [[" ".join(rng.choice(list("abcd"), int(rng.integers(1, 14)))) for _ in range(int(rng.integers(1, 4)))] for _ in range(24)]
-    shards = [pages[:8], pages[8:16], pages[16:]]
-    runs = [htmltext.run_hashes(x, 4) for x in shards]
-    found, times = np.unique(np.concatenate([keys for keys, _ in runs]), return_counts=True)
-    got = [x for part, (keys, asked) in zip(shards, runs) for x in htmltext.repeated_blocks(part, 4, 0.9, keys[asked & np.isin(keys, found[times > 1])])]
-    assert got == htmltext.repeated_blocks(pages, 4, 0.9)
-    assert got != [x for part in shards for x in htmltext.repeated_blocks(part, 4, 0.9)]
+    whole, total = htmltext.HostRuns(pages, 4), {}
+    for part in (pages[:8], pages[8:16], pages[16:]):
+        runs = htmltext.HostRuns(part, 4)
+        for k, n in zip(runs.hashes().tolist(), runs.times.tolist()):
+            total[k] = total.get(k, 0) + n
+    assert total == dict(zip(whole.hashes().tolist(), whole.times.tolist()))
+
+
+def test_pages_odd(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "http://a/", f"<article>{long}<p>x</article>", "t", 1), (1, "http://a/", f"<article>{long}<p>x</article>", "t", 1), (None, None, None, None, None),
+            (3, "http://a/", f"<p>{long}", "t", 3), (4, "", "", "", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = htmltext.main_text(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(((r.page_id or 0), r.text, r.n_chars) for r in got.collect()) == sorted(
+        [(0, "", 0), (1, long + "\nx", len(long) + 2), (1, long + "\nx", len(long) + 2), (3, long, len(long)), (4, "", 0)]
+    )
 
 
 def test_suffix_array():
