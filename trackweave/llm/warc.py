@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import limit_batches, materialize, new_path, small_side
 
 #: Bytes of a record block in one segment; of an HTTP chunk; of an archive before the next one begins.
-SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 64 << 10, 8 << 10, 32 << 20
+SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 4 << 10, 1 << 10, 32 << 20
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,9 +57,14 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
+def record_id(page_id, number: str = "") -> str:
+    """Of a page's record. number tells rows apart that repeat an id; a revisit of such an id names the first form."""
+    return f"<urn:trackweave:page:{'' if page_id is None else page_id}{':' if number else ''}{number}>"
+
+
 def page_records(page_id, url, payload: bytes, refers_to, number: str, segment: int = SEGMENT_BYTES) -> list[bytes]:
     """The records of one page: a revisit, or a response in as many segments as it takes."""
-    origin = f"<urn:trackweave:record:{number}>"
+    origin = record_id(page_id, number=number)
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20") or "urn:trackweave:none"
     headers = {
         "WARC-Type": "response",
@@ -71,7 +76,7 @@ def page_records(page_id, url, payload: bytes, refers_to, number: str, segment:
         "X-Page-ID": "" if page_id is None else str(page_id),
     }
     if refers_to is not None:
-        headers |= {"WARC-Type": "revisit", "WARC-Profile": _PROFILE, "WARC-Refers-To": f"<urn:trackweave:page:{refers_to}>"}
+        headers |= {"WARC-Type": "revisit", "WARC-Profile": _PROFILE, "WARC-Refers-To": record_id(refers_to)}
         return [record(headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload))]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
@@ -80,7 +85,7 @@ def page_records(page_id, url, payload: bytes, refers_to, number: str, segment:
     for i, at in enumerate(range(segment, len(block), segment), 2):
         more = {
             "WARC-Type": "continuation",
-            "WARC-Record-ID": f"<urn:trackweave:record:{number}-{i}>",
+            "WARC-Record-ID": f"{origin[:-1]}/{i}>",
             "WARC-Date": headers["WARC-Date"],
             "WARC-Target-URI": target,
             "WARC-Segment-Origin-ID": origin,
@@ -104,12 +109,12 @@ def _write(folder: str, segment: int, archive: int):
     def run(parts):
         part_id, run_id, n, names, sizes, counts, out = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0, [], [], [], None
         for part in parts:
-            ids, urls, texts, refers = (part.column(i).to_pylist() for i in range(4))
-            for page_id, url, html, refers_to in zip(ids, urls, texts, refers):
+            ids, urls, texts, refers, repeated = (part.column(i).to_pylist() for i in range(5))
+            for page_id, url, html, refers_to, again in zip(ids, urls, texts, refers, repeated):
                 if out is None:
                     names.append(f"part-{part_id:05d}-{run_id}-{len(names):05d}.warc.gz")
                     out, size, count = _open_write(folder, names[-1]), 0, 0
-                for rec in page_records(page_id, url, (html or "").encode(), refers_to, f"{part_id}-{run_id}-{n}", segment):
+                for rec in page_records(page_id, url, (html or "").encode(), refers_to, f"{part_id}-{run_id}-{n}" if again else "", segment):
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = member.compress(rec) + member.flush()
                     out.write(data)
@@ -146,7 +151,9 @@ def write_archives(
 
     Of pages with equal payloads of at least 1000 bytes the one with the largest id is a response, the others are
     revisits of it; rows that repeat that id are responses too, and a null id revisits any id (a class without ids
-    is all responses). A null html is an empty payload. An empty table gives an empty manifest.
+    is all responses). A record's id is that of its page, which revisits refer to; where rows repeat an id, each
+    record's id has more than that. A null html is an empty payload. Other columns are not read, whatever their names.
+    An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     limit_batches(spark, 64)
@@ -155,14 +162,18 @@ def write_archives(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
-    ).withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1(F.col("html").cast("binary"))))
-    copies = (
-        rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 AND last IS NOT NULL")
-    )
-    copies = materialize(copies.select(F.col("digest").alias("d"), "last"), "warc-copies", narrow=True)
-    joined = rows.join(small_side(copies, copies.count(), 64), F.col("digest") == F.col("d"), "left")
+    ).withColumn("size", F.octet_length("html"))
+    rows = rows.withColumn("digest", F.when(F.col("size") >= REVISIT_BYTES, F.sha2(F.col("html").cast("binary"), 256)))
+    copies = rows.filter("digest IS NOT NULL").groupBy("size", "digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    copies = copies.filter("n > 1 AND last IS NOT NULL").select(F.col("size").alias("s"), F.col("digest").alias("d"), "last")
+    copies = materialize(copies, "warc-copies", narrow=True)
+    # Ids that several rows have (or none): their records need more than the id for a name.
+    again = rows.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1 OR page_id IS NULL").select(F.col("page_id").alias("p"))
+    again = materialize(again, "warc-again", narrow=True).withColumn("again", F.lit(True))
+    joined = rows.join(small_side(copies, copies.count(), 80), F.expr("digest = d AND size = s"), "left")
+    joined = joined.join(small_side(again, again.count(), 16), F.expr("page_id <=> p"), "left")
     refers = F.when(~F.expr("page_id <=> last"), F.col("last"))
-    out = joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    out = joined.select("page_id", "url", "html", refers.alias("refers_to"), F.coalesce("again", F.lit(False)).alias("again"))
     return materialize(out.mapInArrow(_write(folder, segment, archive), "path string, bytes long, records long"), "warc-manifest")
 
 
