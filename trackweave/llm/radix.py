@@ -4,7 +4,8 @@ A text is the string of its length (the most significant digit) and its UTF-8 by
 group that still has several members by the next run of bytes; a group that is single is unique, a group whose
 bytes have ended is a class of equal texts. The digits widen eightfold from round to round, so the number of
 rounds is logarithmic in the longest text, and only members of unsplit groups carry their remaining bytes on.
-No digest decides equality; SHA-256 is an output column and, with doc_id, the label of a row.
+The corpus is read and normalised once, into a table whose rows have numbers; later steps refer to rows by these.
+No digest decides equality; SHA-256 is an output column only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, discard, few_files, materialize, small_side
+from .common import WS_CLASS, discard, materialize, small_side
 
 #: Bytes of the first digit (beside the length), and by how much digits widen.
 FIRST_DIGIT, WIDEN = 24, 8
@@ -33,35 +34,29 @@ def exact_duplicates(
     a null id sorts after all others, so it stays only in a class without ids (keep_id null, kept true). Other
     columns of docs are not read, whatever their names. An empty table gives an empty table.
     """
-    text = normalised(F.col(text_col))
-    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
-        "doc_id", F.col("t").cast("binary").alias("b"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256")
-    )
+    text = normalised(F.col(text_col)).cast("binary")
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("b"))
     base = materialize(
         source.select(
             F.monotonically_increasing_id().alias("rid"),
             "doc_id",
-            "text_sha256",
+            F.sha2("b", 256).alias("text_sha256"),
             F.octet_length("b").alias("len"),
             F.substring("b", 1, first_digit).alias("digit"),
+            F.expr(f"substring(b, {first_digit + 1})").alias("rest"),
         ),
         "radix-base",
     )
+    rows = base.count()
     groups = base.groupBy("len", "digit").agg(F.min("rid").alias("gid"), F.count("*").alias("n")).filter("n > 1")
-    open_rows = materialize(base.join(groups, ["len", "digit"]).select("rid", "doc_id", "text_sha256", "len", "gid"), "radix-open", narrow=True)
+    in_groups = base.select("rid", "len", "digit").join(groups, ["len", "digit"]).select("rid", "len", "gid")
+    open_rows = materialize(in_groups, "radix-open", most=24 * rows)
     ended = [open_rows.filter(F.col("len") <= first_digit).select("rid", "gid")]
-    longer = open_rows.filter(F.col("len") > first_digit)
-    rows = longer.count()
+    longer = open_rows.filter(F.col("len") > first_digit).select("rid", "gid")
+    n_longer = longer.count()
     state = None
-    if rows:
-        labels = longer.groupBy(F.col("doc_id").alias("d"), F.col("text_sha256").alias("s")).agg(F.min("rid").alias("rid"), F.min("gid").alias("gid"))
-        state = materialize(
-            source.join(small_side(labels, rows, 160), F.expr("doc_id <=> d AND text_sha256 = s")).select(
-                "rid", "gid", F.expr(f"substring(b, {first_digit + 1})").alias("rest")
-            ),
-            "radix-rest",
-            narrow=True,
-        )
+    if n_longer:
+        state = materialize(base.select("rid", "rest").join(small_side(longer, n_longer, 40), "rid"), "radix-rest")
     width, finished = first_digit, []
     while state is not None:
         width *= widen
@@ -72,7 +67,6 @@ def exact_duplicates(
                 "rid", F.col("new_gid").alias("gid"), F.expr(f"substring(rest, {width + 1})").alias("rest")
             ),
             "radix-rest",
-            narrow=True,
         )
         discard(state)
         done = F.octet_length("rest") == 0
@@ -84,13 +78,8 @@ def exact_duplicates(
     classes = ended[0]
     for more in ended[1:]:
         classes = classes.union(more)
-    of_row = classes.distinct().join(base.select("rid", F.col("doc_id").alias("d"), F.col("text_sha256").alias("s")), "rid")
-    of_row = of_row.groupBy("d", "s").agg(F.min("gid").alias("gid"))
-    labelled = materialize(
-        base.join(of_row, F.expr("doc_id <=> d AND text_sha256 = s"), "left").select("doc_id", "text_sha256", "gid"),
-        "radix-labelled",
-        narrow=True,
-    )
+    named = base.select("rid", "doc_id", "text_sha256").join(classes, "rid", "left")
+    labelled = materialize(named.select("doc_id", "text_sha256", "gid"), "radix-labelled", most=100 * rows)
     for used in (open_rows, base, *finished):
         discard(used)
     single = labelled.filter("gid IS NULL").select(
@@ -99,4 +88,4 @@ def exact_duplicates(
     several = labelled.filter("gid IS NOT NULL")
     sizes = several.groupBy("gid").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     of_several = several.join(sizes, "gid").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
-    return single.union(few_files(of_several))
+    return single.union(of_several)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import neighbours, pairs_within, spanning
-from .common import LOWER_AZ, discard, few_files, limit_batches, materialize, small_side, text_bytes, trimmed
+from .common import LOWER_AZ, discard, limit_batches, materialize, small_side, text_bytes, trimmed
 from .components import connected_components
 
 #: Nodes of a key that one task compares; keys with more are dealt out as pairs of blocks.
@@ -184,7 +184,7 @@ def dealt(rows: DataFrame, key: str, n_blocks, block_hash) -> DataFrame:
 def close_links(rows: DataFrame, radius: int, words: list[str], block: int = BLOCK) -> DataFrame:
     """Links (a, b) of the nodes that share a key and are within the radius; rows: (key long, node long, words long)."""
     count = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    hot = materialize(count, "hot-keys", narrow=True)
+    hot = materialize(count, "hot-keys", most=0)
     n_hot = hot.count()
     if n_hot:
         rows = rows.join(small_side(hot, n_hot, 16), "key", "left")
@@ -217,15 +217,16 @@ def near_groups(
     each. Other columns are not read. An empty table gives an empty table.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes", narrow=True)
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes", most=16 * marked.count())
+    n = nodes.count()
     keyed = nodes.select(F.col("fp").alias("node"), "fp", F.explode(part_keys(F.col("fp"), radius)).alias("key"))
     links = close_links(keyed, radius, ["fp"], block)
-    parts = connected_components(links)
+    parts = connected_components(links, most=16 * n)
     placed = nodes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = materialize(placed.join(least, "root").select("fp", "component_id"), "simhash-groups", narrow=True)
+    of_fp = materialize(placed.join(least, "root").select("fp", "component_id"), "simhash-groups", most=16 * n)
     discard(nodes)
-    return few_files(marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Similarity of word shingles
@@ -358,6 +359,7 @@ def similar_groups(
         ),
         "similar",
     )
+    n_rows = marked.count()
     nodes = materialize(
         marked.groupBy("digest")
         .agg(
@@ -367,13 +369,14 @@ def similar_groups(
         )
         .select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "rep_th", "x.*"),
         "similar-nodes",
-        narrow=True,
+        most=(100 + 8 * orders) * n_rows,
     )
+    n = nodes.count()
     keyed = nodes.filter("n > 0").select("node", *PRINTS, F.posexplode("mins").alias("order", "least"))
     keyed = keyed.select("node", *PRINTS, F.xxhash64("order", "least").alias("key"))
-    loose = materialize(connected_components(close_links(keyed, radius, PRINTS, block)), "similar-loose", narrow=True)
+    loose = materialize(connected_components(close_links(keyed, radius, PRINTS, block), most=16 * n), "similar-loose", most=16 * n)
     members = nodes.join(loose, "node").select("node", F.col("component").alias("cluster"), "digest", "rep", "rep_th", "n")
-    members = materialize(members, "similar-members", narrow=True)
+    members = materialize(members, "similar-members", most=64 * n)
     n_members = members.count()
     sets = materialize(
         read.join(small_side(members, n_members, 64), F.expr("doc_id <=> rep AND th = rep_th"))
@@ -386,10 +389,10 @@ def similar_groups(
     rows = sets.join(blocks, "cluster").withColumnRenamed("cluster", "key")
     rows = dealt(rows, "key", F.col("blocks"), "xxhash64(node)").select("key", F.col("side").cast("int"), "node", "shingles")
     links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_verify(threshold)), "a long, b long")
-    parts = connected_components(links)
+    parts = connected_components(links, most=16 * n_members)
     placed = nodes.join(parts, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_text = materialize(placed.join(least, "root").select("digest", "component_id"), "similar-groups", narrow=True)
+    of_text = materialize(placed.join(least, "root").select("digest", "component_id"), "similar-groups", most=32 * n)
     for used in (nodes, loose, members, sets):
         discard(used)
     return marked.join(of_text, "digest").select("doc_id", "component_id", "digest")
@@ -401,10 +404,10 @@ def dedup_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows are told apart by id: rows that repeat the staying id all stay, and a null id stays if some row without
     an id is in a group without ids. All columns come back as they were.
     """
-    found = materialize(similar_groups(docs, id_col, text_col, **options).select("doc_id", "component_id"), "similar-found", narrow=True)
+    found = materialize(similar_groups(docs, id_col, text_col, **options).select("doc_id", "component_id"), "similar-found")
     stays = found.filter("doc_id <=> component_id").select("doc_id").distinct()
     goes = found.filter("NOT (doc_id <=> component_id)").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
-    goes = materialize(goes.select(F.col("doc_id").alias("__tw_id")), "similar-goes", narrow=True)
+    goes = materialize(goes.select(F.col("doc_id").alias("__tw_id")), "similar-goes", most=8 * found.count())
     out = docs.join(small_side(goes, goes.count(), 16), F.expr(f"`{id_col}` <=> __tw_id"), "left_anti")
     discard(found)
     return out

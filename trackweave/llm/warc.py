@@ -166,10 +166,10 @@ def write_archives(
     rows = rows.withColumn("digest", F.when(F.col("size") >= REVISIT_BYTES, F.sha2(F.col("html").cast("binary"), 256)))
     copies = rows.filter("digest IS NOT NULL").groupBy("size", "digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     copies = copies.filter("n > 1 AND last IS NOT NULL").select(F.col("size").alias("s"), F.col("digest").alias("d"), "last")
-    copies = materialize(copies, "warc-copies", narrow=True)
+    copies = materialize(copies, "warc-copies")
     # Ids that several rows have (or none): their records need more than the id for a name.
     again = rows.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1 OR page_id IS NULL").select(F.col("page_id").alias("p"))
-    again = materialize(again, "warc-again", narrow=True).withColumn("again", F.lit(True))
+    again = materialize(again, "warc-again").withColumn("again", F.lit(True))
     joined = rows.join(small_side(copies, copies.count(), 80), F.expr("digest = d AND size = s"), "left")
     joined = joined.join(small_side(again, again.count(), 16), F.expr("page_id <=> p"), "left")
     refers = F.when(~F.expr("page_id <=> last"), F.col("last"))
