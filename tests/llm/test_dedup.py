@@ -178,9 +178,32 @@ def test_lines_odd(spark, odd):
 
 
 def test_runs_anti_join(spark):
-    runs = linededup.LineRuns(spark, min_docs=3, fanout=2)
-    rows = lambda *hs: spark.createDataFrame([(bytes([h]), 1, 1) for h in hs], "h binary, n long, first long")
-    for batch in (rows(1, 2), rows(1, 3), rows(1, 2, 4), rows(5, 1)):
+    runs = linededup.LineRuns(spark, buckets=3, fanout=2)
+    rows = lambda *hs: spark.createDataFrame([(bytes([h]) * 16, 1, 10 - h) for h in hs], "h binary, n long, first long")
+    sizes = []
+    for batch in (rows(1, 2), rows(1, 3), rows(1, 2, 4), rows(5, 1), rows(6, 1)):
         runs.add(batch)
-    assert sorted(r.h[0] for r in runs.seen(rows(1, 2, 3, 9)).collect()) == [9]
-    assert [r.h[0] for r in runs.frequent().collect()] == [1]
+        sizes.append([len(level) for level in runs.levels])
+    assert sizes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    assert sorted(r.h[0] for run in runs.runs() for r in run.collect()) == [1, 2, 3, 4, 5, 6]  # no line in two runs
+    assert {r.h[0]: r.fresh for r in runs.marked(rows(1, 2, 3, 9)).collect()} == {1: False, 2: False, 3: False, 9: True}
+    assert sorted((r.h[0], r["first"]) for r in runs.frequent(2).collect()) == [(1, 9), (2, 8)]
+    names = [name for name, _ in runs._tables]
+    runs.drop()
+    assert not {t.name for t in spark.catalog.listTables()} & set(names)
+
+
+def test_runs_merge_without_exchange(spark):
+    runs = linededup.LineRuns(spark, buckets=3, fanout=9)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hs in ((1, 2), (2, 3), (4, 5)):
+            runs.add(spark.createDataFrame([(bytes([h]) * 16, 1, h) for h in hs], "h binary, n long, first long"))
+        plan = runs.frequent(1)._jdf.queryExecution().executedPlan().toString()
+        assert "Union" in plan and "Exchange" not in plan
+        plan = runs.marked(runs.runs()[0])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        runs.drop()
