@@ -221,17 +221,27 @@ def fit_quality(
         F.broadcast(chosen), F.col("__tw_d") == F.col("__tw_l")
     )
     rows = with_statistics(rows.select("__tw_d", "__tw_y", "__tw_text"), "__tw_text").select("__tw_d", "__tw_y", "__tw_stats")
-    got = sorted((r[0], r[1], tuple(r[2])) for r in rows.collect())
-    x = np.array([r[2] for r in got], np.float64).reshape(-1, len(STATISTICS))
-    return RuleModel.fit(x, np.array([r[1] for r in got], np.float64))
+    got = rows.toArrow()
+    x = got.column("__tw_stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+    y = got.column("__tw_y").to_numpy().astype(np.float64)
+    order = np.lexsort([*x.T[::-1], y])  # the rows come in any order
+    return RuleModel.fit(x[order], y[order])
 
 
-def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def score_quality(
+    docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted"
+) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
     Null and empty texts are scored like any other, from their statistics. Columns of those two names are
     replaced; all others come back as they were. An empty table gives an empty table.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted", "__tw_stats")])
-    scored = with_statistics(rows, text_col).withColumn("score", model.column())
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("__tw_stats")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (score_col, predicted_col, "__tw_stats")])
+    scored = with_statistics(rows, text_col).withColumn(score_col, model.column())
+    return scored.withColumn(predicted_col, F.when(F.col(score_col) >= threshold, 1).otherwise(0)).drop("__tw_stats")
+
+
+def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that the model accepts, with all their columns, whatever their names."""
+    scored = score_quality(docs, model, text_col, threshold, "__tw_score", "__tw_predicted")
+    return scored.filter("__tw_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
