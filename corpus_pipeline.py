@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import decontaminate, linededup, quality, sentencepiece_scan, simhash
-from trackweave.llm.common import materialize, table
+from trackweave.llm.common import discard, materialize, spent, table
 from trackweave.llm.queries import PIECES, vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
-    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least ten documents stay in the first of them only; n_chars is that of the text that is left."""
-    rows = linededup.dedup_lines(docs, keep="first").withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = linededup.dedup_lines(docs, keep="first", lines_col="__tw_lines", dropped_col="__tw_dropped")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over all documents: doc_id, ids, n_pieces, n_chars of those that stay.
+
+    Each stage's result is a table of its own in the shared folder; what a stage made besides, and the result of the
+    stage before it, are removed once it is written. An empty table of documents gives an empty table.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with spent(spark) as leave:
+            docs = materialize(stage(spark, before, sf_dir), f"pipeline-{name}")
+            leave(docs)
+        discard(before)
     return docs
