@@ -117,6 +117,43 @@ def test_planted_clusters(spark):
     assert cost == pytest.approx(min(((s[:i] - s[:i].mean()) ** 2).sum() + ((s[i:] - s[i:].mean()) ** 2).sum() for i in range(1, 20)))
 
 
+def test_distributed_clusters_match_the_kernel(spark):
+    rng = np.random.default_rng(4)
+    parts = []
+    for clip, means in (("a", (100, 120)), ("b", (100, 100.5)), ("c", (90, 96)), ("few", (100, 120))):
+        part = pd.DataFrame(np.vstack([rng.normal(m, 1.0, (60, 6)) for m in means]), columns=clustering.FEATURES)
+        part["clip_id"], part["conf"], part["torso_px"] = clip, rng.uniform(0, 1, 120), rng.integers(0, 900, 120)
+        parts.append(part.head(6) if clip == "few" else part)
+    rows = pd.concat(parts, ignore_index=True)
+    rows["event_id"], rows["track_id"] = np.arange(len(rows)), np.arange(len(rows)) % 11
+    got = {r.event_id: r.det_team for r in clustering.team_rows(spark.createDataFrame(rows).repartition(5), "conf >= 0").collect()}
+    want = {}
+    for _, part in rows.groupby("clip_id"):
+        label = clustering.cluster(part)
+        want |= {} if label is None else dict(zip(part.event_id, label))
+    assert got == want and len(want) >= 240
+    assert clustering.team_rows(spark.createDataFrame(rows).limit(0), "true").count() == 0
+
+
+def test_smoothing_reaches_far_enough(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2000, 300).astype(float)
+    rows = [("c", i, 1, v, 2 * v) for i, v in enumerate(x.tolist())]
+    got = [r.sx1 for r in windows.smoothed(spark.createDataFrame(rows, "clip_id string, frame long, track_id long, x1 double, y1 double")).orderBy("frame").collect()]
+    mean, want = x[0], []
+    for v in x:
+        mean = v if not want else 0.6 * v + 0.4 * mean
+        want.append(int(mean))
+    assert got == want
+
+
+def test_plan_scans_little(spark, sf):
+    from trackweave.queries import QUERIES
+
+    plan = QUERIES["pass2_routes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") < 10
+
+
 def test_line_up_lock():
     two = np.array([130.0 + 4 * i for i in range(7)] + [290.0 + 4 * i for i in range(7)])
     assert clustering.spatial_lock(two, 720)

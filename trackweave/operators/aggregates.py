@@ -31,49 +31,45 @@ def _keys(key: str | list[str]) -> list[str]:
 
 def mode_vote(rows: DataFrame, key: str | list[str], label: str, out: str = "team") -> DataFrame:
     """The label that most rows of a key have; ties: the smallest."""
-    keys = _keys(key)
-    counts = rows.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count("*").alias("n"))
-    return counts.groupBy(*keys).agg(F.max_by(label, F.struct("n", -F.col(label))).alias(out))
+    return rows.filter(F.col(label).isNotNull()).groupBy(*_keys(key)).agg(F.mode(label, True).alias(out))
 
 
 def number_vote(det: DataFrame, key: str | list[str] = "track_id", least: float = P.ocr_min) -> DataFrame:
     """The number with the most confidence of a key (ties: seen first); keys without a vote have null."""
     keys = _keys(key)
-    votes = det.filter(f"ocr_conf >= {least} AND ocr_num BETWEEN 0 AND 99").groupBy(*keys, "ocr_num").agg(
-        F.sum("ocr_conf").alias("s"), F.min(F.struct("frame", "event_id")).alias("seen")
-    )
-    ranked = votes.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("s", 6)), "seen")))
-    return det.select(*keys).distinct().join(ranked.filter("rn = 1").select(*keys, F.col("ocr_num").alias("jersey_number")), keys, "left")
+    voted = det.withColumn("num", F.expr(f"CASE WHEN ocr_conf >= {least} AND ocr_num BETWEEN 0 AND 99 THEN ocr_num END"))
+    votes = voted.groupBy(*keys, "num").agg(F.round(F.sum("ocr_conf"), 6).alias("s"), F.min(F.struct("frame", "event_id")).alias("seen"))
+    rank = F.when(F.col("num").isNotNull(), F.struct("s", -F.col("seen.frame"), -F.col("seen.event_id")))
+    return votes.groupBy(*keys).agg(F.max_by("num", rank).alias("jersey_number"))
 
 
 def track_summary(det: DataFrame) -> DataFrame:
-    """One row a track: first and last frame, foot at both, velocity of the last two rows, team, number, median colour."""
-    foot = det.withColumn("fx", F.expr(FOOT_X)).withColumn("fy", F.expr(FOOT_Y))
+    """One row a track: first and last frame, foot at both, velocity of the last two rows, team, number, median colour.
+
+    One shuffle by track: the row before is a lag over the rows that the aggregate then reads.
+    """
     key = ["clip_id", "track_id"]
-    last = Window.partitionBy(*key).orderBy(F.desc("frame"))
-    tails = foot.withColumn("rn", F.row_number().over(last)).filter("rn <= 2").groupBy(*key).agg(
-        F.max_by(F.struct("frame", "fx", "fy"), "frame").alias("l"), F.min_by(F.struct("frame", "fx", "fy"), "frame").alias("p"), F.count("*").alias("n")
-    )
-    step = F.greatest(F.lit(1), F.col("l.frame") - F.col("p.frame"))
-    tails = tails.select(
-        *key,
-        F.when(F.col("n") > 1, (F.col("l.fx") - F.col("p.fx")) / step).otherwise(0.0).alias("vx"),
-        F.when(F.col("n") > 1, (F.col("l.fy") - F.col("p.fy")) / step).otherwise(0.0).alias("vy"),
-    )
-    spans = foot.groupBy(*key).agg(
+    order = Window.partitionBy(*key).orderBy("frame")
+    foot = det.select(
+        *key, "frame", F.expr(FOOT_X).alias("fx"), F.expr(FOOT_Y).alias("fy"), "feat_a", "feat_b", F.expr("CASE WHEN team >= 0 THEN team END").alias("team"),
+        F.expr(f"CASE WHEN ocr_conf >= {P.ocr_min} THEN ocr_num END").alias("ocr"),
+    )
+    foot = foot.withColumns({f"p{c}": F.lag(c).over(order) for c in ("frame", "fx", "fy")})
+    step = F.greatest(F.lit(1), F.col("l.frame") - F.col("l.pframe"))
+    rows = foot.groupBy(*key).agg(
         F.min("frame").alias("start"),
         F.max("frame").alias("end"),
         F.min_by(F.struct("fx", "fy"), "frame").alias("head"),
-        F.max_by(F.struct("fx", "fy"), "frame").alias("tail"),
+        F.max_by(F.struct("frame", "fx", "fy", "pframe", "pfx", "pfy"), "frame").alias("l"),
+        F.mode("team", True).alias("team"),
+        F.mode("ocr", True).alias("ocr"),
         F.median("feat_a").alias("ab_a"),
         F.median("feat_b").alias("ab_b"),
     )
-    team = mode_vote(det.filter("team >= 0"), key, "team")
-    number = mode_vote(det.filter(f"ocr_conf >= {P.ocr_min} AND ocr_num IS NOT NULL"), key, "ocr_num", "ocr")
-    rows = spans.join(tails, key).join(team, key, "left").join(number, key, "left")
     return rows.select(
-        *key, "start", "end", F.col("head.fx").alias("head_x"), F.col("head.fy").alias("head_y"), F.col("tail.fx").alias("tail_x"),
-        F.col("tail.fy").alias("tail_y"), "vx", "vy", F.coalesce("team", F.lit(-1)).alias("team"), "ocr", "ab_a", "ab_b",
+        *key, "start", "end", F.col("head.fx").alias("head_x"), F.col("head.fy").alias("head_y"), F.col("l.fx").alias("tail_x"), F.col("l.fy").alias("tail_y"),
+        *[F.when(F.col("l.pframe").isNotNull(), (F.col(f"l.f{c}") - F.col(f"l.pf{c}")) / step).otherwise(0.0).alias(f"v{c}") for c in "xy"],
+        F.coalesce("team", F.lit(-1)).alias("team"), "ocr", "ab_a", "ab_b",
     )
 
 
@@ -115,12 +111,13 @@ def bucket_counts(rows: DataFrame, bucket: str) -> DataFrame:
 
 def churn(det: DataFrame) -> DataFrame:
     """One row: tracks that weren't in the detection frame before, over frames; a track that comes back counts again."""
-    frames = det.select("frame").distinct()
-    previous = frames.withColumn("before", F.lag("frame").over(Window.orderBy("frame")))
-    seen = det.select("frame", "track_id").distinct()
-    last = seen.withColumn("own", F.lag("frame").over(Window.partitionBy("track_id").orderBy("frame"))).join(previous, "frame")
+    frames = det.select("clip_id", "frame").distinct()
+    previous = frames.withColumn("before", F.lag("frame").over(Window.partitionBy("clip_id").orderBy("frame")))
+    seen = det.select("clip_id", "frame", "track_id").distinct()
+    last = seen.withColumn("own", F.lag("frame").over(Window.partitionBy("clip_id", "track_id").orderBy("frame"))).join(previous, ["clip_id", "frame"])
     new = F.count_if(F.col("own").isNull() | F.col("before").isNull() | (F.col("own") != F.col("before")))
-    return last.agg(new.alias("new_ids"), F.count_distinct("frame").alias("frames"), (new / F.count_distinct("frame")).alias("churn"))
+    n = F.count_distinct("clip_id", "frame")
+    return last.agg(new.alias("new_ids"), n.alias("frames"), (new / n).alias("churn"))
 
 
 def label_flips(rows: DataFrame) -> DataFrame:

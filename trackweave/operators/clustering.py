@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..params import P
+from ..tables import discard, materialize, small_side
 
 FEATURES = ["feat_a", "feat_b", "feat_sa", "feat_sb", "feat_h", "feat_sh"]
 
@@ -83,23 +84,92 @@ def spatial_lock(y: np.ndarray, height: float) -> bool:
     return min(len(a), len(b)) >= 5 and (b.mean() - a.mean()) / spread >= 0.20
 
 
-def team_rows(det: DataFrame, valid: str, by: list[str] | None = None) -> DataFrame:
-    """(clip_id, event_id, track_id, det_team) of the valid rows, clustered in each clip (or clip and segment).
+#: Digits of a centre's coordinates in scaled space: sums over tasks in any order give the same centres.
+CENTRE_DIGITS = 9
+_A, _B = [f"a{j}" for j in range(len(FEATURES))], [f"b{j}" for j in range(len(FEATURES))]
 
-    A clip's valid rows meet in one task; they are features of some players in some minutes of frames.
+
+def _squared(centre: list[str]) -> str:
+    """Squared distance of a point x0.. to a centre."""
+    return " + ".join(f"(x{j} - {c}) * (x{j} - {c})" for j, c in enumerate(centre))
+
+
+def points(det: DataFrame, valid: str, by: list[str], least: int = 8) -> DataFrame:
+    """The valid rows of groups that have so many: by, event_id, track_id, weight w, hue, and the scaled features x0.. ."""
+    rows = det.filter(valid).selectExpr(
+        *by, "event_id", "track_id", "CASE WHEN conf * greatest(1, torso_px) > 0 THEN conf * greatest(1, torso_px) ELSE 1e-9D END AS w", *FEATURES
+    )
+    moments = [f(c).alias(f"{n}{j}") for j, c in enumerate(FEATURES) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), *moments).filter(F.col("n") >= least).drop("n")
+    scaled = [f"({c} - m{j}) / CASE WHEN s{j} = 0 THEN 1 ELSE s{j} END AS x{j}" for j, c in enumerate(FEATURES)]
+    return rows.join(stats, by).selectExpr(*by, "event_id", "track_id", "w", "feat_h AS hue", *scaled)
+
+
+def two_centres(rows: DataFrame, by: list[str], rounds: int = 100) -> tuple[DataFrame, list[DataFrame]]:
+    """by, a0.., b0..: the centres of weighted 2-means of each group, from the point farthest from the mean and that farthest
+    from it (ties: the smallest event); and the tables they were made in.
+
+    A round is one aggregate over all groups, which combines before its shuffle; only the centres, a row a group, go to
+    the points: broadcast if their counted size allows it, joined by group otherwise. Rounds end when no label changes.
     """
-    by = by or ["clip_id"]
-    rows = det.filter(valid).select(*by, "event_id", "track_id", "conf", "torso_px", *FEATURES)
+    x = [F.col(f"x{j}") for j in range(len(FEATURES))]
+    means = rows.groupBy(*by).agg(*[F.round(F.sum(F.col("w") * v) / F.sum("w"), CENTRE_DIGITS).alias(c) for v, c in zip(x, _A)])
+    made = [materialize(means, "centres")]
+    n = made[0].count()
+
+    def near(centres: DataFrame) -> DataFrame:
+        return rows.join(small_side(centres, n, 400), by)
+
+    def farthest(centres: DataFrame, names: list[str]) -> DataFrame:
+        """Of each group the point farthest from a0.., beside what the centres have."""
+        best = F.max_by(F.struct(*[F.round(v, CENTRE_DIGITS).alias(c) for v, c in zip(x, names)]), F.struct(F.expr(_squared(_A)), -F.col("event_id")))
+        kept = [c for c in centres.columns if c not in by and c not in names]
+        found = near(centres).groupBy(*by).agg(best.alias("f"), *[F.first(c).alias(c) for c in kept])
+        return materialize(found.select(*by, "f.*", *kept), "centres")
+
+    made.append(farthest(made[-1], [f"f{c}" for c in _A]))
+    start = made[-1].select(*by, *[F.col(f"f{c}").alias(c) for c in _A])
+    made.append(farthest(start, _B))
+    now = made[-1].withColumns({f"old_{c}": F.col(c) for c in (*_A, *_B)})
+    label, before = f"({_squared(_B)}) < ({_squared(_A)})", None
+    for turn in range(rounds):
+        # Before the first round all points have label 0.
+        before = "false" if turn == 0 else f"({_squared([f'old_{c}' for c in _B])}) < ({_squared([f'old_{c}' for c in _A])})"
+        labelled = near(now).withColumn("l", F.expr(label)).withColumn("o", F.expr(before))
+        sums = [
+            F.coalesce(F.round(F.sum(F.when(F.col("l") == side, F.col("w") * v)) / F.sum(F.when(F.col("l") == side, F.col("w"))), CENTRE_DIGITS), F.first(c)).alias(c)
+            for side, names in ((False, _A), (True, _B))
+            for v, c in zip(x, names)
+        ]
+        olds = [F.first(c).alias(f"old_{c}") for c in (*_A, *_B)]
+        seen = Observation()
+        moved = labelled.groupBy(*by).agg(*sums, *olds, F.count_if(F.col("l") != F.col("o")).alias("changed"))
+        made.append(materialize(moved.observe(seen, F.coalesce(F.sum("changed"), F.lit(0)).alias("n")), "centres"))
+        now = made[-1].drop("changed")
+        if not seen.get["n"]:
+            break
+    return now.select(*by, *_A, *_B), made
+
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("event_id")
-        label = cluster(part)
-        out = part[[*by, "event_id", "track_id"]].copy()
-        out["det_team"] = -1 if label is None else label
-        return out[out.det_team >= 0] if label is None else out
+def team_rows(det: DataFrame, valid: str, by: list[str] | None = None, least: float = P.centroid_min) -> DataFrame:
+    """(by, event_id, track_id, det_team) of the valid rows, clustered in each clip (or clip and segment).
 
-    kinds = ", ".join(f"{c} {'string' if c == 'clip_id' else 'long'}" for c in by)
-    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, event_id long, track_id long, det_team long")
+    Team 0 has the lower weighted mean hue. Groups of fewer than eight valid rows, and those whose centres are nearer
+    than `least` in scaled space, have no rows. Null rows of `valid` don't count.
+    """
+    by = by or ["clip_id"]
+    rows = materialize(points(det, valid, by), "points")
+    centres, made = two_centres(rows, by)
+    labelled = rows.join(small_side(centres, made[0].count(), 400), by).withColumn("l", F.expr(f"CAST(({_squared(_B)}) < ({_squared(_A)}) AS INT)"))
+    apart = F.expr(f"sqrt({' + '.join(f'({a} - {b}) * ({a} - {b})' for a, b in zip(_A, _B))}) >= {least}")
+    labelled = labelled.filter(apart).select(*by, "event_id", "track_id", "w", "hue", "l")
+    hues = labelled.groupBy(*by).agg(*[F.expr(f"sum(w * hue) FILTER (WHERE l = {k}) / sum(w) FILTER (WHERE l = {k})").alias(f"h{k}") for k in (0, 1)])
+    swapped = hues.select(*by, F.coalesce(F.col("h0") > F.col("h1"), F.lit(False)).alias("swap"))
+    out = labelled.join(swapped, by).select(*by, "event_id", "track_id", F.expr("CASE WHEN swap THEN 1 - l ELSE l END").alias("det_team"))
+    out = materialize(out, "team-rows")
+    for used in (rows, *made):
+        discard(used)
+    return out
 
 
 def nearest_centre(det: DataFrame, centres: list[list[float]]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FOOT_X, FOOT_Y
 from ..params import P
+from ..tables import small_side
 
 
 def speeds(det: DataFrame, key: str = "track_id") -> DataFrame:
@@ -41,7 +44,7 @@ def snap_frame(det: DataFrame, key: str = "track_id", rows: int = P.quiet_rows,
 
 def trimmed(det: DataFrame, snap: DataFrame, play_len: int = P.play_len) -> DataFrame:
     """Rows from the snap to play_len frames after it, both inclusive, with t_from_snap; one row of snap a clip."""
-    rows = det.join(F.broadcast(snap), "clip_id").withColumn("t_from_snap", F.col("frame") - F.col("snap_frame"))
+    rows = det.join(small_side(snap, snap.count(), 64), "clip_id").withColumn("t_from_snap", F.col("frame") - F.col("snap_frame"))
     return rows.filter(F.col("t_from_snap").between(0, play_len)).drop("snap_frame")
 
 
@@ -69,14 +72,17 @@ def islands(det: DataFrame) -> DataFrame:
 
 
 def smoothed(det: DataFrame, alpha: float = P.ema) -> DataFrame:
-    """Exponential mean of x1 and y1 along each island; a fold over the island's rows, cut towards zero."""
+    """Exponential mean of x1 and y1 along each island, cut towards zero.
+
+    A fold over the last rows of the island, so many that a row before them weighs less than a double's last digit.
+    """
     rows = islands(det)
+    reach = math.ceil(-40 / math.log(1 - alpha)) if alpha < 1 else 1
+    last = Window.partitionBy("clip_id", "track_id", "island").orderBy("frame").rowsBetween(-reach, 0)
     fold = lambda c: (
         f"aggregate(slice(transform(h, e -> e.{c}), 2, size(h)), h[0].{c}, (acc, x) -> {alpha} * x + {1 - alpha} * acc)"
     )
-    upto = rows.withColumn(
-        "h", F.collect_list(F.struct("x1", "y1")).over(Window.partitionBy("clip_id", "track_id", "island").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
-    )
+    upto = rows.withColumn("h", F.collect_list(F.struct("x1", "y1")).over(last))
     return upto.withColumn("sx1", F.expr(fold("x1")).cast("long")).withColumn("sy1", F.expr(fold("y1")).cast("long")).drop("h")
 
 

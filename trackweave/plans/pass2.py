@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import VALID_FEATURE, projected
 from ..operators import aggregates, clustering, greedy, relational, windows
 from ..params import P, Params
+from ..tables import discard, materialize
 
 
 def brightness_split(det: DataFrame, luminance: DataFrame, delta: float = P.brightness_delta) -> DataFrame:
@@ -41,20 +42,30 @@ def assign_teams(det: DataFrame, by_segment: bool = False, luminance: DataFrame
 
 def stitched(det: DataFrame, p: Params = P) -> DataFrame:
     """det with stable_id: the first track of the chain that a track continues."""
-    edges = relational.stitch_candidates(aggregates.track_summary(det), p.max_gap, p.max_dist, p.ab_weight)
-    roots = greedy.chained(edges)
+    tracks = materialize(aggregates.track_summary(det), "tracks")
+    roots = materialize(greedy.chained(relational.stitch_candidates(tracks, p.max_gap, p.max_dist, p.ab_weight)), "chains")
+    discard(tracks)
     return det.join(roots, ["clip_id", "track_id"], "left").withColumn("stable_id", F.coalesce("stable_id", "track_id"))
 
 
 def analyse(det: DataFrame, homography: list[list[float]] | None = None, factor: float = P.jump_factor) -> DataFrame:
-    """Routes: rows from the snap on, with stable_id, team, jersey_number, court_x, court_y, t_from_snap."""
-    rows = stitched(assign_teams(det))
+    """Routes: rows from the snap on, with stable_id, team, jersey_number, court_x, court_y, t_from_snap.
+
+    Each step's rows are a table in the shared folder: the detections, then with teams, then with chains. The source is
+    read once, and clustering, summaries and votes run once.
+    """
+    det = materialize(det, "detections")
+    teamed = materialize(assign_teams(det), "teams")
+    discard(det)
+    rows = materialize(stitched(teamed), "stitched")
+    discard(teamed)
     key = ["clip_id", "stable_id"]
     teams = aggregates.mode_vote(rows.filter("team >= 0"), key, "team", "voted")
     numbers = aggregates.number_vote(rows, key)
+    snap = materialize(windows.snap_frame(rows, "stable_id", factor=factor), "snap")
     rows = rows.drop("team").join(teams, key, "left").join(numbers, key, "left")
     rows = rows.withColumn("team", F.coalesce("voted", F.lit(-1))).drop("voted")
     if homography:
         x, y = projected(homography)
         rows = rows.withColumn("court_x", F.expr(x)).withColumn("court_y", F.expr(y))
-    return windows.trimmed(rows, windows.snap_frame(rows, "stable_id", factor=factor))
+    return windows.trimmed(rows, snap)

@@ -18,6 +18,7 @@ from .plans import pass2
 from .sources import readers
 from .sources.fixture import DET_SQL, FEAT_SQL, FRAME_H, FRAME_W, detections, with_features
 from .streaming import online, teams
+from .tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -307,26 +308,44 @@ def label_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return detections(spark, sf).selectExpr("frame AS image", "CASE WHEN event_id % 2 = 0 THEN 'gt' ELSE 'pred' END AS kind", "event_id AS idx", "x1", "y1", "x2", "y2")
 
 
-@query("jon06_exclusive_match")
+# Rows of a frame or image in order, each with its partners from the best on: what a row takes is the first that is free.
+_MATCHING = f"""gt AS (SELECT frame AS image, event_id AS idx, x1 AS a_x1, y1 AS a_y1, x2 AS a_x2, y2 AS a_y2, row_number() OVER (PARTITION BY frame ORDER BY event_id) AS n FROM det WHERE event_id % 2 = 0),
+pr AS (SELECT frame AS image, event_id AS p, x1 AS b_x1, y1 AS b_y1, x2 AS b_x2, y2 AS b_y2 FROM det WHERE event_id % 2 = 1),
+sc AS (SELECT image, idx, p, {S.iou('a_', 'b_')} AS iou FROM gt JOIN pr USING (image)),
+offers AS (SELECT gt.image, gt.idx, gt.n, (a_x2 - a_x1) * (a_y2 - a_y1) AS area, coalesce(o.ps, CAST([] AS BIGINT[])) AS ps FROM gt
+ LEFT JOIN (SELECT idx, list(p ORDER BY iou DESC, p) AS ps FROM sc WHERE iou > 0 AND iou >= 0.3 GROUP BY 1) AS o USING (idx)),
+matching(image, n, idx, area, matched, used) AS (SELECT DISTINCT image, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) FROM offers
+ UNION ALL SELECT o.image, o.n, o.idx, o.area, coalesce(list_filter(o.ps, lambda p: NOT list_contains(m.used, p))[1], -1),
+  list_concat(m.used, list_filter(o.ps, lambda p: NOT list_contains(m.used, p))[1:1]) FROM matching m JOIN offers o ON o.image = m.image AND o.n = m.n + 1),
+matches AS (SELECT image, idx, matched, area FROM matching WHERE n > 0)"""
+
+
+@query("jon06_exclusive_match", f"WITH {_MATCHING} SELECT image, idx, matched, area FROM matches", recursive=True)
 def _(spark, sf):
     return greedy.matched(label_boxes(spark, sf), 0.3)
 
 
-@query("agg26_size_recall")
+@query("agg26_size_recall", f"""WITH {_MATCHING} SELECT CASE WHEN area < 32 * 32 THEN 'small' WHEN area < 96 * 96 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS gt,
+count(*) FILTER (WHERE matched >= 0) AS matched, round(count(*) FILTER (WHERE matched >= 0) / count(*), 3) AS recall FROM matches GROUP BY 1""", recursive=True)
 def _(spark, sf):
     rows = greedy.matched(label_boxes(spark, sf), 0.3).groupBy(F.expr(S.SIZE_BUCKET).alias("bucket"))
     return rows.agg(F.count("*").alias("gt"), F.count_if(F.col("matched") >= 0).alias("matched")).withColumn("recall", F.round(F.col("matched") / F.col("gt"), 3))
 
 
-_TRACKS = """t0 AS (SELECT clip_id, track_id, min(frame) AS start, max(frame) AS "end", arg_min(struct_pack(x := (x1 + x2) / 2, y := y2), frame) AS head, arg_max(struct_pack(x := (x1 + x2) / 2, y := y2), frame) AS tail, median(feat_a) AS ab_a, median(feat_b) AS ab_b FROM detf GROUP BY 1, 2),
-tl AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame DESC) AS rn FROM detf),
+def _tracks(rel: str) -> str:
+    """Track summaries of a relation of detections with features."""
+    return f"""t0 AS (SELECT clip_id, track_id, min(frame) AS start, max(frame) AS "end", arg_min(struct_pack(x := (x1 + x2) / 2, y := y2), frame) AS head, arg_max(struct_pack(x := (x1 + x2) / 2, y := y2), frame) AS tail, median(feat_a) AS ab_a, median(feat_b) AS ab_b FROM {rel} GROUP BY 1, 2),
+tl AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame DESC) AS rn FROM {rel}),
 tv AS (SELECT l.track_id, coalesce(((l.x1 + l.x2) / 2 - (p.x1 + p.x2) / 2) / greatest(1, l.frame - p.frame), 0.0) AS vx, coalesce((l.y2 - p.y2) / greatest(1, l.frame - p.frame), 0.0) AS vy FROM tl l LEFT JOIN tl p ON l.track_id = p.track_id AND p.rn = 2 WHERE l.rn = 1),
-tm AS (SELECT track_id, team FROM (SELECT track_id, team, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, team) AS rn FROM det WHERE team >= 0 GROUP BY 1, 2) AS q WHERE rn = 1),
-tn AS (SELECT track_id, ocr FROM (SELECT track_id, ocr_num AS ocr, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, ocr_num) AS rn FROM det WHERE ocr_conf >= 0.5 AND ocr_num IS NOT NULL GROUP BY 1, 2) AS q WHERE rn = 1),
-tracks AS (SELECT t0.clip_id, t0.track_id, t0.start, t0."end", t0.head.x AS head_x, t0.head.y AS head_y, t0.tail.x AS tail_x, t0.tail.y AS tail_y, vx, vy, coalesce(tm.team, -1) AS team, tn.ocr, ab_a, ab_b
+tm AS (SELECT track_id, team FROM (SELECT track_id, team, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, team) AS rn FROM {rel} WHERE team >= 0 GROUP BY 1, 2) AS q WHERE rn = 1),
+tn AS (SELECT track_id, ocr FROM (SELECT track_id, ocr_num AS ocr, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, ocr_num) AS rn FROM {rel} WHERE ocr_conf >= 0.5 AND ocr_num IS NOT NULL GROUP BY 1, 2) AS q WHERE rn = 1),
+tracks AS MATERIALIZED (SELECT t0.clip_id, t0.track_id, t0.start, t0."end", t0.head.x AS head_x, t0.head.y AS head_y, t0.tail.x AS tail_x, t0.tail.y AS tail_y, vx, vy, coalesce(tm.team, -1) AS team, tn.ocr, ab_a, ab_b
  FROM t0 JOIN tv USING (track_id) LEFT JOIN tm USING (track_id) LEFT JOIN tn USING (track_id))"""
 
 
+_TRACKS = _tracks("detf")
+
+
 @query("agg12_track_summary", f"""WITH {_TRACKS} SELECT track_id, start, "end", head_x, head_y, tail_x, tail_y, {r6('vx')} AS vx, {r6('vy')} AS vy, team, ocr, {r6('ab_a')} AS ab_a, {r6('ab_b')} AS ab_b FROM tracks""", True)
 def _(spark, sf):
     rows = A.track_summary(with_features(spark, sf))
@@ -345,7 +364,19 @@ def _(spark, sf):
     return rows.selectExpr("a", "b", f"{S.rounded('dist', 5)} AS dist", f"{S.rounded('cost', 5)} AS cost")
 
 
-@query("srt03_chains")
+_EDGES = f"""edges AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a."end", a.track_id, {_DIST} + 0.5 * coalesce(sqrt((a.ab_a - b.ab_a) * (a.ab_a - b.ab_a) + (a.ab_b - b.ab_b) * (a.ab_b - b.ab_b)), 0), b.track_id) AS n, a.track_id AS a, b.track_id AS b
+FROM tracks a JOIN tracks b ON a.clip_id = b.clip_id AND {_GAP} > 0 AND {_GAP} <= 30 WHERE (a.team < 0 OR b.team < 0 OR a.team = b.team) AND NOT coalesce(a.ocr <> b.ocr, false) AND {_DIST} <= 120)"""
+# Edge by edge in order, one is taken if neither its tail nor its head is; then each head follows the tails up to its root.
+_EDGE = "struct_pack(a := a, b := b, tails := CAST([] AS BIGINT[]), heads := CAST([] AS BIGINT[]))"
+_CHAIN = f"""{_EDGES},
+folded AS MATERIALIZED (SELECT list_reduce(list({_EDGE} ORDER BY n), lambda t, e: CASE WHEN list_contains(t.tails, e.a) OR list_contains(t.heads, e.b) THEN t
+ ELSE struct_pack(a := e.a, b := e.b, tails := list_append(t.tails, e.a), heads := list_append(t.heads, e.b)) END, struct_pack(a := CAST(0 AS BIGINT), b := CAST(0 AS BIGINT), tails := CAST([] AS BIGINT[]), heads := CAST([] AS BIGINT[]))) AS t FROM edges),
+upward(heads, roots, before, tails) AS (SELECT t.heads, t.tails, CAST([] AS BIGINT[]), map(t.heads, t.tails) FROM folded WHERE len(t.heads) > 0
+ UNION ALL SELECT heads, list_transform(roots, lambda r: coalesce(tails[r], r)), roots, tails FROM upward WHERE roots <> before),
+chains AS (SELECT unnest(heads) AS track_id, unnest(roots) AS stable_id FROM upward WHERE roots = before)"""
+
+
+@query("srt03_chains", f"WITH {_TRACKS}, {_CHAIN} SELECT 'events' AS clip_id, track_id, stable_id FROM chains", True, True)
 def _(spark, sf):
     return greedy.chained(R.stitch_candidates(A.track_summary(with_features(spark, sf))))
 
@@ -674,7 +705,10 @@ def _(spark, sf):
     return W.held_extent(heartbeat(spark, sf)).select("frame", "held_top", "held_bottom")
 
 
-@query("win10_smoothed_box")
+@query("win10_smoothed_box", f"""WITH b AS (SELECT *, CASE WHEN frame - lag(frame) OVER w = 1 THEN 0 ELSE 1 END AS brk FROM det WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY track_id ORDER BY frame) AS island FROM b),
+h AS (SELECT event_id, list(x1) OVER w AS xs, list(y1) OVER w AS ys FROM i WINDOW w AS (PARTITION BY track_id, island ORDER BY frame ROWS UNBOUNDED PRECEDING))
+SELECT event_id, {S.truncated('list_reduce(xs, lambda m, x: 0.6 * x + 0.4 * m)')} AS sx1, {S.truncated('list_reduce(ys, lambda m, y: 0.6 * y + 0.4 * m)')} AS sy1 FROM h""")
 def _(spark, sf):
     return W.smoothed(detections(spark, sf)).select("event_id", "sx1", "sy1")
 
@@ -710,8 +744,16 @@ def _(spark, sf):
 
 # Sorts, limits, sets
 
+_OVER = "(greatest(0, least(b.x2, r.x2) - greatest(b.x1, r.x1)) * greatest(0, least(b.y2, r.y2) - greatest(b.y1, r.y1)))"
+_AREAS = "((b.x2 - b.x1) * (b.y2 - b.y1) + (r.x2 - r.x1) * (r.y2 - r.y1))"
+
 
-@query("srt02_suppressed")
+@query("srt02_suppressed", f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, track_id) AS n FROM det),
+nms(frame, n, track_id, conf, ok, kept) AS (SELECT DISTINCT frame, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), false, CAST([] AS STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) FROM ranked
+ UNION ALL SELECT r.frame, r.n, r.track_id, r.conf, len(list_filter(k.kept, lambda b: {_OVER} > 0.7 * ({_AREAS} - {_OVER}))) = 0,
+  CASE WHEN len(list_filter(k.kept, lambda b: {_OVER} > 0.7 * ({_AREAS} - {_OVER}))) = 0 THEN list_append(k.kept, struct_pack(x1 := r.x1, y1 := r.y1, x2 := r.x2, y2 := r.y2)) ELSE k.kept END
+ FROM nms k JOIN ranked r ON r.frame = k.frame AND r.n = k.n + 1)
+SELECT frame, track_id, conf FROM nms WHERE ok""", recursive=True)
 def _(spark, sf):
     return greedy.suppressed(detections(spark, sf)).select("frame", "track_id", "conf")
 
@@ -774,11 +816,13 @@ def _(spark, sf):
     return upserted(det.groupBy("track_id").agg(F.min("frame").alias("v")), det.filter("k % 2 = 0").groupBy("track_id").agg(F.max("frame").alias("v")), "track_id")
 
 
-@query("set09_stratified_split")
+@query("set09_stratified_split", """WITH b AS (SELECT event_id, CASE k % 10 WHEN 0 THEN 'none' WHEN 1 THEN 'few' WHEN 2 THEN 'few' WHEN 3 THEN 'mid' WHEN 4 THEN 'mid' WHEN 5 THEN 'mid' WHEN 6 THEN 'mid' ELSE 'many' END AS bin FROM det),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id) AS rn, count(*) OVER (PARTITION BY bin) AS c FROM b)
+SELECT event_id, bin, rn <= ceil(c * 0.1) AS is_val FROM r""")
 def _(spark, sf):
     rows = S.add(detections(spark, sf), n="k % 10").selectExpr("event_id", f"{S.POSITIVES_BIN} AS bin")
     sizes = rows.groupBy("bin").agg(F.count("*").alias("c"))
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("bin").orderBy(F.xxhash64("event_id", F.lit(42)), "event_id")))
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("bin").orderBy(F.md5(F.expr("CAST(concat(event_id, ':42') AS BINARY)")), "event_id")))
     return ranked.join(F.broadcast(sizes), "bin").select("event_id", "bin", (F.col("rn") <= F.ceil(F.col("c") * 0.1)).alias("is_val"))  # a row a bin
 
 
@@ -851,7 +895,13 @@ def _(spark, sf):
     return both.selectExpr("user_id", "coalesce(abs(a0 - r1) + abs(a1 - r0) < abs(a0 - r0) + abs(a1 - r1), false) AS swapped")
 
 
-@query("jon05_mask_indices")
+@query("jon05_mask_indices", f"""WITH kept AS (SELECT frame AS image, event_id AS idx, x1 AS a_x1, y1 AS a_y1, x2 AS a_x2, y2 AS a_y2, row_number() OVER (PARTITION BY frame ORDER BY event_id) AS n FROM det WHERE conf >= 0.5),
+orig AS (SELECT frame AS image, event_id AS p, x1 AS b_x1, y1 AS b_y1, x2 AS b_x2, y2 AS b_y2 FROM det),
+offers AS (SELECT image, idx, n, list(p ORDER BY iou DESC, p) AS ps FROM (SELECT image, idx, n, p, {S.iou('a_', 'b_')} AS iou FROM kept JOIN orig USING (image)) AS q GROUP BY 1, 2, 3),
+reusing(image, n, idx, original, used) AS (SELECT DISTINCT image, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]) FROM offers
+ UNION ALL SELECT o.image, o.n, o.idx, coalesce(list_filter(o.ps, lambda p: NOT list_contains(m.used, p))[1], o.ps[1]),
+  list_append(m.used, coalesce(list_filter(o.ps, lambda p: NOT list_contains(m.used, p))[1], o.ps[1])) FROM reusing m JOIN offers o ON o.image = m.image AND o.n = m.n + 1)
+SELECT image, idx, original FROM reusing WHERE n > 0""", recursive=True)
 def _(spark, sf):
     import pandas as pd
 
@@ -879,7 +929,7 @@ def _(spark, sf):
     return detections(spark, sf).select("event_id", F.row_number().over(Window.partitionBy("track_id").orderBy("frame", "event_id")).cast("long").alias("pos"))
 
 
-@query("srt04_chain_roots")
+@query("srt04_chain_roots", f"WITH {_TRACKS}, {_CHAIN} SELECT coalesce(stable_id, track_id) AS stable_id, count(DISTINCT track_id) AS tracks, count(*) AS n FROM det LEFT JOIN chains USING (track_id) GROUP BY 1", True, True)
 def _(spark, sf):
     return pass2.stitched(with_features(spark, sf)).groupBy("stable_id").agg(F.count_distinct("track_id").alias("tracks"), F.count("*").alias("n"))
 
@@ -924,7 +974,33 @@ def _(spark, sf):
 # Clustering, gates, plans, streams
 
 
-@query("mlc01_clip_teams")
+_X = range(len(clustering.FEATURES))
+
+
+def _far(centre: str) -> str:
+    return " + ".join(f"(x{j} - {centre}{j}) * (x{j} - {centre}{j})" for j in _X)
+
+
+def _means(name: str, rel: str, valid: str = S.VALID_FEATURE) -> str:
+    """Weighted 2-means of a relation's valid rows: {name}(event_id, track_id, det_team); round by round from the farthest points."""
+    cols = lambda p: ", ".join(f"{p}{j}" for j in _X)
+    moved = ", ".join(f"coalesce(round(sum(w * x{j}) FILTER (WHERE {'NOT ' if p == 'a' else ''}l) / sum(w) FILTER (WHERE {'NOT ' if p == 'a' else ''}l), 9), first({p}{j}))" for p in "ab" for j in _X)
+    pt = f"{name}_pt"
+    return f"""{name}_v AS (SELECT event_id, track_id, CASE WHEN conf * greatest(1, torso_px) > 0 THEN conf * greatest(1, torso_px) ELSE 1e-9 END AS w, {', '.join(clustering.FEATURES)} FROM {rel} WHERE {valid}),
+{name}_s AS (SELECT count(*) AS c, {', '.join(f'avg({c}) AS m{j}, stddev_pop({c}) AS s{j}' for j, c in enumerate(clustering.FEATURES))} FROM {name}_v),
+{pt} AS MATERIALIZED (SELECT event_id, track_id, w, feat_h AS hue, {', '.join(f'({c} - m{j}) / CASE WHEN s{j} = 0 THEN 1 ELSE s{j} END AS x{j}' for j, c in enumerate(clustering.FEATURES))} FROM {name}_v, {name}_s WHERE c >= 8),
+{name}_c AS (SELECT {', '.join(f'round(sum(w * x{j}) / sum(w), 9) AS a{j}' for j in _X)} FROM {pt}),
+{name}_f AS (SELECT {', '.join(f'round(x{j}, 9) AS a{j}' for j in _X)} FROM {pt}, {name}_c ORDER BY {_far('a')} DESC, event_id LIMIT 1),
+{name}_g AS (SELECT {cols('a')}, {', '.join(f'round(x{j}, 9) AS b{j}' for j in _X)} FROM {pt}, {name}_f ORDER BY {_far('a')} DESC, event_id LIMIT 1),
+{name}_k(turn, changed, {cols('a')}, {cols('b')}, {cols('oa')}, {cols('ob')}) AS (SELECT 0, CAST(1 AS BIGINT), {cols('a')}, {cols('b')}, {cols('a')}, {cols('b')} FROM {name}_g
+ UNION ALL SELECT first(turn) + 1, count(*) FILTER (WHERE l <> o), {moved}, {', '.join(f'first({p}{j})' for p in 'ab' for j in _X)}
+ FROM (SELECT *, ({_far('b')}) < ({_far('a')}) AS l, turn > 0 AND ({_far('ob')}) < ({_far('oa')}) AS o FROM {name}_k, {pt} WHERE changed > 0 AND turn < 100) AS q HAVING count(*) > 0),
+{name}_l AS (SELECT event_id, track_id, w, hue, CAST(({_far('b')}) < ({_far('a')}) AS INT) AS l FROM {pt}, (SELECT * FROM {name}_k ORDER BY turn DESC LIMIT 1) AS z WHERE sqrt({' + '.join(f'(a{j} - b{j}) * (a{j} - b{j})' for j in _X)}) >= 1.5),
+{name}_h AS (SELECT coalesce(sum(w * hue) FILTER (WHERE l = 0) / sum(w) FILTER (WHERE l = 0) > sum(w * hue) FILTER (WHERE l = 1) / sum(w) FILTER (WHERE l = 1), false) AS swap FROM {name}_l),
+{name} AS (SELECT event_id, track_id, CASE WHEN swap THEN 1 - l ELSE l END AS det_team FROM {name}_l, {name}_h)"""
+
+
+@query("mlc01_clip_teams", f"WITH {_means('km', 'detf')} SELECT event_id, det_team FROM km", True, True)
 def _(spark, sf):
     return clustering.team_rows(with_features(spark, sf), S.VALID_FEATURE).select("event_id", "det_team")
 
@@ -987,16 +1063,35 @@ def _(spark, sf):
     return online.batch(online_frames(spark, sf))
 
 
-@query("pass2_routes")
+_TEAMED = f"""{_means('km', 'detf')},
+kv AS (SELECT track_id, det_team AS voted FROM (SELECT track_id, det_team, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, det_team) AS rn FROM km GROUP BY 1, 2) AS q WHERE rn = 1),
+teamed AS MATERIALIZED (SELECT detf.* REPLACE (coalesce(kv.voted, detf.team, -1) AS team) FROM detf LEFT JOIN kv USING (track_id))"""
+_ROUTES = f"""{_TEAMED}, {_tracks('teamed')}, {_CHAIN},
+st AS MATERIALIZED (SELECT teamed.*, coalesce(chains.stable_id, track_id) AS stable_id FROM teamed LEFT JOIN chains USING (track_id)),
+sv AS (SELECT stable_id, team AS voted FROM (SELECT stable_id, team, row_number() OVER (PARTITION BY stable_id ORDER BY count(*) DESC, team) AS rn FROM st WHERE team >= 0 GROUP BY 1, 2) AS q WHERE rn = 1),
+sn0 AS (SELECT stable_id, ocr_num, row_number() OVER (PARTITION BY stable_id ORDER BY round(sum(ocr_conf), 6) DESC, min(frame * 1000000000 + event_id)) AS rn FROM st WHERE ocr_conf >= 0.5 AND ocr_num BETWEEN 0 AND 99 GROUP BY 1, 2),
+sp AS (SELECT frame, sqrt(power((x1 + x2) / 2 - lag((x1 + x2) / 2) OVER w, 2) + power(y2 - lag(y2) OVER w, 2)) AS speed FROM st WINDOW w AS (PARTITION BY stable_id ORDER BY frame)),
+fs AS (SELECT frame, coalesce(median(speed), 0) AS speed FROM sp GROUP BY 1),
+bl AS (SELECT frame, speed, row_number() OVER (ORDER BY frame) - 1 AS pos, median(speed) OVER (ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS base FROM fs),
+sf AS (SELECT coalesce(min(frame) FILTER (WHERE pos >= 10 AND speed > {FACTOR} * greatest(base, 0.001)), min(frame)) AS f FROM bl),
+routes AS (SELECT st.* EXCLUDE (team), coalesce(sv.voted, -1) AS team, sn0.ocr_num AS jersey_number, frame - f AS t_from_snap FROM st LEFT JOIN sv USING (stable_id) LEFT JOIN sn0 ON st.stable_id = sn0.stable_id AND sn0.rn = 1, sf WHERE frame BETWEEN f AND f + 240)"""
+
+
+@query("pass2_routes", f"WITH {_ROUTES} SELECT event_id, frame, track_id, stable_id, team, jersey_number, {r6(_pj[0])} AS court_x, {r6(_pj[1])} AS court_y, t_from_snap FROM routes", True, True)
 def _(spark, sf):
     rows = pass2.analyse(with_features(spark, sf), HOMOGRAPHY, FACTOR)
     return rows.selectExpr("event_id", "frame", "track_id", "stable_id", "team", "jersey_number", f"{r6('court_x')} AS court_x", f"{r6('court_y')} AS court_y", "t_from_snap")
 
 
-@query("pass2_route_metrics")
+@query("pass2_route_metrics", f"""WITH {_TRACKS}, {_CHAIN}, {ANN}, st AS (SELECT det.*, coalesce(chains.stable_id, track_id) AS stable_id FROM det LEFT JOIN chains USING (track_id)),
+s AS (SELECT stable_id, count(DISTINCT frame) AS n, max(frame) - min(frame) + 1 AS span FROM st GROUP BY 1), f AS (SELECT frame, count(DISTINCT stable_id) AS n FROM st GROUP BY 1),
+g AS (SELECT frame - lag(frame) OVER (PARTITION BY stable_id ORDER BY frame) AS gap FROM (SELECT DISTINCT stable_id, frame FROM st) AS q)
+SELECT {r6('avg(n / span)')} AS completeness, {r6('greatest(0, count(*) / greatest(1, (SELECT median(n) FROM f)) - 1)')} AS fragmentation, (SELECT count(*) FILTER (WHERE gap > 1) FROM g) AS id_switches,
+(SELECT CAST(count(*) FILTER (WHERE team = correct_team) AS DOUBLE) / count(*) FROM ann JOIN det USING (frame, track_id)) AS team_accuracy FROM s""", True, True)
 def _(spark, sf):
-    rows = pass2.stitched(with_features(spark, sf))
-    return A.route_metrics(rows, annotations(spark, sf), "stable_id")
+    rows = materialize(pass2.stitched(materialize(with_features(spark, sf), "detections")), "stitched")
+    rows = A.route_metrics(rows, annotations(spark, sf), "stable_id")
+    return rows.selectExpr(f"{r6('completeness')} AS completeness", f"{r6('fragmentation')} AS fragmentation", "id_switches", "team_accuracy")
 
 
 # Single figures, pixel statistics, holds and counters

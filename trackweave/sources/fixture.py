@@ -83,5 +83,5 @@ e2 AS (SELECT *, CASE WHEN lag(frame) OVER w IS NULL OR frame - lag(frame) OVER
 e3 AS (SELECT *, CAST(user_id * 1000 + sum(brk) OVER (PARTITION BY user_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS BIGINT) AS track_id FROM e2),
 det AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _COLUMNS.items())} FROM e3)"""
 FEAT_SQL = f""",
-fe AS (SELECT vec_id, {', '.join(_feature_columns([f'CAST(embedding[{i + 1}] AS DOUBLE)' for i in range(6)]))} FROM embeddings WHERE vec_id < 500),
-detf AS (SELECT det.*, fe.* EXCLUDE (vec_id) FROM det JOIN fe ON det.event_id % 500 = fe.vec_id)"""
+fe AS (SELECT vec_id, {', '.join(_feature_columns([f'CAST(embedding[{i + 1}] AS DOUBLE)' for i in range(6)]))} FROM embeddings),
+detf AS (SELECT det.*, fe.* EXCLUDE (vec_id) FROM det JOIN fe ON det.event_id % (SELECT greatest(1, count(*)) FROM embeddings) = fe.vec_id)"""
