@@ -154,6 +154,40 @@ def test_plan_scans_little(spark, sf):
     assert plan.count("FileScan") < 10
 
 
+class Halves:
+    """A provider that finds a box in each frame of even number."""
+
+    schema = "clip_id string, frame long, x1 double"
+
+    def open(self):
+        self.width = 640.0
+
+    def detect(self, frames):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kept = frames.filter(pc.equal(pc.bit_wise_and(frames.column("frame"), 1), 0))
+        return pa.RecordBatch.from_arrays([kept.column("clip_id"), kept.column("frame"), pa.array([self.width / 2] * kept.num_rows)], names=["clip_id", "frame", "x1"])
+
+
+def test_provider(spark):
+    from trackweave.streaming.provider import perceive
+
+    frames = spark.createDataFrame([("c", f, bytearray(b"x")) for f in range(9)], "clip_id string, frame long, content binary")
+    assert sorted((r.frame, r.x1) for r in perceive(frames, Halves()).collect()) == [(f, 320.0) for f in (0, 2, 4, 6, 8)]
+    assert perceive(frames.limit(0), Halves()).count() == 0
+
+
+def test_eval_log_has_one_header(spark, tmp_path):
+    from trackweave.sources import sinks
+
+    path = str(tmp_path / "log")
+    for n in (1, 2, 3):
+        sinks.append_report(spark.createDataFrame([(f"c{n}", n)], "clip string, n int"), path)
+    assert spark.read.text(path).filter("value = 'clip,n'").count() == 1
+    assert sorted(tuple(r) for r in sinks.read_report(spark, path, "clip string, n int").collect()) == [("c1", 1), ("c2", 2), ("c3", 3)]
+
+
 def test_line_up_lock():
     two = np.array([130.0 + 4 * i for i in range(7)] + [290.0 + 4 * i for i in range(7)])
     assert clustering.spatial_lock(two, 720)

@@ -151,6 +151,23 @@ def two_centres(rows: DataFrame, by: list[str], rounds: int = 100) -> tuple[Data
     return now.select(*by, *_A, *_B), made
 
 
+def canonical_rows(labelled: DataFrame, by: list[str]) -> DataFrame:
+    """labelled (by, w, hue, l) with labels changed so that label 0 of a group has the lower weighted mean hue; a group of
+    one label stays as it is."""
+    hues = labelled.groupBy(*by).agg(*[F.expr(f"sum(w * hue) FILTER (WHERE l = {k}) / sum(w) FILTER (WHERE l = {k})").alias(f"h{k}") for k in (0, 1)])
+    swapped = hues.select(*by, F.coalesce(F.col("h0") > F.col("h1"), F.lit(False)).alias("swap"))
+    return labelled.join(swapped, by).withColumn("l", F.expr("CASE WHEN swap THEN 1 - l ELSE l END")).drop("swap")
+
+
+def aligned_rows(labelled: DataFrame, by: list[str], column: str) -> DataFrame:
+    """labelled (by, l, column) with the labels of each group changed if that brings its two means nearer to those of all rows."""
+    means = lambda prefix: [F.avg(F.when(F.col("l") == k, F.col(column))).alias(f"{prefix}{k}") for k in (0, 1)]
+    both = labelled.groupBy(*by).agg(*means("a")).join(labelled.agg(*means("r")), F.lit(True))  # one row
+    swap = F.expr("coalesce(abs(a0 - r1) + abs(a1 - r0) < abs(a0 - r0) + abs(a1 - r1), false)")
+    rows = labelled.join(both.select(*by, swap.alias("swap")), by)
+    return rows.withColumn("l", F.expr("CASE WHEN swap AND l IN (0, 1) THEN 1 - l ELSE l END")).drop("swap")
+
+
 def team_rows(det: DataFrame, valid: str, by: list[str] | None = None, least: float = P.centroid_min) -> DataFrame:
     """(by, event_id, track_id, det_team) of the valid rows, clustered in each clip (or clip and segment).
 
@@ -163,9 +180,7 @@ def team_rows(det: DataFrame, valid: str, by: list[str] | None = None, least: fl
     labelled = rows.join(small_side(centres, made[0].count(), 400), by).withColumn("l", F.expr(f"CAST(({_squared(_B)}) < ({_squared(_A)}) AS INT)"))
     apart = F.expr(f"sqrt({' + '.join(f'({a} - {b}) * ({a} - {b})' for a, b in zip(_A, _B))}) >= {least}")
     labelled = labelled.filter(apart).select(*by, "event_id", "track_id", "w", "hue", "l")
-    hues = labelled.groupBy(*by).agg(*[F.expr(f"sum(w * hue) FILTER (WHERE l = {k}) / sum(w) FILTER (WHERE l = {k})").alias(f"h{k}") for k in (0, 1)])
-    swapped = hues.select(*by, F.coalesce(F.col("h0") > F.col("h1"), F.lit(False)).alias("swap"))
-    out = labelled.join(swapped, by).select(*by, "event_id", "track_id", F.expr("CASE WHEN swap THEN 1 - l ELSE l END").alias("det_team"))
+    out = canonical_rows(labelled, by).select(*by, "event_id", "track_id", F.col("l").alias("det_team"))
     out = materialize(out, "team-rows")
     for used in (rows, *made):
         discard(used)

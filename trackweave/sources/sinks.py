@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def write_ir(df: DataFrame, path: str) -> None:
-    """Detection table by clip."""
+def write_ir(df: DataFrame, path: str, source: str = "", mask_store: str = "") -> None:
+    """Detection table by clip, and beside it {path}.meta.json: a row a clip with source, rows, frames, out_parquet, mask_store."""
     df.write.mode("overwrite").partitionBy("clip_id").parquet(path)
+    meta = df.groupBy("clip_id").agg(F.count("*").alias("rows"), F.count_distinct("frame").alias("frames"))
+    write_json(meta.withColumns({"source": F.lit(source), "out_parquet": F.lit(path), "mask_store": F.lit(mask_store)}), path + ".meta.json")
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -21,8 +23,27 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_report(df: DataFrame, path: str) -> None:
-    """Adds rows to an evaluation log; each file has its header."""
-    write_csv(df, path, "append")
+    """Adds rows to an evaluation log. Only the first call writes a header, so the log's files read one after the other are one CSV."""
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    begun = folder.getFileSystem(hadoop).exists(folder)
+    # Reports have a row or a few: one file an append.
+    csv_ready(df).coalesce(1).write.mode("append").option("header", not begun).csv(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a log of append_report: lines but for the header, whichever file has it."""
+    names = [f.split()[0] for f in schema.split(",")]
+    lines = spark.read.text(path).filter(F.col("value") != ",".join(names))
+    return lines.select(F.from_csv("value", schema).alias("r")).select("r.*")
+
+
+def markdown(df: DataFrame) -> DataFrame:
+    """A table as lines of Markdown text (position, value); rows are numbered by their columns in order."""
+    rule = [(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "-|" * len(df.columns))]
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+    body = df.select((F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in df.columns])) + 1).alias("position"), cells.alias("value"))
+    return df.sparkSession.createDataFrame(rule, "position int, value string").union(body)
 
 
 def write_json(df: DataFrame, path: str) -> None:
