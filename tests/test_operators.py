@@ -305,7 +305,8 @@ def test_sources_and_sinks(spark, sf, tmp_path):
     assert json.loads(readers.read_any(spark, str(tmp_path / "routes")).first().feat_lab6d)
     for _ in range(2):
         sinks.append_report(ir.limit(3), str(tmp_path / "log"))
-    assert readers.read_any(spark, str(tmp_path / "log")).count() == 6
+    names = "clip_id string, frame long, track_id long, x1 double, feat_lab6d string, team int"
+    assert sinks.read_report(spark, str(tmp_path / "log"), names).count() == 6
     sinks.write_json(ir.limit(2), str(tmp_path / "m.json"))
     assert readers.read_any(spark, str(tmp_path / "m.json")).count() == 2
     path = tmp_path / "zero.jsonl"
