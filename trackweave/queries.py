@@ -40,12 +40,11 @@ def query(name: str, sql: str | None = None, features: bool = False, recursive:
 
 
 def scalar(name: str, out: dict[str, str], pre: dict[str, str] | None = None, where: str | None = None, features: bool = False) -> None:
-    """A query of expressions over detections, the same text on both sides."""
+    """A query of expressions over detections. The SQL is FORMULAS[name] over the same inputs (pre), written apart from the expressions."""
     pre = pre or {}
     base = "detf" if features else "det"
     inner = ", ".join(["*", *[f"{v} AS {k}" for k, v in pre.items()]])
-    cols = ", ".join(f"{v} AS {k}" for k, v in out.items())
-    sql = f"WITH pre AS (SELECT {inner} FROM {base}) SELECT event_id, {cols} FROM pre" + (f" WHERE {where}" if where else "")
+    sql = f"WITH pre AS (SELECT {inner} FROM {base}) SELECT event_id, {FORMULAS[name]}"
 
     @query(name, sql, features)
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +53,67 @@ def scalar(name: str, out: dict[str, str], pre: dict[str, str] | None = None, wh
         return (rows.filter(where) if where else rows).selectExpr("event_id", *[f"{v} AS {k}" for k, v in out.items()])
 
 
+def _h6(x: str) -> str:
+    return f"floor(({x}) * 1000000 + 0.5) / 1000000"
+
+
+_CHROMATIC = "greatest(abs(feat_a - 128), abs(feat_b - 128))"
+_TO_FIELD = "sqrt(power(feat_a - 92.67, 2) + power(feat_b - 156.79, 2))"
+_SCALE = "(0.00001 * fx + 0.00002 * fy + 1.0)"
+_FEET = "FROM (SELECT *, (x1 + x2) / 2 AS fx, y2 AS fy FROM pre) AS f"
+_PROJECTED = [f"(0.9 * fx + 0.05 * fy + 20.0) / {_SCALE}", f"(0.02 * fx + 0.8 * fy + 15.0) / {_SCALE}"]
+_IN_COURT = f"{_PROJECTED[0]} > -100 AND {_PROJECTED[0]} < 1100 AND {_PROJECTED[1]} > -50 AND {_PROJECTED[1]} < 450"
+_BAND_TOP = "if(mask_bottom > mask_top, greatest(mask_top - {0}, 0), 72)"
+_BAND_END = "if(mask_bottom > mask_top, least(mask_bottom + {0}, 720), 612)"
+_MIDDLE = [f"({c} + {d}) / 2 / {n}.0" for c, d, n in (("x1", "x2", FRAME_W), ("y1", "y2", FRAME_H))]
+#: SQL of the scalar queries, from the formulas and not from the expressions that Spark runs.
+FORMULAS = {
+    "prj01_gate_geometry": "w, h, w * h AS area, w / h AS aspect FROM (SELECT event_id, if(x2 > x1, x2 - x1, 0) AS w, if(y2 - y1 > 1, y2 - y1, 1) AS h FROM pre) AS b",
+    "prj02_broadcast_geometry": "if((x2 - x1) * (y2 - y1) > 0, (x2 - x1) * (y2 - y1), 0) AS area, (x2 - x1) / if(y2 - y1 > 1, y2 - y1, 1) AS aspect FROM pre",
+    "prj03_foot": "fx AS foot_x, fy AS foot_y " + _FEET,
+    "prj04_projection": f"if(abs({_SCALE}) < 1e-9, NULL, {_h6(_PROJECTED[0])}) AS court_x, if(abs({_SCALE}) < 1e-9, NULL, {_h6(_PROJECTED[1])}) AS court_y {_FEET}",
+    "prj05_projection_inside": f"if({_IN_COURT}, {_h6(_PROJECTED[0])}, NULL) AS court_x, if({_IN_COURT}, {_h6(_PROJECTED[1])}, NULL) AS court_y {_FEET}",
+    "prj07_head_roi": "x1 AS hx1, y1 AS hy1, x2 AS hx2, y1 + greatest(1, trunc(0.28 * (y2 - y1))) AS hy2 FROM pre",
+    "prj09_padded_box": f"""CAST(greatest(0, trunc(x1) - trunc((x2 - x1) / 2)) AS BIGINT) AS px1, CAST(greatest(0, trunc(y1) - trunc((y2 - y1) / 2)) AS BIGINT) AS py1,
+ CAST(least({FRAME_W}, trunc(x2) + trunc((x2 - x1) / 2)) AS BIGINT) AS px2, CAST(least({FRAME_H}, trunc(y2) + trunc((y2 - y1) / 2)) AS BIGINT) AS py2 FROM pre""",
+    "prj10_min_mask_area": "CAST(trunc(greatest(400, greatest(1, (x2 - x1) * (y2 - y1)) / 5)) AS BIGINT) AS min_area FROM pre",
+    "prj11_normalised_box": f"{_h6(_MIDDLE[0])} AS cx, {_h6(_MIDDLE[1])} AS cy, {_h6(f'(x2 - x1) / {FRAME_W}.0')} AS bw, {_h6(f'(y2 - y1) / {FRAME_H}.0')} AS bh FROM pre WHERE x1 < {FRAME_W} AND y1 < {FRAME_H} AND x1 + x2 <= {2 * FRAME_W} AND y1 + y2 <= {2 * FRAME_H}",
+    "prj12_positives_bin": "['none', 'few', 'few', 'mid', 'mid', 'mid', 'mid', 'many', 'many', 'many'][n + 1] AS bin FROM pre",
+    "prj13_size_bucket": "if((x2 - x1) * (y2 - y1) < 32 * 32, 'small', if((x2 - x1) * (y2 - y1) < 96 * 96, 'medium', 'large')) AS bucket FROM pre",
+    "prj14_area_bucket": "if((x2 - x1) * (y2 - y1) >= 8000, 'ge8000', if((x2 - x1) * (y2 - y1) >= 2000, '2000_8000', 'lt2000')) AS bucket FROM pre",
+    "prj15_raw_bucket": "['0', '1-2', '1-2', '3-4', '3-4', '5+', '5+', '5+'][n + 1] AS bucket FROM pre",
+    "prj16_hud_cause": "coalesce(if(raw_boxes <= 2, 'SparseRaw', NULL), if(center_eaten, 'CenterEaten', NULL), if(transient, 'Transient', NULL), if(narrow_band, 'NarrowBand', NULL), 'LegitHUD') AS cause FROM pre",
+    "prj17_hud_limits": f"CAST({_BAND_TOP.format(20)} AS DOUBLE) AS hud_top, CAST({_BAND_END.format(35)} AS DOUBLE) AS hud_bottom FROM pre",
+    "prj18_hud_limits_wide": f"CAST({_BAND_TOP.format(30)} AS DOUBLE) AS hud_top, CAST({_BAND_END.format(50)} AS DOUBLE) AS hud_bottom FROM pre",
+    "prj19_chroma": "if(abs(feat_a - 128) > abs(feat_b - 128), abs(feat_a - 128), abs(feat_b - 128)) AS chroma FROM pre",
+    "prj20_field_distance": f"{_h6(_TO_FIELD)} AS dist FROM pre",
+    "prj21_weight": "conf * if(torso_px > 1, torso_px, 1) AS weight FROM pre",
+    "prj22_quality": f"{_h6('conf * torso_px / 500')} AS quality FROM pre",
+    "prj24_hsv_blend": "CAST(trunc(0.9 * (k % 180) + 0.1 * (event_id % 180)) AS BIGINT) AS blended FROM pre",
+    "prj25_projected_area": f"""{_h6('area')} AS area_frac, coalesce(area >= 0.08, false) AS plausible FROM (
+ SELECT event_id, if(list_min(list_transform(q, lambda p: abs(p[3]))) < 1e-9, NULL, abs(list_sum([q[i][1] / q[i][3] * q[i % 4 + 1][2] / q[i % 4 + 1][3] - q[i % 4 + 1][1] / q[i % 4 + 1][3] * q[i][2] / q[i][3] for i in [1, 2, 3, 4]])) / 2 / {FRAME_W * FRAME_H}) AS area
+ FROM (SELECT event_id, list_transform([[0, 0], [{FRAME_W}, 0], [{FRAME_W}, {FRAME_H}], [0, {FRAME_H}]], lambda c: [(0.5 + k / 200.0) * c[1] + 0.01 * c[2] + 5, 0.02 * c[1] + (0.3 + event_id % 10 / 20.0) * c[2] + 7, event_id % 5 / 100000.0 * c[1] + 0.00001 * c[2] + 1]) AS q FROM pre) AS z) AS y""",
+    "prj26_line_geometry": f"{_h6('y1 + (640 - x1) * (y2 - y1) / (x2 - x1)')} AS y_at, {_h6('atan2(y2 - y1, x2 - x1) * 180 / pi()')} AS angle, if(atan2(y2 - y1, x2 - x1) * 180 / pi() BETWEEN 25 AND 65, 'h', 'v') AS kind FROM pre",
+    "prj28_team_colour": "if(team = 0, 'blue', if(team = 1, 'red', if(team = -2, 'yellow', 'grey'))) AS colour FROM pre",
+    "prj29_jersey_rows": "CAST(trunc(y1) + trunc((y2 - y1) / 5) AS BIGINT) AS top, CAST(trunc(y1) + trunc((y2 - y1) * 0.75) AS BIGINT) AS bottom FROM pre",
+    "flt01_hud_band": f"cy FROM pre WHERE cy > {_BAND_TOP.format(20)} AND cy < {_BAND_END.format(35)}",
+    "flt02_whole_box_hud": "NOT (y2 > 72 AND y1 < 612) AS hud FROM pre",
+    "flt03_foot_on_field": "foot_frac FROM pre WHERE k % 25 > 10",
+    "flt05_fp_like": "greatest(x2 - x1, 0) * greatest(y2 - y1, 1) < 900 OR greatest(x2 - x1, 0) > 2.5 * greatest(y2 - y1, 1) AS fp FROM pre",
+    "flt06_fp_broadcast": "NOT (y2 > 72 AND y1 < 612) OR k % 11 = 0 OR (x2 - x1) * (y2 - y1) < 900 OR x2 - x1 > 2.5 * greatest(1, y2 - y1) AS fp FROM pre",
+    "flt07_valid_feature": f"track_id FROM pre WHERE event_id % 10 <> 0 AND feat_a IS NOT NULL AND {_CHROMATIC} >= 18 AND {_TO_FIELD} >= 25 AND feat_sa + feat_sb >= 4",
+    "flt09_referee": f"{_CHROMATIC} <= 18 AND feat_sa + feat_sb >= 12 AND NOT (locked AND margin >= 1) AND x2 - x1 >= 1.35 * greatest(1, y2 - y1) AND torso_px <= 2500 AS referee FROM pre",
+    "flt10_warmup_reason": """list_filter([if(conf < if(helmet, 0.30, if(fails >= 2, 0.38, 0.45)), 'low_conf', ''), if(torso_px < 400, 'small_mask', ''), if(upper_px < 50, 'few_upper_pixels', ''),
+ if(NOT helmet AND field_overlap < 0.25, 'not_on_field', ''), 'ok'], lambda r: r <> '')[1] AS reason FROM pre""",
+    "flt13_ocr_valid": "ocr_num FROM pre WHERE ocr_conf >= 0.5 AND ocr_num >= 0 AND ocr_num <= 99",
+    "flt14_mask_qa": """list_filter([if(mask_area < min_area, 'area<' || min_area, ''), if(fill / (2 - fill) < 0.65, 'iou<0.65', ''), if(points < 3, 'bad_polygon', ''), 'ok'], lambda r: r <> '')[1] AS reason FROM pre""",
+    "flt16_green_bypass": "k % 100 >= 55 AND feat_sa + feat_sb < 15 AS bypass FROM pre",
+    "flt19_fresh": "frame_age FROM pre WHERE k % 3 = 0",
+    "flt20_green_safeguard": "if(k % 100 >= 55 AND feat_sa + feat_sb < 15, torso_px, kept_px) AS kept FROM pre",
+    "flt21_turf_guard": "4 * kept_px < torso_px AS skip FROM pre",
+}
+
+
 r6 = lambda x: S.rounded(x, 6)
 SCALARS = "clip_id, frame, track_id, x1, y1, x2, y2, conf, mask_ref, mask_is_fallback, torso_px, helmet_hits, ocr_num, ocr_conf, is_cut_frame, team"
 
