@@ -219,6 +219,72 @@ def test_quality_rules_compile(spark, documents):
     assert np.allclose([got[i] for i, _ in documents], model.score(x))
 
 
+def brute_rules(x, y, trees, depth, bins, rate, leaf):
+    """Boosted trees by plain search over rows: every statistic and cut, gains from sums over the rows on either side."""
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) | set(np.quantile(c, [0.005, 0.995], method="lower"))) for c in x.T]
+    score, rules = np.full(len(x), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), set()
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, p * (1 - p) + 1e-6
+        add = np.zeros(len(x))
+
+        def grow(rows, path):
+            best = None
+            for j, c in enumerate(cuts if len(path) < depth else []):
+                for cut in c:
+                    low = rows & (x[:, j] <= cut)
+                    high = rows & ~low
+                    if low.sum() < leaf or high.sum() < leaf:
+                        continue
+                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (low, high)) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        best = gain, j, cut, low, high
+            if best is None:
+                add[rows] = rate * g[rows].sum() / (h[rows].sum() + 1)
+                return
+            _, j, cut, low, high = best
+            for side, above in ((low, False), (high, True)):
+                rules.add(tuple(sorted({*path, (j, float(cut), above)})))
+                grow(side, (*path, (j, float(cut), above)))
+
+        grow(np.ones(len(x), bool), ())
+        score = score + add
+    return rules
+
+
+def test_rules_match_plain_trees():
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > -0.2) ^ (rng.random(400) < 0.1)).astype(float)
+    options = dict(trees=3, depth=3, bins=6, rate=0.3, leaf=8)
+    assert set(quality.grow_rules(x, y, **options)) == brute_rules(x, y, **options)
+
+
+def test_lasso_is_optimal():
+    rng = np.random.default_rng(22)
+    a = (rng.random((600, 30)) < 0.4).astype(float)
+    y = (a[:, 0] + a[:, 1] - a[:, 2] + rng.normal(0, 0.5, 600) > 0.5).astype(float)
+    penalty = 0.01
+    b, w = quality.lasso_logistic(a, y, penalty, steps=4000)
+    r = 1 / (1 + np.exp(-(a @ w + b))) - y
+    slope = a.T @ r / 600
+    assert abs(r.mean()) < 1e-5 and (w == 0).sum() > 10 and (w != 0).sum() >= 3
+    assert np.abs(slope[w != 0] + penalty * np.sign(w[w != 0])).max() < 1e-4 and np.abs(slope[w == 0]).max() <= penalty + 1e-4
+
+
+def test_registered_quality_matches_a_plain_fit(spark, sf):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [(docs[r.doc_id], r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    x, y = np.array([quality.statistics(t) for t, _ in rows]), np.array([float(q) for _, q in rows])
+    order = np.lexsort([*x.T[::-1], y])
+    model = quality.RuleModel.fit(x[order], y[order])
+    want = dict(zip(docs, model.score(np.array([quality.statistics(t) for t in docs.values()]))))
+    got = queries.op5_quality(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     model = quality.fit_quality(odd, labels)
