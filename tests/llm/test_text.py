@@ -185,6 +185,14 @@ def test_notices_on_copyright_lines(spark):
     assert got == {t: (None, ids, any(i in licences.RESTRICTED for i in ids)) for t, ids in cases.items()}
 
 
+def test_notices_of_other_words(spark):
+    rows = [(1, "x\nDo as you please!\ny"), (2, "in the Public--Domain"), (3, "please")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    other = {"Free": ["do as you please"], "PD": ["in the public domain"]}
+    assert {r.doc_id: r.notice_ids for r in licences.scan_licences(df, licences=other, full={}).collect()} == {1: ["Free"], 2: ["PD"], 3: []}
+    assert licences.notice_word(licences.LICENCES) == licences.NOTICE_WORD
+
+
 def test_long_licences(spark):
     folder = "/usr/share/common-licenses"
     files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,13 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)(?:[^\p{L}\p{N}\n]|\(c\)|©|copyright)*(?:[0-9<\[{]|by )[^\n]*$"
 #: Canonical words that a notice starts with where it shares its line with the copyright.
 NOTICE_START = r" (?=(?<!\bnot )(?:all rights reserved|(?:this work is )?licensed under|released (?:under|into)|spdx license identifier)\b)"
-#: Canonical words that any notice of LICENCES has one of; other lines aren't digested.
-NOTICE_WORD = r"licen[sc]e|licen[sc]ed|rights|copyright|public domain|permission|warranty"
+#: Of these a line has one in any spelling if a text of LICENCES does; other lines aren't digested.
+NOTICE_WORD = r"licen[sc]|rights|copyright|domain|permission|warranty"
+
+
+def notice_word(licences: dict[str, list[str]]) -> str:
+    """Pattern of the lines to digest: NOTICE_WORD if each of the texts has one of its words, else any line."""
+    return NOTICE_WORD if all(re.search(NOTICE_WORD, text.lower()) for texts in licences.values() for text in texts) else ""
 
 
 def canonical(text) -> F.Column:
@@ -82,7 +88,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     known = known_digests(spark, licences, full)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"(?i){NOTICE_WORD}"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"(?i){notice_word(licences)}"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         canonical_digest(text).alias("text_digest"),
@@ -129,7 +135,7 @@ def oracle_sql(licences: dict[str, list[str]] = LICENCES) -> str:
 WITH known AS (SELECT sha256({canon('t')}) AS h, min(i) AS licence_id FROM (VALUES {values}) AS k(i, t) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 hits AS (SELECT doc_id, list_sort(list(DISTINCT licence_id)) AS notice_ids FROM lines JOIN known ON sha256({canon('line')}) = h
-         WHERE regexp_matches(line, {quoted('(?i)' + NOTICE_WORD)}) GROUP BY doc_id),
+         WHERE regexp_matches(line, {quoted('(?i)' + notice_word(licences))}) GROUP BY doc_id),
 texts AS (SELECT doc_id, sha256({canon("coalesce(text, '')")}) AS text_digest FROM documents)
 SELECT t.doc_id, t.text_digest, k.licence_id, coalesce(n.notice_ids, CAST([] AS VARCHAR[])) AS notice_ids,
        list_has_any(coalesce(n.notice_ids, CAST([] AS VARCHAR[])), [{strict}]) OR coalesce(k.licence_id IN ({strict}), false) AS restricted

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import limit_batches, new_path, trimmed
+from .common import limit_batches, new_path, small_side, trimmed
 from .units import CACHE_PARTS, LOWER, LOWER_CLASS, MARK_CLASS, UPPER_CLASS, UnitEncoder, joined
 
 #: The pre-tokeniser that WordEncoder knows to split letters from punctuation (fixed value of the vocabulary file).
@@ -183,7 +183,8 @@ def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
     before = totals.select(
         "p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    return rows.join(F.broadcast(before), F.col("part") == F.col("p")).withColumn("start", F.col("before") + F.col("part_start"))
+    n = totals.count()  # a row a part
+    return rows.join(small_side(before, n, 16), F.col("part") == F.col("p")).withColumn("start", F.col("before") + F.col("part_start"))
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
