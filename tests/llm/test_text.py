@@ -293,6 +293,20 @@ def test_registered_quality_matches_a_plain_fit(spark, sf):
         assert r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    from trackweave.llm import common
+
+    common.limit_batches(spark)
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([part.nbytes])], names=["rows", "bytes"])
+
+    texts = spark.range(0, 24, 1, 1).selectExpr("repeat('x', 8 << 20) AS t")
+    got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 24 and max(r.bytes for r in got) <= common.BATCH_BYTES + (9 << 20)
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (6, None)], "doc_id long, quality int")
     model = quality.fit_quality(odd, labels)

@@ -16,15 +16,16 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 WS_BYTES = b" \t\n\x0b\x0c\r"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Rows of one Arrow batch at most; keeps a batch of very long texts within a worker's memory.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch at most; keeps a batch of very long texts within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 
 def limit_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Holds Arrow batches at so many rows; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    """Holds Arrow batches at so many rows and at BATCH_BYTES; smaller settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_bytes(column) -> list[bytes]:
