@@ -1050,23 +1050,32 @@ def _far(centre: str) -> str:
     return " + ".join(f"(x{j} - {centre}{j}) * (x{j} - {centre}{j})" for j in _X)
 
 
-def _means(name: str, rel: str, valid: str = S.VALID_FEATURE) -> str:
-    """Weighted 2-means of a relation's valid rows: {name}(event_id, track_id, det_team); round by round from the farthest points."""
-    cols = lambda p: ", ".join(f"{p}{j}" for j in _X)
+def _means(name: str, rel: str, group: str = "0", valid: str = S.VALID_FEATURE) -> str:
+    """Weighted 2-means of the valid rows of each group of a relation: {name}(g, event_id, track_id, det_team); round by round from the farthest points."""
+    cols = lambda p, of="": ", ".join(f"{of}{p}{j}" for j in _X)
     moved = ", ".join(f"coalesce(round(sum(w * x{j}) FILTER (WHERE {'NOT ' if p == 'a' else ''}l) / sum(w) FILTER (WHERE {'NOT ' if p == 'a' else ''}l), 9), first({p}{j}))" for p in "ab" for j in _X)
     pt = f"{name}_pt"
-    return f"""{name}_v AS (SELECT event_id, track_id, CASE WHEN conf * greatest(1, torso_px) > 0 THEN conf * greatest(1, torso_px) ELSE 1e-9 END AS w, {', '.join(clustering.FEATURES)} FROM {rel} WHERE {valid}),
-{name}_s AS (SELECT count(*) AS c, {', '.join(f'avg({c}) AS m{j}, stddev_pop({c}) AS s{j}' for j, c in enumerate(clustering.FEATURES))} FROM {name}_v),
-{pt} AS MATERIALIZED (SELECT event_id, track_id, w, feat_h AS hue, {', '.join(f'({c} - m{j}) / CASE WHEN s{j} = 0 THEN 1 ELSE s{j} END AS x{j}' for j, c in enumerate(clustering.FEATURES))} FROM {name}_v, {name}_s WHERE c >= 8),
-{name}_c AS (SELECT {', '.join(f'round(sum(w * x{j}) / sum(w), 9) AS a{j}' for j in _X)} FROM {pt}),
-{name}_f AS (SELECT {', '.join(f'round(x{j}, 9) AS a{j}' for j in _X)} FROM {pt}, {name}_c ORDER BY {_far('a')} DESC, event_id LIMIT 1),
-{name}_g AS (SELECT {cols('a')}, {', '.join(f'round(x{j}, 9) AS b{j}' for j in _X)} FROM {pt}, {name}_f ORDER BY {_far('a')} DESC, event_id LIMIT 1),
-{name}_k(turn, changed, {cols('a')}, {cols('b')}, {cols('oa')}, {cols('ob')}) AS (SELECT 0, CAST(1 AS BIGINT), {cols('a')}, {cols('b')}, {cols('a')}, {cols('b')} FROM {name}_g
- UNION ALL SELECT first(turn) + 1, count(*) FILTER (WHERE l <> o), {moved}, {', '.join(f'first({p}{j})' for p in 'ab' for j in _X)}
- FROM (SELECT *, ({_far('b')}) < ({_far('a')}) AS l, turn > 0 AND ({_far('ob')}) < ({_far('oa')}) AS o FROM {name}_k, {pt} WHERE changed > 0 AND turn < 100) AS q HAVING count(*) > 0),
-{name}_l AS (SELECT event_id, track_id, w, hue, CAST(({_far('b')}) < ({_far('a')}) AS INT) AS l FROM {pt}, (SELECT * FROM {name}_k ORDER BY turn DESC LIMIT 1) AS z WHERE sqrt({' + '.join(f'(a{j} - b{j}) * (a{j} - b{j})' for j in _X)}) >= 1.5),
-{name}_h AS (SELECT coalesce(sum(w * hue) FILTER (WHERE l = 0) / sum(w) FILTER (WHERE l = 0) > sum(w * hue) FILTER (WHERE l = 1) / sum(w) FILTER (WHERE l = 1), false) AS swap FROM {name}_l),
-{name} AS (SELECT event_id, track_id, CASE WHEN swap THEN 1 - l ELSE l END AS det_team FROM {name}_l, {name}_h)"""
+    first = f"row_number() OVER (PARTITION BY g ORDER BY {_far('a')} DESC, event_id) AS rn"
+    return f"""{name}_v AS (SELECT {group} AS g, event_id, track_id, CASE WHEN conf * greatest(1, torso_px) > 0 THEN conf * greatest(1, torso_px) ELSE 1e-9 END AS w, {', '.join(clustering.FEATURES)} FROM {rel} WHERE {valid}),
+{name}_s AS (SELECT g, count(*) AS c, {', '.join(f'avg({c}) AS m{j}, stddev_pop({c}) AS s{j}' for j, c in enumerate(clustering.FEATURES))} FROM {name}_v GROUP BY g),
+{pt} AS MATERIALIZED (SELECT g, event_id, track_id, w, feat_h AS hue, {', '.join(f'({c} - m{j}) / CASE WHEN s{j} = 0 THEN 1 ELSE s{j} END AS x{j}' for j, c in enumerate(clustering.FEATURES))} FROM {name}_v JOIN {name}_s USING (g) WHERE c >= 8),
+{name}_c AS (SELECT g, {', '.join(f'round(sum(w * x{j}) / sum(w), 9) AS a{j}' for j in _X)} FROM {pt} GROUP BY g),
+{name}_f AS (SELECT g, {', '.join(f'round(x{j}, 9) AS a{j}' for j in _X)} FROM (SELECT {pt}.*, {first} FROM {pt} JOIN {name}_c USING (g)) AS q WHERE rn = 1),
+{name}_g AS (SELECT g, {cols('a')}, {', '.join(f'round(x{j}, 9) AS b{j}' for j in _X)} FROM (SELECT {pt}.*, {cols('a')}, {first} FROM {pt} JOIN {name}_f USING (g)) AS q WHERE rn = 1),
+{name}_k(g, turn, changed, {cols('a')}, {cols('b')}, {cols('oa')}, {cols('ob')}) AS (SELECT g, 0, CAST(1 AS BIGINT), {cols('a')}, {cols('b')}, {cols('a')}, {cols('b')} FROM {name}_g
+ UNION ALL SELECT g, first(turn) + 1, count(*) FILTER (WHERE l <> o), {moved}, {', '.join(f'first({p}{j})' for p in 'ab' for j in _X)}
+ FROM (SELECT k.*, {pt}.* EXCLUDE (g), ({_far('b')}) < ({_far('a')}) AS l, turn > 0 AND ({_far('ob')}) < ({_far('oa')}) AS o FROM {name}_k AS k JOIN {pt} ON {pt}.g = k.g WHERE changed > 0 AND turn < 100) AS q GROUP BY g),
+{name}_e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn DESC) AS rn FROM {name}_k) AS z WHERE rn = 1),
+{name}_l AS (SELECT g, event_id, track_id, w, hue, CAST(({_far('b')}) < ({_far('a')}) AS INT) AS l FROM {pt} JOIN {name}_e USING (g) WHERE sqrt({' + '.join(f'(a{j} - b{j}) * (a{j} - b{j})' for j in _X)}) >= 1.5),
+{name}_h AS (SELECT g, coalesce(sum(w * hue) FILTER (WHERE l = 0) / sum(w) FILTER (WHERE l = 0) > sum(w * hue) FILTER (WHERE l = 1) / sum(w) FILTER (WHERE l = 1), false) AS swap FROM {name}_l GROUP BY g),
+{name} AS (SELECT g, event_id, track_id, CASE WHEN swap THEN 1 - l ELSE l END AS det_team FROM {name}_l JOIN {name}_h USING (g))"""
+
+
+# A track's label in each segment, of which the last holds for all its rows.
+_LAST_VOTE = """sv AS (SELECT track_id, g, det_team, row_number() OVER (PARTITION BY track_id, g ORDER BY count(*) DESC, det_team) AS rn FROM km GROUP BY 1, 2, 3),
+lv AS (SELECT track_id, arg_max(det_team, g) AS voted FROM sv WHERE rn = 1 GROUP BY 1)
+SELECT d.event_id, coalesce(lv.voted, d.team, -1) AS team FROM det d LEFT JOIN lv USING (track_id)"""
+_SEGMENTED = 'sd AS (SELECT f.*, seg.segment FROM detf f JOIN seg ON f.frame BETWEEN seg.start AND seg."end")'
 
 
 @query("mlc01_clip_teams", f"WITH {_means('km', 'detf')} SELECT event_id, det_team FROM km", True, True)
@@ -1074,12 +1083,13 @@ def _(spark, sf):
     return clustering.team_rows(with_features(spark, sf), S.VALID_FEATURE).select("event_id", "det_team")
 
 
-@query("mlc04_segment_teams")
+@query("mlc04_segment_teams", f"WITH {_SEG}, {_SEGMENTED}, {_means('km', 'sd', 'segment')}, {_LAST_VOTE}", True, True)
 def _(spark, sf):
     return pass2.assign_teams(with_features(spark, sf), by_segment=True).select("event_id", "team")
 
 
-@query("mlc06_brightness_teams")
+@query("mlc06_brightness_teams", f"""WITH {_SEG}, {_SEGMENTED}, lf AS (SELECT frame, segment, avg(torso_px % 200) AS lum FROM sd GROUP BY 1, 2), ls AS (SELECT segment, avg(lum) AS lum FROM lf GROUP BY 1),
+sw AS (SELECT count(*) >= 2 AND max(lum) - min(lum) > 15 AS split FROM ls), sb AS (SELECT sd.* REPLACE (if(split, segment, 0) AS segment) FROM sd, sw), {_means('km', 'sb', 'segment')}, {_LAST_VOTE}""", True, True)
 def _(spark, sf):
     det = with_features(spark, sf)
     luminance = det.groupBy("clip_id", "frame").agg(F.avg(F.expr("torso_px % 200")).alias("lum"))
@@ -1421,7 +1431,10 @@ def _(spark, sf):
     return teams.batch(team_frames(spark, sf)).filter("reason IS NOT NULL").groupBy("clip_id", "reason").agg(F.count("*").alias("n"))
 
 
-@query("str18_homographies")
+@query("str18_homographies", """WITH f AS (SELECT frame, max(k) AS k FROM det GROUP BY 1),
+s AS (SELECT frame, sum(CASE WHEN k % 20 >= 10 THEN k % 7 - 3 ELSE 0 END) OVER (ORDER BY frame) AS dx, sum(CASE WHEN k % 20 >= 10 THEN k % 5 - 2 ELSE 0 END) OVER (ORDER BY frame) AS dy FROM f)
+SELECT frame, CAST(0.9 AS DOUBLE) AS h0, CAST(0.05 AS DOUBLE) AS h1, round(20 - CAST(0.9 AS DOUBLE) * dx - CAST(0.05 AS DOUBLE) * dy, 6) AS h2, CAST(0.02 AS DOUBLE) AS h3, CAST(0.8 AS DOUBLE) AS h4,
+round(15 - CAST(0.02 AS DOUBLE) * dx - CAST(0.8 AS DOUBLE) * dy, 6) AS h5, CAST(0.00001 AS DOUBLE) AS h6, CAST(0.00002 AS DOUBLE) AS h7, round(1 - CAST(0.00001 AS DOUBLE) * dx - CAST(0.00002 AS DOUBLE) * dy, 6) AS h8 FROM s""")
 def _(spark, sf):
     rows = _frames(spark, sf).selectExpr("clip_id", "frame", "array(1D, 0D, mad % 7 - 3, 0D, 1D, mad % 5 - 2) AS m", "CAST(mad AS INT) % 20 AS inliers")
     return teams.homographies(rows, HOMOGRAPHY).select("frame", *[F.round(F.col("h")[i], 6).alias(f"h{i}") for i in range(9)])
