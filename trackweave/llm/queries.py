@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, licences, linededup, quality, radix, sentencepiece_scan, simhash, tokenids, warc
+from . import decontaminate, divergence, htmltext, licences, linededup, quality, radix, sentencepiece_scan, sessions, simhash, tokenids, toxicity, warc
 from .common import table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -89,9 +89,31 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value and rank: how each source's terms differ from other sources' and its language's.
+    Nulls count as empty strings; ties go by the item's bytes; repeats count; an empty table gives no row."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence of every document; the model learns from the labelled rows that
+    aren't held out. Null and empty texts get the rate of examples without a telling term; repeats get equal scores."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, vectors = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_vectors(vectors, model)
+    return scored.select(F.col("__tw_id").alias("doc_id"), toxicity.held_out("__tw_id").alias("held_out"), "score", "predicted", "evidence")
+
+
+def op13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """client_id, first_us, last_us, n_clicks, ids_crc32, n_merges and close_batch of every session of clicks. Clicks
+    without an id, a client or a time are left out, and repeats of an id; an empty table gives no row."""
+    return sessions.close_sessions(table(spark, sf_dir, "clicks"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_sentencepiece, op2_simhash, op3_decontaminate, op4_licences, op5_quality, op6_warc, op7_line_dedup, op8_exact_dedup, op9_token_ids, op10_main_text,
+        op11_divergence, op12_toxicity, op13_sessions,
     )}
 
 
@@ -142,6 +164,8 @@ b AS (SELECT page_id, url, list_transform(string_split_regex(body, '<[^>]*>'), l
 t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """,
+    "op11_divergence": divergence.ORACLE,
+    "op13_sessions": sessions.ORACLE,
 }
 
 
