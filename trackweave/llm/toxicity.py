@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and the beginnings of words, so that inflected and compound forms of a word meet. The space is spanned
-by the terms whose use depends on the label, by the likelihood-ratio statistic over the labelled examples; their
-document frequencies are those of the whole corpus. The index holds the examples in blocks, and for each
+by the terms that toxic examples use more often than chance would have it, by the likelihood-ratio statistic over the
+labelled examples; their document frequencies are those of the whole corpus. The index holds the examples in blocks, and for each
 term and block the largest weight; a block whose bound lies below the k-th best similarity found so far is skipped,
 which loses nothing. Neighbours vote with their similarity; the votes of the examples among themselves, each without
 itself, give the calibration (isotonic). The neighbours are the evidence.
@@ -25,9 +25,11 @@ from .common import LOWER_AZ, limit_batches, materialize, text_bytes, trimmed
 #: Labelled rows that a fit takes at most, chosen by a hash of their ids.
 FIT_ROWS = 12_000
 #: Neighbours that vote, examples of a block, likelihood ratio from which a term counts (chance: about 1 in 8,000,000).
-NEIGHBOURS, BLOCK, LEAST_RATIO = 15, 32, 28.0
+NEIGHBOURS, BLOCK, LEAST_RATIO = 15, 128, 28.0
 #: Characters of the beginnings that are terms too, and words whose terms a worker remembers at most.
 BEGINNINGS, KNOWN_WORDS = range(3, 9), 500_000
+#: Scores of vectors that a task remembers at most.
+KNOWN_VECTORS = 20_000
 #: Weight of the vote that the share of toxic examples has beside the neighbours.
 PRIOR_WEIGHT = 2.0
 EVIDENCE = "id string, label int, similarity double"
@@ -68,7 +70,7 @@ def _entropy(*counts):
 
 
 def telling_terms(examples: DataFrame, least: float = LEAST_RATIO) -> list[str]:
-    """The terms of examples (id, label, text) that depend on the label, in order of their bytes.
+    """The terms of examples (id, label, text) that label 1 has more often than by chance, in order of their bytes.
 
     What comes to the driver is bounded by the examples: a statistic over n of them reaches `least` for at most all
     their terms, and chance gives one in 8,000,000.
@@ -82,7 +84,7 @@ def telling_terms(examples: DataFrame, least: float = LEAST_RATIO) -> list[str]:
     a, b = F.col("a"), F.col("b")
     with_term, without = _entropy(a, b), _entropy(n1 - a, n0 - b)
     ratio = 2 * (with_term + without - F.lit(n1 * math.log(n1 / (n1 + n0)) + n0 * math.log(n0 / (n1 + n0))))
-    return sorted(r.term for r in counts.filter(ratio >= least).select("term").collect())
+    return sorted(r.term for r in counts.filter((ratio >= least) & (a * (n1 + n0) > (a + b) * n1)).select("term").collect())
 
 
 def _counted(terms: list[str]):
@@ -123,25 +125,40 @@ def term_vectors(rows: DataFrame, text: str, terms: list[str]) -> DataFrame:
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples as postings by term, with the largest weight of each term in each block of examples."""
+    """Unit vectors of examples as postings by term, with the largest weight of each term in each block of vectors.
+
+    Examples with equal vectors share an entry, so that copies neither fill blocks nor tie with each other; examples
+    without a term have none.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.block, self.n = block, len(vectors)
+        self.block = block
+        same: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, (t, w) in enumerate(vectors):
+            if len(t):
+                same.setdefault((t.tobytes(), w.tobytes()), []).append(i)
         # Vectors with the same heaviest term stand together, so that a block has few terms and low bounds for others.
-        key = [(int(t[np.argmax(w)]), -float(w.max())) if len(t) else (n_terms, 0.0) for t, w in vectors]
-        self.order = np.array(sorted(range(self.n), key=lambda i: (key[i], i)), np.int64)
-        self.place = np.argsort(self.order)
-        blocks = max(1, -(-self.n // block))
-        self.most = np.zeros((n_terms, blocks), np.float64)
-        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        owner = np.repeat(self.place, [len(t) for t, _ in vectors]) if self.n else np.zeros(0, np.int64)
+        heavy = lambda m: (int((v := vectors[m[0]])[0][np.argmax(v[1])]), -float(v[1].max()), m[0])
+        self.members = sorted(same.values(), key=heavy)
+        entries = [vectors[m[0]] for m in self.members]
+        self.blocks = max(1, -(-len(entries) // block))
+        self.most = np.zeros((n_terms, self.blocks), np.float64)
+        terms = np.concatenate([t for t, _ in entries] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weights = np.concatenate([w for _, w in entries] or [np.zeros(0)])
+        owner = np.repeat(np.arange(len(entries)), [len(t) for t, _ in entries])
         by = np.lexsort([owner, terms])
         self.owner, self.weight, terms = owner[by], weights[by], terms[by]
         np.maximum.at(self.most, (terms, self.owner // block), self.weight)
-        cells = terms * blocks + self.owner // block
-        self.begin = np.searchsorted(cells, np.arange(n_terms * blocks + 1)).astype(np.int64)
-        self.blocks = blocks
+        self.begin = np.searchsorted(terms * self.blocks + self.owner // block, np.arange(n_terms * self.blocks + 1))
+
+    def _block(self, b: int, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Similarities of the entries of a block."""
+        cells = terms * self.blocks + b
+        first = self.begin[cells]
+        sizes = self.begin[cells + 1] - first
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
+        return np.bincount(self.owner[at] - b * self.block, self.weight[at] * np.repeat(weights, sizes), minlength=self.block)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest similarity above zero (ties: lower number), without example `skip`."""
@@ -150,17 +167,13 @@ class BlockMaxIndex:
         bounds = weights @ self.most[terms]
         found: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(found) == k and bounds[b] < -found[-1][0] - 1e-9:  # the bound is a sum in another order
+            least = -found[-1][0] - 1e-9 if len(found) == k else 1e-12  # the bound is a sum in another order
+            if bounds[b] < least:
                 break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                cell = t * self.blocks + b
-                part = slice(self.begin[cell], self.begin[cell + 1])
-                sums[self.owner[part] - b * self.block] += w * self.weight[part]
-            for j in np.flatnonzero(sums > 0).tolist():
-                i = int(self.order[b * self.block + j])
-                if i != skip:
-                    found.append((-round(float(sums[j]), 12), i))
+            sums = self._block(b, terms, weights)
+            for j in np.flatnonzero(sums >= least).tolist():
+                similar = -round(float(sums[j]), 12)
+                found += [(similar, i) for i in self.members[b * self.block + j][: k + 1] if i != skip]
             found = sorted(found)[:k]
         return [(-s, i) for s, i in found]
 
@@ -247,15 +260,17 @@ def fit_toxicity(
 
 def _scored(model, evidence: int):
     def run(parts):
-        known = model.value
+        known, seen = model.value, {}
         for part in parts:
             lists = [part.column(part.num_columns - 2), part.column(part.num_columns - 1)]
-            scores, near, seen = [], [], {}
+            scores, near = [], []
             for terms, times in zip(*(x.to_pylist() for x in lists)):
                 key = (tuple(terms), tuple(times))
                 if key not in seen:
                     seen[key] = known.score(np.array(terms, np.int64), np.array(times, np.float64))
                 score, found = seen[key]
+                if len(seen) > KNOWN_VECTORS:
+                    seen.clear()
                 scores.append(score)
                 near.append([{"id": known.ids[i], "label": int(known.labels[i]), "similarity": s} for s, i in found[:evidence]])
             kind = pa.list_(pa.struct([("id", pa.string()), ("label", pa.int32()), ("similarity", pa.float64())]))
