@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -87,10 +88,88 @@ def test_stitching(spark):
     assert ids == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
-def test_chain_takes_each_head_once():
-    edges = pd.DataFrame({"clip_id": "c", "a": [1, 2, 1, 3], "b": [3, 3, 4, 5], "a_end": [5, 4, 5, 9], "cost": [1.0, 2.0, 3.0, 1.0]})
-    got = {r.track_id: r.stable_id for r in greedy.chain(edges).itertuples()}
-    assert got == {3: 2, 4: 1, 5: 2}
+EDGES = "clip_id string, a long, b long, a_end long, cost double"
+
+
+def test_chain_takes_each_head_once(spark):
+    edges = spark.createDataFrame([("c", 1, 3, 5, 1.0), ("c", 2, 3, 4, 2.0), ("c", 1, 4, 5, 3.0), ("c", 3, 5, 9, 1.0)], EDGES)
+    for finish in (0, 100):
+        links, _ = greedy.matched_edges(edges, finish)
+        assert {(r.track_id, r.stable_id) for r in greedy.chain_roots(links).collect()} == {(3, 2), (4, 1), (5, 2)}
+    assert greedy.chained(edges.limit(0)).count() == 0
+
+
+def plain_chain(edges):
+    """Edge by edge in order, then up to each root."""
+    parent, used = {}, set()
+    for c, a, b, _, _ in sorted(edges, key=lambda e: (e[0], e[3], e[1], e[4], e[2])):
+        if (c, a) not in used and (c, b) not in parent:
+            parent[c, b] = a
+            used.add((c, a))
+    out = set()
+    for c, b in parent:
+        root = b
+        while (c, root) in parent:
+            root = parent[c, root]
+        out.add((c, b, root))
+    return out
+
+
+@pytest.mark.parametrize("seed, finish", [(0, 0), (1, 0), (2, 40), (3, 0), (4, 10**6)])
+def test_matching_in_rounds_equals_one_by_one(spark, seed, finish):
+    """Random edges of several clips that share track ids, with equal ends and costs; long chains; repeated edges."""
+    rng = np.random.default_rng(seed)
+    ends = {t: int(rng.integers(0, 25)) for t in range(120)}
+    edges = set()
+    for _ in range(900):
+        a, b = (int(x) for x in rng.integers(0, 120, 2))
+        if 0 < ends[b] - ends[a] + 3 <= 9 and a < b:
+            edges.add((f"c{rng.integers(0, 3) ** 2 // 2}", a, b, ends[a], float(rng.integers(0, 4))))
+    edges = list({e[:3]: e for e in edges}.values())
+    links, counts = greedy.matched_edges(spark.createDataFrame(edges + edges[:20], EDGES), finish)
+    got = {(r.clip_id, r.track_id, r.stable_id) for r in greedy.chain_roots(links).collect()}
+    assert got == plain_chain(edges)
+    assert counts[0] == len(edges) and counts == sorted(counts, reverse=True) and (finish or counts[-1] == 0)
+
+
+def test_long_chains_find_their_root(spark):
+    links = spark.createDataFrame([("c", i, i + 1) for i in range(300)] + [("d", 5, 9)], "clip_id string, a long, b long")
+    got = {(r.clip_id, r.track_id): r.stable_id for r in greedy.chain_roots(links).collect()}
+    assert got == {("c", i): 0 for i in range(1, 301)} | {("d", 9): 5}
+
+
+@pytest.mark.parametrize("speed", [0.5, 8.0, 400.0])
+def test_swept_cells_lose_no_pair(spark, speed):
+    """Against all pairs: slow and fast tails, feet left of and above the frame, gaps at both limits, missing feet."""
+    rng = np.random.default_rng(int(speed))
+    rows = []
+    for t in range(400):
+        start = int(rng.integers(0, 90))
+        x, y = (float(v) for v in rng.uniform(-300, 900, 2))
+        vx, vy = (float(v) for v in np.round(rng.normal(0, speed, 2), 1))
+        head = (None, None) if t % 50 == 0 else (x, y)
+        rows.append(("c" if t % 3 else "d", t, start, start + int(rng.integers(0, 9)), *head, x + 5, y, vx, vy, int(rng.integers(-1, 2)), None, 0.0, 0.0))
+    names = ["clip_id", "track_id", "start", "end", "head_x", "head_y", "tail_x", "tail_y", "vx", "vy", "team", "ocr", "ab_a", "ab_b"]
+    kinds = "clip_id string, track_id long, start long, end long, head_x double, head_y double, tail_x double, tail_y double, vx double, vy double, team int, ocr int, ab_a double, ab_b double"
+    want = set()
+    for a in (dict(zip(names, r)) for r in rows):
+        for b in (dict(zip(names, r)) for r in rows):
+            gap = b["start"] - a["end"]
+            if a["clip_id"] == b["clip_id"] and 0 < gap <= 30 and b["head_x"] is not None and (min(a["team"], b["team"]) < 0 or a["team"] == b["team"]):
+                dx, dy = a["tail_x"] + a["vx"] * gap - b["head_x"], a["tail_y"] + a["vy"] * gap - b["head_y"]
+                if math.sqrt(dx * dx + dy * dy) <= 120:
+                    want.add((a["track_id"], b["track_id"]))
+    got = [(r.a, r.b) for r in relational.stitch_candidates(spark.createDataFrame(rows, kinds)).select("a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_swept_cells_compare_few(spark):
+    """On a dense clip a tenth of the pairs that share a bucket of the gap's length in time is compared, at most."""
+    rng = np.random.default_rng(3)
+    rows = [("c", t, s := int(rng.integers(0, 300)), s + 5, float(rng.uniform(0, 1280)), float(rng.uniform(0, 720)), float(rng.uniform(0, 1280)), float(rng.uniform(0, 720)), 1.0, -1.0, -1, None, 0.0, 0.0) for t in range(3000)]
+    tracks = spark.createDataFrame(rows, "clip_id string, track_id long, start long, end long, head_x double, head_y double, tail_x double, tail_y double, vx double, vy double, team int, ocr int, ab_a double, ab_b double")
+    bucketed = sum((a + 1) // 30 <= b // 30 <= (a + 30) // 30 for a in (r[3] for r in rows) for b in (r[2] for r in rows))
+    assert relational.met_pairs(tracks).count() * 10 <= bucketed
 
 
 def test_snap(spark):

@@ -1,12 +1,17 @@
-"""Greedy kernels: duplicate suppression, exclusive matching, chaining. Each call sees one frame, image or clip."""
+"""Greedy operators: duplicate suppression and exclusive matching by kernels over one frame or image; chaining of tracks
+by rounds over tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import BROADCAST_BYTES, discard, materialize
+
 
 def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Overlap of each of a with each of b; zero where the union isn't positive."""
@@ -88,25 +93,97 @@ def reuse_indices(filtered: np.ndarray, original: np.ndarray) -> list[int]:
     return out
 
 
-def chain(edges: pd.DataFrame) -> pd.DataFrame:
-    """Edges (a, b, a_end, cost) of a clip to (track_id, stable_id): tails by end then id, cheapest free head, lowest id on ties."""
+def one_by_one(edges: pd.DataFrame) -> pd.DataFrame:
+    """Edges (clip_id, a, b, a_end, cost) of a clip to those taken in the order (a_end, a, cost, b): of free ends only."""
     order = np.lexsort([edges[c].to_numpy() for c in ("b", "cost", "a", "a_end")])
-    parent: dict[int, int] = {}
-    used: set[int] = set()
-    for a, b in zip(edges["a"].to_numpy()[order].tolist(), edges["b"].to_numpy()[order].tolist()):
-        if a not in used and b not in parent:
-            parent[b] = a
-            used.add(a)
-    out = []
-    for b in parent:
-        root = b
-        while root in parent:
-            root = parent[root]
-        out.append((edges.clip_id.iloc[0], b, root))
-    return pd.DataFrame(out, columns=["clip_id", "track_id", "stable_id"])
+    tails: set[int] = set()
+    heads: set[int] = set()
+    taken = []
+    a, b = edges["a"].to_numpy().tolist(), edges["b"].to_numpy().tolist()
+    for i in order.tolist():
+        if a[i] not in tails and b[i] not in heads:
+            tails.add(a[i])
+            heads.add(b[i])
+            taken.append(i)
+    return edges.iloc[taken][["clip_id", "a", "b"]]
+
+
+#: Rounds of the matching in one job, and jumps to the root.
+ROUNDS, JUMPS = 4, 2
+#: Undecided edges of all clips together up to which one task a clip decides them (40 bytes an edge); more go on in rounds.
+FINISH_EDGES = BROADCAST_BYTES // 40
+_ALIVE, _SETTLED, _GONE = 0, 1, 2
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """One round over edges (clip_id, a, b, a_end, cost, state): each tail asks the best head that hasn't refused it, and
+    each head refuses all tails that come after the first that asks it, whether they have asked yet or not.
+
+    asks: the tail's choice; died: refused in this round. A tail that no earlier tail can put out any more is settled
+    and its other edges go. Windows are by a track and its clip, so only the edges of a track meet.
+    """
+    tail, head = Window.partitionBy("clip_id", "a"), Window.partitionBy("clip_id", "b")
+    alive, rank, choice = F.col("state") == _ALIVE, F.struct("a_end", "a"), F.struct("cost", "b")
+    rows = edges.withColumn("done", F.max(F.col("state") == _SETTLED).over(tail))
+    rows = rows.withColumn("state", F.when(alive & F.col("done"), _GONE).otherwise(F.col("state")))
+    rows = rows.withColumn("best", F.min(F.when(alive, choice)).over(tail)).withColumn("asks", F.coalesce(alive & (choice == F.col("best")), F.lit(False)))
+    rows = rows.withColumn("first", F.min(F.when(F.col("asks"), rank)).over(head)).withColumn("least", F.min(F.when(alive, rank)).over(head))
+    rows = rows.withColumn("died", F.coalesce(alive & (rank > F.col("first")), F.lit(False)))
+    settled = F.col("asks") & (rank == F.col("least"))
+    state = F.when(F.col("died"), _GONE).when(settled, _SETTLED).otherwise(F.col("state"))
+    return rows.select("clip_id", "a", "b", "a_end", "cost", state.alias("state"), "asks", "died")
+
+
+def matched_edges(candidates: DataFrame, finish: int = FINISH_EDGES) -> tuple[DataFrame, list[int]]:
+    """The edges (clip_id, a, b) that taking edges one by one in the order (a_end, a, cost, b) takes, where each track has
+    one successor and one predecessor at most; and the number of undecided edges at first and after each job.
+
+    Taking tails in order, each its best free head, is the one stable matching of tails that prefer heads by (cost, b) with
+    heads that all prefer tails by (a_end, a). All tails may therefore ask at once and ask again when refused, in any
+    order, with the same result; when a round refuses none, all choices stand. Nothing is grouped by clip, and a dense clip
+    takes some tens of rounds where the order of tails alone has as many steps as it has tails. Once no more than `finish`
+    edges are undecided, counted, they are decided one by one. Of repeated edges the one with the least end and cost
+    counts; edges need an end and a cost.
+    """
+    edges = candidates.groupBy("clip_id", "a", "b").agg(F.min("a_end").alias("a_end"), F.min("cost").alias("cost"))
+    left = materialize(edges.withColumn("state", F.lit(_ALIVE)), "edges")
+    counts, sure = [left.count()], []
+    while counts[-1] > finish:
+        for _ in range(ROUNDS):
+            left = _round(left)
+        left = left.withColumn("done", F.max(F.col("state") == _SETTLED).over(Window.partitionBy("clip_id", "a")))
+        part = materialize(left.filter(f"state = {_SETTLED} OR died OR (state = {_ALIVE} AND NOT done)").drop("done"), "edges")
+        undecided, died = part.agg(F.count_if(F.col("state") == _ALIVE), F.count_if("died")).first()
+        sure.append(part.filter(f"state = {_SETTLED}" if died else f"state = {_SETTLED} OR (state = {_ALIVE} AND asks)"))
+        counts.append(undecided if died else 0)
+        left = part.filter(f"state = {_ALIVE}").drop("asks", "died")
+    taken = [rows.select("clip_id", "a", "b") for rows in sure]
+    if counts[-1]:
+        kind = left.select("clip_id", "a", "b").schema
+        taken.append(left.drop("state").groupBy("clip_id").applyInPandas(one_by_one, kind))
+    return reduce(DataFrame.union, taken or [left.select("clip_id", "a", "b")]), counts
+
+
+def chain_roots(links: DataFrame) -> DataFrame:
+    """Links (clip_id, a, b), a before b, without forks, to (clip_id, track_id, stable_id): the first track of b's chain.
+
+    The way up doubles with each jump, so the number of jobs goes with the logarithm of the longest chain.
+    """
+    ways = materialize(links.select("clip_id", F.col("b").alias("track_id"), F.col("a").alias("stable_id")), "ways")
+    while True:
+        last = ways
+        for _ in range(JUMPS):
+            further = ways.select("clip_id", F.col("track_id").alias("stable_id"), F.col("stable_id").alias("up"))
+            ways = ways.join(further, ["clip_id", "stable_id"], "left")
+            ways = ways.select("clip_id", "track_id", F.coalesce("up", "stable_id").alias("stable_id"))
+        ways = materialize(ways, "ways")
+        moved = ways.join(last.withColumnRenamed("stable_id", "before"), ["clip_id", "track_id"]).filter("stable_id <> before").limit(1).count()
+        discard(last)
+        if not moved:
+            return ways
 
 
 def chained(candidates: DataFrame) -> DataFrame:
-    """Stable ids of the tracks that continue another; a clip's candidate edges only, not its detections, meet in a task."""
-    cols = candidates.select("clip_id", "a", "b", "a_end", "cost")
-    return cols.groupBy("clip_id").applyInPandas(chain, "clip_id string, track_id long, stable_id long")
+    """Stable ids of the tracks that continue another: the greedy matching of the candidate edges, then its chains."""
+    links, _ = matched_edges(candidates)
+    return chain_roots(links)

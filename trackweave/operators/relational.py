@@ -64,16 +64,53 @@ def of_segment(det: DataFrame) -> DataFrame:
     return det.join(numbered.select("clip_id", "frame", "segment"), ["clip_id", "frame"])
 
 
+#: Frames of a key of slow tails, and what is added around swept rectangles for rounding.
+SWEEP_FRAMES, SLACK = 5, 1e-3
+
+
+def head_keys(tracks: DataFrame, cell: float = P.max_dist) -> DataFrame:
+    """tracks with `step`, `slot`, `cx`, `cy`: the cell of the first foot, once with its frame and once with its slot of frames."""
+    keyed = tracks.withColumn("step", F.explode(F.array(F.lit(1), F.lit(SWEEP_FRAMES))))
+    return keyed.withColumn("slot", F.floor(F.col("start") / F.col("step"))).withColumns({f"c{c}": F.floor(F.col(f"head_{c}") / cell) for c in "xy"})
+
+
+def swept_keys(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, cell: float = P.max_dist) -> DataFrame:
+    """tracks with a row for each (`step`, `slot`, `cx`, `cy`) that a continuation's first foot can be in.
+
+    A tail moves on with its velocity; in a slot of frames it sweeps a rectangle, and a head may be max_dist around it.
+    Slow tails take slots of SWEEP_FRAMES frames, others single frames, so a tail has some hundred keys at most (30 frames of 9
+    cells, or 7 slots of 16), whatever its velocity. A head has one key of either kind, so a pair meets once.
+    """
+    fast = f"greatest(abs(vx), abs(vy)) * {SWEEP_FRAMES - 1} > {cell}"
+    keyed = tracks.withColumn("step", F.expr(f"IF({fast}, 1, {SWEEP_FRAMES})"))
+    keyed = keyed.withColumn("slot", F.explode(F.expr(f"sequence(floor((end + 1) / step), floor((end + {max_gap}) / step))")))
+    gaps = {"g0": F.expr("greatest(1, slot * step - end)"), "g1": F.expr(f"least({max_gap}, slot * step + step - 1 - end)")}
+    keyed = keyed.withColumns(gaps)
+    for c in "xy":
+        low, high = f"least(v{c} * g0, v{c} * g1) - {max_dist + SLACK}", f"greatest(v{c} * g0, v{c} * g1) + {max_dist + SLACK}"
+        keyed = keyed.withColumn(f"c{c}", F.explode(F.expr(f"sequence(floor((tail_{c} + {low}) / {cell}), floor((tail_{c} + {high}) / {cell}))")))
+    return keyed.drop("g0", "g1")
+
+
+_KEYS = ("clip_id", "step", "slot", "cx", "cy")
+
+
+def met_pairs(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist) -> DataFrame:
+    """Pairs (a_, b_) of tracks that meet in a key: those that are compared."""
+    a = prefixed(swept_keys(tracks.drop("head_x", "head_y", "start"), max_gap, max_dist, max_dist), "a_", _KEYS)
+    b = prefixed(head_keys(tracks.drop("tail_x", "tail_y", "vx", "vy", "end"), max_dist), "b_", _KEYS)
+    return a.join(b, list(_KEYS))
+
+
 def stitch_candidates(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight) -> DataFrame:
     """(clip_id, a, b, dist, cost): tracks b that may continue a.
 
-    tracks: clip_id, track_id, start, end, head_x, head_y, tail_x, tail_y, vx, vy, team, ocr, ab_a, ab_b. A range
-    join as an equi-join: b starts in the bucket of a's end or one of the next two (buckets of max_gap frames).
+    tracks: clip_id, track_id, start, end, head_x, head_y, tail_x, tail_y, vx, vy, team, ocr, ab_a, ab_b. A spatio-temporal
+    range join as an equi-join: heads are keyed by cells of max_dist pixels and slots of frames, tails by the cells that
+    they sweep (see swept_keys). A track without a foot, a frame or a velocity has no candidates.
     """
-    a = prefixed(tracks, "a_", ("clip_id",)).withColumn("bucket", F.explode(F.expr(f"sequence((a_end + 1) div {max_gap}, (a_end + {max_gap}) div {max_gap})")))
-    b = prefixed(tracks, "b_", ("clip_id",)).withColumn("bucket", F.expr(f"b_start div {max_gap}"))
     gap = "(b_start - a_end)"
-    pairs = a.join(b, ["clip_id", "bucket"]).filter(
+    pairs = met_pairs(tracks, max_gap, max_dist).filter(
         f"{gap} > 0 AND {gap} <= {max_gap} AND (a_team < 0 OR b_team < 0 OR a_team = b_team) AND NOT coalesce(a_ocr <> b_ocr, false)"
     )
     dx, dy = f"(a_tail_x + a_vx * {gap} - b_head_x)", f"(a_tail_y + a_vy * {gap} - b_head_y)"
