@@ -106,6 +106,26 @@ def test_every_code_point_matches_the_library():
         assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
 
 
+def test_every_letter_with_every_mark_matches_the_library():
+    """Marks that compose with one case of a letter only: alone and inside words, both cases, and random texts."""
+    import random
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORDS), random.Random(4)
+    letters = [c for c in map(chr, range(0x370)) if unicodedata.category(c)[0] == "L"]
+    marks = [c for c in map(chr, range(0x370)) if unicodedata.category(c) == "Mn"]
+    texts = [" ".join(w for m in marks for w in (c + m, f"ab{c}{m}cd", f"AB{c}{m}CD,")) for c in letters]
+    some = [*"TtHhWwYyJjAa\u0130\u0131 .,'1", *"\u0308\u0331\u030a\u030c\u0307\u0323", "\u212b", "\u2126", "\n"]
+    texts += ["".join(rng.choices(some, k=rng.randrange(1, 12))) for _ in range(100_000)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        edges, ids = tokenids.encoder(WORDS).encode(pa.array(part))
+        want = [x.ids for x in tok.encode_batch_fast(part, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+
+
 def test_word_cache_bound():
     small, large = tokenids.WordEncoder(WORDS, 3), tokenids.WordEncoder(WORDS)
     texts = pa.array(["one two three four É'a Ÿ%%% ﬁ İ", "two five six ONE", "", None, " one\t", "a<|endoftext|>B"])

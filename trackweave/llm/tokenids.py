@@ -75,11 +75,13 @@ class WordEncoder(UnitEncoder):
         if len(marked):
             return self._encode_marked(column, set(marked.tolist()))
         lists = pc.ascii_split_whitespace(column)
-        words = pc.ascii_lower(lists.flatten())
+        words = lists.flatten()
         if not self.pattern:
             return self.gather(lists, words)
-        # Letters below U+0100 are lower-cased alike by all; words with others go to the library as they are.
-        latin = pc.match_substring_regex(words, f"^[{LOWER_CLASS}{UPPER_CLASS}]*[{MARK_CLASS}]*$")
+        # The library composes before it lower-cases, and some marks compose with one case of a letter only. So words are
+        # lower-cased here only if all their characters are ASCII or letters below U+0100, which neither compose with
+        # each other nor differ in how they are lower-cased; words with others go to the library as they are.
+        latin = pc.match_substring_regex(words, f"^[\\x00-\\x7f{LOWER_CLASS}{UPPER_CLASS}]*$")
         return self.gather(lists, pc.if_else(latin, pc.utf8_lower(words), words))
 
     def _encode_marked(self, column: pa.Array, marked: set[int]) -> tuple[np.ndarray, np.ndarray]:
