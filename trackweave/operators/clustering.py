@@ -19,22 +19,23 @@ def scaler(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.mean(axis=0), np.where(std == 0, 1.0, std)
 
 
-def two_means(x: np.ndarray, w: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres of weighted 2-means from a fixed start: the point farthest from the mean, and that farthest from it."""
+def two_means(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of weighted 2-means from a fixed start: the point farthest from the mean, and that farthest from it.
+    Ends when no label changes, or when rounding brings labels back that there were before."""
     mean = np.average(x, axis=0, weights=w)
     a = x[((x - mean) ** 2).sum(1).argmax()]
     centres = np.array([a, x[((x - a) ** 2).sum(1).argmax()]])
-    label = np.zeros(len(x), int)
-    for _ in range(rounds):
+    label, seen = np.zeros(len(x), int), set()
+    while True:
         d = ((x[:, None] - centres[None]) ** 2).sum(2)
         new = (d[:, 1] < d[:, 0]).astype(int)
         for k in (0, 1):
             if (new == k).any():
                 centres[k] = np.average(x[new == k], axis=0, weights=w[new == k])
-        if (new == label).all():
-            break
+        if (new == label).all() or new.tobytes() in seen:
+            return new, centres
+        seen.add(new.tobytes())
         label = new
-    return label, centres
 
 
 def cluster(rows: pd.DataFrame, least: float = P.centroid_min) -> np.ndarray | None:
@@ -105,12 +106,18 @@ def points(det: DataFrame, valid: str, by: list[str], least: int = 8) -> DataFra
     return rows.join(stats, by).selectExpr(*by, "event_id", "track_id", "w", "feat_h AS hue", *scaled)
 
 
-def two_centres(rows: DataFrame, by: list[str], rounds: int = 100) -> tuple[DataFrame, list[DataFrame]]:
+#: Rounds of 2-means in one job.
+ROUNDS = 4
+
+
+def two_centres(rows: DataFrame, by: list[str]) -> tuple[DataFrame, list[DataFrame]]:
     """by, a0.., b0..: the centres of weighted 2-means of each group, from the point farthest from the mean and that farthest
     from it (ties: the smallest event); and the tables they were made in.
 
     A round is one aggregate over all groups, which combines before its shuffle; only the centres, a row a group, go to
-    the points: broadcast if their counted size allows it, joined by group otherwise. Rounds end when no label changes.
+    the points: broadcast if their counted size allows it, joined by group otherwise. A job has some rounds, of which
+    those after the last change change nothing. Jobs end when the last round changes no label, or when rounding brings
+    centres back that there were before; there is no other bound.
     """
     x = [F.col(f"x{j}") for j in range(len(FEATURES))]
     means = rows.groupBy(*by).agg(*[F.round(F.sum(F.col("w") * v) / F.sum("w"), CENTRE_DIGITS).alias(c) for v, c in zip(x, _A)])
@@ -131,23 +138,25 @@ def two_centres(rows: DataFrame, by: list[str], rounds: int = 100) -> tuple[Data
     start = made[-1].select(*by, *[F.col(f"f{c}").alias(c) for c in _A])
     made.append(farthest(start, _B))
     now = made[-1].withColumns({f"old_{c}": F.col(c) for c in (*_A, *_B)})
-    label, before = f"({_squared(_B)}) < ({_squared(_A)})", None
-    for turn in range(rounds):
-        # Before the first round all points have label 0.
-        before = "false" if turn == 0 else f"({_squared([f'old_{c}' for c in _B])}) < ({_squared([f'old_{c}' for c in _A])})"
-        labelled = near(now).withColumn("l", F.expr(label)).withColumn("o", F.expr(before))
-        sums = [
-            F.coalesce(F.round(F.sum(F.when(F.col("l") == side, F.col("w") * v)) / F.sum(F.when(F.col("l") == side, F.col("w"))), CENTRE_DIGITS), F.first(c)).alias(c)
-            for side, names in ((False, _A), (True, _B))
-            for v, c in zip(x, names)
-        ]
-        olds = [F.first(c).alias(f"old_{c}") for c in (*_A, *_B)]
+    label, before = f"({_squared(_B)}) < ({_squared(_A)})", "false"  # before the first round all points have label 0
+    olds = [F.first(c).alias(f"old_{c}") for c in (*_A, *_B)]
+    state, states = F.sum(F.xxhash64(*by, *_A, *_B).cast("decimal(38,0)")).alias("state"), set()
+    while True:
+        for _ in range(ROUNDS):
+            labelled = near(now).withColumn("l", F.expr(label)).withColumn("o", F.expr(before))
+            sums = [
+                F.coalesce(F.round(F.sum(F.when(F.col("l") == side, F.col("w") * v)) / F.sum(F.when(F.col("l") == side, F.col("w"))), CENTRE_DIGITS), F.first(c)).alias(c)
+                for side, names in ((False, _A), (True, _B))
+                for v, c in zip(x, names)
+            ]
+            now = labelled.groupBy(*by).agg(*sums, *olds, F.count_if(F.col("l") != F.col("o")).alias("changed"))
+            before = f"({_squared([f'old_{c}' for c in _B])}) < ({_squared([f'old_{c}' for c in _A])})"
         seen = Observation()
-        moved = labelled.groupBy(*by).agg(*sums, *olds, F.count_if(F.col("l") != F.col("o")).alias("changed"))
-        made.append(materialize(moved.observe(seen, F.coalesce(F.sum("changed"), F.lit(0)).alias("n")), "centres"))
-        now = made[-1].drop("changed")
-        if not seen.get["n"]:
+        made.append(materialize(now.observe(seen, F.coalesce(F.sum("changed"), F.lit(0)).alias("n"), state), "centres"))
+        now, got = made[-1].drop("changed"), seen.get
+        if not got["n"] or got["state"] in states:
             break
+        states.add(got["state"])
     return now.select(*by, *_A, *_B), made
 
 
