@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave import schema
 from trackweave.functions import scalars as S
@@ -88,6 +89,18 @@ def test_stitching(spark):
     assert ids == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+def test_clips_are_judged_apart(spark, sf):
+    """Figures of a table of many clips are those of each clip alone, whatever else is in the table."""
+    det = detections(spark, sf).withColumn("clip_id", F.expr("concat('c', user_id % 4)"))
+    for whole in (lambda d, by: gates.ir_gate(d, by=by), lambda d, by: aggregates.route_metrics(d, by=by)):
+        got = {r.clip_id: r.asDict() for r in whole(det, ("clip_id",)).collect()}
+        assert set(got) == {"c0", "c1", "c2", "c3"}
+        for clip, figures in got.items():
+            alone = whole(det.filter(F.col("clip_id") == clip), ()).first().asDict()
+            assert {k: v for k, v in figures.items() if k != "clip_id"} == {k: pytest.approx(v) if isinstance(v, float) else v for k, v in alone.items()}
+    assert gates.ir_gate(det.limit(0), by=("clip_id",)).count() == 0
+
+
 EDGES = "clip_id string, a long, b long, a_end long, cost double"
 
 

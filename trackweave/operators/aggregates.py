@@ -9,20 +9,26 @@ from ..functions.scalars import FOOT_X, FOOT_Y, GATE_FP
 from ..params import P
 
 
-def per_frame(det: DataFrame) -> DataFrame:
-    return det.groupBy("frame").agg(F.count_distinct("track_id").alias("n"), F.count("*").alias("rows"))
+def per_frame(det: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Tracks and rows of each frame; by: the clip's columns, for a table of many clips."""
+    return det.groupBy(*by, "frame").agg(F.count_distinct("track_id").alias("n"), F.count("*").alias("rows"))
 
 
-def gate_figures(det: DataFrame) -> DataFrame:
-    """One row: rows, frames, median detections a frame, unique tracks, fallback rate, fp rate."""
-    frames = per_frame(det).agg(F.median("n").alias("median_det"), F.count("*").alias("frames"))
-    rows = det.agg(
+def _beside(left: DataFrame, right: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Figures side by side: a row a clip, or one row each; clips that only the left has keep nulls."""
+    return left.join(right, list(by), "left") if by else left.join(right, F.lit(True))
+
+
+def gate_figures(det: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each clip: rows, frames, median detections a frame, unique tracks, fallback rate, fp rate."""
+    frames = per_frame(det, by).groupBy(*by).agg(F.median("n").alias("median_det"), F.count("*").alias("frames"))
+    rows = det.groupBy(*by).agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("track_id").alias("unique_tracks"),
         F.avg(F.col("mask_is_fallback").cast("double")).alias("fallback_rate"),
         (F.count_if(F.expr(GATE_FP)) / F.greatest(F.lit(1), F.count("*"))).alias("fp_rate"),
     )
-    return rows.join(frames, F.lit(True))  # one row each
+    return _beside(rows, frames, by)
 
 
 def _keys(key: str | list[str]) -> list[str]:
@@ -73,20 +79,22 @@ def track_summary(det: DataFrame) -> DataFrame:
     )
 
 
-def route_metrics(det: DataFrame, annotations: DataFrame | None = None, key: str = "track_id") -> DataFrame:
-    """One row: completeness, fragmentation, id switches, team accuracy (null without labels)."""
-    spans = det.groupBy(key).agg(F.count_distinct("frame").alias("n"), (F.max("frame") - F.min("frame") + 1).alias("span"))
-    complete = spans.agg(F.coalesce(F.avg(F.col("n") / F.greatest(F.lit(1), "span")), F.lit(0.0)).alias("completeness"), F.count("*").alias("tracks"))
-    frames = det.groupBy("frame").agg(F.count_distinct(key).alias("n")).agg(F.coalesce(F.median("n"), F.lit(0.0)).alias("m"))
-    gaps = det.select(key, "frame").distinct().withColumn("gap", F.col("frame") - F.lag("frame").over(Window.partitionBy(key).orderBy("frame")))
-    switches = gaps.agg(F.count_if(F.col("gap") > 1).alias("id_switches"))
-    out = complete.join(frames, F.lit(True)).join(switches, F.lit(True))  # one row each
+def route_metrics(det: DataFrame, annotations: DataFrame | None = None, key: str = "track_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each clip (by: its columns, which annotations have too): completeness, fragmentation, id
+    switches, team accuracy (null without labels). Frames and tracks of different clips are different."""
+    spans = det.groupBy(*by, key).agg(F.count_distinct("frame").alias("n"), (F.max("frame") - F.min("frame") + 1).alias("span"))
+    complete = spans.groupBy(*by).agg(F.coalesce(F.avg(F.col("n") / F.greatest(F.lit(1), "span")), F.lit(0.0)).alias("completeness"), F.count("*").alias("tracks"))
+    frames = det.groupBy(*by, "frame").agg(F.count_distinct(key).alias("n")).groupBy(*by).agg(F.coalesce(F.median("n"), F.lit(0.0)).alias("m"))
+    before = F.lag("frame").over(Window.partitionBy(*by, key).orderBy("frame"))
+    switches = det.select(*by, key, "frame").distinct().withColumn("gap", F.col("frame") - before).groupBy(*by).agg(F.count_if(F.col("gap") > 1).alias("id_switches"))
+    out = _beside(_beside(complete, frames, by), switches, by)
     if annotations is None:
         accuracy = F.lit(None).cast("double").alias("team_accuracy")
     else:
-        out = out.join(team_accuracy(det, annotations).select("team_accuracy"), F.lit(True))
+        out = _beside(out, team_accuracy(det, annotations, by).select(*by, "team_accuracy"), by)
         accuracy = F.col("team_accuracy")
     return out.select(
+        *by,
         "completeness",
         F.when(F.col("tracks") > 0, F.greatest(F.lit(0.0), F.col("tracks") / F.greatest(F.lit(1.0), "m") - 1)).otherwise(0.0).alias("fragmentation"),
         "id_switches",
@@ -94,12 +102,12 @@ def route_metrics(det: DataFrame, annotations: DataFrame | None = None, key: str
     )
 
 
-def team_accuracy(det: DataFrame, annotations: DataFrame) -> DataFrame:
-    """One row: matched annotations, right ones, and their share."""
-    last = det.groupBy("frame", "track_id").agg(F.max_by("team", "event_id").alias("team"))
-    joined = annotations.join(last, ["frame", "track_id"])
+def team_accuracy(det: DataFrame, annotations: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each clip: matched annotations, right ones, and their share."""
+    last = det.groupBy(*by, "frame", "track_id").agg(F.max_by("team", "event_id").alias("team"))
+    joined = annotations.join(last, [*by, "frame", "track_id"])
     right = F.count_if(F.col("team") == F.col("correct_team"))
-    return joined.agg(F.count("*").alias("n"), right.alias("n_right"), F.when(F.count("*") > 0, right / F.count("*")).alias("team_accuracy"))
+    return joined.groupBy(*by).agg(F.count("*").alias("n"), right.alias("n_right"), F.when(F.count("*") > 0, right / F.count("*")).alias("team_accuracy"))
 
 
 def bucket_counts(rows: DataFrame, bucket: str) -> DataFrame:

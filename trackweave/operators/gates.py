@@ -10,15 +10,15 @@ from ..sources.readers import check_dataset
 from .aggregates import gate_figures
 
 
-def ir_gate(det: DataFrame, p: Params = P) -> DataFrame:
-    """One row: figures, checks, pass and reason (empty_ir for a table without rows)."""
+def ir_gate(det: DataFrame, p: Params = P, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each clip (by: its columns): figures, checks, pass and reason (empty_ir for a table without rows)."""
     checks = {
         "check_median": F.col("median_det") >= p.min_median_det,
         "check_fp": F.col("fp_rate") <= p.max_fp_rate,
         "check_tracks": F.col("unique_tracks") >= p.min_unique_tracks,
         "check_fallback": F.col("fallback_rate") <= p.max_fallback_rate,
     }
-    out = gate_figures(det).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
+    out = gate_figures(det, by).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
     every = F.col("check_median") & F.col("check_fp") & F.col("check_tracks") & F.col("check_fallback")
     return out.withColumn("pass", every & (F.col("n_rows") > 0)).withColumn("reason", F.when(F.col("n_rows") == 0, "empty_ir"))
 

@@ -604,6 +604,35 @@ def _(spark, sf):
     return rows.selectExpr(f"{r6('completeness')} AS completeness", f"{r6('fragmentation')} AS fragmentation", "id_switches", "team_accuracy")
 
 
+def many_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """The detections as 16 clips, whose frame numbers overlap: a user's tracks are in clip user_id modulo 16."""
+    return detections(spark, sf).withColumn("clip_id", F.expr("concat('clip', CAST(user_id % 16 AS STRING))"))
+
+
+_CLIPS = "c AS (SELECT * REPLACE (concat('clip', CAST(user_id % 16 AS VARCHAR)) AS clip_id) FROM det)"
+
+
+@query("gat01_gate_of_clips", f"""WITH {_CLIPS}, f AS (SELECT clip_id, frame, count(DISTINCT track_id) AS n FROM c GROUP BY 1, 2), m AS (SELECT clip_id, median(n) AS median_det, count(*) AS frames FROM f GROUP BY 1),
+a AS (SELECT clip_id, count(*) AS n_rows, count(DISTINCT track_id) AS unique_tracks, avg(CAST(mask_is_fallback AS DOUBLE)) AS fallback_rate, CAST(count(*) FILTER (WHERE {S.GATE_FP}) AS DOUBLE) / count(*) AS fp_rate FROM c GROUP BY 1)
+SELECT clip_id, n_rows, unique_tracks, {r6('fallback_rate')} AS fallback_rate, {r6('fp_rate')} AS fp_rate, median_det, frames,
+median_det >= 12 AND fp_rate <= 0.20 AND unique_tracks >= 8 AND fallback_rate <= 0.30 AS pass FROM a JOIN m USING (clip_id)""")
+def _(spark, sf):
+    rows = gates.ir_gate(many_clips(spark, sf), by=("clip_id",))
+    return rows.selectExpr("clip_id", "n_rows", "unique_tracks", f"{r6('fallback_rate')} AS fallback_rate", f"{r6('fp_rate')} AS fp_rate", "median_det", "frames", "pass")
+
+
+@query("agg09_metrics_of_clips", f"""WITH {_CLIPS}, s AS (SELECT clip_id, track_id, count(DISTINCT frame) AS n, max(frame) - min(frame) + 1 AS span FROM c GROUP BY 1, 2),
+f AS (SELECT clip_id, median(n) AS m FROM (SELECT clip_id, frame, count(DISTINCT track_id) AS n FROM c GROUP BY 1, 2) AS q GROUP BY 1),
+g AS (SELECT clip_id, count(*) FILTER (WHERE gap > 1) AS id_switches FROM (SELECT clip_id, frame - lag(frame) OVER (PARTITION BY clip_id, track_id ORDER BY frame) AS gap FROM (SELECT DISTINCT clip_id, track_id, frame FROM c) AS q) AS q GROUP BY 1),
+t AS (SELECT clip_id, count(*) FILTER (WHERE team = CAST(user_id % 2 AS INT)) / CAST(count(*) AS DOUBLE) AS team_accuracy FROM c WHERE k % 2 = 0 AND k % 8 <> 0 GROUP BY 1)
+SELECT s.clip_id, {r6('avg(n / span)')} AS completeness, {r6('greatest(0, count(*) / greatest(1, any_value(m)) - 1)')} AS fragmentation, any_value(id_switches) AS id_switches, {r6('any_value(team_accuracy)')} AS team_accuracy
+FROM s JOIN f ON s.clip_id = f.clip_id JOIN g ON s.clip_id = g.clip_id LEFT JOIN t ON s.clip_id = t.clip_id GROUP BY 1""")
+def _(spark, sf):
+    clip = F.expr("concat('clip', CAST((track_id div 1000) % 16 AS STRING))")
+    rows = A.route_metrics(many_clips(spark, sf), annotations(spark, sf).withColumn("clip_id", clip), by=("clip_id",))
+    return rows.selectExpr("clip_id", f"{r6('completeness')} AS completeness", f"{r6('fragmentation')} AS fragmentation", "id_switches", f"{r6('team_accuracy')} AS team_accuracy")
+
+
 @query("agg14_quantiles", "SELECT quantile_cont(conf, 0.1) AS p10, quantile_cont(conf, 0.5) AS p50, quantile_cont(conf, 0.9) AS p90 FROM det")
 def _(spark, sf):
     return detections(spark, sf).agg(*[F.expr(f"percentile(conf, {q})").alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
