@@ -423,6 +423,33 @@ def test_placing(page, want):
     assert htmltext.blocks_of(page).article() == want
 
 
+@pytest.mark.parametrize("name", ["share-of-market", "related-work", "discussion", "ad-hoc", "notice-of-motion", "comments-on-law"])
+def test_parts_of_class_names_are_hints(name):
+    blocks = htmltext.blocks_of(f'<article><p>a</p><section class="{name}"><p>b</p><p>c</p></section><p>d</p></article>')
+    assert blocks.article() == ["a", "b", "c", "d"] and blocks.doubtful() == [False, True, True, False]
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "cookie-notice", "share-buttons", "comment-list", "ad_slot_2", "related-posts", "newsletter-box"])
+def test_class_names_that_mean_one_thing(name):
+    assert htmltext.blocks_of(f'<article><p>a</p><div class="{name}"><p>b</p></div><p>d</p></article>').article() == ["a", "d"]
+
+
+def test_repetition_decides_what_a_class_name_hints_at(spark):
+    """Over the given hosts' size of input: hinted blocks that pages of a host share go, unique ones and unhinted repeats stay."""
+    rows = [
+        (i, f"https://h{i % 3}.example/{i}",
+         f"<article><h1>t{i}</h1><p>The same sentence in every article of the host here</p><div class='share-of-market'>figures of year {i} and of {i} plants</div>"
+         f"<div class='related-work'>More to read on the site of host {i % 3} today</div><p>end</p></article>")
+        for i in range(30)
+    ]
+    rows.append((99, "https://lone.example/", "<article><p>x</p><div class='related-work'>More to read on the site of host 0 today</div></article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"t{i}\nThe same sentence in every article of the host here\nfigures of year {i} and of {i} plants\nend" for i in range(30)}
+    want[99] = "x\nMore to read on the site of host 0 today"
+    for options in ({}, {"shard_pages": 4}):
+        assert {r.page_id: r.text for r in htmltext.main_text(df, **options).collect()} == want
+
+
 def test_pages(spark, sf):
     import html
 
