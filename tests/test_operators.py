@@ -345,7 +345,17 @@ def test_smoothing_matches_fold(spark, sf):
         assert abs(r.sx1 - int(value)) <= 1e-6 or abs(value - round(value)) < 1e-6
 
 
-def test_batch_equals_stream(spark, sf, tmp_path):
+@pytest.fixture
+def typed_state(spark):
+    """The RocksDB store, which typed state needs, for one test."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, online.ROCKSDB)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_batch_equals_stream(spark, sf, tmp_path, typed_state):
     frames = online_frames(spark, sf).filter("frame < 120").cache()
     want = sorted(map(repr, online.batch(frames).collect()))
     source = tmp_path / "frames"
@@ -361,6 +371,57 @@ def test_batch_equals_stream(spark, sf, tmp_path):
     assert sorted(map(repr, got)) == want and len(want) > 100
 
 
+def test_stream_restarts_and_writes_only_tracks_it_saw(spark, sf, tmp_path, typed_state):
+    """Three micro-batches, each by a query started anew on one checkpoint, the last with one track of each clip and a late frame."""
+    frames = online_frames(spark, sf).filter("frame < 90").cache()
+    one = frames.groupBy("clip_id").agg({"track_id": "min"}).withColumnRenamed("min(track_id)", "track_id")
+    parts = [frames.filter("frame < 40"), frames.filter("frame BETWEEN 40 AND 69"), frames.filter("frame >= 70").join(one, ["clip_id", "track_id"])]
+    late = parts[2].dropDuplicates(["clip_id"]).selectExpr(*["CAST(5 AS BIGINT) AS frame" if c == "frame" else c for c in frames.columns])
+    want = sorted(map(repr, online.batch(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("dropped").collect()))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    updated, operators = [], None
+    for i, part in enumerate(parts):
+        (part.unionByName(late) if i == 2 else part).coalesce(1).write.mode("append").parquet(source)
+        run = (
+            online.stream(spark.readStream.schema(frames.schema).parquet(source))
+            .writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        try:
+            assert run.awaitTermination(120)
+        finally:
+            run.stop()
+        updated.append(sum(o["numRowsUpdated"] for o in run.lastProgress["stateOperators"]))
+    got = spark.read.parquet(out)
+    assert sorted(map(repr, got.drop("dropped").select(*[c for c in online.batch(frames).columns if c != "dropped"]).collect())) == want
+    clips = parts[2].select("clip_id").distinct().count()
+    assert late.count() == clips == got.filter("dropped > 0").select("clip_id").distinct().count() > 0
+    assert 0 < updated[2] <= 2 * clips < updated[0]  # the clip's value and one track each
+
+
+def test_state_of_a_clip_that_is_gone_expires(spark, sf, tmp_path, typed_state):
+    """The same frames twice: late while the state is kept, taken anew, as if nothing had been before, once it is gone."""
+    frames = online_frames(spark, sf).filter("clip_id = 'u0' AND frame < 100").cache()
+    once = online.batch(frames).collect()
+    assert once
+    for name, keep_ms, want in (("short", 1, once + once), ("long", 3_600_000, once)):
+        source = str(tmp_path / name)
+        frames.coalesce(1).write.parquet(source)
+        reader = spark.readStream.schema(frames.schema).parquet(source)
+        run = online.stream(reader, keep_ms).writeStream.format("memory").queryName(f"kept_{name}").option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+        try:
+            run.processAllAvailable()
+            frames.coalesce(1).write.mode("append").parquet(source)
+            run.processAllAvailable()
+        finally:
+            run.stop()
+        assert sorted(map(repr, spark.table(f"kept_{name}").collect())) == sorted(map(repr, want))
+
+
+def test_typed_state_names_its_store(spark):
+    with pytest.raises(ValueError, match="stateStore"):
+        online.stream(spark.range(1).selectExpr("'c' AS clip_id"))
+
+
 def test_late_frames_are_counted():
     state, rows = online.new_state(), [{"track_id": 1, "x1": 0, "y1": 0, "x2": 9, "y2": 9, "helmet_hits": 0, "label": 0, "dist0": 0.0, "dist1": 5.0, "torso_px": 100, "mad": 0.0, "fit_ok": True}]
     assert len(online.step(state, "c", 5, rows)) == 1 and online.step(state, "c", 5, rows) == [] and state["dropped"] == 1

@@ -1,4 +1,4 @@
-"""The online path: a step function per frame, a batch twin, and Structured Streaming over the same function.
+"""The online path: a step function per frame, a batch twin, and Structured Streaming over the same function on typed state.
 
 A clip's frames arrive in order; a frame at or before the last one processed is dropped and counted. Every frame is
 a row of the input, also those without detections (track_id null), since a track that misses a frame loses state.
@@ -7,12 +7,12 @@ a row of the input, also those without detections (track_id null), since a track
 from __future__ import annotations
 
 import itertools
-import json
 import math
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..params import P, Params
 
@@ -132,12 +132,18 @@ def step(state: dict, clip_id: str, frame: int, rows: list[dict], p: Params = P)
     return out
 
 
-def run_rows(state: dict, clip_id: str, rows: pd.DataFrame) -> pd.DataFrame:
+def frames_of(rows: pd.DataFrame):
+    """The rows of each frame in order, as (frame, dictionaries with None for missing values)."""
     rows = rows.sort_values("frame", kind="stable")
     records = rows.astype(object).where(rows.notna(), None).to_dict("records")
-    out = []
     for frame, part in itertools.groupby(records, key=lambda r: r["frame"]):
-        out += step(state, clip_id, int(frame), list(part))
+        yield int(frame), list(part)
+
+
+def run_rows(state: dict, clip_id: str, rows: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for frame, part in frames_of(rows):
+        out += step(state, clip_id, frame, part)
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
@@ -150,21 +156,87 @@ def batch(frames: DataFrame) -> DataFrame:
     return frames.groupBy("clip_id").applyInPandas(run, OUTPUT)
 
 
+CLIP_STATE = "last long, turn long, dropped long, streak int, cooldown int, field int"
+TRACK_KEY = "track_id long"
+TRACK_STATE = (
+    "turn long, box array<double>, hits array<boolean>, seen int, run int, sure boolean, "
+    "votes array<int>, label int, locked int, against int, area double"
+)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _packed(turn: int, held: dict, votes: dict) -> tuple:
+    """A track as a row of TRACK_STATE: what ends with an absence (held) and what follows the track through it (votes)."""
+    return (
+        turn, held.get("box"), held.get("hits"), held.get("seen"), held.get("run"), held.get("sure"),
+        votes.get("votes"), votes.get("last"), votes.get("lock"), votes.get("against"), votes.get("area"),
+    )
+
+
+def _unpacked(row: tuple) -> tuple[int, dict, dict]:
+    turn, box, hits, seen, run, sure, votes, label, locked, against, area = row
+    held = {"box": None if box is None else list(box), "hits": None if hits is None else [bool(h) for h in hits], "seen": seen, "run": run, "sure": sure}
+    kept = {"votes": None if votes is None else [int(v) for v in votes], "last": label, "lock": locked, "against": against, "area": area}
+    return turn, {k: v for k, v in held.items() if v is not None}, {k: v for k, v in kept.items() if v is not None}
+
+
+class ClipProcessor(StatefulProcessor):
+    """Typed state of a clip: a value for its frames and a map of its tracks, of which a batch reads and writes those it has.
+
+    A track's row has the turn (the clip's count of frames) at which it was last seen, so box and helmet state of absent
+    tracks end without being touched: they count only if that turn is the one before.
+    """
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.clip = handle.getValueState("clip", CLIP_STATE, self.keep_ms)
+        self.tracks = handle.getMapState("tracks", TRACK_KEY, TRACK_STATE, self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        state, turn = new_state(), 0
+        if self.clip.exists():
+            state["last"], turn, state["dropped"], state["streak"], state["cooldown"], state["field"] = self.clip.get()
+        known: dict[int, int] = {}  # tracks of this batch, and the turn at which each was last seen
+
+        def fetch(frame: int, part: list[dict]) -> None:
+            for track in {int(r["track_id"]) for r in part if r.get("track_id") is not None} - known.keys():
+                known[track] = -1
+                if self.tracks.containsKey((track,)):
+                    known[track], held, votes = _unpacked(self.tracks.getValue((track,)))
+                    state["votes"][str(track)] = votes
+                    if known[track] == turn:
+                        state["tracks"][str(track)] = held
+
+        out = []
+        for frame, part in frames_of(pd.concat(list(rows))):
+            late = state["last"] is not None and frame <= state["last"]
+            if not late:
+                fetch(frame, part)
+            out += step(state, key[0], frame, part)
+            if not late:
+                turn += 1
+                known.update((int(r["track_id"]), turn) for r in part if r.get("track_id") is not None)
+        for track, seen in known.items():
+            held = state["tracks"].get(str(track), {}) if seen == turn else {}
+            self.tracks.updateValue((track,), _packed(seen, held, state["votes"].get(str(track), {})))
+        self.clip.update((state["last"], turn, state["dropped"], state["streak"], state["cooldown"], state["field"]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
 def stream(frames: DataFrame, keep_ms: int | None = None) -> DataFrame:
-    """The same on a streaming DataFrame; the state is kept as JSON for each clip, with keep_ms only so long after its last frame."""
-
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else new_state()
-        yield run_rows(held, key[0], pd.concat(list(batches)))
-        state.update((json.dumps(held),))
-        if keep_ms:
-            state.setTimeoutDuration(keep_ms)
-
-    timeout = "ProcessingTimeTimeout" if keep_ms else "NoTimeout"
-    return frames.groupBy("clip_id").applyInPandasWithState(run, OUTPUT, "state string", "append", timeout)
+    """The same on a streaming DataFrame, on typed state: with keep_ms, a clip and each of its tracks is kept only so long after its last row.
+
+    State that is a map for each key needs the RocksDB store: spark.sql.streaming.stateStore.providerClass must name it
+    before the query starts; the session's settings are not changed here.
+    """
+    if frames.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    return frames.groupBy("clip_id").transformWithStateInPandas(ClipProcessor(keep_ms), OUTPUT, "append", "processingTime" if keep_ms else "none")
 
 
 def cuts(frames: DataFrame, p: Params = P) -> DataFrame:
