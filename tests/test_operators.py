@@ -1,5 +1,6 @@
 import itertools
 import json
+import time
 import math
 
 import numpy as np
@@ -402,16 +403,24 @@ def test_state_of_a_clip_that_is_gone_expires(spark, sf, tmp_path, typed_state):
     """The same frames twice: late while the state is kept, taken anew, as if nothing had been before, once it is gone."""
     frames = online_frames(spark, sf).filter("clip_id = 'u0' AND frame < 100").cache()
     once = online.batch(frames).collect()
+    n = frames.count()
     assert once
+
+    def read(run, rows: int) -> None:  # a query with timed state never comes to rest, so its progress is watched
+        end = time.monotonic() + 40
+        while sum(p["numInputRows"] for p in run.recentProgress) < rows:
+            assert time.monotonic() < end and run.isActive
+            time.sleep(0.2)
+
     for name, keep_ms, want in (("short", 1, once + once), ("long", 3_600_000, once)):
         source = str(tmp_path / name)
         frames.coalesce(1).write.parquet(source)
         reader = spark.readStream.schema(frames.schema).parquet(source)
         run = online.stream(reader, keep_ms).writeStream.format("memory").queryName(f"kept_{name}").option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
         try:
-            run.processAllAvailable()
+            read(run, n)
             frames.coalesce(1).write.mode("append").parquet(source)
-            run.processAllAvailable()
+            read(run, 2 * n)
         finally:
             run.stop()
         assert sorted(map(repr, spark.table(f"kept_{name}").collect())) == sorted(map(repr, want))
