@@ -1,7 +1,8 @@
 import itertools
 import json
-import time
 import math
+import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackweave import schema
 from trackweave.functions import scalars as S
-from trackweave.operators import aggregates, clustering, gates, greedy, relational, windows
+from trackweave.operators import aggregates, clustering, gates, greedy, quantiles, relational, scans, windows
 from trackweave.plans import pass2
 from trackweave.queries import HOMOGRAPHY, online_frames
 from trackweave.sources import readers, sinks
@@ -316,6 +317,40 @@ def test_cut_rules(spark):
     assert [r.is_cut for r in windows.cut_flags(rows).orderBy("frame").collect()] == [False, False, True, False, True, False, False, True]
 
 
+@pytest.mark.parametrize(("chunk", "fan"), [(1, 2), (7, 3), (64, 2), (1024, 1024)])
+def test_cuts_as_a_scan_of_maps(spark, chunk, fan):
+    """Equal to the step function for any chunk and any fan; clips of nulls, gaps, negative frames, and repeated rows."""
+    rng = random.Random(5)
+    rows = [(c, f - 40, rng.choice([10.0, 50.0, 50.0, 60.0, None, float("nan")]), "x") for c in ("a", "b", None) for f in range(400) if rng.random() > 0.1]
+    rows += [("one", 5, 50.0, "x"), ("a", None, 50.0, "x")]
+    want = {}
+    for clip in ("a", "b", None, "one"):
+        state = online.new_state()
+        for c, f, mad, _ in sorted((r for r in rows if r[0] == clip and r[1] is not None), key=lambda r: r[1]):
+            want[c, f] = online.cut(state, None if mad is None or mad != mad else mad)
+    df = spark.createDataFrame(rows, "clip_id string, frame long, mad double, entry string").repartition(5)
+    got = {(r.clip_id, r.frame): r.is_cut for r in scans.cuts(df, chunk=chunk, fan=fan).collect()}
+    assert got == want and sum(want.values()) > 8
+    assert scans.cuts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("bins", "few"), [(32, 3), (1024, 4096)])
+def test_quantiles_of_any_size_of_group(spark, bins, few):
+    """Equal to percentile with one key that has most rows, ties, a null key, and values over many exponents."""
+    rng = random.Random(6)
+    rows = [("hot", rng.choice([rng.random(), 0.5, -3.0, 10.0 ** rng.randint(-3, 3)])) for _ in range(600)]
+    rows += [(None, float(i)) for i in range(9)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), ("none", float("nan")), ("ends", -1.7e308), ("ends", 1.7e308), ("ends", 0.0), ("tiny", 1.5e-323), ("tiny", 2e-323)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    at = {"a": 0.0, "b": 0.1, "m": 0.5, "c": 0.933, "z": 1.0}
+    got = quantiles.exact_quantiles(df, "x", at, ("g",), bins, few).collect()
+    real = df.filter("NOT isnan(x)")
+    want = real.groupBy("g").agg(*[F.expr(f"percentile(x, {q})").alias(n) for n, q in at.items()]).filter("g IS NULL OR g <> 'none'").collect()
+    assert sorted(map(repr, got)) == sorted([*map(repr, want), "Row(g='none', a=None, b=None, m=None, c=None, z=None)"])
+    whole = quantiles.exact_quantiles(df.filter("g = 'hot'"), "x", at, (), bins, few).collect()
+    assert [tuple(r) for r in whole] == [tuple(r)[1:] for r in want if r.g == "hot"]
+    assert [tuple(r) for r in quantiles.exact_quantiles(df.limit(0), "x", at).collect()] == [(None,) * 5]
+
+
 def test_votes():
     rule, track = online.margins(10.0), {}
     assert online.margins(10.0) == (1.2, 3.0, 10) and online.margins(20.0, warmup=True) == (1.0, 5.0, 6)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import scalars as S
 from .operators import aggregates as A
-from .operators import clustering, gates, greedy
+from .operators import clustering, gates, greedy, quantiles, scans
 from .operators import relational as R
 from .operators import windows as W
 from .params import P
@@ -635,7 +635,7 @@ def _(spark, sf):
 
 @query("agg14_quantiles", "SELECT quantile_cont(conf, 0.1) AS p10, quantile_cont(conf, 0.5) AS p50, quantile_cont(conf, 0.9) AS p90 FROM det")
 def _(spark, sf):
-    return detections(spark, sf).agg(*[F.expr(f"percentile(conf, {q})").alias(n) for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))])
+    return quantiles.exact_quantiles(detections(spark, sf), "conf", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 @query("agg16_bucket_percent", f"WITH b AS (SELECT {S.AREA_BUCKET.replace('area', S.area())} AS bucket FROM det) SELECT bucket, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM b GROUP BY 1")
@@ -1338,7 +1338,7 @@ SELECT p.n, CASE WHEN w.cooldown > 0 OR p.mad <= 45 OR w.streak = 1 THEN 0 ELSE
  w.cooldown = 0 AND p.mad > 45 AND w.streak = 1 FROM walk w JOIN pos p ON p.n = w.n + 1)
 SELECT frame, is_cut FROM walk JOIN pos USING (n)""", recursive=True)
 def _(spark, sf):
-    return online.cuts(_frames(spark, sf)).select("frame", "is_cut")
+    return scans.cuts(_frames(spark, sf)).select("frame", "is_cut")
 
 
 @query("win09_last_velocity", f"WITH {_TRACKS} SELECT track_id, {r6('vx')} AS vx, {r6('vy')} AS vy FROM tracks", True)

@@ -237,14 +237,3 @@ def stream(frames: DataFrame, keep_ms: int | None = None) -> DataFrame:
     if frames.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     return frames.groupBy("clip_id").transformWithStateInPandas(ClipProcessor(keep_ms), OUTPUT, "append", "processingTime" if keep_ms else "none")
-
-
-def cuts(frames: DataFrame, p: Params = P) -> DataFrame:
-    """(clip_id, frame, is_cut) of frames (clip_id, frame, mad) by the online rule, whose cooldown makes it sequential in a clip."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state = rows.sort_values("frame"), new_state()
-        flags = [cut(state, None if pd.isna(m) else m, p) for m in rows.mad]
-        return rows[["clip_id", "frame"]].assign(is_cut=flags)
-
-    return frames.select("clip_id", "frame", "mad").groupBy("clip_id").applyInPandas(run, "clip_id string, frame long, is_cut boolean")
