@@ -518,6 +518,42 @@ def test_sources_and_sinks(spark, sf, tmp_path):
     assert gates.version_gate(spark.read.json(str(tmp_path / "model")), "v2", 0.45).first().ok
 
 
+def test_reports_by_epoch(spark, tmp_path):
+    """A repeated epoch replaces itself, writers at once don't disturb each other, and there is one header."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, rows = str(tmp_path / "log"), spark.range(4).selectExpr("id AS a", "concat('x,', id) AS b")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda e: sinks.commit_report(rows.filter(f"a >= {e}"), path, e), [0, 1, 2, 3]))
+    for epoch in (1, 1, 7):
+        sinks.commit_report(rows.filter(f"a >= {epoch}"), path, epoch)
+    got = sorted(map(tuple, sinks.read_commits(spark, path, "a long, b string").collect()))
+    assert got == sorted((a, f"x,{a}", str(e)) for e in range(4) for a in range(e, 4))
+    files = [f for f in tmp_path.rglob("*.csv") if not f.name.startswith((".", "_"))]
+    assert sum(f.read_text().splitlines().count("a,b") for f in files if f.is_file()) == 1
+
+
+def test_stream_of_reports_after_a_failed_batch(spark, tmp_path):
+    """A micro-batch that failed after its rows were written is replayed on the same checkpoint, and they are there once."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    reader = lambda: spark.readStream.schema("a long").parquet(source)
+    spark.range(5).withColumnRenamed("id", "a").write.parquet(source)
+
+    def fails(rows, number):
+        sinks.commit_report(rows, path, number)
+        raise RuntimeError("after the commit")
+
+    broken = reader().writeStream.foreachBatch(fails).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="after the commit"):
+        broken.awaitTermination(60)
+    assert sinks.read_commits(spark, path, "a long").count() == 5
+    for part in (None, spark.range(5, 8)):
+        if part is not None:
+            part.withColumnRenamed("id", "a").write.mode("append").parquet(source)
+        assert sinks.stream_report(reader(), path, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted((r.a, r.epoch) for r in sinks.read_commits(spark, path, "a long").collect()) == [(i, "0" if i < 5 else "1") for i in range(8)]
+
+
 def test_pass2_is_stable_under_row_order(spark, sf):
     det = with_features(spark, sf)
     rows = lambda d: sorted(map(repr, pass2.analyse(d, HOMOGRAPHY, 1.5).select("event_id", "stable_id", "team", "t_from_snap").collect()))

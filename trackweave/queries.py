@@ -1539,6 +1539,14 @@ def _dumped(spark: SparkSession, sf: str, fmt: str) -> DataFrame:
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
 
 
+@query("snk06_epoch_log", "SELECT CAST(k % 3 AS VARCHAR) AS epoch, team, count(*) AS n FROM det GROUP BY 1, 2")
+def _(spark, sf):
+    path, det = _path(spark, "epochs"), detections(spark, sf)
+    for epoch in (0, 1, 1, 2, 0):  # two of them twice
+        sinks.commit_report(det.filter(f"k % 3 = {epoch}").groupBy("team").agg(F.count("*").alias("n")), path, epoch)
+    return sinks.read_commits(spark, path, "team int, n long").select("epoch", "team", "n")
+
+
 @query("snk07_stream_csv", "SELECT event_id, user_id, event_type FROM events")
 def _(spark, sf):
     return _dumped(spark, sf, "csv")
@@ -1587,19 +1595,31 @@ def _(spark, sf):
     return spark.read.text(path).groupBy("split", F.col("stem").cast("long").alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query("src17_calibration", "SELECT 'v2' AS feature_version, CAST(0.45 AS DOUBLE) AS upper_body_frac, 3 AS centres, true AS ok")
+@query("src17_calibration", """SELECT 'v2' AS feature_version, CAST(0.45 AS DOUBLE) AS upper_body_frac, count(*) AS centres, max(x) AS far, true AS ok
+FROM (SELECT team, CAST(max(x1) AS DOUBLE) AS x FROM det GROUP BY team) AS t""")
 def _(spark, sf):
-    """A calibration as SNK15 writes it, read again and judged by its version."""
+    """A calibration of the given rows (a centre a team) as SNK15 writes it, read again and judged by its version."""
     path = _path(spark, "model")
-    sinks.save_model(spark, {"feature_version": "v2", "upper_body_frac": 0.45, "scaler": [0.0, 1.0], "centres": [[1.0], [2.0], [3.0]]}, path)
-    return gates.version_gate(readers.read_model(spark, path), "v2", 0.45).selectExpr("feature_version", "upper_body_frac", "size(centres) AS centres", "ok")
+    # Three teams at most, whatever the rows.
+    centres = [[r.x] for r in detections(spark, sf).groupBy("team").agg(F.max("x1").cast("double").alias("x")).orderBy("team").collect()]
+    sinks.save_model(spark, {"feature_version": "v2", "upper_body_frac": 0.45, "scaler": [0.0, 1.0], "centres": centres}, path)
+    model = gates.version_gate(readers.read_model(spark, path), "v2", 0.45)
+    return model.selectExpr("feature_version", "upper_body_frac", "CAST(size(centres) AS BIGINT) AS centres", "array_max(transform(centres, c -> c[0])) AS far", "ok")
 
 
-@query("src10_homography", "SELECT h, w, CAST(a AS DOUBLE) AS a FROM (VALUES (533, 1200, 0.5), (480, 640, 2.0)) AS t(h, w, a)")
+@query("src10_homography", """SELECT p_partkey AS a, CASE WHEN p_partkey % 2 = 0 THEN p_size + 400 ELSE 533 END AS h, CASE WHEN p_partkey % 2 = 0 THEN p_size + 600 ELSE 1200 END AS w, count(*) AS n
+FROM part GROUP BY 1, 2, 3""")
 def _(spark, sf):
+    """A homography for each part, every other with dimensions of its own."""
     path = _path(spark, "homography")
-    spark.createDataFrame([('{"H": [[0.5, 0, 0], [0, 1, 0], [0, 0, 1]]}',), ('{"H": [[2, 0, 0], [0, 1, 0], [0, 0, 1]], "template_w": 640, "template_h": 480}',)], "value string").repartition(2).write.text(path)
-    return readers.read_homography(spark, path).selectExpr("template_h AS h", "template_w AS w", "H[0][0] AS a")
+    own = F.col("p_partkey") % 2 == 0
+    matrix = F.expr("array(array(double(p_partkey), 0D, 0D), array(0D, 1D, 0D), array(0D, 0D, 1D))")
+    fields = F.struct(matrix.alias("H"), F.when(own, F.col("p_size") + 600).alias("template_w"), F.when(own, F.col("p_size") + 400).alias("template_h"))
+    # A document holds a list of 1000 parts at most, and a file one document.
+    lists = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.expr("p_partkey div 1000").alias("document")).agg(F.to_json(F.collect_list(fields)).alias("value"))
+    lists.write.partitionBy("document").text(path)
+    found = readers.read_homography(spark, path)
+    return found.groupBy(F.col("H")[0][0].cast("long").alias("a"), F.col("template_h").alias("h"), F.col("template_w").alias("w")).agg(F.count("*").alias("n"))
 
 
 @query("src12_metrics", "SELECT CAST(min(frame) AS VARCHAR) AS first, CAST(count(*) AS VARCHAR) AS n FROM det")

@@ -38,6 +38,32 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
+def commit_report(df: DataFrame, path: str, epoch: int | str) -> None:
+    """The rows of one epoch of a log, in a folder of their own that a repeat replaces, so doing an epoch twice adds nothing.
+
+    Writers of different epochs don't meet. The header is one file of its own, the same whoever writes it: header.csv and
+    then the files of the epochs, read one after the other, are one CSV. An empty epoch adds no rows.
+    """
+    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    head = jvm.org.apache.hadoop.fs.Path(path, "header.csv")
+    out = head.getFileSystem(hadoop).create(head, True)
+    try:
+        out.write(bytearray((",".join(df.columns) + "\n").encode()))
+    finally:
+        out.close()
+    csv_ready(df).coalesce(1).write.mode("overwrite").csv(f"{path}/rows/epoch={epoch}")
+
+
+def read_commits(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a log of commit_report, each with its epoch (text)."""
+    return spark.read.schema(f"{schema}, epoch string").csv(f"{path}/rows")
+
+
+def stream_report(df: DataFrame, path: str, checkpoint: str):
+    """Adds each micro-batch of a streaming DataFrame to a log as the epoch of its number, so one replayed after a failure adds nothing; returns the writer, to be started."""
+    return df.writeStream.foreachBatch(lambda rows, number: commit_report(rows, path, number)).option("checkpointLocation", checkpoint)
+
+
 def markdown(df: DataFrame) -> DataFrame:
     """A table as lines of Markdown text (position, value); rows are numbered by their columns in order."""
     rule = [(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "-|" * len(df.columns))]
