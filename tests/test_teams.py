@@ -1,9 +1,10 @@
 import json
+import random
 
 import numpy as np
 import pytest
 
-from trackweave.operators import aggregates, clustering, gates, windows
+from trackweave.operators import aggregates, clustering, gates, relational, windows
 from trackweave.queries import team_frames
 from trackweave.sources import readers, sinks
 from trackweave.streaming import online, teams
@@ -166,3 +167,44 @@ def test_stream_sink(spark, tmp_path):
     finally:
         run.stop()
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 5
+
+
+def test_dataset_checks_equal_the_function(spark):
+    texts = ["", "nc: 1", "nc: 1\nnames: ['player']\n", "nc: 2\nnames:\n  0: ball\n  1: helmet\n", "nc: 1\nnames:\n- Ball\n", "names: {0: \"Player\"}\nnc:  1  \n", "nc: x\nnames: []\n", "nc: 1\nnames: [ball,\n player]\nval: b\n", "nc: 99999999999999999999\nnames:\n\t- helmet", "train: a\nval: b\nnc: 1\nnames: ['helmet']\n"]
+    rows = [(t, k) for t in texts for k in readers.TASKS]
+    got = {(r.text, r.task): r.wrong for r in readers.dataset_checks(spark.createDataFrame(rows, "text string, task string")).collect()}
+    assert got == {(t, k): ",".join(readers.check_dataset(t, k)) for t, k in rows}
+    odd = spark.createDataFrame([(None, "seg"), ("nc: 1\nnames: [player]", None), ("nc: 1\nnames: [player]", "other")], "text string, task string")
+    assert [r.wrong for r in readers.dataset_checks(odd).collect()] == ["nc,names", "names", "names"]
+
+
+def test_number_conflicts(spark):
+    rows = [("g", 1, 7), ("g", 2, 7), ("g", 3, 8), ("g", 4, None), ("g", 5, 9), ("g", 5, 4), ("h", 6, 1), (None, 7, 1), (None, 8, 2), ("g", None, 1)]
+    got = relational.number_conflicts(spark.createDataFrame(rows, "g string, t long, n long"), "g", "t", "n").collect()
+    assert {(r.g, r.a, r.b, r.conflict) for r in got} == {("g", 1, 2, False), ("g", 2, 3, True), ("g", 3, 4, False), ("g", 4, 5, False), ("g", 5, 5, True), (None, 7, 8, True)}
+
+
+FIGURES = ("frames", "locked_frames", "labelled_frames", "locked_labels", "mixed_tracks")
+LABELS = "clip_id string, frame long, track_id long, label int, state string"
+
+
+def test_figures_of_a_stream(spark, tmp_path):
+    """After each micro-batch the figures are those of all rows so far; a batch written twice changes nothing."""
+    rng = random.Random(8)
+    batches = [[(rng.choice(["a", "b", None]), rng.randrange(30), rng.choice([1, 2, 3, None]), rng.choice([0, 1, -1, None]), rng.choice(["locked", "warmup", None])) for _ in range(40)] for _ in range(3)]
+    batches.append([("late", 1, 1, 0, "locked")])
+    where, parts = f"{tmp_path}/in", f"{tmp_path}/parts"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, LABELS).write.mode("append").parquet(where)
+        seen = spark.readStream.schema(LABELS).parquet(where)
+        teams.stream_figures(seen, parts, f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        want = teams.figures(spark.createDataFrame([r for b in batches[: n + 1] for r in b], LABELS)).collect()
+        want = {r.clip_id: tuple(int(r[c]) for c in FIGURES) for r in want}
+        got = {r.clip_id: tuple(r[c] for c in FIGURES) for r in teams.running_figures(spark, parts).orderBy("epoch").collect()}
+        assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
+    before = sorted(map(str, teams.running_figures(spark, parts).collect()))
+    spark.read.schema(teams.PARTS).parquet(parts).filter("epoch = 1").drop("epoch").write.parquet(f"{parts}/epoch=9")
+    again = teams.running_figures(spark, parts).filter("epoch < 9")
+    assert sorted(map(str, again.collect())) == before
+    last = {r.clip_id: tuple(r[c] for c in FIGURES) for r in teams.running_figures(spark, parts).filter("epoch = 9").collect()}
+    assert all(got[k] == v for k, v in last.items())

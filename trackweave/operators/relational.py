@@ -133,3 +133,15 @@ def stale_keys(det: DataFrame) -> DataFrame:
     following = seen.select("clip_id", "frame").distinct().withColumn("next", F.lead("frame").over(Window.partitionBy("clip_id").orderBy("frame")))
     expected = seen.join(following.filter("next IS NOT NULL"), ["clip_id", "frame"]).select("clip_id", F.col("next").alias("frame"), "track_id")
     return expected.join(seen, ["clip_id", "frame", "track_id"], "left_anti")
+
+
+def number_conflicts(tracks: DataFrame, group: str, track: str, number: str, other: str | None = None) -> DataFrame:
+    """(group, a, b, conflict) of each two tracks of a group that follow one another by id: both have a number and these differ.
+
+    other: the column that holds the following track's number, if another reading is compared. A group of n tracks has
+    n - 1 candidates, so a hot one isn't squared. Null numbers don't conflict; tracks without an id are left out; rows of
+    one id count one after the other, by number.
+    """
+    order = Window.partitionBy(group).orderBy(track, number)
+    rows = tracks.filter(F.col(track).isNotNull()).select(group, F.col(track).alias("a"), F.lead(track).over(order).alias("b"), F.col(number).alias("n"), F.lead(other or number).over(order).alias("m"))
+    return rows.filter("b IS NOT NULL").select(group, "a", "b", F.coalesce(F.col("n") != F.col("m"), F.lit(False)).alias("conflict"))

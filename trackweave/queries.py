@@ -15,6 +15,7 @@ from .operators import relational as R
 from .operators import windows as W
 from .params import P
 from .plans import pass2
+from .sources import frames as containers
 from .sources import readers, sinks
 from .sources.fixture import DET_SQL, FEAT_SQL, FRAME_H, FRAME_W, detections, with_features
 from .streaming import online, teams
@@ -191,6 +192,11 @@ def _(spark, sf):
     return readers.class_zero(part_lines(spark, sf, _CENTRE, "CAST(p_partkey % 2 AS STRING)"))
 
 
+@query("src08_class_zero_lines", f"""SELECT CAST(p_size AS STRING) AS stem, p_partkey AS line_no, {" || ".join(["'0'", *[f"' 0.' || {_two(n)}" for n in _CENTRE]])} AS line FROM part WHERE p_partkey % 2 = 0""")
+def _(spark, sf):
+    return readers.class_zero_lines(part_lines(spark, sf, _CENTRE, "if(p_partkey % 2 = 0, '0 ', '1 ')"))
+
+
 @query("src16_sampled_frames", "SELECT frame, count(*) AS n FROM det WHERE frame % 15 = 0 GROUP BY frame")
 def _(spark, sf):
     return detections(spark, sf).filter("frame % 15 = 0").groupBy("frame").agg(F.count("*").alias("n"))
@@ -288,13 +294,12 @@ def _(spark, sf):
     return rows.filter("on_field = 0 AND off_field >= 2").select("frame", "off_field")
 
 
-@query("flt17_number_conflict", """SELECT a.track_id AS a, b.track_id AS b FROM (SELECT track_id, user_id, max(ocr_num) AS n FROM det GROUP BY 1, 2) AS a
-JOIN (SELECT track_id, user_id, max(k % 3) AS n FROM det GROUP BY 1, 2) AS b ON a.user_id = b.user_id WHERE a.track_id < b.track_id AND coalesce(a.n <> b.n, false)""")
+@query("flt17_number_conflict", """WITH t AS (SELECT track_id, user_id, max(ocr_num) AS n, max(k % 3) AS m FROM det GROUP BY 1, 2),
+p AS (SELECT track_id AS a, n, lead(track_id) OVER w AS b, lead(m) OVER w AS bm FROM t WINDOW w AS (PARTITION BY user_id ORDER BY track_id))
+SELECT a, b, coalesce(n <> bm, false) AS conflict FROM p WHERE b IS NOT NULL""")
 def _(spark, sf):
-    det = detections(spark, sf)
-    a = det.groupBy("track_id", "user_id").agg(F.max("ocr_num").alias("n")).select(F.col("track_id").alias("a"), "user_id", F.col("n").alias("an"))
-    b = det.groupBy("track_id", "user_id").agg(F.max(F.expr("k % 3")).alias("n")).select(F.col("track_id").alias("b"), "user_id", F.col("n").alias("bn"))
-    return a.join(b, "user_id").filter("a < b AND coalesce(an <> bn, false)").select("a", "b")
+    tracks = detections(spark, sf).groupBy("track_id", "user_id").agg(F.max("ocr_num").alias("number"), F.max(F.expr("k % 3")).alias("other"))
+    return R.number_conflicts(tracks, "user_id", "track_id", "number", "other").select("a", "b", "conflict")
 
 
 _NEAR = "sqrt((((a.x1 + a.x2) - (b.x1 + b.x2)) / 2) * (((a.x1 + a.x2) - (b.x1 + b.x2)) / 2) + (((a.y1 + a.y2) - (b.y1 + b.y2)) / 2) * (((a.y1 + a.y2) - (b.y1 + b.y2)) / 2))"
@@ -1474,6 +1479,23 @@ def _(spark, sf):
     return teams.figures(teams.batch(team_frames(spark, sf)))
 
 
+@query("str19_running_figures", """WITH l AS (SELECT event_id % 4 AS b, concat('u', user_id % 16) AS clip_id, frame, track_id, team, k % 3 > 0 AS locked FROM det),
+u AS (SELECT e.b AS epoch, l.* FROM (SELECT DISTINCT b FROM l) AS e JOIN l ON l.b <= e.b),
+f AS (SELECT epoch, clip_id, count(DISTINCT frame) AS frames, count(DISTINCT frame) FILTER (WHERE locked) AS locked_frames, count(DISTINCT frame) FILTER (WHERE team >= 0) AS labelled_frames,
+ count(*) FILTER (WHERE locked AND team >= 0) AS locked_labels FROM u GROUP BY 1, 2),
+m AS (SELECT epoch, clip_id, count(*) AS mixed FROM (SELECT epoch, clip_id, track_id FROM u WHERE locked AND team >= 0 GROUP BY 1, 2, 3 HAVING min(team) < max(team)) AS t GROUP BY 1, 2)
+SELECT f.*, coalesce(mixed, 0) AS mixed_tracks FROM f LEFT JOIN m USING (epoch, clip_id) WHERE (epoch, clip_id) IN (SELECT (b, clip_id) FROM l)""")
+def _(spark, sf):
+    rows = detections(spark, sf).selectExpr("event_id % 4 AS b", "concat('u', user_id % 16) AS clip_id", "frame", "track_id", "team AS label", "if(k % 3 > 0, 'locked', 'warmup') AS state")
+    path = _path(spark, "running")
+    rows = materialize(rows, "labels")
+    for b in range(4):  # a batch arrives; the query starts anew on its checkpoint
+        rows.filter(F.col("b") == b).drop("b").write.mode("append").parquet(f"{path}/in")
+        arrived = spark.readStream.schema(rows.drop("b").schema).parquet(f"{path}/in")
+        teams.stream_figures(arrived, f"{path}/parts", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return teams.running_figures(spark, f"{path}/parts")
+
+
 # Sinks and readers, by round trips through the shared folder
 
 
@@ -1481,6 +1503,29 @@ def _path(spark: SparkSession, name: str) -> str:
     return new_path(spark, name)
 
 
+_FRAMES_SQL = """SELECT CAST(vec_id % 8 AS VARCHAR) AS clip_id, CAST(vec_id AS BIGINT) AS frame, 8 AS width, 8 AS height,
+array_to_string([printf('%02X', CAST(floor(abs(180 * CAST(v AS DOUBLE))) AS BIGINT) % 180) for v in embedding], '') AS pixels FROM embeddings"""
+
+
+def _container(spark: SparkSession, sf: str) -> str:
+    """Frames of 8 by 8 pixels out of the vectors, written as containers."""
+    path = _path(spark, "frames")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    values = "transform(embedding, v -> CAST(floor(abs(180 * CAST(v AS DOUBLE))) AS BIGINT) % 180)"
+    containers.write_frames(containers.as_frames(vectors, "vec_id % 8", "vec_id", values, 8), path, block_bytes=1 << 10)
+    return path
+
+
+@query("src14_frames", _FRAMES_SQL)
+def _(spark, sf):
+    return containers.read_container(spark, _container(spark, sf)).withColumn("pixels", F.hex("pixels"))
+
+
+@query("src15_frame_range", f"SELECT * FROM ({_FRAMES_SQL}) AS f WHERE frame BETWEEN 100 AND 131")
+def _(spark, sf):
+    return containers.read_container(spark, _container(spark, sf), first=100, last=131).withColumn("pixels", F.hex("pixels"))
+
+
 @query("snk01_ir_with_meta", "SELECT clip_id, count(*) AS rows, count(DISTINCT frame) AS frames, CAST(sum(torso_px) AS BIGINT) AS torso, 'clip.mp4' AS source FROM det GROUP BY 1")
 def _(spark, sf):
     path = _path(spark, "ir")
@@ -1629,13 +1674,12 @@ def _(spark, sf):
     return readers.read_metrics(spark, path).select("first", "n")
 
 
-_SETS = {"good": ("seg", ["player"]), "two": ("seg", ["player", "ball"]), "other": ("helmet", ["player"])}
-
-
-@query("src13_dataset_contract", "SELECT * FROM (VALUES ('good', ''), ('two', 'nc'), ('other', 'names')) AS t(name, wrong)")
+@query("src13_dataset_contract", """SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 3 <> 1 THEN 'nc' END, CASE WHEN p_partkey % 4 >= 2 OR p_partkey % 5 = 0 THEN 'names' END) AS wrong FROM part""")
 def _(spark, sf):
-    rows = [(n, ",".join(readers.check_dataset(sinks.dataset_text("train/images", "val/images", names), task))) for n, (task, names) in _SETS.items()]
-    return spark.createDataFrame(rows, "name string, wrong string")
+    parts = spark.read.parquet(f"{sf}/part.parquet").withColumn("class", F.expr("if(p_partkey % 5 = 0, 'ball', if(p_partkey % 4 = 0, 'Player', if(p_partkey % 4 = 1, 'helmet', p_name)))"))
+    shown = "if(p_partkey % 3 = 0, concat('names:\n  0: ', class, '\n'), if(p_partkey % 3 = 1, concat('names:\n- ', class, '\n'), concat('names: [\\'', class, '\\']\n')))"
+    rows = parts.select("p_partkey", F.expr(f"concat('train: a\n', 'nc: ', p_size % 3, '\n', {shown})").alias("text"), F.expr("if(p_partkey % 4 = 1, 'helmet', 'seg')").alias("task"))
+    return readers.dataset_checks(rows).select("p_partkey", "wrong")
 
 
 @query("src19_splits", "SELECT 'train' AS split UNION ALL SELECT 'val' AS split")

@@ -151,6 +151,22 @@ def split_folders(spark: SparkSession, path: str) -> DataFrame:
 TASKS = {"seg": {"player"}, "helmet": {"helmet"}}
 
 
+def dataset_checks(rows: DataFrame, text: str = "text", task: str = "task") -> DataFrame:
+    """rows with `wrong`: check_dataset of each description, joined by a comma (empty: nothing), as expressions.
+
+    Null texts lack both; an unknown or null task has no names that fit.
+    """
+    listed = F.regexp_extract(text, r"(?mds)^names:\s*[\[{](.*?)[\]}]", 1)
+    block = F.regexp_extract(text, r"(?md)^names:\s*\n((?:[ \t-]+.*\n?)+)", 1)
+    items = F.when(F.col(text).rlike(r"(?mds)^names:\s*[\[{].*?[\]}]"), F.split(listed, ",")).otherwise(F.split(block, r"\n"))
+    names = F.transform(items, lambda n: F.lower(F.regexp_replace(F.regexp_replace(n, r"^\s*(-|\d+:)?\s*", ""), r"^[ '\"]+|[ '\"]+$", "")))
+    fits = F.lit(False)
+    for known, wanted in TASKS.items():
+        fits = fits | (F.col(task).eqNullSafe(known) & F.coalesce(F.arrays_overlap(names, F.array(*[F.lit(w) for w in sorted(wanted)])), F.lit(False)))
+    one = F.coalesce(F.regexp_extract(text, r"(?md)^nc:\s*(\d+)\s*$", 1).try_cast("bigint") == 1, F.lit(False))
+    return rows.withColumn("wrong", F.concat_ws(",", F.when(~one, "nc"), F.when(~fits, "names")))
+
+
 def check_dataset(text: str, task: str) -> list[str]:
     """What is wrong with a dataset description (flat YAML: nc, names as a list or a map) for a task of one class."""
     if task not in TASKS:

@@ -12,7 +12,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clustering import FEATURES, scaler, spatial_lock, split_1d, two_means
@@ -247,6 +247,59 @@ def figures(labels: DataFrame) -> DataFrame:
     return per_frame.join(per_track, "clip_id", "left").fillna(0, ["locked_labels", "mixed_tracks"])
 
 
+def figure_parts(labels: DataFrame) -> DataFrame:
+    """What figures() counts, a row for each frame and each track of a clip, from a batch or a streaming DataFrame of step's rows.
+
+    (clip_id, kind, key, locked, known, n, teams). Each value only grows with more rows, so parts of the same key merge by
+    their maximum: a part that comes twice, or late, changes nothing.
+    """
+    known, locked = F.col("label").isin(0, 1), F.col("state") == "locked"
+    both = F.coalesce(known & locked, F.lit(False))
+    as_bit = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    nothing = F.lit(0)
+    frame = F.struct(F.lit("frame").alias("kind"), F.col("frame").alias("key"), as_bit(locked).alias("locked"), as_bit(known).alias("known"), nothing.alias("n"), nothing.alias("teams"))
+    team = F.when(both, F.col("label").cast("int") + 1).otherwise(0)
+    track = F.struct(F.lit("track").alias("kind"), F.col("track_id").alias("key"), nothing.alias("locked"), nothing.alias("known"), both.cast("int").alias("n"), team.alias("teams"))
+    rows = labels.select("clip_id", F.explode(F.array(frame, track)).alias("p")).select("clip_id", "p.*")
+    return rows.groupBy("clip_id", "kind", "key").agg(F.max("locked").alias("locked"), F.max("known").alias("known"), F.sum("n").alias("n"), F.bit_or("teams").alias("teams"))
+
+
+def stream_figures(labels: DataFrame, path: str, checkpoint: str):
+    """Keeps the parts of a stream of step's rows as Spark's own aggregation state; returns the writer, to be started.
+
+    A micro-batch writes the parts that it changed under path, in a folder of its number that a repeat replaces. State is a
+    row for each frame and track; a hot clip's are spread over all tasks.
+    """
+
+    def keep(parts: DataFrame, number: int) -> None:
+        parts.write.mode("overwrite").parquet(f"{path}/epoch={number}")
+
+    return figure_parts(labels).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+PARTS = "clip_id string, kind string, key long, locked int, known int, n long, teams int, epoch long"
+
+
+def running_figures(spark: SparkSession, path: str) -> DataFrame:
+    """epoch, clip_id and figures() of all rows up to each micro-batch that changed a clip.
+
+    A part's growth belongs to the epoch that brought it, so epochs are summed and not gathered again for each.
+    """
+    order = Window.partitionBy("clip_id", "kind", "key").orderBy("epoch")
+    counted = {
+        "frames": "if(kind = 'frame', 1, 0)",
+        "locked_frames": "if(kind = 'frame', locked, 0)",
+        "labelled_frames": "if(kind = 'frame', known, 0)",
+        "locked_labels": "n",
+        "mixed_tracks": "if(teams = 3, 1, 0)",
+    }
+    parts = spark.read.schema(PARTS).parquet(path).selectExpr("epoch", "clip_id", "kind", "key", *[f"CAST({v} AS BIGINT) AS {k}" for k, v in counted.items()])
+    grown = parts.select("epoch", "clip_id", *[(F.max(c).over(order) - F.coalesce(F.max(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias(c) for c in counted])
+    each = grown.groupBy("clip_id", "epoch").agg(*[F.sum(c).alias(c) for c in counted])
+    upto = Window.partitionBy("clip_id").orderBy("epoch")
+    return each.select("epoch", "clip_id", *[F.sum(c).over(upto).alias(c) for c in counted])
+
+
 def moved_homography(h: list[list[float]], motion: list[list[float]], inliers: int, least: int = 10) -> list[list[float]]:
     """A homography after the camera moved by an affine map (two rows); too few inliers or a map without inverse change nothing."""
     a = np.vstack([np.array(motion, float), [0.0, 0.0, 1.0]])
