@@ -1181,20 +1181,55 @@ def _(spark, sf):
     return gates.regression_gate(current, baseline).select("metric", "ok")
 
 
-def online_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames of the online path by clip (here a clip for each user), with a row for frames without detections."""
+def online_frames(spark: SparkSession, sf: str, track: str = "track_id", label: str = "nearest") -> DataFrame:
+    """Frames of the online path by clip (here a clip for each 16th of the users), with a row for frames without detections."""
     rows = clustering.nearest_centre(with_features(spark, sf), _C)
-    rows = rows.selectExpr("concat('u', user_id % 16) AS clip_id", "frame", "track_id", "x1", "y1", "x2", "y2", "helmet_hits", "nearest AS label", "dist0", "dist1", "torso_px", "CAST(k AS DOUBLE) AS mad", "k % 3 > 0 AS fit_ok")
+    rows = rows.selectExpr("concat('u', user_id % 16) AS clip_id", "frame", f"{track} AS track_id", "x1", "y1", "x2", "y2", "helmet_hits", f"CAST({label} AS INT) AS label", "dist0", "dist1", "torso_px", "CAST(k AS DOUBLE) AS mad", "k % 3 > 0 AS fit_ok")
     clips = rows.groupBy("clip_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("clip_id", F.explode(F.sequence("a", "b")).alias("frame"))
     shared = rows.groupBy("clip_id", "frame").agg(F.max("mad").alias("mad"), F.max("fit_ok").alias("fit_ok"))
     return clips.join(shared, ["clip_id", "frame"], "left").join(rows.drop("mad", "fit_ok"), ["clip_id", "frame"], "left")
 
 
-@query("str01_online_batch")
+_EMA = ", ".join(f"{S.truncated(f'list_reduce(list({c}) OVER w, lambda m, x: 0.6 * x + 0.4 * m)')} AS s{c}" for c in ("x1", "y1", "x2", "y2"))
+#: The rules of a frame and of a track as recursions: cuts and registration by clip, votes by track; boxes and helmets by windows.
+def _online(track: str, team: str) -> str:
+    return f"""WITH o AS MATERIALIZED (SELECT concat('u', user_id % 16) AS clip_id, frame, {track} AS track_id, x1, y1, x2, y2, helmet_hits, k, CAST(torso_px AS DOUBLE) AS t, abs({_D[0]} - {_D[1]}) AS m, {team} AS lab FROM detf),
+sh AS (SELECT clip_id, frame, max(k) AS mad, bool_or(k % 3 > 0) AS ok FROM o GROUP BY 1, 2),
+fs AS MATERIALIZED (SELECT c.clip_id, c.frame, row_number() OVER (PARTITION BY c.clip_id ORDER BY c.frame) AS n, coalesce(mad, 0) AS mad, coalesce(ok, false) AS ok
+ FROM (SELECT clip_id, unnest(range(min(frame), max(frame) + 1)) AS frame FROM o GROUP BY 1) AS c LEFT JOIN sh ON sh.clip_id = c.clip_id AND sh.frame = c.frame),
+walk(clip_id, n, streak, cooldown, field, is_cut) AS (SELECT DISTINCT clip_id, CAST(0 AS BIGINT), 0, 0, 0, false FROM fs UNION ALL
+ SELECT w.clip_id, f.n, CASE WHEN w.cooldown > 0 OR f.mad <= 45 OR w.streak = 1 THEN 0 ELSE 1 END, CASE WHEN w.cooldown > 0 THEN w.cooldown - 1 WHEN f.mad > 45 AND w.streak = 1 THEN 60 ELSE 0 END,
+ greatest(0, w.field + CASE WHEN f.ok THEN 1 ELSE -1 END), w.cooldown = 0 AND f.mad > 45 AND w.streak = 1 FROM walk AS w JOIN fs AS f ON f.clip_id = w.clip_id AND f.n = w.n + 1),
+d AS (SELECT o.*, is_cut, field >= 3 AS field_valid, CASE WHEN frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame) = 1 THEN 0 ELSE 1 END AS came
+ FROM o JOIN fs USING (clip_id, frame) JOIN walk USING (clip_id, n)),
+i AS (SELECT *, sum(came) OVER w AS stay, sum(CASE WHEN is_cut THEN 1 ELSE came END) OVER w AS island FROM d WINDOW w AS (PARTITION BY track_id ORDER BY frame)),
+b AS (SELECT *, {_EMA}, row_number() OVER s <= 15 OR sum(CASE WHEN helmet_hits > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, stay ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 1 AS helmet_ok
+ FROM i WINDOW w AS (PARTITION BY track_id, island ORDER BY frame ROWS UNBOUNDED PRECEDING), s AS (PARTITION BY track_id, stay ORDER BY frame)),
+v0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS n, EXISTS (SELECT 1 FROM o AS b WHERE b.clip_id = a.clip_id AND b.frame = a.frame AND {_NEAR} > 0 AND {_NEAR} < 80) AS crowd FROM o AS a),
+votes(track_id, n, area, votes, last, lock, against, label) AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS INTEGER[]), -1, CAST(NULL AS INTEGER), 0, -1 FROM v0 UNION ALL
+ SELECT track_id, n, area, votes, CASE WHEN lock IS NULL AND most >= 0 THEN most ELSE last END, CASE WHEN held THEN lock WHEN begins THEN lab END, CASE WHEN held THEN spoken ELSE 0 END, CASE WHEN held THEN lock ELSE most END
+ FROM (SELECT *, lock IS NOT NULL AND spoken < CASE WHEN crowd THEN 20 ELSE 6 END AS held FROM (
+ SELECT *, CASE WHEN len(votes) = 0 THEN last WHEN 2 * list_sum(votes) > len(votes) THEN 1 WHEN 2 * list_sum(votes) < len(votes) THEN 0 ELSE votes[1] END AS most,
+ CASE WHEN lock IS NOT NULL AND sure AND lab <> lock AND m >= 3 AND t <= 2 * area THEN against + 1 ELSE 0 END AS spoken, lock IS NULL AND sure AND len(votes) >= 10 AND len(list_distinct(votes[-10:])) = 1 AS begins FROM (
+ SELECT v.track_id, v.n, coalesce(0.9 * p.area + 0.1 * v.t, v.t) AS area, v.m >= 1.2 AS sure, CASE WHEN v.m >= 1.2 THEN list_append(p.votes, v.lab)[-20:] ELSE p.votes END AS votes,
+ CASE WHEN v.m >= 1.2 THEN v.lab ELSE p.last END AS last, p.lock, p.against, v.t, v.m, v.lab, v.crowd FROM votes AS p JOIN v0 AS v ON v.track_id = p.track_id AND v.n = p.n + 1) AS x) AS y) AS z)
+SELECT b.clip_id, b.frame, b.track_id, sx1, sy1, sx2, sy2, helmet_ok, votes.label, is_cut, field_valid, CAST(0 AS BIGINT) AS dropped FROM b JOIN v0 ON v0.track_id = b.track_id AND v0.frame = b.frame JOIN votes ON votes.track_id = v0.track_id AND votes.n = v0.n"""
+
+
+@query("str01_online_batch", _online("track_id", f"CASE WHEN {_D[0]} < {_D[1]} THEN 0 ELSE 1 END"), True, True)
 def _(spark, sf):
     return online.batch(online_frames(spark, sf))
 
 
+_STEADY = "CASE WHEN k % 12 = 0 OR frame // 240 % 2 = 1 AND k % 3 > 0 THEN 1 - user_id % 2 ELSE user_id % 2 END"
+
+
+@query("str07_locked_votes", _online("user_id", _STEADY), True, True)
+def _(spark, sf):
+    # A track for each user and labels that mostly agree, so tracks lock and are let go.
+    return online.batch(online_frames(spark, sf, "user_id", _STEADY.replace("//", "div")))
+
+
 _TEAMED = f"""{_means('km', 'detf')},
 kv AS (SELECT track_id, det_team AS voted FROM (SELECT track_id, det_team, row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, det_team) AS rn FROM km GROUP BY 1, 2) AS q WHERE rn = 1),
 teamed AS MATERIALIZED (SELECT detf.* REPLACE (coalesce(kv.voted, detf.team, -1) AS team) FROM detf LEFT JOIN kv USING (track_id))"""
