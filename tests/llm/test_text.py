@@ -335,6 +335,18 @@ def test_quality_odd(spark, odd):
     assert quality.fit_quality(odd, labels.limit(0)).rules == [] and quality.score_quality(odd.limit(0), model).count() == 0
 
 
+def test_quality_fit_is_bounded_by_rows(spark, monkeypatch):
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(1, 40)] + [(1, f"again {n}") for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    shapes = []
+    monkeypatch.setattr(quality.RuleModel, "fit", staticmethod(lambda x, y: shapes.append(x.shape)))
+    for most in (10, 50, 8000):
+        quality.fit_quality(docs, labels, fit_rows=most)
+    kept = docs.filter(~quality.held_out("doc_id")).count()
+    assert [s[0] for s in shapes] == [10, 50, kept]
+
+
 def test_warc_round_trip(spark):
     rows = [(i, f"http://h/{i % 7} x", ("é<p>%d</p>" % (i % 13)) * (40 * (i % 29))) for i in range(300)] + [(900, None, None), (None, "u", "z" * 2000), (901, "u", "z" * 2000)]
     rows += [(902, "big", "0123456789" * 30_000)]
@@ -391,6 +403,40 @@ def test_warc_broken_segments():
         warc.payload_of(block[:-9000])
 
 
+@pytest.mark.parametrize("broken", ["whole", "missing", "first", "total", "digest", "cut"])
+def test_warc_archives_that_are_not_whole(spark, tmp_path, broken):
+    import gzip
+    import re
+
+    text = "".join(f"line {i}\n" for i in range(2000))
+    pages = spark.createDataFrame([(1, "u", text), (2, "v", "short")], "page_id long, url string, html string")
+    [path] = [r.path for r in warc.write_archives(pages.coalesce(1), segment=4096).collect()]
+    with open(path.removeprefix("file:"), "rb") as f:
+        records = [b"WARC/1.1" + r for r in gzip.decompress(f.read()).split(b"WARC/1.1")[1:]]
+    parts = [i for i, r in enumerate(records) if b"continuation" in r]
+    assert len(parts) >= 3
+    if broken == "missing":
+        del records[parts[1]]
+    elif broken == "first":
+        del records[parts[0] - 1]
+    elif broken == "total":
+        records[parts[-1]] = re.sub(rb"(Total-Length: )(\d+)", lambda m: m[1] + str(int(m[2]) + 1).encode(), records[parts[-1]])
+    elif broken == "digest":
+        records = [re.sub(rb"(Payload-Digest: sha1:)(.)", lambda m: m[1] + (b"1" if m[2] == b"0" else b"0"), r) for r in records]
+    elif broken == "cut":
+        records[-1] = records[-1][:-20]
+    with open(tmp_path / "x.warc.gz", "wb") as f:
+        f.write(b"".join(gzip.compress(r) for r in records))
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", 1, 1)], "path string, bytes long, records long")
+    if broken == "whole":
+        got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, manifest).collect()}
+        assert got == {1: text, 2: "short"}
+        return
+    why = {"digest": "digest differs", "cut": "breaks off"}.get(broken, "not whole")
+    with pytest.raises(Exception, match=why):
+        warc.read_archives(spark, manifest).collect()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><script>var a = "</p>";</script><style>p{}</style></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/x">Menu</a></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div>
 <article><h1>T &amp; x</h1><p><b>First&nbsp; line<br><p class="lead">Second &lt;line&#33; <i>it</i>alic</p><aside>Side</aside><form><input name=q>Find</form>

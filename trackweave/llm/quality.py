@@ -206,22 +206,23 @@ def fit_quality(
     """Fits on at most fit_rows labelled rows of docs that aren't held out, chosen by a hash of the id.
 
     Labels that are null or not 0 or 1, or whose id is null, are left out; an id with several labels counts as the
-    largest of them; a repeated document counts each time.
+    largest of them; a repeated document counts each time, within fit_rows, which bounds the rows and not only the ids.
     """
+    by_hash = lambda c: F.xxhash64(F.col(c).cast("string"), F.lit(17))
     chosen = (
         labels.select(F.col(id_col).alias("__tw_l"), F.col(label_col).cast("int").alias("__tw_y"))
         .filter("__tw_l IS NOT NULL AND __tw_y IN (0, 1)")
         .filter(~held_out("__tw_l"))
         .groupBy("__tw_l")
         .agg(F.max("__tw_y").alias("__tw_y"))
-        .orderBy(F.xxhash64(F.col("__tw_l").cast("string"), F.lit(17)), "__tw_l")
+        .orderBy(by_hash("__tw_l"), "__tw_l")
         .limit(fit_rows)
     )
     rows = docs.select(F.col(id_col).alias("__tw_d"), F.col(text_col).alias("__tw_text")).join(
         F.broadcast(chosen), F.col("__tw_d") == F.col("__tw_l")
     )
     rows = with_statistics(rows.select("__tw_d", "__tw_y", "__tw_text"), "__tw_text").select("__tw_d", "__tw_y", "__tw_stats")
-    got = rows.toArrow()
+    got = rows.orderBy(by_hash("__tw_d"), "__tw_d", "__tw_stats").limit(fit_rows).toArrow()
     x = got.column("__tw_stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
     y = got.column("__tw_y").to_numpy().astype(np.float64)
     order = np.lexsort([*x.T[::-1], y])  # the rows come in any order
