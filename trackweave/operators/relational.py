@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from ..functions.scalars import iou
 from ..params import P
+from . import near
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -19,29 +26,84 @@ def last_row_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r")).select(*keys, "r.*")
 
 
+def _of_frames(left: DataFrame, right: DataFrame, on: list[str], run, kind: StructType) -> DataFrame:
+    """run(rows of left, rows of right) of each frame that left has; right rows without a frame belong to none."""
+    empty = to_arrow_schema(kind).empty_table()
+    return left.groupBy(*on).cogroup(right.dropna(subset=on).groupBy(*on)).applyInArrow(lambda a, b: run(a, b) if a.num_rows else empty, kind)
+
+
+def _corners(rows: pa.Table, prefix: str) -> np.ndarray:
+    return np.column_stack([rows.column(f"{prefix}{c}").cast(pa.float64()).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+
+
 def best_match(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, least: float, mode: str = "plain") -> DataFrame:
-    """left rows with the right box of greatest overlap in the same frame (ties: smallest right_id); null if none reaches least.
+    """left rows with the right box of greatest overlap in the same frame (ties: smallest right_id); null if none reaches least (above 0).
 
-    left: on, left_id, a_x1.. ; right: on, right_id, b_x1.. . An equi-join on the frame, then an aggregate.
+    left: on, left_id, a_x1.. ; right: on, right_id, b_x1.. . A frame's rows meet in one task, where only near boxes are
+    compared (operators.near): no row is made for a pair, and a box of a coordinate that isn't finite has no match.
     """
-    scored = left.join(right, on, "left").withColumn("iou", F.when(F.col(right_id).isNotNull(), F.expr(iou("a_", "b_", mode))))
-    best = scored.groupBy(*on, left_id).agg(F.max_by(F.struct(right_id, "iou"), F.struct(F.coalesce("iou", F.lit(-1.0)), -F.col(right_id))).alias("m"))
-    return best.select(*on, left_id, F.when(F.col("m.iou") >= least, F.col(f"m.{right_id}")).alias(right_id), F.when(F.col("m.iou") >= least, F.col("m.iou")).alias("iou"))
+    kind = StructType([*[left.schema[c] for c in (*on, left_id)], right.schema[right_id], StructField("iou", DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by(right_id)
+        at, score = near.best(_corners(a, "a_"), _corners(b, "b_"), least, mode == "guarded")
+        ids = pc.dictionary_encode(a.column(left_id).combine_chunks(), null_encoding="encode").indices.to_numpy()
+        order = np.lexsort((at, -score, ids))  # rows of one id are one row
+        order = order[np.diff(ids[order], prepend=-1) > 0]
+        none = at[order] < 0
+        found = b.column(right_id).take(pa.array(at[order], mask=none))
+        return pa.table([*[a.column(c).take(order) for c in (*on, left_id)], found, pa.array(score[order], mask=none)], names=[*on, left_id, right_id, "iou"])
+
+    return _of_frames(left, right.filter(F.col(right_id).isNotNull()), on, run, kind)
 
 
 def overlapping_pairs(boxes: DataFrame, on: list[str], least: float) -> DataFrame:
-    """Pairs a_id < b_id of boxes of a frame whose overlap is more than least; boxes: on, id, x1.. ."""
-    a = prefixed(boxes, "a_", tuple(on))
-    b = prefixed(boxes, "b_", tuple(on))
-    pairs = a.join(b, on).filter("a_id < b_id").withColumn("iou", F.expr(iou("a_", "b_")))
-    return pairs.filter(F.col("iou") > least).select(*on, "a_id", "b_id", "iou")
+    """Pairs a_id < b_id of boxes of a frame whose overlap is more than least (above 0); boxes: on, id, x1.. .
+
+    A frame's boxes meet in one task, which hands on its pairs some at a time.
+    """
+    kind = StructType([*[boxes.schema[c] for c in on], StructField("a_id", boxes.schema["id"].dataType), StructField("b_id", boxes.schema["id"].dataType), StructField("iou", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by("id")
+        box, ids = _corners(rows, ""), rows.column("id").combine_chunks()
+        _, rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+        for i, j, score in near.overlapping(box, box, least):
+            kept = (rank[i] < rank[j]) & (score > least)
+            i, j = i[kept], j[kept]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks().take(i) for c in on], ids.take(i), ids.take(j), pa.array(score[kept])], names=[*on, "a_id", "b_id", "iou"])
+
+    return boxes.dropna(subset=[*on, "id"]).groupBy(*on).applyInArrow(run, kind)
 
 
 def helmet_hits(det: DataFrame, helmets: DataFrame, on: list[str], det_id: str, least: float = P.helmet_hit_iou) -> DataFrame:
-    """Helmet boxes that overlap each detection; none: 0."""
-    near = det.join(helmets, on, "left")
-    hit = F.col("b_x1").isNotNull() & (F.expr(iou("a_", "b_", "guarded")) >= least)
-    return near.groupBy(*on, det_id).agg(F.count_if(hit).alias("hits"))
+    """Helmet boxes that overlap each detection by least (above 0) or more; none: 0."""
+    kind = StructType([*[det.schema[c] for c in (*on, det_id)], StructField("hits", LongType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        hits = np.zeros(a.num_rows, np.int64)
+        for i, _, _ in near.overlapping(_corners(a, "a_"), _corners(b, "b_"), least, guarded=True):
+            hits += np.bincount(i, minlength=len(hits))
+        return a.select([*on, det_id]).append_column("hits", pa.array(hits)).group_by([*on, det_id]).aggregate([("hits", "sum")]).rename_columns([*on, det_id, "hits"])
+
+    return _of_frames(det, helmets, on, run, kind)
+
+
+def helmet_confirmed(det: DataFrame, helmets: DataFrame, on: list[str], det_id: str, head: float = P.head_roi) -> DataFrame:
+    """(det_id, confirmed): whether a detection's upper part, a pixel high at least, has the centre of a helmet box of its frame."""
+    kind = StructType([det.schema[det_id], StructField("confirmed", BooleanType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        box, other = _corners(a, "a_"), _corners(b, "b_")
+        x, y, end = (other[:, 0] + other[:, 2]) / 2, (other[:, 1] + other[:, 3]) / 2, box[:, 1] + np.fmax(1.0, head * (box[:, 3] - box[:, 1]))
+        found = np.zeros(a.num_rows, bool)
+        strip = np.median(end - box[:, 1]) / 2
+        for i, j in near.Points(x, y, float(strip)).near(box[:, 0], box[:, 2], box[:, 1], end):
+            found[i[(y[j] >= box[i, 1]) & (y[j] <= end[i])]] = True
+        return pa.table([a.column(det_id), pa.array(found)], names=[det_id, "confirmed"])
+
+    return _of_frames(det, helmets, on, run, kind).groupBy(det_id).agg(F.max("confirmed").alias("confirmed"))
 
 
 def segments(det: DataFrame) -> DataFrame:

@@ -1001,7 +1001,7 @@ def _(spark, sf):
         kept, original = rows[rows.conf >= 0.5].sort_values("idx"), rows.sort_values("idx")
         box = ["x1", "y1", "x2", "y2"]
         at = greedy.reuse_indices(kept[box].to_numpy(float), original[box].to_numpy(float))
-        return pd.DataFrame({"image": kept.image, "idx": kept.idx, "original": [int(original.idx.iloc[i]) for i in at]})
+        return pd.DataFrame({"image": kept.image, "idx": kept.idx, "original": original.idx.to_numpy()[at]})
 
     boxes = detections(spark, sf).selectExpr("frame AS image", "event_id AS idx", "conf", "x1", "y1", "x2", "y2")
     return boxes.groupBy("image").applyInPandas(run, "image long, idx long, original long")
@@ -1012,8 +1012,7 @@ SELECT left_id, count(right_id) FILTER (WHERE b_conf >= 0.20 AND {_INSIDE}) > 0
 def _(spark, sf):
     det = detections(spark, sf)
     a, b = _sides(det, det.filter("event_id % 4 = 1 AND conf >= 0.20"))
-    hit = F.coalesce(F.expr(_INSIDE), F.lit(False)) & F.col("right_id").isNotNull()
-    return a.join(b, "frame", "left").groupBy("left_id").agg(F.max(hit).alias("confirmed"))
+    return R.helmet_confirmed(a, b, ["frame"], "left_id")
 
 
 @query("srt01_row_order", "SELECT event_id, row_number() OVER (PARTITION BY track_id ORDER BY frame, event_id) AS pos FROM det")
