@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import BROADCAST_BYTES, discard, materialize
+from . import near
 
 
 def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,16 +28,15 @@ _BOX = ["x1", "y1", "x2", "y2"]
 
 
 def suppress(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Rows by confidence (then id), without those that overlap a kept one by more than least."""
+    """Rows by confidence (then id), without those that overlap a kept one by more than least (above 0)."""
     rows = rows.sort_values(["conf", "track_id"], ascending=[False, True], kind="stable")
-    if len(rows) < 2:
-        return rows
-    over = box_iou(rows[_BOX].to_numpy(float), rows[_BOX].to_numpy(float)) > least
+    box, ids = rows[_BOX].to_numpy(float), rows["track_id"].to_numpy()
     gone = np.zeros(len(rows), bool)
-    ids = rows["track_id"].to_numpy()
-    for i in range(len(rows)):
-        if not gone[i]:
-            gone[i + 1 :] |= over[i, i + 1 :] & (ids[i + 1 :] != ids[i])
+    for i, j, score in near.overlapping(box, box, least, skip=gone):
+        later = (j > i) & (score > least) & (ids[i] != ids[j])
+        for at, others in near.of_each(i[later], j[later]):
+            if not gone[at]:
+                gone[others] = True
     return rows[~gone]
 
 
@@ -50,20 +50,16 @@ def suppressed(det: DataFrame, least: float = 0.70) -> DataFrame:
 
 
 def exclusive(gt: np.ndarray, pred: np.ndarray, least: float) -> list[int]:
-    """For each gt box, in order, the free pred box of greatest overlap, or -1 if it is below least."""
-    out, used = [], set()
-    scores = box_iou(gt, pred) if len(gt) and len(pred) else np.zeros((len(gt), len(pred)))
-    for row in scores:
-        best, at = 0.0, -1
-        for j, s in enumerate(row):
-            if j not in used and s > best:
-                best, at = s, j
-        if at >= 0 and best >= least:
-            used.add(at)
-            out.append(at)
-        else:
-            out.append(-1)
-    return out
+    """For each gt box, in order, the free pred box of greatest overlap, or -1 if it is below least (above 0)."""
+    out, used = np.full(len(gt), -1), np.zeros(len(pred), bool)
+    for i, j, score in near.overlapping(gt, pred, least):
+        order = np.lexsort((j, -score, i))
+        for at, others in near.of_each(i[order], j[order]):
+            free = others[~used[others]]
+            if len(free):
+                out[at] = free[0]
+                used[free[0]] = True
+    return out.tolist()
 
 
 def matched(boxes: DataFrame, least: float = 0.5) -> DataFrame:
@@ -80,17 +76,37 @@ def matched(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     return boxes.groupBy("image").applyInPandas(run, "image long, idx long, matched long, area double")
 
 
+#: Originals that overlap a filtered box by so much are looked at first; only where none of them is free, all are.
+NEAREST = 0.7
+
+
 def reuse_indices(filtered: np.ndarray, original: np.ndarray) -> list[int]:
     """For each filtered box the free original of greatest overlap; if all are taken, the best again; no originals: 0."""
     if not len(original):
         return [0] * len(filtered)
-    out, used = [], set()
-    for row in box_iou(filtered, original):
-        order = np.argsort(-row, kind="stable")
-        at = next((int(j) for j in order if int(j) not in used), int(order[0]))
-        used.add(at)
-        out.append(at)
-    return out
+    out, used, done = np.zeros(len(filtered), int), np.zeros(len(original), bool), 0
+
+    def of_all(low: int, high: int) -> None:
+        for at in range(low, high):
+            score = box_iou(filtered[at : at + 1], original)[0]
+            score = np.where(np.isnan(score), -np.inf, score)
+            free = np.flatnonzero(~used)
+            out[at] = free[score[free].argmax()] if len(free) else score.argmax()
+            used[out[at]] = True
+
+    for i, j, score in near.overlapping(filtered, original, NEAREST):
+        order = np.lexsort((j, -score, i))
+        for at, others in near.of_each(i[order], j[order]):
+            of_all(done, at)
+            free = others[~used[others]]
+            if len(free):
+                out[at] = free[0]
+                used[free[0]] = True
+            else:
+                of_all(at, at + 1)
+            done = at + 1
+    of_all(done, len(filtered))
+    return out.tolist()
 
 
 def one_by_one(edges: pd.DataFrame) -> pd.DataFrame:
