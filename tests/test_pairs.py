@@ -1,8 +1,11 @@
 """Joins of the boxes of a frame, without a row a pair."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave.operators import relational
+from trackweave.queries import QUERIES
+from trackweave.sources.fixture import detections
 
 BOX = "frame long, {0}_id long, {1}x1 double, {1}y1 double, {1}x2 double, {1}y2 double"
 
@@ -26,3 +29,18 @@ def test_frames_meet_without_a_row_a_pair(spark):
     assert {(r.a_id, r.b_id) for r in pairs.collect()} == {(i, j) for i in range(9) for j in range(i + 1, 9) if abs(i % 7 - j % 7) <= 1}
     for df in (best, hits, sure, pairs):
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_number_conflicts_are_asked_of_all_pairs(spark):
+    rows = [("g", 1, 7, 7), ("g", 2, None, 1), ("g", 3, 8, None), ("g", 4, 9, 8), ("h", 5, 7, 9), (None, 6, 1, 2), (None, 7, 3, 4)]
+    tracks = spark.createDataFrame(rows, "g string, t long, n long, m long")
+    got = {(r.g, r.a, r.b) for r in relational.conflicting_pairs(tracks, "g", "t", "n").collect()}
+    assert got == {("g", 1, 3), ("g", 1, 4), ("g", 3, 4)}
+    assert {(r.a, r.b) for r in relational.conflicting_pairs(tracks, "g", "t", "n", "m").collect()} == {(1, 2), (1, 4)}
+
+
+def test_number_conflict_query_compares_more_than_neighbours(spark, sf):
+    got = QUERIES["flt17_number_conflict"](spark, sf)
+    tracks = detections(spark, sf).groupBy("user_id", "track_id").agg(F.max("ocr_num").alias("n"), F.max(F.expr("k % 3")).alias("m")).collect()
+    want = {(a.track_id, b.track_id) for a in tracks for b in tracks if a.user_id == b.user_id and a.track_id < b.track_id and None not in (a.n, b.m) and a.n != b.m}
+    assert {(r.a, r.b) for r in got.collect()} == want and any(b - a > 1 for a, b in want)

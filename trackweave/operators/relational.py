@@ -207,3 +207,13 @@ def number_conflicts(tracks: DataFrame, group: str, track: str, number: str, oth
     order = Window.partitionBy(group).orderBy(track, number)
     rows = tracks.filter(F.col(track).isNotNull()).select(group, F.col(track).alias("a"), F.lead(track).over(order).alias("b"), F.col(number).alias("n"), F.lead(other or number).over(order).alias("m"))
     return rows.filter("b IS NOT NULL").select(group, "a", "b", F.coalesce(F.col("n") != F.col("m"), F.lit(False)).alias("conflict"))
+
+
+def conflicting_pairs(tracks: DataFrame, group: str, track: str, number: str, other: str | None = None) -> DataFrame:
+    """(group, a, b) of all two tracks a < b of a group that both have a number, where these differ.
+
+    other: the column of b's number, if another reading is compared. An equi-join by group on which only pairs in conflict
+    are kept; tracks without a group or a number have none and don't take part.
+    """
+    side = lambda name, n: tracks.filter(F.col(n).isNotNull()).select(group, F.col(track).alias(name), F.col(n).alias(f"{name}_number"))
+    return side("a", number).join(side("b", other or number), group).filter("a < b AND a_number <> b_number").select(group, "a", "b")

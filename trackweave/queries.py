@@ -294,12 +294,11 @@ def _(spark, sf):
     return rows.filter("on_field = 0 AND off_field >= 2").select("frame", "off_field")
 
 
-@query("flt17_number_conflict", """WITH t AS (SELECT track_id, user_id, max(ocr_num) AS n, max(k % 3) AS m FROM det GROUP BY 1, 2),
-p AS (SELECT track_id AS a, n, lead(track_id) OVER w AS b, lead(m) OVER w AS bm FROM t WINDOW w AS (PARTITION BY user_id ORDER BY track_id))
-SELECT a, b, coalesce(n <> bm, false) AS conflict FROM p WHERE b IS NOT NULL""")
+@query("flt17_number_conflict", """SELECT a.track_id AS a, b.track_id AS b FROM (SELECT track_id, user_id, max(ocr_num) AS n FROM det GROUP BY 1, 2) AS a
+JOIN (SELECT track_id, user_id, max(k % 3) AS n FROM det GROUP BY 1, 2) AS b ON a.user_id = b.user_id WHERE a.track_id < b.track_id AND coalesce(a.n <> b.n, false)""")
 def _(spark, sf):
     tracks = detections(spark, sf).groupBy("track_id", "user_id").agg(F.max("ocr_num").alias("number"), F.max(F.expr("k % 3")).alias("other"))
-    return R.number_conflicts(tracks, "user_id", "track_id", "number", "other").select("a", "b", "conflict")
+    return R.conflicting_pairs(tracks, "user_id", "track_id", "number", "other").select("a", "b")
 
 
 _NEAR = "sqrt((((a.x1 + a.x2) - (b.x1 + b.x2)) / 2) * (((a.x1 + a.x2) - (b.x1 + b.x2)) / 2) + (((a.y1 + a.y2) - (b.y1 + b.y2)) / 2) * (((a.y1 + a.y2) - (b.y1 + b.y2)) / 2))"
