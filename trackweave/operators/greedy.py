@@ -7,11 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..params import P
 from ..tables import BROADCAST_BYTES, discard, materialize
-from . import near
+from . import near, relational
 
 
 def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,6 +184,98 @@ def matched_edges(candidates: DataFrame, finish: int = FINISH_EDGES) -> tuple[Da
     return reduce(DataFrame.union, taken or [left.select("clip_id", "a", "b")]), counts
 
 
+#: Tracks of a clip that one task decides (112 bytes a track); the tails after them wait for what these have taken.
+BATCH_TRACKS = BROADCAST_BYTES // 112
+#: Tails of a frame whose candidates are held at once.
+TAILS = 1 << 10
+_TAIL = ["track_id", "end", "tail_x", "tail_y", "vx", "vy", "team", "ocr", "ab_a", "ab_b"]
+_HEAD = ["track_id", "start", "head_x", "head_y", "team", "ocr", "ab_a", "ab_b"]
+
+
+def _arrays(rows: pa.Table, columns: list[str]) -> dict[str, np.ndarray]:
+    """Columns as numbers: frames and ids as integers, others as doubles with NaN for null."""
+    whole = {"track_id", "start", "end"}
+    return {c: rows.column(c).cast(pa.int64() if c in whole else pa.float64()).to_numpy() for c in columns}
+
+
+def continuations(tails: dict[str, np.ndarray], heads: dict[str, np.ndarray], max_gap: int, max_dist: float, ab_weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tails in order (end, track_id), each with the free head of least (cost, track_id) among its candidates, as
+    relational.stitch_candidates has them: numbers of the tails that have one and of these heads.
+
+    A frame's tails look at the free heads of each of the max_gap frames after it, near where they would be then. Heads
+    taken before aren't looked at any more, so work goes with the free candidates and not with all.
+    """
+    t = {c: v[np.lexsort((tails["track_id"], tails["end"]))] for c, v in {**tails, "at": np.arange(len(tails["end"]))}.items()}
+    h = {c: v[np.lexsort((heads["track_id"], heads["start"]))] for c, v in {**heads, "at": np.arange(len(heads["start"]))}.items()}
+    free, links = np.ones(len(h["start"]), bool), []
+    reach = max_dist + relational.SLACK
+    for frame in np.unique(t["end"]).tolist():
+        first, last = np.searchsorted(t["end"], [frame, frame + 1])
+        starts = np.searchsorted(h["start"], np.arange(frame + 1, frame + max_gap + 2))
+        open_heads = [low + np.flatnonzero(free[low:high]) for low, high in zip(starts[:-1], starts[1:])]
+        ways = [(gap, some, near.Points(h["head_x"][some], h["head_y"][some], max_dist / 2)) for gap, some in enumerate(open_heads, 1) if len(some)]
+        for begin in range(first, last, TAILS):
+            mine = {c: v[begin : min(last, begin + TAILS)] for c, v in t.items()}
+            found = []
+            for gap, some, points in ways:
+                x, y = mine["tail_x"] + mine["vx"] * gap, mine["tail_y"] + mine["vy"] * gap
+                for i, j in points.near(x - reach, x + reach, y - reach, y + reach):
+                    b = some[j]
+                    i, b = i[free[b]], b[free[b]]
+                    dx, dy = x[i] - h["head_x"][b], y[i] - h["head_y"][b]
+                    dist = np.sqrt(dx * dx + dy * dy)
+                    ours, theirs, n, m = mine["team"][i], h["team"][b], mine["ocr"][i], h["ocr"][b]
+                    fits = (dist <= max_dist) & ((ours < 0) | (theirs < 0) | (ours == theirs)) & ~((n != m) & ~np.isnan(n) & ~np.isnan(m))
+                    i, b, dist = i[fits], b[fits], dist[fits]
+                    da, db = mine["ab_a"][i] - h["ab_a"][b], mine["ab_b"][i] - h["ab_b"][b]
+                    colour = np.sqrt(da * da + db * db)
+                    found.append((i, b, dist + ab_weight * np.where(np.isnan(colour), 0.0, colour)))
+            if found:
+                i, b, cost = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((h["track_id"][b], cost, i))
+                for at, others in near.of_each(i[order], b[order]):
+                    others = others[free[others]]
+                    if len(others):
+                        free[others[0]] = False
+                        links.append((int(mine["at"][at]), int(h["at"][others[0]])))
+    return tuple(np.array(x, int) for x in zip(*links)) if links else (np.zeros(0, int), np.zeros(0, int))
+
+
+def continued(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight, most: int = BATCH_TRACKS) -> DataFrame:
+    """The links (clip_id, a, b) of the greedy rule over tracks: matched_edges(stitch_candidates(tracks)), without the edges.
+
+    The rule takes tails in order, so a clip is decided in batches of about `most` tails by end (whole frames): a batch is one task of
+    a clip, which gets its tails and those heads that can continue them and aren't taken. All clips take their n-th batch
+    at once. A dense clip has edges with the square of its tracks; here they are made a block of tails at a time. tracks is
+    read once for each batch.
+    """
+    usable = tracks.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("clip_id", "track_id")))
+    frames = usable.filter("end IS NOT NULL").groupBy("clip_id", "end").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("clip_id").orderBy("end")) - F.col("n")
+    frames = materialize(frames.select("clip_id", "end", F.floor(before / most).alias("batch")), "ends")
+    spans = materialize(frames.groupBy("clip_id", "batch").agg(F.min("end").alias("low"), F.max("end").alias("high")), "spans")
+    kind = StructType([tracks.schema["clip_id"], StructField("a", LongType()), StructField("b", LongType())])
+    empty = to_arrow_schema(kind).empty_table()
+
+    def run(tails: pa.Table, heads: pa.Table) -> pa.Table:
+        if not tails.num_rows or not heads.num_rows:
+            return empty
+        a, b = continuations(_arrays(tails, _TAIL), _arrays(heads.rename_columns([c.removeprefix("head_") for c in heads.column_names]), _HEAD), max_gap, max_dist, ab_weight)
+        return pa.table([tails.column("clip_id").take(pa.array(a)), tails.column("track_id").take(pa.array(a)), heads.column("head_track_id").take(pa.array(b))], names=["clip_id", "a", "b"])
+
+    parts: list[DataFrame] = []
+    for number in range(1 + (spans.agg(F.max("batch")).first()[0] or 0)):
+        span = spans.filter(F.col("batch") == number).drop("batch")
+        tails = usable.join(frames.filter(F.col("batch") == number).drop("batch"), ["clip_id", "end"]).select("clip_id", *_TAIL)
+        heads = usable.join(span, "clip_id").filter(f"start > low AND start <= high + {int(max_gap)}").select("clip_id", *_HEAD)
+        if parts:
+            taken = reduce(DataFrame.union, parts).select("clip_id", F.col("b").alias("track_id"))
+            heads = heads.join(taken, ["clip_id", "track_id"], "left_anti")
+        heads = relational.prefixed(heads, "head_")
+        parts.append(materialize(tails.groupBy("clip_id").cogroup(heads.groupBy("head_clip_id")).applyInArrow(run, kind), "links"))
+    return reduce(DataFrame.union, parts)
+
+
 def chain_roots(links: DataFrame) -> DataFrame:
     """Links (clip_id, a, b), a before b, without forks, to (clip_id, track_id, stable_id): the first track of b's chain.
 
@@ -203,3 +299,8 @@ def chained(candidates: DataFrame) -> DataFrame:
     """Stable ids of the tracks that continue another: the greedy matching of the candidate edges, then its chains."""
     links, _ = matched_edges(candidates)
     return chain_roots(links)
+
+
+def chained_tracks(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight) -> DataFrame:
+    """The same from the tracks' summaries (see relational.stitch_candidates)."""
+    return chain_roots(continued(tracks, max_gap, max_dist, ab_weight))

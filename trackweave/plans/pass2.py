@@ -43,7 +43,7 @@ def assign_teams(det: DataFrame, by_segment: bool = False, luminance: DataFrame
 def stitched(det: DataFrame, p: Params = P) -> DataFrame:
     """det with stable_id: the first track of the chain that a track continues."""
     tracks = materialize(aggregates.track_summary(det), "tracks")
-    roots = materialize(greedy.chained(relational.stitch_candidates(tracks, p.max_gap, p.max_dist, p.ab_weight)), "chains")
+    roots = materialize(greedy.chained_tracks(tracks, p.max_gap, p.max_dist, p.ab_weight), "chains")
     discard(tracks)
     return det.join(roots, ["clip_id", "track_id"], "left").withColumn("stable_id", F.coalesce("stable_id", "track_id"))
 

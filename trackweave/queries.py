@@ -442,7 +442,7 @@ chains AS (SELECT unnest(heads) AS track_id, unnest(roots) AS stable_id FROM upw
 
 @query("srt03_chains", f"WITH {_TRACKS}, {_CHAIN} SELECT 'events' AS clip_id, track_id, stable_id FROM chains", True, True)
 def _(spark, sf):
-    return greedy.chained(R.stitch_candidates(A.track_summary(with_features(spark, sf))))
+    return greedy.chained_tracks(materialize(A.track_summary(with_features(spark, sf)), "tracks"))
 
 
 @query("jon08_helmet_hits", f"""WITH a AS (SELECT {_LEFT} FROM det), b AS (SELECT {_RIGHT} FROM det WHERE event_id % 4 = 0)
