@@ -44,3 +44,13 @@ def test_chaining_makes_no_edges(spark, monkeypatch):
             free.remove(b)
             want.add((a, b))
     assert {(r.a, r.b) for r in links} == want
+
+
+def test_candidates_shuffle_a_track_a_few_times(spark):
+    """A fast tail swept some hundred cells, each a shuffled row; now it is in the four slots of frames that it can reach."""
+    rows = [("c", t, 40 * t, 40 * t, 5.0, 5.0, 5.0, 5.0, 90.0, 90.0, 0, None, 0.0, 0.0) for t in range(20)]
+    edges = relational.stitch_candidates(spark.createDataFrame(rows, TRACKS))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and edges.count() == 0
+    met = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count("explode") == 1
