@@ -1,11 +1,13 @@
 """Joins of the boxes of a frame, without a row a pair."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import relational
 from trackweave.queries import QUERIES
 from trackweave.sources.fixture import detections
+from trackweave.streaming import online
 
 BOX = "frame long, {0}_id long, {1}x1 double, {1}y1 double, {1}x2 double, {1}y2 double"
 
@@ -44,3 +46,23 @@ def test_number_conflict_query_compares_more_than_neighbours(spark, sf):
     tracks = detections(spark, sf).groupBy("user_id", "track_id").agg(F.max("ocr_num").alias("n"), F.max(F.expr("k % 3")).alias("m")).collect()
     want = {(a.track_id, b.track_id) for a in tracks for b in tracks if a.user_id == b.user_id and a.track_id < b.track_id and None not in (a.n, b.m) and a.n != b.m}
     assert {(r.a, r.b) for r in got.collect()} == want and any(b - a > 1 for a, b in want)
+
+
+def test_clips_are_folded_some_rows_at_a_time(spark):
+    """Small batches that cut frames and clips, with and without null tracks: each frame comes whole, once, in order, to its clip's state."""
+    rows = [(f"c{c}", f, None if f % 5 == 0 else t) for c in range(3) for f in range(40) for t in range(1 if f % 5 == 0 else 4)]
+
+    def run(state, clip, part):
+        assert len(part) <= 20
+        state["seen"] += [(int(f), len(g), str(next(iter(g.track_id)))) for f, g in part.groupby("frame")]
+        return pd.DataFrame({"clip_id": [clip], "n": [len(state["seen"])], "sorted": [state["seen"] == sorted(set(state["seen"]))], "keys": [",".join(sorted({k for *_, k in state["seen"]}))]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        frames = spark.createDataFrame(rows, "clip_id string, frame long, track_id long")
+        got = online.in_order(frames, "clip_id string, n long, sorted boolean, keys string", lambda: {"seen": []}, run).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last = {c: max((r for r in got if r.clip_id == c), key=lambda r: r.n) for c in ("c0", "c1", "c2")}
+    assert all(r.n == 40 and r.keys == "0,<NA>" for r in last.values()) and all(r.sorted for r in got) and len(got) > 12

@@ -147,13 +147,36 @@ def run_rows(state: dict, clip_id: str, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
-def batch(frames: DataFrame) -> DataFrame:
-    """All frames of each clip at once. A clip's state is sequential, so a clip is one task's work."""
+def in_order(frames: DataFrame, output: str, begin, run) -> DataFrame:
+    """run(state, clip, rows) over all frames of each clip in order, some rows at a time: begin() makes a clip's state.
+
+    Spark sorts a clip's rows, so a worker holds a batch of them, the frame that the next batch may go on with, and the state.
+    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return run_rows(new_state(), rows.clip_id.iloc[0], rows)
+    def fold(batches):
+        clip, state, rest = object(), None, None
+        for rows in itertools.chain(batches, [None]):
+            if rows is None:
+                rows, rest = rest, None
+            else:
+                rows = rows.astype({"track_id": "Int64"})  # alike whether a batch has nulls or not
+                rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+                key = rows[["clip_id", "frame"]].astype(object).where(rows[["clip_id", "frame"]].notna(), None)
+                rest = rows[[k == tuple(key.iloc[-1]) for k in zip(key["clip_id"], key["frame"])]] if len(rows) else None
+                rows = rows.iloc[: len(rows) - (0 if rest is None else len(rest))]
+            if rows is not None and len(rows):
+                for found, part in rows.groupby("clip_id", sort=False, dropna=False):
+                    found = None if pd.isna(found) else found
+                    if found != clip:
+                        clip, state = found, begin()
+                    yield run(state, clip, part)
+
+    return frames.repartition("clip_id").sortWithinPartitions("clip_id", "frame", "track_id").mapInPandas(fold, output)
 
-    return frames.groupBy("clip_id").applyInPandas(run, OUTPUT)
+
+def batch(frames: DataFrame) -> DataFrame:
+    """All frames of each clip at once. A clip's state is sequential, so a clip is one task's work, some rows at a time."""
+    return in_order(frames, OUTPUT, new_state, run_rows)
 
 
 CLIP_STATE = "last long, turn long, dropped long, streak int, cooldown int, field int"

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clustering import FEATURES, scaler, spatial_lock, split_1d, two_means
 from ..params import P, Params
-from .online import margins, vote
+from .online import in_order, margins, vote
 from .online import crowded as is_crowded
 
 # Operating points of warm-up and calibration.
@@ -218,12 +218,8 @@ def run_rows(state: dict, clip_id: str, rows: pd.DataFrame) -> pd.DataFrame:
 
 def batch(frames: DataFrame) -> DataFrame:
     """frames: clip_id, frame, track_id (null: a frame without detections), is_cut, box, conf, torso_px, upper_px, field_overlap,
-    helmet, referee, field_y and the six features. A clip's state is sequential, so a clip is one task's work."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return run_rows(new_state(), rows.clip_id.iloc[0], rows)
-
-    return frames.groupBy("clip_id").applyInPandas(run, OUTPUT)
+    helmet, referee, field_y and the six features. A clip's state is sequential, so a clip is one task's work, some rows at a time."""
+    return in_order(frames, OUTPUT, new_state, run_rows)
 
 
 def stream(frames: DataFrame) -> DataFrame:
