@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from trackweave import tables
 from trackweave.llm import decontaminate, htmltext, licences, maxplus, quality, queries, sentencepiece_scan, tokenids, warc
 
 PIECES, WORDS = queries.vocabulary(queries.PIECES), queries.vocabulary(queries.WORDS)
@@ -496,6 +497,29 @@ def test_repetition_decides_what_a_class_name_hints_at(spark):
         assert {r.page_id: r.text for r in htmltext.main_text(df, **options).collect()} == want
 
 
+def test_pages_with_an_article_are_in_the_array(spark):
+    """Footers and menus of pages that mark an article count for a page that marks none; articles keep what they repeat."""
+    notice, quoted = "Read the terms of this site before you go on", "Write to the editor of this site if you disagree"
+    rows = [(i, "https://h.example/", f"<nav><li>Start</nav><article><p>{quoted}</p><p>text of {i}</p></article><footer>{notice}</footer><div class='ad'>only {i}</div>") for i in range(4)]
+    rows += [(9, "https://h.example/", f"<div>Start</div><div>{quoted}</div><p>plain page</p><div>{notice}</div>"), (10, "https://g.example/", f"<p>{notice}</p>")]
+    rows += rows[:1] * 5  # copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = sorted([(i, f"{quoted}\ntext of {i}") for i in range(4)] + [(0, f"{quoted}\ntext of 0")] * 5 + [(9, f"{quoted}\nplain page"), (10, notice)])
+    for options in ({}, {"shard_pages": 2}, {"shard_pages": 1}):
+        assert sorted((r.page_id, r.text) for r in htmltext.main_text(df, **options).collect()) == want
+    K, D, X = htmltext.KEPT, htmltext.DOUBTFUL, htmltext.OUT
+    counts = {(r.mark, r.repeated): r.n for r in htmltext.block_counts(df).collect()}
+    assert counts == {(K, False): 18, (K, True): 0, (D, False): 3, (D, True): 2, (X, False): 9, (X, True): 18}
+
+
+def test_array_finds_repeats_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    one, many = ({(r.mark, r.repeated): r.n for r in htmltext.block_counts(pages, n).collect()} for n in (10**6, 3))
+    for mark in (htmltext.DOUBTFUL, htmltext.OUT):
+        assert [one[mark, x] for x in (False, True)] == [many[mark, x] for x in (False, True)]
+    assert one[htmltext.OUT, True] > 0
+
+
 def test_pages(spark, sf):
     import html
 
@@ -603,3 +627,24 @@ def test_suffix_array():
         a, b = tokens[order[k - 1] :].tolist(), tokens[order[k] :].tolist()
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert shared[k] == n
+
+
+@pytest.mark.parametrize("tokens", [[], [5], [3] * 40, [1, 2] * 20 + [1], [*range(30), *range(30), -1, *range(30)]])
+def test_suffix_array_of_repeats(tokens):
+    order, shared = htmltext.suffix_array(np.array(tokens, np.int64))
+    assert order.tolist() == sorted(range(len(tokens)), key=lambda i: tokens[i:])
+    for k in range(1, len(tokens)):
+        a, b = tokens[order[k - 1] :], tokens[order[k] :]
+        assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_rows_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "COPIES", 4)
+    rows = [(i, f"https://h.example/{i}", "<p>one page</p>") for i in range(30)] + [(i, None, None) for i in range(40, 52)] + [(i, "https://h.example/", "<p>four</p>") for i in range(70, 74)]
+    rows += [(60, "https://h.example/60", "<p>other</p>"), (None, "https://h.example/x", "<p>one page</p>"), (None, None, "<p>third</p>"), (1, "https://h.example/1", "<p>one page</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for most in (32 << 20, -1):
+        monkeypatch.setattr(htmltext, "small_side", lambda df, rows, row_bytes, most=most: tables.small_side(df, rows, row_bytes, most))
+        got = [(str(r.page_id), str(r.url), r.text) for r in htmltext.main_text(df).collect()]
+        want = [(str(i), str(u), (h or "").replace("<p>", "").replace("</p>", "")) for i, u, h in rows]
+        assert sorted(got) == sorted(want)
