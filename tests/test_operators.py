@@ -229,6 +229,22 @@ def test_distributed_clusters_match_the_kernel(spark):
     assert clustering.team_rows(spark.createDataFrame(rows).limit(0), "true").count() == 0
 
 
+def test_rounds_take_places_not_rows(spark, monkeypatch):
+    """Rows of equal features are one point in the rounds of 2-means, however many; teams are those of all rows."""
+    rng = np.random.default_rng(5)
+    places = np.vstack([rng.normal(m, 1.0, (9, 6)) for m in (100, 104)])
+    rows = pd.DataFrame(places[rng.integers(0, 18, 600)], columns=clustering.FEATURES)
+    rows["clip_id"], rows["conf"], rows["torso_px"] = np.where(np.arange(600) % 3, "a", "b"), rng.uniform(0, 1, 600), rng.integers(0, 900, 600)
+    rows["event_id"], rows["track_id"] = np.arange(600), np.arange(600) % 11
+    taken, run = [], clustering.two_centres
+    monkeypatch.setattr(clustering, "two_centres", lambda rows, by: taken.append(rows.count()) or run(rows, by))
+    got = {r.event_id: r.det_team for r in clustering.team_rows(spark.createDataFrame(rows).repartition(5), "true").collect()}
+    want = {}
+    for _, part in rows.groupby("clip_id"):
+        want |= dict(zip(part.event_id, clustering.cluster(part)))
+    assert got == want and len(got) == 600 and taken[0] <= 36
+
+
 def test_smoothing_reaches_far_enough(spark):
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2000, 300).astype(float)

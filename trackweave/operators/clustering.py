@@ -95,17 +95,26 @@ def _squared(centre: list[str]) -> str:
     return " + ".join(f"(x{j} - {c}) * (x{j} - {c})" for j, c in enumerate(centre))
 
 
-def points(det: DataFrame, valid: str, by: list[str], least: int = 8) -> DataFrame:
-    """The valid rows of groups that have so many: by, event_id, track_id, weight w, hue, and the scaled features x0.. ."""
-    rows = det.filter(valid).selectExpr(
+def weighted(det: DataFrame, valid: str, by: list[str]) -> DataFrame:
+    """The valid rows: by, event_id, track_id, weight w, and the features."""
+    return det.filter(valid).selectExpr(
         *by, "event_id", "track_id", "CASE WHEN conf * greatest(1, torso_px) > 0 THEN conf * greatest(1, torso_px) ELSE 1e-9D END AS w", *FEATURES
     )
+
+
+def points(rows: DataFrame, by: list[str], least: int = 8) -> DataFrame:
+    """The weighted rows of groups that have so many: by, event_id, track_id, weight w, hue, and the scaled features x0.. ."""
     moments = [f(c).alias(f"{n}{j}") for j, c in enumerate(FEATURES) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]
     stats = rows.groupBy(*by).agg(F.count("*").alias("n"), *moments).filter(F.col("n") >= least).drop("n")
     scaled = [f"({c} - m{j}) / CASE WHEN s{j} = 0 THEN 1 ELSE s{j} END AS x{j}" for j, c in enumerate(FEATURES)]
     return rows.join(stats, by).selectExpr(*by, "event_id", "track_id", "w", "feat_h AS hue", *scaled)
 
 
+def combined(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Points of a group at one place as one: its smallest event and the sum of their weights, which is all that 2-means has of them."""
+    return rows.groupBy(*by, *[f"x{j}" for j in range(len(FEATURES))]).agg(F.min("event_id").alias("event_id"), F.sum("w").alias("w"))
+
+
 #: Rounds of 2-means in one job.
 ROUNDS = 4
 
@@ -184,14 +193,16 @@ def team_rows(det: DataFrame, valid: str, by: list[str] | None = None, least: fl
     than `least` in scaled space, have no rows. Null rows of `valid` don't count.
     """
     by = by or ["clip_id"]
-    rows = materialize(points(det, valid, by), "points")
-    centres, made = two_centres(rows, by)
+    valid_rows = materialize(weighted(det, valid, by), "valid-rows")
+    rows = points(valid_rows, by)
+    places = materialize(combined(rows, by), "points")
+    centres, made = two_centres(places, by)
     labelled = rows.join(small_side(centres, made[0].count(), 400), by).withColumn("l", F.expr(f"CAST(({_squared(_B)}) < ({_squared(_A)}) AS INT)"))
     apart = F.expr(f"sqrt({' + '.join(f'({a} - {b}) * ({a} - {b})' for a, b in zip(_A, _B))}) >= {least}")
     labelled = labelled.filter(apart).select(*by, "event_id", "track_id", "w", "hue", "l")
     out = canonical_rows(labelled, by).select(*by, "event_id", "track_id", F.col("l").alias("det_team"))
     out = materialize(out, "team-rows")
-    for used in (rows, *made):
+    for used in (valid_rows, places, *made):
         discard(used)
     return out
 
