@@ -54,3 +54,31 @@ def test_candidates_shuffle_a_track_a_few_times(spark):
     assert "Join" not in plan and edges.count() == 0
     met = edges._jdf.queryExecution().optimizedPlan().toString()
     assert met.count("explode") == 1
+
+
+@pytest.mark.parametrize("twins,held,most", [(1, 64, 10**6), (20, 3, 50)])
+def test_tails_look_as_far_as_they_need(monkeypatch, twins, held, most):
+    """All free candidates of each tail were compared, with the square of a dense clip's tracks; here also with twins, who compete for the same heads."""
+    monkeypatch.setattr(greedy, "HELD", held)
+    monkeypatch.setattr(greedy, "TAILS", 100)
+    rng, compared = np.random.default_rng(3), []
+    scored = relational.scored
+    monkeypatch.setattr(relational, "scored", lambda t, i, *others: compared.append(len(i)) or scored(t, i, *others))
+
+    def side(n, foot, frame, frames):
+        columns = {f"{foot}_x": rng.uniform(0, 900, n), f"{foot}_y": rng.uniform(0, 500, n), "vx": rng.uniform(-3, 3, n), "vy": rng.uniform(-3, 3, n), "team": rng.integers(-1, 2, n), "ocr": np.where(rng.random(n) < 0.5, np.nan, rng.integers(0, 9, n)), "ab_a": rng.normal(0, 9, n), "ab_b": rng.normal(0, 9, n)}
+        rows = {c: np.repeat(v.astype(float), twins) for c, v in columns.items()}
+        return rows | {frame: np.repeat(rng.integers(*frames, n), twins), "track_id": np.arange(n * twins)}
+
+    tails, heads = side(400 // twins, "tail", "end", (7, 8)), side(6000 // twins, "head", "start", (8, 38))
+    got, used = greedy.takers(tails, heads, 30, 120.0, 0.5, most).tolist(), set()
+    pairs, candidates = sum(compared), 0
+    for i in range(len(got)):
+        gap = heads["start"] - 7
+        x, y = tails["tail_x"][i] + tails["vx"][i] * gap, tails["tail_y"][i] + tails["vy"][i] * gap
+        _, b, _, cost = scored(tails, np.full(len(gap), i), heads, np.arange(len(gap)), x, y, 120.0, 0.5)
+        candidates += len(b)
+        want = min(((c, int(j)) for c, j in zip(cost, b) if int(j) not in used), default=(0, -1))[1]
+        assert got[i] == want
+        used.add(want)
+    assert twins > 1 or pairs < candidates / 2

@@ -3,14 +3,15 @@ by rounds over tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..params import P
@@ -184,82 +185,156 @@ def matched_edges(candidates: DataFrame, finish: int = FINISH_EDGES) -> tuple[Da
     return reduce(DataFrame.union, taken or [left.select("clip_id", "a", "b")]), counts
 
 
-#: Tracks of a clip that one task decides (112 bytes a track); the tails after them wait for what these have taken.
-BATCH_TRACKS = BROADCAST_BYTES // 112
-#: Tails of a frame whose candidates are held at once.
-TAILS = 1 << 10
+#: Tails of a frame that are decided together, and candidates of a tail that are held at once.
+TAILS, HELD = 1 << 10, 64
+#: Heads that the first circle around a tail has on average, over all frames that it can reach.
+AROUND = 24
 
 
-def continuations(tails: dict[str, np.ndarray], heads: dict[str, np.ndarray], max_gap: int, max_dist: float, ab_weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """Tails in order (end, track_id), each with the free head of least (cost, track_id) among its candidates, as
-    relational.stitch_candidates has them: numbers of the tails that have one and of these heads.
+def takers(tails: dict[str, np.ndarray], heads: dict[str, np.ndarray], max_gap: int, max_dist: float, ab_weight: float, most: int = near.PAIRS) -> np.ndarray:
+    """For each of a frame's tails, in order, the number of the head that it takes, or -1: of its candidates among the
+    heads, as relational.stitch_candidates has them, that no tail before it takes, the one of least (cost, track_id).
 
-    A frame's tails look at the free heads of each of the max_gap frames after it, near where they would be then. Heads
-    taken before aren't looked at any more, so work goes with the free candidates and not with all.
+    A cost is no less than its distance, so a tail looks around itself as far as the heads that it needs, and farther only
+    if earlier tails take all of these. Heads are all those that start in the max_gap frames after the tails' end.
     """
-    t = {c: v[np.lexsort((tails["track_id"], tails["end"]))] for c, v in {**tails, "at": np.arange(len(tails["end"]))}.items()}
-    h = {c: v[np.lexsort((heads["track_id"], heads["start"]))] for c, v in {**heads, "at": np.arange(len(heads["start"]))}.items()}
-    free, links = np.ones(len(h["start"]), bool), []
-    reach = max_dist + relational.SLACK
-    for frame in np.unique(t["end"]).tolist():
-        first, last = np.searchsorted(t["end"], [frame, frame + 1])
-        starts = np.searchsorted(h["start"], np.arange(frame + 1, frame + max_gap + 2))
-        open_heads = [low + np.flatnonzero(free[low:high]) for low, high in zip(starts[:-1], starts[1:])]
-        ways = [(gap, some, near.Points(h["head_x"][some], h["head_y"][some], max_dist / 2)) for gap, some in enumerate(open_heads, 1) if len(some)]
-        for begin in range(first, last, TAILS):
-            mine = {c: v[begin : min(last, begin + TAILS)] for c, v in t.items()}
-            found = []
-            for gap, some, points in ways:
-                x, y = mine["tail_x"] + mine["vx"] * gap, mine["tail_y"] + mine["vy"] * gap
-                for i, j in points.near(x - reach, x + reach, y - reach, y + reach):
-                    b = some[j]
-                    i, b = i[free[b]], b[free[b]]
-                    i, b, _, cost = relational.scored(mine, i, h, b, x, y, max_dist, ab_weight)
-                    found.append((i, b, cost))
-            if found:
-                i, b, cost = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((h["track_id"][b], cost, i))
-                for at, others in near.of_each(i[order], b[order]):
-                    others = others[free[others]]
-                    if len(others):
-                        free[others[0]] = False
-                        links.append((int(mine["at"][at]), int(h["at"][others[0]])))
-    return tuple(np.array(x, int) for x in zip(*links)) if links else (np.zeros(0, int), np.zeros(0, int))
-
-
-def continued(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight, most: int = BATCH_TRACKS) -> DataFrame:
-    """The links (clip_id, a, b) of the greedy rule over tracks: matched_edges(stitch_candidates(tracks)), without the edges.
-
-    The rule takes tails in order, so a clip is decided in batches of about `most` tails by end (whole frames): a batch is one task of
-    a clip, which gets its tails and those heads that can continue them and aren't taken. All clips take their n-th batch
-    at once. A dense clip has edges with the square of its tracks; here they are made a block of tails at a time. tracks is
-    read once for each batch.
+    out, free = np.full(len(tails["end"]), -1), np.ones(len(heads["start"]), bool)
+    if not len(out) or not len(free):
+        return out
+    x, y = heads["head_x"], heads["head_y"]
+    sane = np.isfinite(x) & np.isfinite(y)
+    if not sane.any():
+        return out
+    with np.errstate(over="ignore"):
+        first = float(np.sqrt(AROUND / np.pi * np.ptp(x[sane]) * np.ptp(y[sane]) / sane.sum()))
+    first = min(max_dist, max(first, max_dist / 64)) if ab_weight >= 0 else max_dist
+    cells = near.Cells(heads["start"] - tails["end"][0] - 1, max_gap, x, y, first)
+    for begin in range(0, len(out), TAILS):
+        mine = {c: v[begin : begin + TAILS] for c, v in tails.items()}
+        taken, by = _asked(mine, heads, free, cells, first, max_gap, max_dist, ab_weight, most)
+        out[begin + by] = taken
+        free[taken] = False
+    return out
+
+
+def _asked(t: dict[str, np.ndarray], h: dict[str, np.ndarray], free: np.ndarray, cells: near.Cells, first: float, max_gap: int, max_dist: float, ab_weight: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heads that are taken, and the numbers of the tails that take them.
+
+    All tails ask their best head at once; a head keeps the first of the tails that ask and refuses the others for good,
+    who ask their next (see matched_edges: in whatever order, the result is that of tails in order). A tail that has asked
+    all that it holds seeks more: farther on, or as far as before if there were more than HELD.
     """
-    usable = tracks.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("clip_id", "track_id")))
-    frames = usable.filter("end IS NOT NULL").groupBy("clip_id", "end").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("clip_id").orderBy("end")) - F.col("n")
-    frames = materialize(frames.select("clip_id", "end", F.floor(before / most).alias("batch")), "ends")
-    spans = materialize(frames.groupBy("clip_id", "batch").agg(F.min("end").alias("low"), F.max("end").alias("high")), "spans")
-    kind = StructType([tracks.schema["clip_id"], StructField("a", LongType()), StructField("b", LongType())])
-    empty = to_arrow_schema(kind).empty_table()
-
-    def run(tails: pa.Table, heads: pa.Table) -> pa.Table:
-        if not tails.num_rows or not heads.num_rows:
-            return empty
-        a, b = continuations(relational.as_arrays(tails, relational.TAIL), relational.as_arrays(heads.rename_columns([c.removeprefix("head_") for c in heads.column_names]), relational.HEAD), max_gap, max_dist, ab_weight)
-        return pa.table([tails.column("clip_id").take(pa.array(a)), tails.column("track_id").take(pa.array(a)), heads.column("head_track_id").take(pa.array(b))], names=["clip_id", "a", "b"])
-
-    parts: list[DataFrame] = []
-    for number in range(1 + (spans.agg(F.max("batch")).first()[0] or 0)):
-        span = spans.filter(F.col("batch") == number).drop("batch")
-        tails = usable.join(frames.filter(F.col("batch") == number).drop("batch"), ["clip_id", "end"]).select("clip_id", *relational.TAIL)
-        heads = usable.join(span, "clip_id").filter(f"start > low AND start <= high + {int(max_gap)}").select("clip_id", *relational.HEAD)
-        if parts:
-            taken = reduce(DataFrame.union, parts).select("clip_id", F.col("b").alias("track_id"))
-            heads = heads.join(taken, ["clip_id", "track_id"], "left_anti")
-        heads = relational.prefixed(heads, "head_")
-        parts.append(materialize(tails.groupBy("clip_id").cogroup(heads.groupBy("head_clip_id")).applyInArrow(run, kind), "links"))
-    return reduce(DataFrame.union, parts)
+    n, gaps = len(t["end"]), np.arange(1, max_gap + 1)
+    keeps = np.where(free, n, -1)  # the first tail that has asked; n: none; -1: taken before
+    reach, more, ways = np.full(n, first), np.zeros(n, bool), [iter(())] * n
+    seeking = np.arange(n)
+    while len(seeking):
+        x, y = (t[f"tail_{c}"][seeking, None] + t[f"v{c}"][seeking, None] * gaps for c in "xy")
+        more[seeking] = False
+        for i, b in cells.near(x, y, reach[seeking] + relational.SLACK, most):
+            i = seeking[i]
+            open_to = keeps[b] > i
+            i, b = i[open_to], b[open_to]
+            gap = h["start"][b] - t["end"][i]
+            i, b, _, cost = relational.scored(t, i, h, b, t["tail_x"][i] + t["vx"][i] * gap, t["tail_y"][i] + t["vy"][i] * gap, reach[i], ab_weight)
+            sure = (cost <= reach[i]) | (reach[i] >= max_dist)
+            i, b, cost = i[sure], b[sure], cost[sure]
+            order = np.lexsort((h["track_id"][b], cost, i))
+            for at, others in near.of_each(i[order], b[order]):
+                ways[at], more[at] = iter(others[:HELD].tolist()), len(others) > HELD
+        asking, again = seeking.tolist()[::-1], []
+        while asking:
+            i = asking.pop()
+            for b in ways[i]:
+                before = keeps[b]
+                if before > i:
+                    keeps[b] = i
+                    if before < n:
+                        asking.append(int(before))
+                    break
+            else:
+                if more[i] or reach[i] < max_dist:
+                    again.append(i)
+        seeking = np.array(again, int)
+        reach[seeking] = np.where(more[seeking], reach[seeking], np.minimum(2 * reach[seeking], max_dist))
+    taken = np.flatnonzero((keeps >= 0) & (keeps < n))
+    return taken, keeps[taken]
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, int, pa.Table]]:
+    """(clip_id, turn, rows) of each turn of each clip, of rows in that order."""
+    rest: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        clips = pc.dictionary_encode(rows.column("clip_id").combine_chunks()).indices.to_numpy()
+        turns = rows.column("turn").to_numpy()
+        begins = [0, *(1 + np.flatnonzero((np.diff(clips) != 0) | (np.diff(turns) != 0))).tolist()] if len(turns) else []
+        for low, high in zip(begins, [*begins[1:], len(turns)]):
+            key = (rows.column("clip_id")[low], int(turns[low]))
+            if rest and key != last:
+                yield *last, pa.concat_tables(rest)
+                rest = []
+            rest.append(rows.slice(low, high - low))
+            last = key
+    if rest:
+        yield *last, pa.concat_tables(rest)
+
+
+def linked(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight, most: int = near.PAIRS) -> DataFrame:
+    """The links (clip_id, a, b, root) of the greedy rule over tracks: matched_edges(stitch_candidates(tracks)), without the
+    edges, and the first track of the chain that a link is in.
+
+    The rule takes tails in order, so a clip is one task's, but not as a group: a track is two rows, its head at the turn at
+    which tails first reach it and its tail at that of its end, which come sorted by turn. A task holds the
+    tails of a turn, the free heads of the max_gap frames after it and the roots of tracks that haven't ended. A track ends
+    where it starts or later, so its own link is known when it asks. most: pairs that are compared at once.
+    """
+    usable = tracks.filter("clip_id IS NOT NULL AND track_id IS NOT NULL")
+    null = F.lit(None).cast("double")
+    heads = usable.filter("start IS NOT NULL").select(
+        "clip_id", (F.col("start") - int(max_gap)).alias("turn"), F.lit(False).alias("is_tail"), "track_id", F.col("start").alias("frame"), F.col("head_x").alias("x"), F.col("head_y").alias("y"), null.alias("vx"), null.alias("vy"), *relational.HEAD[4:]
+    )
+    tails = usable.filter("end IS NOT NULL").select(
+        "clip_id", F.col("end").alias("turn"), F.lit(True).alias("is_tail"), "track_id", F.col("end").alias("frame"), F.col("tail_x").alias("x"), F.col("tail_y").alias("y"), "vx", "vy", *relational.TAIL[6:]
+    )
+    names = ["clip_id", "a", "b", "root"]
+    kind = StructType([tracks.schema["clip_id"], *[StructField(c, LongType()) for c in names[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, heads, roots = None, {}, {}
+        for of, turn, rows in _turns(batches):
+            if of != clip:
+                clip, heads, roots = of, {}, {}
+            is_tail = rows.column("is_tail")
+            new, t = (relational.turned(rows.filter(side), prefix) for side, prefix in ((pc.invert(is_tail), "head"), (is_tail, "tail")))
+            heads = {c: np.concatenate([heads[c], v]) for c, v in new.items()} if heads else new
+            if not len(t["end"]):
+                continue
+            reached = heads["start"] > turn
+            heads = {c: v[reached] for c, v in heads.items()}
+            order = np.argsort(t["track_id"], kind="stable")
+            t = {c: v[order] for c, v in t.items()}
+            took = takers(t, heads, max_gap, max_dist, ab_weight, most)
+            a, links = t["track_id"].tolist(), np.flatnonzero(took >= 0)
+            own = [roots.pop(i, i) for i in a]
+            b = heads["track_id"][took[links]]
+            root = [own[i] for i in links.tolist()]
+            roots.update(zip(b.tolist(), root))
+            free = np.ones(len(heads["start"]), bool)
+            free[took[links]] = False
+            heads = {c: v[free] for c, v in heads.items()}
+            if len(links):
+                clips = pa.repeat(clip, len(links))
+                yield pa.RecordBatch.from_arrays([clips, pa.array(t["track_id"][links]), pa.array(b), pa.array(root, pa.int64())], names=names)
+
+    rows = heads.unionByName(tails).repartition("clip_id").sortWithinPartitions("clip_id", "turn")
+    return rows.mapInArrow(run, kind)
+
+
+def continued(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight, most: int = near.PAIRS) -> DataFrame:
+    """The links (clip_id, a, b) alone."""
+    return linked(tracks, max_gap, max_dist, ab_weight, most).select("clip_id", "a", "b")
 
 
 def chain_roots(links: DataFrame) -> DataFrame:
@@ -289,4 +364,4 @@ def chained(candidates: DataFrame) -> DataFrame:
 
 def chained_tracks(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: float = P.max_dist, ab_weight: float = P.ab_weight) -> DataFrame:
     """The same from the tracks' summaries (see relational.stitch_candidates)."""
-    return chain_roots(continued(tracks, max_gap, max_dist, ab_weight))
+    return linked(tracks, max_gap, max_dist, ab_weight).select("clip_id", F.col("b").alias("track_id"), F.col("root").alias("stable_id"))

@@ -12,6 +12,8 @@ import numpy as np
 
 #: Pairs compared at once, and boxes whose neighbours are sought at once.
 PAIRS, ROWS = 1 << 18, 1 << 10
+#: Cells of a grid for each point.
+CELLS = 16
 _SLACK = 1e-9
 
 
@@ -61,6 +63,64 @@ class Points:
                 a = b
 
 
+class Cells:
+    """Points of layers in square cells of a grid; those around a place of a layer are runs, one for each row of cells.
+
+    The grid has a bounded number of cells a point: where the points are few for their extent, cells are larger.
+    """
+
+    def __init__(self, layer: np.ndarray, layers: int, x: np.ndarray, y: np.ndarray, size: float):
+        self.at = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        x, y, layer = x[self.at], y[self.at], layer[self.at]
+        self.low = (x.min(), y.min()) if len(x) else (0.0, 0.0)
+        self.size, wide, high = float(size) if size > 0 else 1.0, *((float(np.ptp(x)), float(np.ptp(y))) if len(x) else (0.0, 0.0))
+        while (wide / self.size + 1) * (high / self.size + 1) * layers > CELLS * len(x) + ROWS:
+            self.size *= 2
+            if not np.isfinite(self.size):
+                break
+        self.shape = (int(wide / self.size) + 1, int(high / self.size) + 1) if np.isfinite(self.size) else (1, 1)
+        key = (layer * self.shape[1] + self._cells(y, 1)) * self.shape[0] + self._cells(x, 0)
+        self.at = self.at[np.argsort(key, kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=layers * self.shape[0] * self.shape[1]))])
+
+    def _cells(self, v: np.ndarray, axis: int, least: int = 0, most: int = 0) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            cell = np.floor((v - self.low[axis]) / self.size) if np.isfinite(self.size) else np.zeros(np.shape(v))
+        return np.clip(np.nan_to_num(cell), least, self.shape[axis] - 1 + most).astype(np.int64)
+
+    def near(self, x: np.ndarray, y: np.ndarray, reach: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place, point), a superset of the points within reach of a place, as blocks of two arrays; a place's are in one block.
+
+        x, y: a row for each place, a column for each layer, where the place may be elsewhere. A block has `most` pairs at
+        most, or those of one place. Places with NaN have none.
+        """
+        reach = reach[:, None]
+        sane = ~(np.isnan(x) | np.isnan(y))
+        left, right = self._cells(x - reach, 0, 0, 1), self._cells(x + reach, 0, -1)
+        first, last = self._cells(y - reach, 1, 0, 1), self._cells(y + reach, 1, -1)
+        height = np.where(sane & (left <= right), np.maximum(last - first + 1, 0), 0)
+        for begin, end in _parts(height.sum(1), most):
+            rows = height[begin:end].ravel()
+            some = np.flatnonzero(rows)
+            which, row = _runs(first[begin:end].ravel()[some], last[begin:end].ravel()[some] + 1)
+            place, layer = np.divmod(some[which], height.shape[1])
+            key = (layer * self.shape[1] + row) * self.shape[0]
+            low, high = self.begin[key + left[begin:end].ravel()[some][which]], self.begin[key + right[begin:end].ravel()[some][which] + 1]
+            for a, b in _parts(np.bincount(place, weights=high - low, minlength=end - begin), most):
+                part = slice(*np.searchsorted(place, [a, b]))
+                run, found = _runs(low[part], high[part])
+                yield begin + place[part][run], self.at[found]
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs (begin, end) of things that have `most` together at most, or are one."""
+    upto, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + most, "right")))
+        yield begin, end
+        begin = end
+
+
 def _runs(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(run, number) of each number of the runs low to high - 1."""
     n = np.maximum(high - low, 0)

@@ -138,12 +138,22 @@ def as_arrays(rows: pa.Table, columns: list[str]) -> dict[str, np.ndarray]:
     return {c: rows.column(c).cast(pa.int64() if c in whole else pa.float64()).to_numpy() for c in columns}
 
 
-def scored(tails: dict[str, np.ndarray], i: np.ndarray, heads: dict[str, np.ndarray], b: np.ndarray, x: np.ndarray, y: np.ndarray, max_dist: float, ab_weight: float) -> tuple[np.ndarray, ...]:
-    """Those of the pairs (tail i, head b) that may continue, with distance and cost; x, y: where the tails would be."""
-    dx, dy = x[i] - heads["head_x"][b], y[i] - heads["head_y"][b]
+def turned(rows: pa.Table, side: str) -> dict[str, np.ndarray]:
+    """Rows with frame, x, y and the other columns of heads or tails as the arrays of that side."""
+    names = {"start": "frame", "end": "frame", **{f"{side}_{c}": c for c in "xy"}}
+    columns = TAIL if side == "tail" else HEAD
+    found = rows.select([names.get(c, c) for c in columns]).rename_columns(columns)
+    return as_arrays(found, columns)
+
+
+def scored(tails: dict[str, np.ndarray], i: np.ndarray, heads: dict[str, np.ndarray], b: np.ndarray, x: np.ndarray, y: np.ndarray, max_dist: float | np.ndarray, ab_weight: float) -> tuple[np.ndarray, ...]:
+    """Those of the pairs (tail i, head b) that may continue, with distance and cost; x, y: where the tail of each would be."""
+    dx, dy = x - heads["head_x"][b], y - heads["head_y"][b]
     dist = np.sqrt(dx * dx + dy * dy)
+    fits = dist <= max_dist
+    i, b, dist = i[fits], b[fits], dist[fits]
     ours, theirs, n, m = tails["team"][i], heads["team"][b], tails["ocr"][i], heads["ocr"][b]
-    fits = (dist <= max_dist) & ((ours < 0) | (theirs < 0) | (ours == theirs)) & ~((n != m) & ~np.isnan(n) & ~np.isnan(m))
+    fits = ((ours < 0) | (theirs < 0) | (ours == theirs)) & ~((n != m) & ~np.isnan(n) & ~np.isnan(m))
     i, b, dist = i[fits], b[fits], dist[fits]
     da, db = tails["ab_a"][i] - heads["ab_a"][b], tails["ab_b"][i] - heads["ab_b"][b]
     colour = np.sqrt(da * da + db * db)
@@ -179,7 +189,7 @@ def stitch_candidates(tracks: DataFrame, max_gap: int = P.max_gap, max_dist: flo
             gap = frame - mine["end"]
             x, y = mine["tail_x"] + mine["vx"] * gap, mine["tail_y"] + mine["vy"] * gap
             for i, j in points.near(x - reach, x + reach, y - reach, y + reach):
-                i, b, dist, cost = scored(mine, i, h, first + j, x, y, max_dist, ab_weight)
+                i, b, dist, cost = scored(mine, i, h, first + j, x[i], y[i], max_dist, ab_weight)
                 if len(i):
                     columns = [mine["track_id"][i], h["track_id"][b], mine["end"][i], dist, cost]
                     yield pa.RecordBatch.from_arrays([met.column("clip_id").take(np.zeros(len(i), int)).combine_chunks(), *map(pa.array, columns)], names=names)
