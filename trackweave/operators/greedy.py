@@ -186,7 +186,7 @@ def matched_edges(candidates: DataFrame, finish: int = FINISH_EDGES) -> tuple[Da
 
 
 #: Tails of a frame that are decided together, and candidates of a tail that are held at once.
-TAILS, HELD = 1 << 10, 64
+TAILS, HELD = 1 << 12, 64
 #: Heads that the first circle around a tail has on average, over all frames that it can reach.
 AROUND = 24
 
